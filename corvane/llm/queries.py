@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corvane.llm import oracles
+from corvane.llm.decontamination import contamination
 from corvane.llm.ngram_jaccard import jaccard_components
+from corvane.llm.substring_dedup import remove_repeats
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a document with a smaller doc_id has too are removed: doc_id, n_words, n_removed, kept_sha256."""
+    rows = remove_repeats(_read(spark, sf_dir, "documents"), window=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 10-word windows of benchmark items: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    rows = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
+    n_hit = F.expr("aggregate(hits, 0L, (n, h) -> n + h.end - h.start)")
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    rows = rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: doc_id, n_shingles, component_id."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_components(documents).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontamination": op3_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op3_decontamination": oracles.OP3, "op6_ngram_jaccard": oracles.OP6}

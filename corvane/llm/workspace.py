@@ -17,10 +17,22 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of one Arrow batch at most: texts can be long, and a batch stands in memory several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that the session hands to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Workspace:
     """A folder of Parquet tables for one run.  A lost executor costs tasks of the stage at hand, never a table."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_folder(spark).rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
