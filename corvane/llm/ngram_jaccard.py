@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm import words as W
+from corvane.llm.filters import KeyFilter
 from corvane.llm.graph import components
 from corvane.llm.workspace import Workspace
 
@@ -41,8 +42,6 @@ U64 = W.U64
 FREQUENT, MOST_FREQUENT_TOKENS = 64, 1 << 20
 #: A prefix holds so many shared tokens more than it must, as a share of the size (one in so many).
 SLACK = 20
-#: Bits of the filter of wanted sets, at least and at most.
-FILTER_BITS = (15, 28)
 _rng = np.random.default_rng(77)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
@@ -135,52 +134,46 @@ def _in_order(s: np.ndarray, frequent: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate((s[~late], s[late]))[:length]
 
 
-def _prefixes(n: int, percent: int, frequent, with_set: bool):
+def _prefixes(n: int, percent: int, frequent=None, shared=None):
+    """Prefix tokens, and with a test of shared ones those that pass it, with their sets."""
+
     def run(batches):
         late = frequent.value if frequent is not None else np.zeros(0, U64)
-        held, rows = [], 0
+        tokens, keys, rows = [], [], 0
 
         def out():
-            columns = [pa.array(np.concatenate([p for p, _, _ in held]).view(np.int64))]
-            if with_set:
-                lengths = [len(p) for p, _, _ in held]
-                columns += [pa.array(np.repeat(np.array([k for _, k, _ in held], np.int64), lengths)), pa.array(np.repeat(np.array([m for _, _, m in held], np.int32), lengths))]
-            return pa.RecordBatch.from_arrays(columns, ["token", "set", "n"][: len(columns)])
+            columns = [pa.array(np.concatenate(tokens).view(np.int64))]
+            if shared is not None:
+                columns.append(pa.array(np.repeat(np.array(keys, np.int64), [len(t) for t in tokens])))
+            return pa.RecordBatch.from_arrays(columns, ["token", "set"][: len(columns)])
 
         for key, s in _distinct_sets(batches, n):
-            held.append((_in_order(s, late, prefix_length(len(s), percent)), key, len(s)))
-            rows += len(held[-1][0])
-            if rows >= 200_000:
+            first = _in_order(s, late, prefix_length(len(s), percent))
+            tokens.append(first if shared is None else first[shared(first)])
+            keys.append(key)
+            rows += len(tokens[-1])
+            if rows >= 100_000:
                 yield out()
-                held, rows = [], 0
-        if held:
+                tokens, keys, rows = [], [], 0
+        if rows:
             yield out()
 
     return run
 
 
-def _wanted(sets: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """A bit for each wanted set, in a table whose size grows with their number up to a bound; more sets only let more pass."""
-    count = sets.count()
-    bits = min(max(FILTER_BITS[0], (8 * count + 1).bit_length()), FILTER_BITS[1])
-    place = F.pmod(F.xxhash64(F.lit("wanted"), F.col(column)), F.lit(1 << bits))
-    rows = sets.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number(F.col("p")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p"))).alias("bits")).collect()
-    table = np.zeros(max(1, (1 << bits) // 8 + 4096), np.uint8)
-    for r in rows:  # bucket k holds positions from 32768 (k - 1), counted from 1 by Spark
-        at = (r["k"] - 1) * 4096
-        table[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(table) - at]
-    return bits, table
-
+def _arrays(n: int, wanted):
+    """Sets as bytes, of the documents whose place passes the test."""
 
-def _arrays(n: int):
-    """Sets as bytes, of documents that may hold a wanted one; and the rows of one set only once a task."""
+    def some(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["text"]).filter(pa.array(wanted(np.asarray(batch.column(1)))))
 
     def run(batches):
         held, size = [], 0
-        for key, s in _distinct_sets(batches, n):
+        for key, s in _distinct_sets(some(batches), n):
             held.append((key, s.tobytes()))
             size += 8 * len(s)
-            if size >= 1 << 23:
+            if size >= 1 << 22:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([b for _, b in held], pa.binary())], ["set", "tokens"])
                 held, size = [], 0
         if held:
@@ -193,7 +186,7 @@ def _by_sketch(percent: int):
     def run(batches):
         for batch in batches:
             na, nb, a, b = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array([may_link(x, y, p, q, percent) for x, y, p, q in zip(a, b, na, nb, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([may_link(x, y, p, q, percent) for x, y, p, q in zip(a, b, na, nb, strict=True)], pa.bool_()))
 
     return run
 
@@ -234,86 +227,74 @@ class JaccardJoin:
             raise ValueError("two different sets have one 64-bit key")
         return rows
 
+    def counted(self, frequent=None) -> DataFrame:
+        """How many prefixes each token is in."""
+        return self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent), "token long").groupBy("token").agg(F.count("*").alias("c"))
+
     def frequent_tokens(self):
         """Frequent prefix tokens as a broadcast of bounded size, or None."""
-        counts = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, None, False), "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= self.frequent)
-        counts = self.space.keep(counts, "frequent")
+        counts = self.space.keep(self.counted().where(F.col("c") >= self.frequent), "frequent")
         least = self.frequent
         while counts.where(F.col("c") >= least).count() > MOST_FREQUENT_TOKENS:
             least *= 2
-        tokens = np.sort(np.array([r[0] for r in counts.where(F.col("c") >= least).select("token").toLocalIterator()], np.int64).view(U64))
+        tokens = np.sort(np.array([r[0] for r in counts.where(F.col("c") >= least).select("token").collect()], np.int64).view(U64))
         return self.spark.sparkContext.broadcast(tokens) if len(tokens) else None
 
-    def shared_rows(self, frequent) -> DataFrame:
-        """(token, set, n, leader, leader_n) of the prefix tokens that several sets have."""
-        schema = "token long, set long, n int"
-        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, True), schema)
-        rows = rows.repartition("token").dropDuplicates(["token", "set", "n"])
-        rows = self.space.keep(rows.withColumn("_", F.lit(1)).drop("_"), "prefixes")
-        lead = rows.groupBy("token").agg(F.min(F.struct("set", "n")).alias("l"), F.max("set").alias("m")).where("l.set <> m").select("token", F.col("l.set").alias("leader"), F.col("l.n").alias("leader_n"))
+    def shared_rows(self) -> DataFrame:
+        """(token, set, leader) of the prefix tokens that several sets have; most tokens have one and are left out before rows are dealt out."""
+        frequent = self.frequent_tokens()
+        several = self.space.keep(self.counted(frequent).where("c > 1").select("token"), "several")
+        test = KeyFilter(several, "token", hashed=True).test()
+        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, test), "token long, set long")
+        rows = self.space.keep(rows.distinct(), "prefixes")
+        lead = rows.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("most")).where("leader <> most").select("token", "leader")
         out = self.space.keep(rows.join(lead, "token"), "shared")
         self.space.drop("prefixes")
         return out
 
-    def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b, na, nb) that link."""
-        sketches = sets.select("set", "sketch")
-        pairs = pairs.join(sketches.withColumnRenamed("set", "a").withColumnRenamed("sketch", "sa"), "a").join(sketches.withColumnRenamed("set", "b").withColumnRenamed("sketch", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs = self.space.keep(pairs.mapInArrow(_by_sketch(self.percent), "a long, b long, na int, nb int").select("a", "b"), f"{name}-pairs")
+    def verified(self, pairs: DataFrame, each: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that link."""
+        one, two = (each.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+        pairs = pairs.join(one, "a").join(two, "b").where(_close("na", "nb", self.percent)).select("a", "b", "na", "nb", "sa", "sb")
+        pairs = self.space.keep(pairs.mapInArrow(_by_sketch(self.percent), "a long, b long"), f"{name}-pairs")
         wanted = self.space.keep(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), f"{name}-wanted")
-        bits, table = _wanted(wanted, "set")
-        held = self.spark.sparkContext.broadcast(table)
-        documents = self._documents_of(wanted, sets, bits, held, name)
-        arrays = self.space.keep(documents.mapInArrow(_arrays(self.n), "set long, tokens binary").join(wanted, "set", "left_semi").dropDuplicates(["set"]), f"{name}-arrays")
+        ids = self.space.keep(each.join(wanted, "set", "left_semi").select("doc_id"), f"{name}-ids")
+        near = KeyFilter(ids, "doc_id")  # one document of each set; texts are not dealt out
+        documents = self.documents.where("doc_id is not null").select("text", near.place("doc_id"))
+        arrays = documents.mapInArrow(_arrays(self.n, near.test()), "set long, tokens binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+        arrays = self.space.keep(arrays, f"{name}-arrays")
         one, two = (arrays.select(F.col("set").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
         links = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_exactly(self.percent), "a long, b long")
         links = self.space.keep(links, f"{name}-links")
         self.space.drop(f"{name}-arrays")
         return links
 
-    def _documents_of(self, wanted: DataFrame, sets: DataFrame, bits: int, held, name: str) -> DataFrame:
-        """Texts that may hold a wanted set: one document of each set, by a filter of doc_ids, so that texts are not dealt out."""
-        one = sets.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-        id_bits, table = _wanted(self.space.keep(one, f"{name}-ids"), "doc_id")
-        ids = self.spark.sparkContext.broadcast(table)
-
-        def run(batches):
-            for batch in batches:
-                place = np.asarray(batch.column(1))
-                inside = (ids.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                yield pa.RecordBatch.from_arrays([batch.column(0)], ["text"]).filter(pa.array(inside.astype(bool)))
-
-        place = F.pmod(F.xxhash64(F.lit("wanted"), F.col("doc_id")), F.lit(1 << id_bits))
-        return self.documents.where("doc_id is not null").select("text", place.alias("p")).mapInArrow(run, "text string")
-
     def links(self) -> tuple[DataFrame, DataFrame]:
         """The sets, and links between keys of different sets that join all sets which any chain of links joins."""
         sets = self.sets()
         each = self.space.keep(sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.first("n").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "each")
-        shared = self.shared_rows(self.frequent_tokens())
-        near = shared.where("set <> leader").where(_close("n", "leader_n", self.percent))
-        stars = self.verified(near.select(F.col("leader").alias("a"), F.col("set").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct(), each, "star")
+        shared = self.shared_rows()
+        stars = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+        stars = self.verified(stars, each, "star")
         groups = components(stars, "a", "b", self.space, "group")
-        opened = self.opened(shared, groups)
-        rest = self.verified(opened, each, "open")
+        rest = self.verified(self.opened(shared, each, groups), each, "open")
         return sets, stars.unionByName(rest)
 
-    def opened(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) of sets of different groups that the token-group matrix doesn't rule out."""
-        rows = shared.select("token", "set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", F.coalesce("component", "set").alias("g"))
-        rows = self.space.keep(rows, "grouped")
+    def opened(self, shared: DataFrame, each: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets of different groups that the token-group matrix doesn't rule out."""
+        known = each.select("set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "n", F.coalesce("component", "set").alias("g"))
+        rows = self.space.keep(shared.select("token", "set").join(known, "set"), "grouped")
         several = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-        rows = rows.join(several, "token", "left_semi")
-        rows = self.space.keep(rows, "crossing")
-        matrix = rows.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        rows = self.space.keep(rows.join(several, "token", "left_semi"), "crossing")
+        self.space.drop("grouped")
+        matrix = rows.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
         need = F.expr(f"1 + int(({self.percent} * n + 99) / 100) div {SLACK}")
-        other = matrix.select("token", F.col("g").alias("h"), "least", "most")
-        bound = rows.join(other, "token").where("g <> h").where(F.expr(f"100 * most >= {self.percent} * n and 100 * n >= {self.percent} * least"))
+        bound = rows.join(matrix, "token").where("g <> h").where(F.expr(f"100 * most >= {self.percent} * n and 100 * n >= {self.percent} * least"))
         bound = bound.groupBy("set", "n", "h").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= need)
-        bound = self.space.keep(bound.select("set", "n", "h"), "bound")
+        bound = self.space.keep(bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h"), "bound")
         members = rows.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h")).distinct()
-        pairs = bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h").join(members, "h").where(_close("na", "nb", self.percent))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
+        pairs = bound.join(members, "h").where(_close("na", "nb", self.percent))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
