@@ -48,3 +48,45 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) least USING (doc_id)
 """
+
+
+def _op7(powers: dict[str, float], rate: float, rounds: int, seed: str) -> str:
+    words = f"len(regexp_extract_all(coalesce(text, ''), {BLANK_WORDS}))::BIGINT"
+    steps = [
+        f"d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {words} AS n_tokens FROM documents)",
+        "t AS (SELECT *, CASE WHEN n_tokens < 150 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'longform' END AS topic FROM d)",
+        "c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL)",
+        "w0 AS (SELECT *, tokens::DOUBLE AS weight, " + ", ".join(f"CASE WHEN sum(tokens) OVER (PARTITION BY {d}) > 0 THEN pow((sum(tokens) OVER (PARTITION BY {d}))::DOUBLE, {p}::DOUBLE) ELSE 0 END AS target_{d}" for d, p in powers.items()) + " FROM c)",
+    ]
+    n = 0
+    for _ in range(rounds):
+        for d in powers:
+            steps.append(f"w{n + 1} AS (SELECT * REPLACE (coalesce(weight * target_{d} / nullif(sum(weight) OVER (PARTITION BY {d}), 0), 0) AS weight) FROM w{n})")
+            n += 1
+    steps.append(f"f AS (SELECT source, lang, topic, round(coalesce(weight * ({rate}::DOUBLE * (SELECT sum(tokens) FROM w{n})::DOUBLE / (SELECT sum(weight) FROM w{n})) / nullif(tokens::DOUBLE, 0), 0), 9) AS factor FROM w{n})")
+    steps.append(f"r AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR || '-{seed}'), 1, 13))::BIGINT::DOUBLE / {16**13}::DOUBLE AS u FROM t JOIN f USING (source, lang, topic))")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN least(factor, 1::DOUBLE) ELSE 0 END AS probability,
+       CASE WHEN n_tokens > 0 THEN greatest(factor, 1::DOUBLE) ELSE 0 END AS weight, n_tokens > 0 AND u < least(factor, 1::DOUBLE) AS selected FROM r
+"""
+
+
+OP7 = _op7({"source": 0.5, "lang": 0.5, "topic": 0.0}, 0.7, 10, "mix-1")
+
+
+def _escaped(text: str) -> str:
+    """Lengths only matter: each control string and each backslash grows by one character."""
+    return f"(length({text}) + length(regexp_replace({text}, '[^\\\\]', '', 'g')) + len(regexp_extract_all({text}, '<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|\\[TURN|\\[/TURN\\]')))"
+
+
+OP5 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, {_escaped("text")} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18
+        ELSE 17 + {_escaped("role")} + length(({_escaped("role")})::VARCHAR) END AS chars FROM c)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

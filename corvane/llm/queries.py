@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import oracles
+from corvane.llm import chat_format, mixing, oracles, pii, quality_gam
 from corvane.llm.decontamination import contamination
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.substring_dedup import remove_repeats
@@ -29,10 +29,50 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings in the instruction format, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    return chat_format.digests(chat_format.formatted(rows))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: doc_id, n_shingles, component_id."""
     return jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_decontamination": op3_decontamination, "op6_ngram_jaccard": op6_ngram_jaccard}
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op3_decontamination": oracles.OP3, "op6_ngram_jaccard": oracles.OP6}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion probability, weight and selection of every document, raked to flattened marginals of source, language and topic."""
+    rows = mixing.mixed(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_weight").alias("weight"), F.col("_selected").alias("selected"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model of the labels that aren't held out: doc_id, held_out, score, predicted."""
+    documents = _read(spark, sf_dir, "documents")
+    rows = quality_gam.scores(documents, quality_gam.train(documents, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", quality_gam.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts and base_sha256 are of the base spans, spans has the disguised ones too."""
+    return pii.find(_read(spark, sf_dir, "documents"), mask=False).drop("masked")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op5_chat_format": op5_chat_format,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_mixing": op7_mixing,
+    "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
+}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op3_decontamination": oracles.OP3,
+    "op5_chat_format": oracles.OP5,
+    "op6_ngram_jaccard": oracles.OP6,
+    "op7_mixing": oracles.OP7,
+}
