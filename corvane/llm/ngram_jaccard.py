@@ -4,15 +4,15 @@ Two documents link when 100 * |A n B| >= percent * |A u B| for their sets of dis
 
 1. *Sets.*  Documents with equal sets become one set, known by a 64-bit key (a 128-bit digest guards it), with
    its size and a parity sketch: one bit per two or so members, the parity of the members hashed to it.
-2. *Order.*  Tokens (hashes of n-grams) are ordered by hash, but those found frequent in a first count go last.
-   By the prefix principle, two sets that link share at least l of the first n - ceil(percent n / 100) + l
-   tokens of each in any common order; l is a twentieth of the size and one.  The frequent ones are a broadcast
+2. *Order.*  Tokens (hashes of n-grams) are ordered by hash, but those found frequent in counts of prefixes go last.
+   By the prefix principle, two sets that link share tokens among the first n - ceil(percent n / 100) + l of each in any common
+   order; each set takes its own l, one and up to a twentieth of its size.  The frequent ones are a broadcast
    table whose size is bounded: the count that makes a token frequent is raised until the table fits.  The
    order alone depends on it, never the result.
-3. *Groups.*  The sets that share a prefix token are compared with one leader each token, which groups
-   similar sets in linear time; components of these links are the groups.
+3. *Groups.*  The sets that share a prefix token are compared with one leader a token, at most a few leaders for similar
+   sets, which groups similar sets in linear time; components of these links, by bands of sizes, are the groups.
 4. *Matrix.*  Rows (token, group) hold the union of the prefix tokens of a group.  A set's overlap with a
-   group's union bounds its overlap with each member; only groups that reach the bound are opened, and
+   group's union bounds its overlap with each member; only groups that reach what sizes, prefixes and order demand are opened, and
    only groups other than its own.  Opened members are checked by size, sketch, and the exact sets.
 
 No step brings a group into one task: rows of a token meet in joins that Spark can split, minima are taken
@@ -40,7 +40,15 @@ from corvane.llm.workspace import Workspace
 U64 = W.U64
 #: A token in this many prefixes is frequent; a count beyond which more frequent tokens only are told apart, 8 bytes each.
 FREQUENT, MOST_FREQUENT_TOKENS = 64, 1 << 20
-#: A prefix holds so many shared tokens more than it must, as a share of the size (one in so many).
+#: Bits that the orders of leaders flip.
+LEADER_ORDERS = (0, 0x2A5A5A5A5A5A5A5A, 0x5555AAAA5555AAAA, 0x7FF00FF00FF00FF0)
+#: Shared prefix tokens of a set and a group that are asked for, at most.
+MOST_NEEDED = 8
+#: Members of a group whose sketches one row holds.
+BLOCK = 128
+#: Sets of a group are told apart by bands of sizes, each so much above the last: a band's least size is what bounds need.
+SIZE_BAND = 1.04
+#: A prefix holds up to one in so many of the size of shared tokens more than it must.
 SLACK = 20
 _rng = np.random.default_rng(77)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -51,8 +59,9 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - least_overlap(n, percent) + 1 + n // SLACK if n else 0
+def prefix_length(n: int, percent: int, shared: int = 1) -> int:
+    """How many first tokens of a set of n hold at least `shared` tokens of any set it links to."""
+    return n - least_overlap(n, percent) + shared if n else 0
 
 
 def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -126,35 +135,76 @@ def _distinct_sets(batches, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield key, s
 
 
-def _in_order(s: np.ndarray, frequent: np.ndarray, length: int) -> np.ndarray:
+def _late(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not len(frequent):
-        return s[:length]
-    at = np.searchsorted(frequent, s)
-    late = frequent[np.minimum(at, len(frequent) - 1)] == s
-    return np.concatenate((s[~late], s[late]))[:length]
+        return np.zeros(len(s), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
 
 
-def _prefixes(n: int, percent: int, frequent=None, shared=None):
-    """Prefix tokens, and with a test of shared ones those that pass it, with their sets."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set: what holds a token of any set it links to, and up to a share of the size more, as long as that is rare tokens."""
+    late = _late(s, frequent)
+    least, rare = prefix_length(len(s), percent), len(s) - int(late.sum())
+    shared = max(1, min(1 + len(s) // SLACK, rare - least + 1))
+    length = least + shared - 1
+    return s[:length] if rare == len(s) else np.concatenate((s[~late], s[late]))[:length]
+
+
+def _tokens_first(n: int, percent: int):
+    """By hash, the tokens that a prefix may reach if a third of what comes before is put last."""
+
+    def reach(s: np.ndarray) -> int:
+        return 3 * prefix_length(len(s), percent, 1 + len(s) // SLACK) // 2
+
+    def first(s: np.ndarray, _):
+        return s[: reach(s)]
+
+    def rest(s: np.ndarray, frequent: np.ndarray):
+        return s[reach(s) :] if _late(s[: reach(s)], frequent).any() else s[:0]
+
+    def final(s: np.ndarray, frequent: np.ndarray):
+        return prefix(s, frequent, percent)
+
+    return {"first": first, "rest": rest, "final": final}
+
+
+def _counted(n: int, percent: int, frequent, which: str):
+    """Tokens to be counted: those of _tokens_first."""
 
     def run(batches):
-        late = frequent.value if frequent is not None else np.zeros(0, U64)
-        tokens, keys, rows = [], [], 0
+        late, choose, held, rows = frequent.value if frequent is not None else np.zeros(0, U64), _tokens_first(n, percent)[which], [], 0
+        for _, s in _distinct_sets(batches, n):
+            held.append(choose(s, late))
+            rows += len(held[-1])
+            if rows >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["token"])
+                held, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["token"])
+
+    return run
+
+
+def _prefixes(n: int, percent: int, frequent, several):
+    """Prefix tokens that pass the test, with their set, its number of tokens from this one on, and behind the prefix."""
+
+    def run(batches):
+        late, tokens, keys, behind, after, rows = frequent.value if frequent is not None else np.zeros(0, U64), [], [], [], [], 0
 
         def out():
-            columns = [pa.array(np.concatenate(tokens).view(np.int64))]
-            if shared is not None:
-                columns.append(pa.array(np.repeat(np.array(keys, np.int64), [len(t) for t in tokens])))
-            return pa.RecordBatch.from_arrays(columns, ["token", "set"][: len(columns)])
+            lengths = [len(t) for t in tokens]
+            columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), lengths), np.concatenate(after), np.repeat(np.array(behind, np.int32), lengths)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "rest", "behind"])
 
         for key, s in _distinct_sets(batches, n):
-            first = _in_order(s, late, prefix_length(len(s), percent))
-            tokens.append(first if shared is None else first[shared(first)])
-            keys.append(key)
+            first = prefix(s, late, percent)
+            at = np.flatnonzero(several(first))
+            tokens.append(first[at])
+            keys.append(key), behind.append(len(s) - len(first)), after.append((len(s) - at).astype(np.int32))
             rows += len(tokens[-1])
             if rows >= 100_000:
                 yield out()
-                tokens, keys, rows = [], [], 0
+                tokens, keys, behind, after, rows = [], [], [], [], 0
         if rows:
             yield out()
 
@@ -191,6 +241,23 @@ def _by_sketch(percent: int):
     return run
 
 
+def _opened(percent: int):
+    """Pairs of a set and the members of a block of a group that sizes and sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            one, two = [], []
+            for a, na, sketch, members in zip(*(batch.column(i) for i in range(4)), strict=True):
+                a, na, sketch = a.as_py(), na.as_py(), sketch.as_py()
+                for m in members.as_py():
+                    b, nb = m["set"], m["n"]
+                    if 100 * min(na, nb) >= percent * max(na, nb) and may_link(sketch, m["sketch"], na, nb, percent):
+                        one.append(min(a, b)), two.append(max(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _exactly(percent: int):
     def run(batches):
         for batch in batches:
@@ -227,33 +294,44 @@ class JaccardJoin:
             raise ValueError("two different sets have one 64-bit key")
         return rows
 
-    def counted(self, frequent=None) -> DataFrame:
-        """How many prefixes each token is in."""
-        return self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent), "token long").groupBy("token").agg(F.count("*").alias("c"))
+    def counted(self, frequent, which: str) -> DataFrame:
+        """(token, c): in how many sets a token is counted, of those in several."""
+        tokens = self.documents.select("text").mapInArrow(_counted(self.n, self.percent, frequent, which), "token long")
+        return self.space.keep(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), f"counts-{which}")
 
     def frequent_tokens(self):
-        """Frequent prefix tokens as a broadcast of bounded size, or None."""
-        counts = self.space.keep(self.counted().where(F.col("c") >= self.frequent), "frequent")
-        least = self.frequent
-        while counts.where(F.col("c") >= least).count() > MOST_FREQUENT_TOKENS:
-            least *= 2
-        tokens = np.sort(np.array([r[0] for r in counts.where(F.col("c") >= least).select("token").collect()], np.int64).view(U64))
-        return self.spark.sparkContext.broadcast(tokens) if len(tokens) else None
+        """Frequent tokens as a broadcast of bounded size, or None: first those within reach of prefixes, then those of the rest of
+        the sets that have such tokens, since what such sets share moves up when its first tokens go last."""
+        known, frequent = np.zeros(0, U64), None
+        for which in ("first", "rest"):
+            counts, least = self.counted(frequent, which), self.frequent
+            while counts.where(F.col("c") >= least).count() > MOST_FREQUENT_TOKENS // 2:
+                least *= 2
+            known = np.union1d(known, np.array([r[0] for r in counts.where(F.col("c") >= least).select("token").collect()], np.int64).view(U64))
+            if not len(known):
+                return None
+            frequent = self.spark.sparkContext.broadcast(known)
+            self.space.drop(f"counts-{which}")
+        return frequent
 
     def shared_rows(self) -> DataFrame:
-        """(token, set, leader) of the prefix tokens that several sets have; most tokens have one and are left out before rows are dealt out."""
+        """(token, set, rest, behind, leader) of the prefix tokens that several sets have; most tokens have one and are left out before rows are dealt out.
+
+        A token's leader is the least of its sets in one of a few orders, which the token picks.
+        """
         frequent = self.frequent_tokens()
-        several = self.space.keep(self.counted(frequent).where("c > 1").select("token"), "several")
-        test = KeyFilter(several, "token", hashed=True).test()
-        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, test), "token long, set long")
+        test = KeyFilter(self.counted(frequent, "final"), "token", hashed=True).test()
+        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, test), "token long, set long, rest int, behind int")
         rows = self.space.keep(rows.distinct(), "prefixes")
-        lead = rows.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("most")).where("leader <> most").select("token", "leader")
+        order = F.element_at(F.array(*(F.lit(c) for c in LEADER_ORDERS)), (F.pmod("token", F.lit(len(LEADER_ORDERS))) + 1).cast("int"))
+        lead = rows.groupBy("token").agg(F.min(F.col("set").bitwiseXOR(order)).alias("x"), F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most")
+        lead = lead.select("token", F.col("x").bitwiseXOR(order).alias("leader"))
         out = self.space.keep(rows.join(lead, "token"), "shared")
         self.space.drop("prefixes")
         return out
 
     def verified(self, pairs: DataFrame, each: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+        """Those of the pairs (a, b) that link.  Pairs that sketches don't rule out are written before texts are read again."""
         one, two = (each.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
         pairs = pairs.join(one, "a").join(two, "b").where(_close("na", "nb", self.percent)).select("a", "b", "na", "nb", "sa", "sb")
         pairs = self.space.keep(pairs.mapInArrow(_by_sketch(self.percent), "a long, b long"), f"{name}-pairs")
@@ -282,19 +360,27 @@ class JaccardJoin:
 
     def opened(self, shared: DataFrame, each: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets of different groups that the token-group matrix doesn't rule out."""
-        known = each.select("set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "n", F.coalesce("component", "set").alias("g"))
-        rows = self.space.keep(shared.select("token", "set").join(known, "set"), "grouped")
+        band = F.floor(F.log("n") / np.log(SIZE_BAND)).cast("int")
+        known = each.select("set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "n", F.coalesce("component", "set").alias("g"), band.alias("band"))
+        rows = self.space.keep(shared.select("token", "set", "rest", "behind").join(known, "set"), "grouped")
         several = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
         rows = self.space.keep(rows.join(several, "token", "left_semi"), "crossing")
         self.space.drop("grouped")
-        matrix = rows.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        need = F.expr(f"1 + int(({self.percent} * n + 99) / 100) div {SLACK}")
-        bound = rows.join(matrix, "token").where("g <> h").where(F.expr(f"100 * most >= {self.percent} * n and 100 * n >= {self.percent} * least"))
-        bound = bound.groupBy("set", "n", "h").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= need)
-        bound = self.space.keep(bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h"), "bound")
-        members = rows.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h")).distinct()
-        pairs = bound.join(members, "h").where(_close("na", "nb", self.percent))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        matrix = rows.groupBy("token", F.col("g").alias("h"), F.col("band").alias("h_band")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("open"), F.max("behind").alias("most_behind"))
+        sizes = F.expr(f"100 * most >= {self.percent} * n and 100 * n >= {self.percent} * least")
+        # Two linked sets share `both` tokens at least, and so `need` in their prefixes; the first of those have nearly as many behind them.
+        both = f"int(ceil({self.percent} * (n + least) / {100 + self.percent}.0))"
+        need = f"greatest(1, least({MOST_NEEDED}, {both} - greatest(behind, most_behind)))"
+        bound = rows.join(matrix, "token").where("g <> h").where(sizes).where(F.expr(f"least(rest, open) >= {both} - {need} + 1"))
+        bound = bound.groupBy("set", "n", "h", "h_band").agg(F.count("*").alias("overlap"), F.min(F.expr(need)).alias("need")).where("overlap >= need")
+        bound = self.space.keep(bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h", "h_band"), "bound")
+        members = rows.select("set", F.col("g").alias("h"), F.col("band").alias("h_band")).distinct()
+        size = members.groupBy("h", "h_band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        members = members.join(size, ["h", "h_band"]).join(each.select("set", "n", "sketch"), "set")
+        block = F.pmod(F.xxhash64("set"), F.col("blocks")).alias("block")
+        blocks = members.groupBy("h", "h_band", block).agg(F.collect_list(F.struct("set", "n", "sketch")).alias("members"))
+        opened = bound.join(each.select(F.col("set").alias("a"), "sketch"), "a").join(blocks, ["h", "h_band"]).select("a", "na", "sketch", "members")
+        return opened.mapInArrow(_opened(self.percent), "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
