@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import chat_format, mixing, oracles, pii, quality_gam
+from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, token_rollup, url_templates
 from corvane.llm.decontamination import contamination
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.substring_dedup import remove_repeats
@@ -20,6 +20,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, from a rollup that all documents were committed to (twice, to no effect)."""
+    documents = _read(spark, sf_dir, "documents")
+    rollup = token_rollup.TokenRollup(spark)
+    for _ in range(2):
+        rollup.apply("documents-1", token_rollup.inserts(token_rollup.counted(documents)))
+    return rollup.totals()
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
@@ -29,6 +38,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows, by cosine, of every vector whose id is divisible by 50: query_id, rank, vec_id, score."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings in the instruction format, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -48,6 +63,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_weight").alias("weight"), F.col("_selected").alias("selected"))
 
 
+#: Hosts with their subdomains, path beginnings, verdicts.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that fits each page's url and its verdict, or that of its path template: page_id, host, path, rule, verdict."""
+    return url_templates.judged_pages(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a model of the labels that aren't held out: doc_id, held_out, score, predicted."""
     documents = _read(spark, sf_dir, "documents")
@@ -62,10 +86,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_chat_format": op5_chat_format,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_mixing": op7_mixing,
+    "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
