@@ -42,12 +42,12 @@ class KeyFilter:
 
         return wanted
 
-    def keep(self, df: DataFrame, column: str) -> DataFrame:
-        """Rows that may have a wanted key."""
+    def keep(self, df: DataFrame, column: str, wanted: bool = True) -> DataFrame:
+        """Rows that may have a wanted key; with wanted=False the others, which surely have none."""
         test, names = self.test(), df.columns
 
         def run(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(test(np.asarray(batch.column(len(names))))))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(test(np.asarray(batch.column(len(names)))) == wanted))
 
         return df.withColumn("_place", self.place(column)).mapInArrow(run, df.schema)

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corvane.llm import words as W
 from corvane.llm.filters import KeyFilter
 from corvane.llm.graph import components
+from corvane.llm.substring_dedup import with_row
 from corvane.llm.workspace import Workspace
 
 U64 = W.U64
@@ -110,14 +111,14 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return apart <= na + nb - 2 * least
 
 
-def _sets(percent_n: int):
+def _sets(n: int):
     def run(batches):
         for batch in batches:
             keys, his, sizes, sketches = [], [], [], []
-            for s in shingles(batch.column(1), percent_n):
+            for s in shingles(batch.column(2), n):
                 lo, hi = digest(s)
                 keys.append(lo), his.append(hi), sizes.append(len(s)), sketches.append(sketch(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(his, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "set", "guard", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(his, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "row", "set", "guard", "n", "sketch"])
 
     return run
 
@@ -283,12 +284,12 @@ class JaccardJoin:
 
     def __init__(self, documents: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT):
         self.spark, self.n, self.percent, self.frequent = documents.sparkSession, n, percent, frequent
-        self.documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        self.documents = with_row(documents)
         self.space = Workspace(self.spark, "jaccard")
 
     def sets(self) -> DataFrame:
-        """doc_id, set, guard, n, sketch of each row."""
-        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, set long, guard long, n long, sketch binary"), "sets")
+        """doc_id, row (a hash of the text), set, guard, n, sketch of each row."""
+        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, row long, set long, guard long, n long, sketch binary"), "sets")
         clash = rows.where("n > 0").groupBy("set").agg(F.min("guard").alias("least"), F.max("guard").alias("most")).where("least <> most").limit(1).count()
         if clash:
             raise ValueError("two different sets have one 64-bit key")
@@ -384,7 +385,7 @@ class JaccardJoin:
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, set (a key that copies share), component_id of each row of documents (doc_id, text)."""
+    """doc_id, row (a hash of the text), n_shingles, set (a key that copies share), component_id of each row of documents (doc_id, text)."""
     join = JaccardJoin(documents, n, percent, frequent)
     sets, links = join.links()
     groups = components(links, "a", "b", join.space, "component").withColumnRenamed("node", "set")
@@ -392,5 +393,28 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, freq
     named = join.space.keep(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = join.space.keep(named.join(least, "component").select("set", "component_id"), "components")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
-    return rows.join(named, "set", "left").select("doc_id", "n_shingles", "set", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    rows = sets.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
+    rows = rows.join(named, "set", "left").select("doc_id", "row", "n_shingles", "set", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return join.space.keep(rows, "rows")
+
+
+def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """documents, all columns, without the rows of a component but for one of its smallest doc_id.
+
+    Documents without words and rows with a null id stay.  Only texts that may be dropped are dealt out.
+    """
+    rows = jaccard_components(documents, n, percent).where("n_shingles > 0 and doc_id is not null")
+    space = Workspace(documents.sparkSession, "kept")
+    chosen = space.keep(rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("chosen"), F.count("*").alias("copies")), "chosen")
+    judged = rows.join(chosen, "component_id").select("doc_id", "row", F.expr("doc_id <> component_id or row <> chosen").alias("dropped"), "copies")
+    judged = judged.where("dropped or copies > 1").groupBy("doc_id", "row").agg(F.max("dropped").alias("dropped")).withColumn("key", F.xxhash64("doc_id", "row"))
+    judged = space.keep(judged, "judged")
+    some = KeyFilter(judged, "key")
+    keyed = documents.withColumn("_row", F.xxhash64(F.col("text").cast("string"))).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_row"))
+    touched = some.keep(keyed, "_key")
+    on = [F.col("doc_id").cast("long") == F.col("_id"), F.col("_row") == F.col("_text")]
+    dropped, repeated = (judged.where(c).select(F.col("doc_id").alias("_id"), F.col("row").alias("_text")) for c in ("dropped", "not dropped"))
+    touched = touched.join(dropped, on, "left_anti")
+    once = touched.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_row"])
+    kept = some.keep(keyed, "_key", wanted=False).unionByName(touched.join(repeated, on, "left_anti")).unionByName(once)
+    return kept.drop("_row", "_key")
