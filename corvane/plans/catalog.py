@@ -1,7 +1,12 @@
-"""The registered queries of the library and their DuckDB equivalents."""
+"""The registered queries of the library and their DuckDB equivalents, one module a subject."""
 
 from __future__ import annotations
 
-FLAGSHIP = "paired_delta_partition"
+from corvane.plans import curation, geometry, results, splits
+
+FLAGSHIP = "decision_ranking"
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (results, curation, geometry, splits):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
