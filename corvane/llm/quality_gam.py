@@ -49,6 +49,7 @@ def features(texts: pa.Array) -> np.ndarray:
         spread = np.sqrt(np.maximum(sums(size * size) / per - mean * mean, 0))
         same = np.zeros(len(h))
         same[1:] = h[1:] == h[:-1]
+        same[first[:-1][n > 0]] = 0  # the word before belongs to another text
         distinct, top, line_distinct = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a)
         for i in range(b - a):
             own = np.sort(h[first[i] : first[i + 1]])
@@ -58,7 +59,7 @@ def features(texts: pa.Array) -> np.ndarray:
             lines = line[2][line[3][i] : line[3][i + 1]]
             line_distinct[i] = len(set(lines.tolist())) / max(len(lines), 1)
         out.append(np.column_stack([np.log1p(n), np.log1p(np.diff(edge)), mean, spread, shares, distinct, top, sums(same) / per, sums(size <= 2) / per, sums(size > 12) / per, np.log1p(n_lines), line_distinct, n / np.maximum(n_lines, 1)]))
-    return np.concatenate(out)
+    return np.round(np.concatenate(out), 9)  # the last bits of vectorised logarithms depend on a text's place in its block
 
 
 def _cut3(g: np.ndarray, h: np.ndarray) -> np.ndarray:
