@@ -49,9 +49,9 @@ def distance_folds(df: DataFrame, key: str, vector: str, seed: int, n_splits: in
     center = df.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_center"))
     far = df.select(key, v.alias("v")).crossJoin(F.broadcast(center)).select(key, F.round(vectors.euclidean(F.col("v"), F.col("_center")), 9).alias("_far"))  # one row
     span = far.agg(F.min("_far").alias("_lo"), F.max("_far").alias("_hi"))
-    scaled = F.coalesce(F.try_divide((F.col("_far") - F.col("_lo")) * F.lit(2.0**40), F.col("_hi") - F.col("_lo")), F.lit(0.0)).cast("long")
-    order = F.concat(F.lpad(F.lower(F.hex(scaled)), 11, "0"), order_hash(key, seed))
-    out = ranked(far.crossJoin(F.broadcast(span)), F.substr(order, F.lit(2)))  # the first digit is one only at the far end
+    scaled = F.coalesce(F.try_divide((F.col("_far") - F.col("_lo")) * F.lit(2.0**40 - 1), F.col("_hi") - F.col("_lo")), F.lit(0.0)).cast("long")
+    order = F.concat(F.lpad(F.lower(F.hex(scaled)), 10, "0"), order_hash(key, seed))
+    out = ranked(far.crossJoin(F.broadcast(span)), order)
     return out.select(key, F.floor(F.col("_rank") * n_splits / F.col("_n")).cast("int").alias("fold"))
 
 

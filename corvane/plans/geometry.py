@@ -254,9 +254,9 @@ def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _agreement_sql(table: str, a: str, b: str) -> str:
     return f"""{table}, t AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS c FROM src GROUP BY ALL), x AS (SELECT sum(c) AS c FROM t GROUP BY a), y AS (SELECT sum(c) AS c FROM t GROUP BY b),
-m AS (SELECT (SELECT sum(c * (c - 1) / 2) FROM t) AS shared, (SELECT sum(c * (c - 1) / 2) FROM x) AS ref, (SELECT sum(c * (c - 1) / 2) FROM y) AS cand, (SELECT sum(c) FROM t) AS n, (SELECT sum(c * ln(c)) FROM t) AS lb, (SELECT sum(c * ln(c)) FROM x) AS lr, (SELECT sum(c * ln(c)) FROM y) AS lc)
+sums AS (SELECT (SELECT sum(c * (c - 1) / 2) FROM t) AS shared, (SELECT sum(c * (c - 1) / 2) FROM x) AS ref, (SELECT sum(c * (c - 1) / 2) FROM y) AS cand, (SELECT sum(c) FROM t) AS n, (SELECT sum(c * ln(c)) FROM t) AS lb, (SELECT sum(c * ln(c)) FROM x) AS lr, (SELECT sum(c * ln(c)) FROM y) AS lc)
 SELECT ref::BIGINT AS reference_pairs, cand::BIGINT AS candidate_pairs, shared::BIGINT AS shared_pairs, {r('shared / nullif(cand, 0)')} AS precision, {r('shared / nullif(ref, 0)')} AS recall, {r('2 * shared / nullif(ref + cand, 0)')} AS f1, {r('shared / nullif(ref + cand - shared, 0)')} AS jaccard,
-{r('(shared - ref * cand / (n * (n - 1) / 2)) / ((ref + cand) / 2 - ref * cand / (n * (n - 1) / 2))')} AS adjusted_rand, {r('((ln(n) - lr / n) + (ln(n) - lc / n) - (ln(n) - lb / n)) / (((ln(n) - lr / n) + (ln(n) - lc / n)) / 2)')} AS normalized_mutual_info FROM m"""
+{r('(shared - ref * cand / (n * (n - 1) / 2)) / ((ref + cand) / 2 - ref * cand / (n * (n - 1) / 2))')} AS adjusted_rand, {r('((ln(n) - lr / n) + (ln(n) - lc / n) - (ln(n) - lb / n)) / (((ln(n) - lr / n) + (ln(n) - lc / n)) / 2)')} AS normalized_mutual_info FROM sums"""
 
 
 @query(_agreement_sql("WITH src AS (SELECT * FROM customer)", "c_nationkey", "c_mktsegment"))

@@ -22,7 +22,7 @@ def gene_sequences(records: DataFrame, order: str) -> DataFrame:
 
 def read_quoted_fasta(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, id, sequence of files whose records begin with a quoted header, each file whole."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).withColumn("path", F.col("_metadata.file_path"))
     parts = files.select("path", F.explode(F.split(F.regexp_replace("value", r'^"?>', ""), r'"?\n"?>')).alias("r"))
     return parts.select("path", F.regexp_replace(F.split_part("r", F.lit("\n"), F.lit(1)), r'["\r]', "").alias("id"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*(\n|$)", ""), r'[\s"]', "").alias("sequence"))
 
