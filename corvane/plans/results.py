@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import keys, naming, stats
-from corvane.operators import delta, insight, results
+from corvane.operators import delta, insight, report, results
 from corvane.plans.registry import registry
 from corvane.plans.tables import FOLD_RESULTS, MEAN_RESULTS, fold_results, mean_results, r, read, rounded
 
@@ -322,3 +322,66 @@ def derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
     label = F.when(F.lower(F.trim("p_brand")).startswith("brand"), "B").otherwise(naming.labelled(F.col("p_brand"), naming.PARTITION_LABELS))
     return parts.select("p_partkey", keys.combo_key(parts, ["p_brand", "p_size", "absent"]).alias("combo"), label.alias("label"), naming.support_group(F.col("p_size")).alias("support"))
+
+
+@query(f"SELECT l_returnflag AS scaler, count(*)::BIGINT AS n_rows, count(DISTINCT l_suppkey)::BIGINT AS n_experiments, count(*) FILTER (l_linestatus <> 'F')::BIGINT AS n_invalid_spaces FROM lineitem GROUP BY ALL")
+def result_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A56."""
+    return report.audit(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", "l_linestatus", ["F"])
+
+
+@query("""SELECT o_orderstatus, '{' || string_agg('"' || p || '":' || n::VARCHAR, ',' ORDER BY p) || '}' AS counts FROM (SELECT o_orderstatus, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL) GROUP BY ALL""")
+def compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A51."""
+    return report.compact_counts(read(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderstatus"])
+
+
+@query(f"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (quality = 1)::BIGINT AS n_1, count(*) FILTER (quality = 0)::BIGINT AS n_0, count(DISTINCT quality)::BIGINT AS n_classes, {r('count(*) FILTER (quality = 1) / count(quality)')} AS fraction_1 FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def class_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A53, P32."""
+    return rounded(report.balance(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id"), "quality", ["lang"]))
+
+
+@query(f"SELECT l_returnflag, {r('min(l_tax) - 0.05::DOUBLE * (max(l_tax) - min(l_tax))')} AS l_tax_low, {r('max(l_tax) + 0.05::DOUBLE * (max(l_tax) - min(l_tax))')} AS l_tax_high FROM lineitem GROUP BY ALL")
+def axis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A55."""
+    return rounded(report.limits(read(spark, sf_dir, "lineitem"), ["l_tax"], ["l_returnflag"]))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '-3'), doc_id LIMIT 50")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 50, which is what is asked for."""
+    return report.sampled(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 3)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4, W3, W5."""
+    rows = report.first_of_each(read(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+    return rows.select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(f"WITH m AS (SELECT cfg, avg(test) AS v FROM ({FOLD_RESULTS}) GROUP BY ALL) SELECT cfg, {r('v', 9)} AS v, {r('v - lag(v) OVER (ORDER BY cfg)', 9)} AS step, coalesce(v - lag(v) OVER (ORDER BY cfg) <= 0, true) AS non_increasing FROM m")
+def ladder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6."""
+    return rounded(report.steps(fold_results(spark, sf_dir).groupBy("cfg").agg(F.avg("test").alias("v")), "cfg", "v"), 9)
+
+
+@query(f"WITH u AS (SELECT l_returnflag AS reduction, 'cfg' || l_linenumber::VARCHAR AS metric_name, l_tax AS value, 'test_' || l_linestatus AS stage FROM lineitem UNION ALL SELECT l_returnflag, 'MCC', l_discount, 'val' FROM lineitem) SELECT reduction, count(*)::BIGINT AS n, {r('avg(value)')} AS mcc FROM (SELECT * FROM u WHERE stage LIKE '%test%' AND metric_name = 'cfg1') GROUP BY ALL")
+def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metric of a long table's test rows."""
+    items = read(spark, sf_dir, "lineitem")
+    one = items.select(F.col("l_returnflag").alias("reduction"), F.concat(F.lit("cfg"), F.col("l_linenumber").cast("string")).alias("metric_name"), F.col("l_tax").alias("value"), F.concat(F.lit("test_"), "l_linestatus").alias("stage"))
+    two = items.select(F.col("l_returnflag").alias("reduction"), F.lit("MCC").alias("metric_name"), F.col("l_discount").alias("value"), F.lit("val").alias("stage"))
+    rows = report.as_metric(report.test_rows(report.union_all([one, two])), "mcc", "cfg1")
+    return rounded(rows.groupBy("reduction").agg(F.count("*").alias("n"), F.avg("mcc").alias("mcc")))
+
+
+_LADDER = [(30.0, 4193, 24), (90.0, 4193, 453), (99.9, 4193, 3652)]
+
+
+@query("SELECT 'Ankh2' AS dataset_reduction_label, 'distance' AS reduction_kind, 'percentile' AS parameter_type, p::DOUBLE AS parameter_value, n::BIGINT AS n_input, k::BIGINT AS n_reduced, " + f"{r('k / n')} AS retained_fraction, {r('100 * k / n')} AS retained_percent, {r('100 - 100 * k / n')} AS removed_percent FROM (VALUES " + ", ".join(str(t) for t in _LADDER) + ") t(p, n, k)")
+def reduction_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published retention of a space in the common layout."""
+    rows = spark.createDataFrame(_LADDER, "percentile double, n_total long, n_kept long")
+    return rounded(report.reduction_summary(rows, "Ankh2", "distance"))

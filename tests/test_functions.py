@@ -32,9 +32,20 @@ def test_names(spark):
     key = lambda s: naming.natural_key(F.lit(s))
     a, b, c = one(spark, key("p9"), key("p10"), key("p100"))
     assert a < b < c
-    assert one(spark, naming.clean_reason(F.lit("boom\nERROR: no rows\nmore")), naming.clean_reason(F.lit(None).cast("string"))) == ("no rows", "unknown")
-    assert one(spark, naming.baseline_context(F.lit("onehot"), F.lit("no_reduction"), F.lit("random")), naming.baseline_context(F.lit("prot"), F.lit("distance"), F.lit("random"))) == ("B1", "Other")
-    assert one(spark, naming.normal_text(F.lit("  A__b -C "))) == "a b c"
+    why = lambda t: naming.clean_reason(F.lit(t).cast("string"))
+    got = one(spark, why("INFO x\n ERROR: no   rows\nmore"), why(None), why("Some classes have fewer samples than n_splits"), why("fold 1 has only 1 class(es)"), why("Invalid split input: done"))
+    assert got == ("no rows more", "", "Invalid stratified k-fold: at least one class has fewer samples than n_splits. Some classes have fewer samples than n_splits", "Invalid split: at least one train/val/test fold contains fewer than two classes. fold 1 has only 1 class(es)", "Invalid split input: done")
+    flags = lambda r, d: naming.context_flags(F.lit(r), F.lit(d), ["ProtT5"])
+    context = lambda r, d: naming.baseline_context(*flags(r, d).values())
+    assert one(spark, context("One-hot", "No reduction"), context("ProtT5", "unknown"), context("ProtT5", "Distance reduction"), context("Else", "No reduction")) == ("B1: One-hot + No reduction", "B2: Embeddings + No reduction", "Other", "Other")
+    combo = lambda r, b, l: tuple(naming.clean_combo(F.lit(r), F.lit(b), F.lit(l).cast("string")).values())  # noqa: E731, E741
+    assert one(spark, *combo("Homology reduction", "none", None), *combo("No reduction", "x", "p90"), *combo("Distance reduction", "x", "p90")) == ("homology", "not_applicable", "no_reduction", "no_reduction", "x", "p90")
+    run = lambda n: tuple(naming.scenario(F.lit(n), {"odd": ("a", "b")}).values())
+    names = ("onehot_no_reduced", "x_reduced_distance_by_y", "x_reduced_descriptor", "x_reduced_homology", "plain", "odd")
+    assert one(spark, *(c for n in names for c in run(n))) == ("onehot", "no_reduction", "x", "reduced_distance_by_y", "x", "reduced_descriptor", "x", "reduced_homology", "plain", "unknown", "a", "b")
+    assert one(spark, naming.by_spelling(F.lit(" Random_Split "), naming.SPLIT_NAMES), naming.by_spelling(F.lit(">=2"), naming.SUBSET_NAMES), naming.by_spelling(F.lit("My Own"), naming.SUBSET_NAMES)) == ("random", "multi-source", "my-own")
+    fixed = naming.corrected_onehot(F.lit("e"), F.lit("Distance_aware"), ["e"], F.lit("r"), F.lit("s"))
+    assert one(spark, *fixed.values()) == ("onehot", "onehot")
 
 
 def test_keys(spark):

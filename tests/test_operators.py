@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import cluster, curate, delta, geometry, insight, reduce, results, split, training
+from corvane.operators import cluster, curate, delta, geometry, insight, reduce, report, results, split, training
 
 
 def rows(df, *columns):
@@ -172,3 +172,25 @@ def test_training(spark):
     done, failed = training.evaluated(linear, "v", "label", 0, [{"algorithm": "LogisticRegression", "params": {"maxIter": 20}}, {"algorithm": "Unknown"}], "standard")
     assert done[0]["mcc_test"] > 0.6 and failed[0]["cfg_idx"] == 1
     assert len(training.configurations({"a": {"x": [1, 2], "y": [3]}, "b": {}})) == 3
+
+
+def test_reports(spark):
+    summary = spark.createDataFrame([(0.3, 50.0), (0.9, 100.0)], "threshold double, kept_frac double")
+    got = rows(report.reduction_summary(summary, "x", "homology"), "parameter_type", "parameter_value", "retained_fraction", "removed_percent")
+    assert got == [("min_seq_id", 0.3, 0.5, 50.0), ("min_seq_id", 0.9, 1.0, 0.0)]
+    with pytest.raises(ValueError):
+        report.reduction_summary(summary.drop("kept_frac"), "x", "homology")
+    df = spark.createDataFrame([(1, "3", 3), (1, "3.0", 3), (2, "4", 5), (2, None, 5)], "k int, seed string, path_seed int")
+    assert tuple(report.disagreements(df, {"seed": "path_seed"}).first()) == (1,)
+    with pytest.raises(ValueError):
+        report.one_to_many(df, df, ["k"])
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert report.one_to_many(one, df, ["k"]).count() == 4 and report.one_to_one(one, one, ["k"]).count() == 2
+    with pytest.raises(ValueError):
+        report.side_by_side(one, one.limit(1), "k")
+    with pytest.raises(ValueError):
+        report.rows_of(one.where("k = 1"), "k", one)
+    assert report.evaluation_unit(spark.createDataFrame([("r", None)], "representation string, seed int")).first().evaluation_unit == "r|nan"
+    assert report.test_rows(one).count() == 2 and report.as_metric(one).columns == ["k", "v"]
+    ladder = spark.createDataFrame([("m", 90.0, 453, 250, 203)], "model string, percentile double, n_reduced int, n_0 int, n_1 int")
+    assert report.coverage(ladder, 90.0, 4193).first().coverage == pytest.approx(453 / 4193)
