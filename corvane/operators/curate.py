@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import naming, stats
+from corvane.session import checkpointed
 
 ABSENT = 999
 
@@ -52,17 +53,23 @@ def quality_control(df: DataFrame, sequence: str, pattern: Column | None = None,
     return df.withColumns({"length": F.length(s), "is_canon": canon, "is_in_length": naming.in_length(s, least, most)}).withColumn("passes", F.col("is_canon") & F.col("is_in_length"))
 
 
-def sequential_ids(df: DataFrame, order: list[str], prefix: str = "") -> DataFrame:
-    """id seq_1, seq_2 .. by a total order; ranges are sorted apart and joined by their sizes, so no task sees all rows.
+def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """df with its rows' numbers (from 1) by a total order; ranges are sorted apart and joined by their sizes, so no task sees all rows.
 
-    The partition offsets are one small row a partition.
+    The offsets of ranges are one small row a partition.  Ranges are drawn from a sample, so they are checkpointed: both sides of the
+    join must see the same ones.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    ranged = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return ranged.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def sequential_ids(df: DataFrame, order: list, prefix: str = "") -> DataFrame:
+    """id seq_1, seq_2 .. by a total order."""
     tag = f"seq_{prefix}_" if prefix else "seq_"
-    return ranged.join(before, "_part").withColumn("id", F.concat(F.lit(tag), (F.col("_before") + F.col("_at") + 1).cast("string"))).drop("_part", "_at", "_before")
+    return numbered(df, order, "_number").withColumn("id", F.concat(F.lit(tag), F.col("_number").cast("string"))).drop("_number")
 
 
 def support_subsets(df: DataFrame, n_sources: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import keys, stats
 
@@ -31,14 +31,16 @@ def enrichment(ranking: DataFrame, features: list[str], top: int, rank: str = "r
     """How often each feature value is among the top ranks, against all ranks: counts, fractions and their ratio."""
     features = keys.existing(ranking, features)
     ranked = ranking.where(F.col(rank).isNotNull())
-    order = Window.orderBy(F.col(rank).asc(), *features)  # rankings are results, one row a group of data
-    ranked = ranked.withColumn("_top", F.row_number().over(order) <= top)
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("string"), F.lit("nan")).alias("value")) for f in features)))
-    total = ranked.agg(F.count("*").alias("n_all"), F.count_if("_top").alias("n_top"))
-    counts = ranked.select("_top", pairs.alias("p")).groupBy("p.feature", "p.value").agg(F.count("*").alias("all_count"), F.count_if("_top").alias("top_count")).where("top_count > 0")
-    out = counts.crossJoin(F.broadcast(total))  # one row
-    out = out.withColumns({"top_fraction": stats.ratio(F.col("top_count"), F.col("n_top")), "all_fraction": stats.ratio(F.col("all_count"), F.col("n_all"))})
-    return out.withColumn("enrichment", stats.ratio(F.col("top_fraction"), F.col("all_fraction"))).drop("n_all", "n_top")
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(pairs.alias("p")).groupBy("p.feature", "p.value").agg(F.count("*").alias(f"{name}_count"))
+
+    first = ranked.orderBy(F.col(rank).asc(), *features).limit(top)  # each task offers its first few
+    total = ranked.agg(F.count("*").alias("n_all"))
+    out = counts(first, "top").join(counts(ranked, "all"), ["feature", "value"], "left").crossJoin(F.broadcast(total))  # one row
+    out = out.withColumns({"top_fraction": stats.ratio(F.col("top_count"), F.least(F.col("n_all"), F.lit(top))), "all_fraction": stats.ratio(F.col("all_count"), F.col("n_all"))})
+    return out.withColumn("enrichment", stats.ratio(F.col("top_fraction"), F.col("all_fraction"))).drop("n_all")
 
 
 def enrichment_share(ranking: DataFrame, features: list[str], fraction: float, least: int = 5, rank: str = "rank_by_lowest_loss") -> DataFrame:

@@ -56,7 +56,7 @@ def metrics(df: DataFrame, truth: str, predicted: str, by: Iterable[str] = ()) -
 
 
 def model(name: str, features: str = "features", label: str = "label", **settings):
-    """A classifier of pyspark.ml by the reference names that have one."""
+    """A classifier of pyspark.ml by the usual name of its kind."""
     from pyspark.ml import classification as c
 
     kinds = {"LogisticRegression": c.LogisticRegression, "RandomForestClassifier": c.RandomForestClassifier, "DecisionTreeClassifier": c.DecisionTreeClassifier, "LinearSVC": c.LinearSVC, "GradientBoostingClassifier": c.GBTClassifier, "GaussianNB": c.NaiveBayes, "MLPClassifier": c.MultilayerPerceptronClassifier}
@@ -93,7 +93,7 @@ def evaluated(df: DataFrame, vector: str, label: str, fold: int, configurations:
                 found = metrics(out.withColumn("_t", (F.col(label) == 1).cast("int")), "_t", "prediction").first()
                 row |= {f"{m}_{p}": found[m] for m in METRICS}
             done.append(row)
-        except Exception as error:  # one configuration's failure is a result, as in the reference's runs
+        except Exception as error:  # one configuration that fails is reported and does not end the others
             failed.append({"cfg_idx": i, "algorithm": c.get("algorithm"), "error": str(error)[:500]})
     return done, failed
 

@@ -8,6 +8,7 @@ from corvane.functions import vectors
 from corvane.operators import cluster, geometry, reduce, results, training
 from corvane.plans.registry import registry
 from corvane.plans.tables import r, read, rounded
+from corvane.session import checkpointed
 
 QUERIES, ORACLES, query = registry()
 PERCENTS = [30.0, 40.0, 50.0, 60.0, 70.0, 75.0, 80.0, 85.0, 90.0, 95.0, 97.5, 99.0, 99.9]
@@ -219,18 +220,10 @@ def retention_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduce.retention_ladder(_close(spark, sf_dir, 0.2), read(spark, sf_dir, "embeddings"), "vec_id", [0.2, 0.3, 0.4]))
 
 
-def _shared(spark: SparkSession):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
-    return lambda df: df.checkpoint()
-
-
 @query()
 def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, R5, greedy: tests hold it against the sequential rule."""
-    return reduce.greedy(_close(spark, sf_dir), _shared(spark))
+    return reduce.greedy(_close(spark, sf_dir), checkpointed)
 
 
 _A = f"{_C}, m AS (SELECT key_b AS removed_id, key_a AS representative_id, row_number() OVER (PARTITION BY key_b ORDER BY round(value, 9) DESC, key_a) AS n FROM c), d AS (SELECT removed_id, representative_id FROM m WHERE n = 1), s AS (SELECT vec_id, 'one_pass' AS method, coalesce(d.representative_id, vec_id) AS cluster_id, d.removed_id IS NULL AS is_representative, label FROM e LEFT JOIN d ON vec_id = d.removed_id)"

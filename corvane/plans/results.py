@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import keys, naming, stats
-from corvane.operators import delta, insight, report, results
+from corvane.operators import curate, delta, insight, report, results
 from corvane.plans.registry import registry
 from corvane.plans.tables import FOLD_RESULTS, MEAN_RESULTS, fold_results, mean_results, r, read, rounded
 
@@ -234,10 +234,8 @@ def positive_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    parts = read(spark, sf_dir, "part")
-    return parts.select("p_partkey", "p_brand", "p_size", F.row_number().over(Window.orderBy(F.col("p_retailprice").desc(), "p_partkey")).alias("rank_by_lowest_loss"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return curate.numbered(parts, [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank_by_lowest_loss")
 
 
 def _enrichment_sql(top: str) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import cluster, curate, delta, geometry, insight, reduce, report, results, split, training
+from corvane.session import checkpointed
 
 
 def rows(df, *columns):
@@ -83,9 +84,7 @@ def test_pairs_and_nearest(spark):
 def test_greedy_is_the_sequential_rule(spark):
     x, df = vectors_of(spark, 80, 3)
     close = geometry.pairs(df, "id", "v", "cosine", where=(">=", 0.6), block=32).select("key_a", "key_b", "value")
-    from corvane.plans.geometry import _shared
-
-    removed = {r.removed_id: r.representative_id for r in reduce.greedy(close, _shared(spark)).collect()}
+    removed = {r.removed_id: r.representative_id for r in reduce.greedy(close, checkpointed).collect()}
     unit, kept = x / np.linalg.norm(x, axis=1, keepdims=True), []
     for i in range(80):
         if not any(unit[i] @ unit[j] >= 0.6 for j in kept):
