@@ -5,14 +5,14 @@ Two documents link when 100 * |A n B| >= percent * |A u B| for their sets of dis
 1. *Sets.*  Documents with equal sets become one set, known by a 64-bit key (a 128-bit digest guards it), with
    its size and a parity sketch: one bit per two or so members, the parity of the members hashed to it.
 2. *Order.*  Tokens (hashes of n-grams) are ordered by hash, but those found frequent in counts of prefixes go last.
-   By the prefix principle, two sets that link share tokens among the first n - ceil(percent n / 100) + l of each in any common
-   order; each set takes its own l, one and up to a twentieth of its size.  The frequent ones are a broadcast
+   By the prefix principle, two sets that link share a token among the first n - ceil(percent n / 100) + 1 of each in any common
+   order, and the more the nearer their sizes are.  The frequent ones are a broadcast
    table whose size is bounded: the count that makes a token frequent is raised until the table fits.  The
    order alone depends on it, never the result.
 3. *Groups.*  The sets that share a prefix token are compared with one leader a token, at most a few leaders for similar
    sets, which groups similar sets in linear time; components of these links, by bands of sizes, are the groups.
 4. *Matrix.*  Rows (token, group) hold the union of the prefix tokens of a group.  A set's overlap with a
-   group's union bounds its overlap with each member; only groups that reach what sizes, prefixes and order demand are opened, and
+   group's union bounds its overlap with each member; only groups that reach what sizes, prefixes, order and parities demand are opened, and
    only groups other than its own.  Opened members are checked by size, sketch, and the exact sets.
 
 No step brings a group into one task: rows of a token meet in joins that Spark can split, minima are taken
@@ -41,6 +41,8 @@ from corvane.llm.workspace import Workspace
 U64 = W.U64
 #: A token in this many prefixes is frequent; a count beyond which more frequent tokens only are told apart, 8 bytes each.
 FREQUENT, MOST_FREQUENT_TOKENS = 64, 1 << 20
+#: Columns of 256 parities of a set.
+QUAD = ["q0", "q1", "q2", "q3"]
 #: Bits that the orders of leaders flip.
 LEADER_ORDERS = (0, 0x2A5A5A5A5A5A5A5A, 0x5555AAAA5555AAAA, 0x7FF00FF00FF00FF0)
 #: Shared prefix tokens of a set and a group that are asked for, at most.
@@ -49,8 +51,6 @@ MOST_NEEDED = 8
 BLOCK = 128
 #: Sets of a group are told apart by bands of sizes, each so much above the last: a band's least size is what bounds need.
 SIZE_BAND = 1.04
-#: A prefix holds up to one in so many of the size of shared tokens more than it must.
-SLACK = 20
 _rng = np.random.default_rng(77)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
@@ -60,9 +60,9 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def prefix_length(n: int, percent: int, shared: int = 1) -> int:
-    """How many first tokens of a set of n hold at least `shared` tokens of any set it links to."""
-    return n - least_overlap(n, percent) + shared if n else 0
+def prefix_length(n: int, percent: int) -> int:
+    """How many first tokens of a set of n hold a token of any set it links to."""
+    return n - least_overlap(n, percent) + 1 if n else 0
 
 
 def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -96,6 +96,12 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """256 parities of the members as four numbers, for joins to compare."""
+    place = ((tokens * U64(0x9E3779B97F4A7C15)) >> U64(24)).astype(np.int64) & 255
+    return np.packbits((np.bincount(place, minlength=256) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def fold(a: np.ndarray, size: int) -> np.ndarray:
     while len(a) > size:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
@@ -114,11 +120,11 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            keys, his, sizes, sketches = [], [], [], []
+            keys, his, sizes, sketches, quads = [], [], [], [], []
             for s in shingles(batch.column(2), n):
                 lo, hi = digest(s)
-                keys.append(lo), his.append(hi), sizes.append(len(s)), sketches.append(sketch(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(his, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "row", "set", "guard", "n", "sketch"])
+                keys.append(lo), his.append(hi), sizes.append(len(s)), sketches.append(sketch(s) if len(s) else b""), quads.append(parities(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(his, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), *(pa.array([q[i] for q in quads], pa.int64()) for i in range(4))], ["doc_id", "row", "set", "guard", "n", "sketch", *QUAD])
 
     return run
 
@@ -143,19 +149,16 @@ def _late(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set: what holds a token of any set it links to, and up to a share of the size more, as long as that is rare tokens."""
-    late = _late(s, frequent)
-    least, rare = prefix_length(len(s), percent), len(s) - int(late.sum())
-    shared = max(1, min(1 + len(s) // SLACK, rare - least + 1))
-    length = least + shared - 1
-    return s[:length] if rare == len(s) else np.concatenate((s[~late], s[late]))[:length]
+    """The first tokens of a set, frequent ones last."""
+    length, late = prefix_length(len(s), percent), _late(s, frequent)
+    return np.concatenate((s[~late], s[late]))[:length] if late.any() else s[:length]
 
 
 def _tokens_first(n: int, percent: int):
-    """By hash, the tokens that a prefix may reach if a third of what comes before is put last."""
+    """What is counted of a set: its prefix by hash; the rest, if that holds a frequent token; its prefix in the final order."""
 
     def reach(s: np.ndarray) -> int:
-        return 3 * prefix_length(len(s), percent, 1 + len(s) // SLACK) // 2
+        return prefix_length(len(s), percent)
 
     def first(s: np.ndarray, _):
         return s[: reach(s)]
@@ -289,7 +292,7 @@ class JaccardJoin:
 
     def sets(self) -> DataFrame:
         """doc_id, row (a hash of the text), set, guard, n, sketch of each row."""
-        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, row long, set long, guard long, n long, sketch binary"), "sets")
+        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, row long, set long, guard long, n long, sketch binary, q0 long, q1 long, q2 long, q3 long"), "sets")
         clash = rows.where("n > 0").groupBy("set").agg(F.min("guard").alias("least"), F.max("guard").alias("most")).where("least <> most").limit(1).count()
         if clash:
             raise ValueError("two different sets have one 64-bit key")
@@ -351,7 +354,7 @@ class JaccardJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """The sets, and links between keys of different sets that join all sets which any chain of links joins."""
         sets = self.sets()
-        each = self.space.keep(sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.first("n").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "each")
+        each = self.space.keep(sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.first("n").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), *(F.first(q).alias(q) for q in QUAD)), "each")
         shared = self.shared_rows()
         stars = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
         stars = self.verified(stars, each, "star")
@@ -362,17 +365,20 @@ class JaccardJoin:
     def opened(self, shared: DataFrame, each: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets of different groups that the token-group matrix doesn't rule out."""
         band = F.floor(F.log("n") / np.log(SIZE_BAND)).cast("int")
-        known = each.select("set", "n").join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "n", F.coalesce("component", "set").alias("g"), band.alias("band"))
+        known = each.select("set", "n", *QUAD).join(groups.withColumnRenamed("node", "set"), "set", "left").select("set", "n", F.coalesce("component", "set").alias("g"), band.alias("band"), *QUAD)
         rows = self.space.keep(shared.select("token", "set", "rest", "behind").join(known, "set"), "grouped")
         several = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
         rows = self.space.keep(rows.join(several, "token", "left_semi"), "crossing")
         self.space.drop("grouped")
-        matrix = rows.groupBy("token", F.col("g").alias("h"), F.col("band").alias("h_band")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("open"), F.max("behind").alias("most_behind"))
+        matrix = rows.groupBy("token", F.col("g").alias("h"), F.col("band").alias("h_band")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("open"), F.max("behind").alias("most_behind"), F.count("*").alias("members"), *(F.min(q).alias(f"h_{q}") for q in QUAD))
         sizes = F.expr(f"100 * most >= {self.percent} * n and 100 * n >= {self.percent} * least")
         # Two linked sets share `both` tokens at least, and so `need` in their prefixes; the first of those have nearly as many behind them.
         both = f"int(ceil({self.percent} * (n + least) / {100 + self.percent}.0))"
         need = f"greatest(1, least({MOST_NEEDED}, {both} - greatest(behind, most_behind)))"
-        bound = rows.join(matrix, "token").where("g <> h").where(sizes).where(F.expr(f"least(rest, open) >= {both} - {need} + 1"))
+        # Where one member has the token, its parities may prove too large a difference.
+        apart = " + ".join(f"bit_count({q} ^ h_{q})" for q in QUAD)
+        near = f"members > 1 or {apart} <= n + most - 2 * {both}"
+        bound = rows.join(matrix, "token").where("g <> h").where(sizes).where(F.expr(f"least(rest, open) >= {both} - {need} + 1")).where(F.expr(near))
         bound = bound.groupBy("set", "n", "h", "h_band").agg(F.count("*").alias("overlap"), F.min(F.expr(need)).alias("need")).where("overlap >= need")
         bound = self.space.keep(bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h", "h_band"), "bound")
         members = rows.select("set", F.col("g").alias("h"), F.col("band").alias("h_band")).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import ngram_jaccard
-from corvane.llm.ngram_jaccard import jaccard_components, least_overlap, may_link, one_of_each, prefix, prefix_length, sketch
+from corvane.llm.ngram_jaccard import jaccard_components, least_overlap, may_link, one_of_each, parities, prefix, prefix_length, sketch
 from tests.llm.conftest import low, table, words
 
 
@@ -73,6 +73,7 @@ def test_prefixes_of_linked_sets_share_tokens():
             assert len(p) >= prefix_length(len(a), 80)
             least = -(-80 * (len(a) + len(b)) // 180)
             assert len(np.intersect1d(p, q)) >= max(1, least - max(len(a) - len(p), len(b) - len(q)))
+            assert sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(parities(a), parities(b), strict=True)) <= len(a) + len(b) - 2 * both
             assert may_link(sketch(a), sketch(b), len(a), len(b), 80)
 
 
