@@ -17,15 +17,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-#: Rows of one Arrow batch at most: texts can be long, and a batch stands in memory several times.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most: texts can be long, and a batch stands in memory several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that the session hands to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound what the session hands to Python at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Workspace:
