@@ -98,6 +98,9 @@ _SPELLED_CUE = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.-]{{1,2}}(?:{_WORD})[ \t,.-
 _SPELLED_PART = re.compile(rf"({PLUS_WORDS}|\+)|({_WORD})|([0-9])", re.I)
 _BRACKET = re.compile(rf"[ \t]?[\[({{<][ \t]?(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))[ \t]?[\])}}>][ \t]?", re.I)
 _SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])[ \t]({AT_WORDS})[ \t](?=[A-Za-z0-9-]++(?:[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-]++)+)", re.I)
+_MIXED = re.compile(rf"@(?=[A-Za-z0-9-]++(?:[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-]++)+)", re.I)
+_SPOKEN_BEFORE = re.compile(rf"([ \t](?:{DOT_WORDS})[ \t])[A-Za-z0-9_%+-]+\Z", re.I)
+_HOST, _NAME_REACH = re.compile(r"[A-Za-z0-9-]+"), 64
 _SPOKEN_DOT = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t](?=[A-Za-z0-9])", re.I)
 
 
@@ -143,32 +146,35 @@ def spelled_digits(t: Rewritten) -> Rewritten:
     out = list(edits())
     if not out:
         return t
-    new = t.replaced(out)
-    return new
+    return t.replaced(out)
 
 
 def at_and_dot(t: Rewritten) -> Rewritten:
+    """Bracketed signs, spoken "at" before a spoken domain, and the spoken dots on either side of an at sign."""
     t = t.replaced((m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKET.finditer(t.text))
-    spoken = list(_SPOKEN.finditer(t.text))
-    if not spoken:
-        return t
-    edits, done = [], 0
-    for m in spoken:
-        if m.start() < done:
+    signs = sorted([(m.start(), m.end()) for m in _SPOKEN.finditer(t.text)] + [(m.start(), m.start() + 1) for m in _MIXED.finditer(t.text)])
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for start, end in signs:
+        if start < done:
             continue
-        edits.append((m.start(), m.end(), "@"))
-        done = at = m.end()
-        while host := re.compile(r"[A-Za-z0-9-]+").match(t.text, at):
+        before, at = [], start
+        while at > done and (m := _SPOKEN_BEFORE.search(t.text, max(done, at - _NAME_REACH), at)):
+            before.append((m.start(), m.end(1), "."))
+            at = m.start()
+        edits += [*reversed(before), (start, end, "@")]
+        done = at = end
+        while host := _HOST.match(t.text, at):
             dot = _SPOKEN_DOT.match(t.text, host.end())
             if not dot:
                 break
             edits.append((dot.start(), dot.end(), "."))
             done = at = dot.end()
-    return t.replaced(edits)
+    return t.replaced(edits) if edits else t
 
 
 def _cue(text: str) -> bool:
-    return bool(not text.isascii() and _LIKE_CUE.search(text) or _BRACKET.search(text) or _SPOKEN.search(text) or _SPELLED_CUE.search(text))
+    return bool(not text.isascii() and _LIKE_CUE.search(text) or _BRACKET.search(text) or _SPOKEN.search(text) or _MIXED.search(text) or _SPELLED_CUE.search(text))
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:

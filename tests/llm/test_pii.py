@@ -36,6 +36,8 @@ def spans(text):
 def test_disguises_map_back_to_the_source():
     assert spans("write to john.doe [at] example (dot) com now") == {"email": ["john.doe [at] example (dot) com"]}
     assert spans("mail jane at example dot co dot uk") == {"email": ["jane at example dot co dot uk"]}
+    assert spans("ask john dot doe at example dot com today") == {"email": ["john dot doe at example dot com"]}
+    assert spans("ask john@example dot com or a.b [at] c.de") == {"email": ["john@example dot com", "a.b [at] c.de"]}
     assert spans("call plus one five five five, one two three four five six seven ok") == {"phone": ["plus one five five five, one two three four five six seven"]}
     assert spans("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ") == {"email": ["ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"]}
     assert spans("jo​hn@exam​ple.com here") == {"email": ["jo​hn@exam​ple.com"]}
