@@ -155,7 +155,8 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _tokens_first(n: int, percent: int):
-    """What is counted of a set: its prefix by hash; the rest, if that holds a frequent token; its prefix in the final order."""
+    """What is counted of a set: its prefix by hash; if that holds frequent tokens, as far again as the prefix will then reach at
+    their density, and a quarter more; its prefix in the final order."""
 
     def reach(s: np.ndarray) -> int:
         return prefix_length(len(s), percent)
@@ -164,7 +165,10 @@ def _tokens_first(n: int, percent: int):
         return s[: reach(s)]
 
     def rest(s: np.ndarray, frequent: np.ndarray):
-        return s[reach(s) :] if _late(s[: reach(s)], frequent).any() else s[:0]
+        n = reach(s)
+        late = int(_late(s[:n], frequent).sum())
+        stop = len(s) if late == n else int(1.25 * n * n / (n - late)) + 8 if late else 0
+        return s[n:stop]
 
     def final(s: np.ndarray, frequent: np.ndarray):
         return prefix(s, frequent, percent)
@@ -304,14 +308,14 @@ class JaccardJoin:
         return self.space.keep(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), f"counts-{which}")
 
     def frequent_tokens(self):
-        """Frequent tokens as a broadcast of bounded size, or None: first those within reach of prefixes, then those of the rest of
-        the sets that have such tokens, since what such sets share moves up when its first tokens go last."""
+        """Frequent tokens as a broadcast of bounded size, or None: first those of prefixes by hash, then those that move up when
+        the first ones go last."""
         known, frequent = np.zeros(0, U64), None
         for which in ("first", "rest"):
             counts, least = self.counted(frequent, which), self.frequent
             while counts.where(F.col("c") >= least).count() > MOST_FREQUENT_TOKENS // 2:
                 least *= 2
-            known = np.union1d(known, np.array([r[0] for r in counts.where(F.col("c") >= least).select("token").collect()], np.int64).view(U64))
+            known = np.union1d(known, counts.where(F.col("c") >= least).select("token").toArrow().column(0).to_numpy().view(U64))
             if not len(known):
                 return None
             frequent = self.spark.sparkContext.broadcast(known)
