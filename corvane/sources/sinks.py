@@ -37,3 +37,18 @@ def summary_document(df: DataFrame, limit: int = 1000) -> list[dict]:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows: write a table instead")
     return [r.asDict(recursive=True) for r in rows]
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
+    """Small results as sheets of one local workbook; needs a writer of that format (openpyxl) beside pandas."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as error:
+        raise RuntimeError("workbooks need openpyxl; write_csv does without") from error
+    import pandas as pd
+
+    with pd.ExcelWriter(path) as out:
+        for name, df in sheets.items():
+            frame = pd.DataFrame(summary_document(df, limit), columns=df.columns)
+            frame.to_excel(out, sheet_name=name[:31], index=False)
+            out.sheets[name[:31]].auto_filter.ref = out.sheets[name[:31]].dimensions

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corvane.functions import naming, vectors
 
@@ -79,3 +80,30 @@ def sheet(spark: SparkSession, path: str, wanted: dict[str, Iterable[str]], leas
     if best is None or score(sheets[best]) < least:
         raise ValueError(f"no sheet of {path} has {least} of the columns")
     return spark.createDataFrame(sheets[best])
+
+
+def read_summaries(spark: SparkSession, folder: str, schema: str, ending: str = "_reduced_distance_reduction_summary.csv", files: str = "ignore") -> DataFrame:
+    """Reduction summaries of one schema below a folder, with model, what a file's name says before the ending.
+
+    files: "ignore" leaves out unreadable files, "fail" doesn't.
+    """
+    reader = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").option("ignoreCorruptFiles", str(files == "ignore").lower())
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return reader.csv(folder).withColumn("model", F.substr(name, F.lit(1), F.length(name) - len(ending)))
+
+
+def fetched(df: DataFrame, key: str, fetch: Callable[[str], str], output: str = "content", at_once: int = 4) -> DataFrame:
+    """df with what fetch returns for each key, "" where it fails; at_once tasks ask at a time.  fetch runs on executors."""
+    names, schema = [*df.columns, output], StructType([*df.schema.fields, StructField(output, StringType())])
+
+    def run(frames):
+        for frame in frames:
+            found = []
+            for value in frame[key]:
+                try:
+                    found.append(fetch(value) or "")
+                except Exception:  # a source that doesn't answer is a missing value
+                    found.append("")
+            yield frame.assign(**{output: found})[names]
+
+    return df.repartition(at_once).mapInPandas(run, schema)

@@ -63,3 +63,23 @@ def test_sinks_and_stream(spark, tmp_path):
         stream.drained(stream.kept_up(rows, ["cfg"], ["val"]), f"file://{tmp_path}/sums", f"file://{tmp_path}/state")
         assert spark.read.parquet(f"file://{tmp_path}/sums").count() == expected
         spark.createDataFrame([(3, 0.1)], "cfg int, val double").write.mode("append").parquet(path)
+
+
+def test_summaries_and_fetching(spark, tmp_path):
+    (tmp_path / "ankh2_reduced_distance_reduction_summary.csv").write_text("percentile,n_reduced\n30,24\n90,453\n")
+    (tmp_path / "other.csv").write_text("x\n1\n")
+    got = tables.read_summaries(spark, f"file://{tmp_path}", "percentile double, n_reduced int").collect()
+    assert {(r.model, r.n_reduced) for r in got} == {("ankh2", 24), ("ankh2", 453)}
+
+    def fetch(value):
+        if value == "bad":
+            raise OSError("no answer")
+        return value.upper()
+
+    df = spark.createDataFrame([("a", 1), ("bad", 2)], "k string, n int")
+    assert {(r.k, r.content) for r in tables.fetched(df, "k", fetch).collect()} == {("a", "A"), ("bad", "")}
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            sinks.write_workbook({"s": df}, str(tmp_path / "x.xlsx"))
