@@ -47,3 +47,27 @@ def test_similar_siblings_share_a_class(spark):
     df = spark.createDataFrame(pages, "host string, path string, bad boolean")
     got = {r.template: r.purity for r in U.judged_templates(df, Workspace(spark, "t")).collect()}
     assert set(got) == {"/a/p", "/b/p", "/c/p"} and len({round(p, 9) for p in got.values()}) == 1
+
+
+def test_templates_with_few_labels_inherit(spark):
+    pages = [(f"https://casino.example.com/en/{i}", "block") for i in range(100, 160)] + [("https://casino.example.com/fr/1", "block"), ("https://casino.example.com/fr/a/b/c/d/e", "block")]
+    pages += [(f"https://fair.example.net/de/{i}", "allow") for i in range(100, 160)] + [("https://fair.example.net/fr/1", "allow"), ("https://new.example.fr/fr/1", "allow")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")
+    got = {r.page_id: r for r in U.judged_pages(df, URL_RULES).collect()}
+    assert [got[i].verdict for i in range(len(pages))] == [v for _, v in pages]
+    assert sum(r.rule is None for r in got.values()) == 4
+
+
+def test_other_hosts_tell_of_a_template_each_once(spark):
+    pages = [(f"h{i}", "/spam/x", True) for i in range(20)] + [("new", "/spam/x", None), ("new", "/else", None)]
+    pages += [("big", "/one/x", True)] * 500 + [("other", "/one/x", None)]
+    df = spark.createDataFrame(pages, "host string, path string, bad boolean")
+    got = {(r.host, r.template): r.rejected for r in U.judged_templates(df, Workspace(spark, "t")).collect()}
+    assert got[("new", "/spam/x")] and not got[("new", "/else")] and not got[("other", "/one/x")]
+
+
+def test_deep_paths_are_told_apart(spark):
+    pages = [("h", f"/a/b/c/d/e/{s}/{i}", s == "bad") for s in ("bad", "good") for i in range(30)] + [("h", "/a/b/c/d/e/bad/99", None), ("h", "/x" * 500, None)]
+    df = spark.createDataFrame(pages, "host string, path string, bad boolean")
+    got = {r.template: r.rejected for r in U.judged_templates(df, Workspace(spark, "t")).collect()}
+    assert got == {"/a/b/c/d/e/bad/*": True, "/a/b/c/d/e/good/*": False, "/x" * 500: False}
