@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as reduce_left
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import vectors
@@ -159,33 +161,54 @@ def geometry_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(results.paired_geometry(each, ["space"], "strategy", "fold", "d", 5))
 
 
-def _vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vote(spark: SparkSession, sf_dir: str, fold: int = 0) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    votes = geometry.knn_vote(rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", "y")
+    votes = geometry.knn_vote(rows.where(f"vec_id % 5 = {fold}"), rows.where(f"vec_id % 5 <> {fold}"), "vec_id", "embedding", "y")
     return votes.join(rows.select(F.col("vec_id").alias("key"), "y"), "key")
 
 
+def _by_fold(one) -> DataFrame:
+    """The rows that one(fold) gives, of each of the five folds."""
+    out = [one(f).withColumn("fold", F.lit(f)) for f in range(5)]
+    return reduce_left(DataFrame.unionByName, out)
+
+
 _V = f"{_E}, c AS (SELECT a.vec_id, (b.label < 5)::INT AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS n FROM e a JOIN e b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), k AS (SELECT vec_id, avg(y) AS score FROM c WHERE n <= 5 GROUP BY ALL), t AS (SELECT vec_id, score, (score > 0.5::DOUBLE)::INTEGER AS predicted, (label < 5)::INTEGER AS y FROM k JOIN e USING (vec_id))"
 
 
 @query(f"WITH {_V} SELECT vec_id, {r('score')} AS score, predicted, y FROM t")
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five neighbours' votes."""
+    """Five neighbours' votes on fold 0; knn_vote_by_fold is of all folds."""
     return rounded(_vote(spark, sf_dir).withColumnRenamed("key", "vec_id"))
 
 
 @query(f"WITH {_V}, m AS (SELECT sum((y = 1 AND predicted = 1)::INT)::DOUBLE AS tp, sum((y = 0 AND predicted = 1)::INT)::DOUBLE AS fp, sum((y = 1 AND predicted = 0)::INT)::DOUBLE AS fn, sum((y = 0 AND predicted = 0)::INT)::DOUBLE AS tn FROM t) SELECT {r('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS recall, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1, {r('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc FROM m")
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R17."""
+    """R17, on fold 0; confusion_by_fold is of all folds."""
     return rounded(training.metrics(_vote(spark, sf_dir), "y", "predicted"))
 
 
+_VF = _V.replace("a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0", "a.vec_id % 5 <> b.vec_id % 5")
+
+
+@query(f"WITH {_VF} SELECT (vec_id % 5)::INTEGER AS fold, vec_id, {r('score')} AS score, predicted, y FROM t")
+def knn_vote_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes on every row, by neighbours of the other folds."""
+    return rounded(_by_fold(lambda f: _vote(spark, sf_dir, f)).withColumnRenamed("key", "vec_id"))
+
+
+@query(f"WITH {_VF}, m AS (SELECT (vec_id % 5)::INTEGER AS fold, sum((y = 1 AND predicted = 1)::INT)::DOUBLE AS tp, sum((y = 0 AND predicted = 1)::INT)::DOUBLE AS fp, sum((y = 1 AND predicted = 0)::INT)::DOUBLE AS fn, sum((y = 0 AND predicted = 0)::INT)::DOUBLE AS tn FROM t GROUP BY ALL) SELECT fold, {r('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS recall, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1, {r('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc FROM m")
+def confusion_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a fold."""
+    return rounded(training.metrics(_by_fold(lambda f: _vote(spark, sf_dir, f)), "y", "predicted", ["fold"]))
+
+
 @query()
 def logistic_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scaled logistic regression, trained on the other folds."""
+    """A scaled logistic regression on each fold, trained on the other folds."""
     rows = read(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") == 1).cast("int"))
-    out = training.fitted(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label", "LogisticRegression", "standard", maxIter=20)
-    return rounded(training.metrics(out, "y", "prediction"))
+    out = _by_fold(lambda f: training.fitted(rows.where(f"vec_id % 5 <> {f}"), rows.where(f"vec_id % 5 = {f}"), "embedding", "label", "LogisticRegression", "standard", maxIter=20))
+    return rounded(training.metrics(out, "y", "prediction", ["fold"]))
 
 
 @query()

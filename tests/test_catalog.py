@@ -18,6 +18,13 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_every_fold_is_voted_on_and_predicted(spark):
+    votes = catalog.QUERIES["knn_vote_by_fold"](spark, str(DATA))
+    assert {r.vec_id for r in votes.select("vec_id").collect()} == {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("confusion_by_fold", "logistic_by_fold"):
+        assert sorted(r.fold for r in catalog.QUERIES[name](spark, str(DATA)).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
