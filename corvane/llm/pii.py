@@ -5,8 +5,8 @@ phone numbers (a plus sign, 8 to 15 digits), leftmost and non-overlapping for ea
 
 *Disguised* ones go through transducers.  Each rewrites a text and keeps, for every character it writes, the source span it
 came from: look-alike and full-width characters to ASCII (invisible ones go), spelled digits to digits, and bracketed or spoken
-"at" and "dot" to their signs.  The base detectors then read the result, and their spans are mapped back.  A span that
-overlaps a base span of its kind adds nothing.  A text without any cue of a disguise isn't rewritten.
+"at" and "dot" to their signs.  The base detectors then read the result, and their spans are mapped back.  A span inside a base
+span of its kind adds nothing; one that goes beyond it stands beside it, and is masked with it.  A text without any cue isn't rewritten.
 
 Every pattern is linear in the text: a run of digits or of address characters is tried from its first character only.
 Defined cases: null text is empty and has no spans.  Rows that repeat stay rows.  Spans are in code points, the end exclusive.
@@ -93,14 +93,19 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|arroba|arobase|ät", "dot|punto|punkt|poin
 _LIKE = LOOKALIKES | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966) for d in range(10)} | dict.fromkeys(INVISIBLE, "")
 _LIKE_CUE = re.compile("[" + "".join(map(re.escape, _LIKE)) + "]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS}|\+)[ \t]*)?(?:{_WORD}|[0-9])(?:[ \t,.-]{{1,2}}(?:{_WORD}|[0-9])){{6,}}(?!\w)", re.I)
-_SPELLED_CUE = re.compile(rf"(?<!\w)(?:{_WORD})[ \t,.-]{{1,2}}(?:{_WORD})[ \t,.-]{{1,2}}(?:{_WORD})(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"({PLUS_WORDS}|\+)|({_WORD})|([0-9])", re.I)
+_UNIT, _GAP = rf"(?:(?:{_WORD})(?!\w)|[0-9]++(?!\w))", r"[ \t,.()-]{1,3}"
+_DOT_BETWEEN = rf"(?:[ \t]{{1,3}}(?:{DOT_WORDS})[ \t]{{1,3}}|[ \t]?[\[({{<][ \t]?(?:{DOT_WORDS}|\.)[ \t]?[\])}}>][ \t]?)"
+_SPELLED = re.compile(rf"(?<!\w)(?:(?:(?:{PLUS_WORDS})(?!\w)|\+)[ \t]*)?{_UNIT}(?:(?:{_DOT_BETWEEN}|{_GAP}){_UNIT})++", re.I)
+_SPELLED_CUE = re.compile(rf"(?<!\w)(?:{_WORD})(?:{_DOT_BETWEEN}|{_GAP}){_UNIT}|[0-9](?:{_DOT_BETWEEN}|{_GAP})(?:{_WORD})(?!\w)|[0-9]{_DOT_BETWEEN}[0-9]", re.I)
+_SPOKEN_GAP = re.compile(_DOT_BETWEEN, re.I)
+_SPELLED_PART = re.compile(rf"({PLUS_WORDS}|\+)|({_WORD})|([0-9]+)", re.I)
 _BRACKET = re.compile(rf"[ \t]?[\[({{<][ \t]?(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))[ \t]?[\])}}>][ \t]?", re.I)
-_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])[ \t]({AT_WORDS})[ \t](?=[A-Za-z0-9-]++(?:[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-]++)+)", re.I)
-_MIXED = re.compile(rf"@(?=[A-Za-z0-9-]++(?:[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-]++)+)", re.I)
-_SPOKEN_BEFORE = re.compile(rf"([ \t](?:{DOT_WORDS})[ \t])[A-Za-z0-9_%+-]+\Z", re.I)
-_HOST, _NAME_REACH = re.compile(r"[A-Za-z0-9-]+"), 64
+_CHAIN = rf"[A-Za-z0-9-]++(?:(?:\.|[ \t](?:{DOT_WORDS})[ \t])[A-Za-z0-9-]++)+"
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])[ \t]({AT_WORDS})[ \t](?![0-9.]++(?![A-Za-z0-9-]))(?={_CHAIN})", re.I)
+_MIXED = re.compile(rf"@(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-])", re.I)
+_NAMED = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9._%+-]++(?=@)", re.I)
+_SPOKEN_BEFORE, _DOT_REACH = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t]\Z", re.I), max(map(len, DOT_WORDS.split("|"))) + 2
+_HOST = re.compile(r"[A-Za-z0-9-]+")
 _SPOKEN_DOT = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t](?=[A-Za-z0-9])", re.I)
 
 
@@ -131,17 +136,25 @@ def lookalikes(t: Rewritten) -> Rewritten:
 
 
 def spelled_digits(t: Rewritten) -> Rewritten:
-    """Runs of seven or more spelled or single digits become digits without blanks, each from its own word."""
+    """Runs of digit words, digits and spoken dots become digits and dots; single digits lose the blanks between them, groups keep one."""
 
     def edits():
         for m in _SPELLED.finditer(t.text):
             if not _SPELLED_CUE.search(m[0]):
                 continue
-            at = m.start()
             parts = list(_SPELLED_PART.finditer(t.text, m.start(), m.end()))
-            for i, p in enumerate(parts):  # the blanks before a word go with it, but for the first
-                yield (p.start() if i == 0 else at, p.end(), "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else p[3])
-                at = p.end()
+            gaps = [t.text[p.end() : q.start()] for p, q in zip(parts, parts[1:], strict=False)]
+            spoken = [not p[1] and len(g) > 1 and _SPOKEN_GAP.fullmatch(g) is not None for p, g in zip(parts, gaps, strict=False)]
+            four = sum(spoken) + gaps.count(".") == 3  # an address: its dots are dots
+            for i, p in enumerate(parts):
+                if i:
+                    q, gap = parts[i - 1], gaps[i - 1]
+                    alone = q[1] or (q[2] or len(q[3]) == 1) and (p[2] or len(p[3]) == 1)
+                    between = "." if spoken[i - 1] or four and gap == "." else "" if alone else " "
+                    if gap != between:
+                        yield q.end(), p.start(), between
+                if not p[3]:
+                    yield p.start(), p.end(), "+" if p[1] else DIGIT_WORDS[p[2].lower()]
 
     out = list(edits())
     if not out:
@@ -150,31 +163,40 @@ def spelled_digits(t: Rewritten) -> Rewritten:
 
 
 def at_and_dot(t: Rewritten) -> Rewritten:
-    """Bracketed signs, spoken "at" before a spoken domain, and the spoken dots on either side of an at sign."""
+    """Bracketed signs, spoken "at" before a domain, and the spoken dots on either side of an at sign."""
     t = t.replaced((m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKET.finditer(t.text))
-    signs = sorted([(m.start(), m.end()) for m in _SPOKEN.finditer(t.text)] + [(m.start(), m.start() + 1) for m in _MIXED.finditer(t.text)])
+    signs = {(m.start(), m.end()) for m in _SPOKEN.finditer(t.text)} | {(m.start(), m.start() + 1) for m in _MIXED.finditer(t.text)} | {(m.end(), m.end() + 1) for m in _NAMED.finditer(t.text)}
     edits: list[tuple[int, int, str]] = []
     done = 0
-    for start, end in signs:
+    for start, end in sorted(signs):
         if start < done:
             continue
         before, at = [], start
-        while at > done and (m := _SPOKEN_BEFORE.search(t.text, max(done, at - _NAME_REACH), at)):
-            before.append((m.start(), m.end(1), "."))
+        while at > done:
+            name = at
+            while name > done and t.text[name - 1] in _LOCAL_CHARS:
+                name -= 1
+            m = _SPOKEN_BEFORE.search(t.text, max(done, name - _DOT_REACH), name) if name < at else None
+            if not m:
+                break
+            before.append((m.start(), m.end(), "."))
             at = m.start()
         edits += [*reversed(before), (start, end, "@")]
         done = at = end
         while host := _HOST.match(t.text, at):
-            dot = _SPOKEN_DOT.match(t.text, host.end())
-            if not dot:
+            done = host.end()
+            if dot := _SPOKEN_DOT.match(t.text, done):
+                edits.append((dot.start(), dot.end(), "."))
+                done = at = dot.end()
+            elif t.text[done : done + 1] == ".":
+                at = done + 1
+            else:
                 break
-            edits.append((dot.start(), dot.end(), "."))
-            done = at = dot.end()
     return t.replaced(edits) if edits else t
 
 
 def _cue(text: str) -> bool:
-    return bool(not text.isascii() and _LIKE_CUE.search(text) or _BRACKET.search(text) or _SPOKEN.search(text) or _MIXED.search(text) or _SPELLED_CUE.search(text))
+    return bool(not text.isascii() and _LIKE_CUE.search(text) or any(p.search(text) for p in (_BRACKET, _SPOKEN, _MIXED, _NAMED, _SPELLED_CUE)))
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -187,7 +209,7 @@ def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
         ends = [b for _, b in plain[kind]]
         for span in map(t.source, spans):
             i = bisect_left(ends, span[0] + 1)
-            if i == len(ends) or plain[kind][i][0] >= span[1]:
+            if i == len(ends) or plain[kind][i][0] > span[0] or ends[i] < span[1]:
                 out[kind].append(span)
     return out
 

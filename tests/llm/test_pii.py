@@ -45,6 +45,32 @@ def test_disguises_map_back_to_the_source():
     assert spans("see you at noon; the dot com boom; one two three; a (at) b") == {}
 
 
+def test_mixed_and_spoken_numbers():
+    assert spans("call +1 555 two three four five six seven ok") == {"phone": ["+1 555 two three four five six seven"]}
+    assert spans("card 4111 1111 1111 one one one one ok") == {"card": ["4111 1111 1111 one one one one"]}
+    assert spans("room 5 192 dot 168 dot 10 dot 77 ok") == {"ip": ["192 dot 168 dot 10 dot 77"]}
+    assert spans("from one nine two dot one six eight dot one dot one ok") == {"ip": ["one nine two dot one six eight dot one dot one"]}
+    assert spans("from 192 [dot] 168.10.one ok") == {"ip": ["192 [dot] 168.10.one"]}
+    assert spans("in 2019 one of 10 dot com firms at 10.30, two 3.5 seven") == {}
+
+
+def test_names_and_domains_partly_spoken():
+    assert spans("mail jane at example.com ok") == {"email": ["jane at example.com"]}
+    name = "a" * 50 + " dot " + "b" * 90 + " dot c"
+    assert spans(f"mail {name} at example dot com ok") == {"email": [f"{name} at example dot com"]}
+    text = "mail john dot doe@example.com ok"
+    plain = pii.base(text)
+    more = pii.disguised(text, plain)
+    assert pii.masked(text, {k: plain[k] + more[k] for k in pii.KINDS}) == "mail <EMAIL> ok"
+
+
+def test_long_disguised_runs_are_linear():
+    for text in ("a dot " * 60_000 + "a at b.c", "a at b.c " * 40_000, "one dot " * 60_000, "a@b dot " * 50_000, "1 one " * 60_000, "a at " + "b." * 100_000):
+        start = time.time()
+        pii.disguised(text, pii.base(text))
+        assert time.time() - start < 10
+
+
 def test_long_runs_are_linear():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "a@" * 100_000, "five " * 60_000):
         start = time.time()
