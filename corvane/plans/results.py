@@ -287,7 +287,7 @@ def pairwise_top_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pairwise_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same differences with bootstrap intervals."""
-    return insight.bootstrap_ci(_top_differences(spark, sf_dir), ["first", "second"], "difference", n_boot=500)
+    return insight.bootstrap_ci(_top_differences(spark, sf_dir), ["first", "second"], "difference")
 
 
 _NAMES = ["onehot_no_reduced", "prot_t5_reduced_homology", "ankh2_ext1_reduced_distance", "ankh2_reduced_distance_by_onehot", "onehot_reduced_distance_split_by_prot_t5", "prot_t5_no_reduced_split_by_onehot", "x_reduced_descriptor_one", "a_reduced_homology_split_by_b", "odd_split_by_z"]

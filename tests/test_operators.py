@@ -193,3 +193,17 @@ def test_reports(spark):
     assert report.test_rows(one).count() == 2 and report.as_metric(one).columns == ["k", "v"]
     ladder = spark.createDataFrame([("m", 90.0, 453, 250, 203)], "model string, percentile double, n_reduced int, n_0 int, n_1 int")
     assert report.coverage(ladder, 90.0, 4193).first().coverage == pytest.approx(453 / 4193)
+
+
+def test_pairwise_bootstrap_takes_every_resample(spark, monkeypatch):
+    import inspect
+
+    from corvane.operators import insight
+    from corvane.plans import results as plans
+
+    usual, seen = insight.bootstrap_ci, []
+    monkeypatch.setattr(plans, "_top_differences", lambda *_: None)
+    monkeypatch.setattr(plans.insight, "bootstrap_ci", lambda *a, **k: seen.append(inspect.signature(usual).bind(*a, **k)))
+    plans.pairwise_bootstrap(spark, "")
+    seen[0].apply_defaults()
+    assert seen[0].arguments["n_boot"] == 2000
