@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.llm.workspace import unused
+
 #: Bits of the table as powers of two: 4 KB at least, 32 MB at most.
 BITS = (15, 28)
 
@@ -50,4 +52,4 @@ class KeyFilter:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(test(np.asarray(batch.column(len(names)))) == wanted))
 
-        return df.withColumn("_place", self.place(column)).mapInArrow(run, df.schema)
+        return df.withColumn(*unused(df, "place"), self.place(column)).mapInArrow(run, df.schema)

@@ -2,8 +2,8 @@
 
 Two documents link when 100 * |A n B| >= percent * |A u B| for their sets of distinct word n-grams.
 
-1. *Sets.*  Documents with equal sets become one set, known by a 64-bit key (a 128-bit digest guards it), with
-   its size and a parity sketch: one bit per two or so members, the parity of the members hashed to it.
+1. *Sets.*  Documents with equal sets become one set, known by 64 bits of a 128-bit digest (the few different sets that
+   share them get keys of their own), with its size and a parity sketch: one bit per two or so members, the parity of the members hashed to it.
 2. *Order.*  Tokens (hashes of n-grams) are ordered by hash, but those found frequent in counts of prefixes go last.
    By the prefix principle, two sets that link share a token among the first n - ceil(percent n / 100) + 1 of each in any common
    order, and the more the nearer their sizes are.  The frequent ones are a broadcast
@@ -36,7 +36,7 @@ from corvane.llm import words as W
 from corvane.llm.filters import KeyFilter
 from corvane.llm.graph import components
 from corvane.llm.substring_dedup import with_row
-from corvane.llm.workspace import Workspace
+from corvane.llm.workspace import Workspace, unused
 
 U64 = W.U64
 #: A token in this many prefixes is frequent; a count beyond which more frequent tokens only are told apart, 8 bytes each.
@@ -51,8 +51,6 @@ MOST_NEEDED = 8
 BLOCK = 128
 #: Sets of a group are told apart by bands of sizes, each so much above the last: a band's least size is what bounds need.
 SIZE_BAND = 1.04
-_rng = np.random.default_rng(77)
-_PLACES = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
 def least_overlap(n, percent: int):
@@ -70,16 +68,13 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     data, offsets = W.column(texts)
     for a, b in W.chunks(offsets):
         _, _, h, first = W.words(data, offsets[a : b + 1], W.FOLDED)
-        grams = np.zeros(max(0, len(h) - n + 1), U64)
-        for j in range(n):
-            grams += h[j : len(h) - n + 1 + j] * _PLACES[j] if len(grams) else grams
-        grams = W.mix(grams)
+        grams = W.grams(h, n)
         for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if j - i >= n:
                 own = np.sort(grams[i : j - n + 1])
                 yield own[np.concatenate(([True], own[1:] != own[:-1]))]
             elif j > i:
-                yield W.mix((h[i:j] * _PLACES[: j - i]).sum(keepdims=True) + U64(j - i))
+                yield W.grams(h[i:j], int(j - i))
             else:
                 yield h[:0]
 
@@ -129,12 +124,20 @@ def _sets(n: int):
     return run
 
 
-def _distinct_sets(batches, n: int) -> Iterator[tuple[int, np.ndarray]]:
+#: Keys of the sets whose first 64 bits another set has too.
+Renamed = dict[tuple[int, int], int]
+
+
+def _distinct_sets(batches, n: int, renamed: Renamed) -> Iterator[tuple[int, np.ndarray]]:
     """Sets of a task's documents, mostly without repeats (a bounded memory of those seen)."""
     seen: set[int] = set()
     for batch in batches:
         for s in shingles(batch.column(0), n):
-            if not len(s) or (key := digest(s)[0]) in seen:
+            if not len(s):
+                continue
+            both = digest(s)
+            key = renamed.get(both, both[0])
+            if key in seen:
                 continue
             if len(seen) >= 100_000:
                 seen.clear()
@@ -176,12 +179,12 @@ def _tokens_first(n: int, percent: int):
     return {"first": first, "rest": rest, "final": final}
 
 
-def _counted(n: int, percent: int, frequent, which: str):
+def _counted(n: int, percent: int, frequent, which: str, renamed: Renamed):
     """Tokens to be counted: those of _tokens_first."""
 
     def run(batches):
         late, choose, held, rows = frequent.value if frequent is not None else np.zeros(0, U64), _tokens_first(n, percent)[which], [], 0
-        for _, s in _distinct_sets(batches, n):
+        for _, s in _distinct_sets(batches, n, renamed):
             held.append(choose(s, late))
             rows += len(held[-1])
             if rows >= 100_000:
@@ -193,7 +196,7 @@ def _counted(n: int, percent: int, frequent, which: str):
     return run
 
 
-def _prefixes(n: int, percent: int, frequent, several):
+def _prefixes(n: int, percent: int, frequent, several, renamed: Renamed):
     """Prefix tokens that pass the test, with their set, its number of tokens from this one on, and behind the prefix."""
 
     def run(batches):
@@ -204,7 +207,7 @@ def _prefixes(n: int, percent: int, frequent, several):
             columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), lengths), np.concatenate(after), np.repeat(np.array(behind, np.int32), lengths)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set", "rest", "behind"])
 
-        for key, s in _distinct_sets(batches, n):
+        for key, s in _distinct_sets(batches, n, renamed):
             first = prefix(s, late, percent)
             at = np.flatnonzero(several(first))
             tokens.append(first[at])
@@ -219,7 +222,7 @@ def _prefixes(n: int, percent: int, frequent, several):
     return run
 
 
-def _arrays(n: int, wanted):
+def _arrays(n: int, wanted, renamed: Renamed):
     """Sets as bytes, of the documents whose place passes the test."""
 
     def some(batches):
@@ -228,7 +231,7 @@ def _arrays(n: int, wanted):
 
     def run(batches):
         held, size = [], 0
-        for key, s in _distinct_sets(some(batches), n):
+        for key, s in _distinct_sets(some(batches), n, renamed):
             held.append((key, s.tobytes()))
             size += 8 * len(s)
             if size >= 1 << 22:
@@ -292,19 +295,26 @@ class JaccardJoin:
     def __init__(self, documents: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT):
         self.spark, self.n, self.percent, self.frequent = documents.sparkSession, n, percent, frequent
         self.documents = with_row(documents)
-        self.space = Workspace(self.spark, "jaccard")
+        self.space, self.renamed = Workspace(self.spark, "jaccard"), {}
 
     def sets(self) -> DataFrame:
         """doc_id, row (a hash of the text), set, guard, n, sketch of each row."""
-        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, row long, set long, guard long, n long, sketch binary, q0 long, q1 long, q2 long, q3 long"), "sets")
-        clash = rows.where("n > 0").groupBy("set").agg(F.min("guard").alias("least"), F.max("guard").alias("most")).where("least <> most").limit(1).count()
-        if clash:
-            raise ValueError("two different sets have one 64-bit key")
-        return rows
+        rows = self.space.keep(self.documents.mapInArrow(_sets(self.n), "doc_id long, row long, set long, guard long, n long, sketch binary, q0 long, q1 long, q2 long, q3 long").withColumn("lo", F.col("set")), "sets")
+        while True:  # d different sets hold about d**2 / 2**65 pairs with one key: 68 among 5 * 10**10
+            clash = rows.where("n > 0").groupBy("set").agg(F.min("guard").alias("least"), F.max("guard").alias("most")).where("least <> most").select("set")
+            alike = rows.where("n > 0").join(clash, "set", "left_semi").select("set", "guard", "lo").distinct().collect()
+            if not alike:
+                return rows
+            turn = len(self.renamed)
+            new = [(r["lo"], r["guard"], xxhash.xxh3_64_intdigest(f"{r['lo']} {r['guard']} {turn}") - 2**63) for r in alike]
+            self.renamed |= {(lo, guard): key for lo, guard, key in new}
+            new = self.spark.createDataFrame(new, "lo long, guard long, key long")
+            rows = rows.join(F.broadcast(new), ["lo", "guard"], "left").withColumn("set", F.coalesce("key", "set")).drop("key")
+            rows = self.space.keep(rows, f"sets-{turn + 1}")
 
     def counted(self, frequent, which: str) -> DataFrame:
         """(token, c): in how many sets a token is counted, of those in several."""
-        tokens = self.documents.select("text").mapInArrow(_counted(self.n, self.percent, frequent, which), "token long")
+        tokens = self.documents.select("text").mapInArrow(_counted(self.n, self.percent, frequent, which, self.renamed), "token long")
         return self.space.keep(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), f"counts-{which}")
 
     def frequent_tokens(self):
@@ -329,7 +339,7 @@ class JaccardJoin:
         """
         frequent = self.frequent_tokens()
         test = KeyFilter(self.counted(frequent, "final"), "token", hashed=True).test()
-        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, test), "token long, set long, rest int, behind int")
+        rows = self.documents.select("text").mapInArrow(_prefixes(self.n, self.percent, frequent, test, self.renamed), "token long, set long, rest int, behind int")
         rows = self.space.keep(rows.distinct(), "prefixes")
         order = F.element_at(F.array(*(F.lit(c) for c in LEADER_ORDERS)), (F.pmod("token", F.lit(len(LEADER_ORDERS))) + 1).cast("int"))
         lead = rows.groupBy("token").agg(F.min(F.col("set").bitwiseXOR(order)).alias("x"), F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most")
@@ -347,7 +357,7 @@ class JaccardJoin:
         ids = self.space.keep(each.join(wanted, "set", "left_semi").select("doc_id"), f"{name}-ids")
         near = KeyFilter(ids, "doc_id")  # one document of each set; texts are not dealt out
         documents = self.documents.where("doc_id is not null").select("text", near.place("doc_id"))
-        arrays = documents.mapInArrow(_arrays(self.n, near.test()), "set long, tokens binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+        arrays = documents.mapInArrow(_arrays(self.n, near.test(), self.renamed), "set long, tokens binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
         arrays = self.space.keep(arrays, f"{name}-arrays")
         one, two = (arrays.select(F.col("set").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
         links = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_exactly(self.percent), "a long, b long")
@@ -382,8 +392,10 @@ class JaccardJoin:
         # Where one member has the token, its parities may prove too large a difference.
         apart = " + ".join(f"bit_count({q} ^ h_{q})" for q in QUAD)
         near = f"members > 1 or {apart} <= n + most - 2 * {both}"
-        bound = rows.join(matrix, "token").where("g <> h").where(sizes).where(F.expr(f"least(rest, open) >= {both} - {need} + 1")).where(F.expr(near))
-        bound = bound.groupBy("set", "n", "h", "h_band").agg(F.count("*").alias("overlap"), F.min(F.expr(need)).alias("need")).where("overlap >= need")
+        bound = rows.join(matrix, "token").where("g <> h").where(sizes).where(F.expr(near))
+        # The need of a set and a group is the least over all tokens they share, of those too that lie too late to count.
+        early = F.count_if(F.expr(f"least(rest, open) >= {both} - {need} + 1"))
+        bound = bound.groupBy("set", "n", "h", "h_band").agg(early.alias("overlap"), F.min(F.expr(need)).alias("need")).where("overlap >= need")
         bound = self.space.keep(bound.select(F.col("set").alias("a"), F.col("n").alias("na"), "h", "h_band"), "bound")
         members = rows.select("set", F.col("g").alias("h"), F.col("band").alias("h_band")).distinct()
         size = members.groupBy("h", "h_band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -405,7 +417,9 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, freq
     named = join.space.keep(named.join(least, "component").select("set", "component_id"), "components")
     rows = sets.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
     rows = rows.join(named, "set", "left").select("doc_id", "row", "n_shingles", "set", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return join.space.keep(rows, "rows")
+    rows = join.space.keep(rows, "rows")
+    join.space.only("rows")
+    return rows
 
 
 def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -419,12 +433,14 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     judged = rows.join(chosen, "component_id").select("doc_id", "row", F.expr("doc_id <> component_id or row <> chosen").alias("dropped"), "copies")
     judged = judged.where("dropped or copies > 1").groupBy("doc_id", "row").agg(F.max("dropped").alias("dropped")).withColumn("key", F.xxhash64("doc_id", "row"))
     judged = space.keep(judged, "judged")
+    space.only("judged")
     some = KeyFilter(judged, "key")
-    keyed = documents.withColumn("_row", F.xxhash64(F.col("text").cast("string"))).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_row"))
-    touched = some.keep(keyed, "_key")
-    on = [F.col("doc_id").cast("long") == F.col("_id"), F.col("_row") == F.col("_text")]
-    dropped, repeated = (judged.where(c).select(F.col("doc_id").alias("_id"), F.col("row").alias("_text")) for c in ("dropped", "not dropped"))
+    row, key, its_id, its_row = unused(documents, "row", "key", "its_id", "its_row")
+    keyed = documents.withColumn(row, F.xxhash64(F.col("text").cast("string"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), row))
+    touched = some.keep(keyed, key)
+    on = [F.col("doc_id").cast("long") == F.col(its_id), F.col(row) == F.col(its_row)]
+    dropped, repeated = (judged.where(c).select(F.col("doc_id").alias(its_id), F.col("row").alias(its_row)) for c in ("dropped", "not dropped"))
     touched = touched.join(dropped, on, "left_anti")
-    once = touched.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_row"])
-    kept = some.keep(keyed, "_key", wanted=False).unionByName(touched.join(repeated, on, "left_anti")).unionByName(once)
-    return kept.drop("_row", "_key")
+    once = touched.join(repeated, on, "left_semi").dropDuplicates(["doc_id", row])
+    kept = some.keep(keyed, key, wanted=False).unionByName(touched.join(repeated, on, "left_anti")).unionByName(once)
+    return kept.drop(row, key)

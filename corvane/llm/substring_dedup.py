@@ -1,18 +1,19 @@
 """Removal of passages seen before, by a log-structured index of window fingerprints.
 
-A window is so many (50) consecutive words of one document.  Its fingerprint is the least hash of the 25-word runs inside it, so
-that windows with equal words have equal fingerprints while neighbours mostly share one: a *span* is a run of
-consecutive windows with one fingerprint, about 13 of them, and known by its fingerprint, a second hash of all
-its words, its document and place.
+A window is so many (50) consecutive words of one document.  Its fingerprint is the least hash of the runs of a third of a window (16 words)
+inside it, so that windows with equal words have equal fingerprints while neighbours mostly share one: a *span* is a run of
+consecutive windows with one fingerprint, about 18 of them, and known by its fingerprint, a digest of its words, its document and place.
 
 The index is a list of immutable runs, tables of spans sorted by fingerprint, each (fingerprint, words) once with its smallest document.  A
 batch is added as a run of its own and then merge-joined with all runs: a span whose very words belong to a smaller
 document is found at once; one that shares only the fingerprint with a smaller document is *verified* window by
-window, by hashes of all words of the windows of both sides, taken from the texts again.  Runs are compacted when there are too many of them: equal spans
-become one.  Two independent 64-bit hashes stand for equality of words throughout.
+window, by the words of the windows of both sides, taken from the texts again.  When there are too many runs they are compacted before the
+next batch: equal spans become one.  Fingerprints only bring spans together; words count as equal where the 128-bit digests (XXH3) of their very
+bytes are equal, so among 10**12 spans some 10**-15 pairs would be expected to be taken for equal wrongly.
 
-Scale: texts are read again rather than kept; only texts that take part in a match are dealt out (see filters.py); equal
-spans are merged before rows are dealt out, so a passage in a third of all documents is one row a task.
+Scale: the spans of a batch are written once; only texts that take part in a match are dealt out (see filters.py); equal
+spans are merged before rows are dealt out.  Spans at the edges of a common passage share a fingerprint and differ in words: their
+joins are on salted fingerprints where Spark may not split the side at hand, and left to its skew joins elsewhere.
 
 Defined cases: null or empty text: no words, kept text empty.  A null doc_id: neither removed from nor a source.  Rows
 that repeat a doc_id are judged by their own text each, and never against one another.  Extra columns are ignored.
@@ -20,7 +21,7 @@ that repeat a doc_id are judged by their own text each, and never against one an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -31,8 +32,9 @@ from corvane.llm import words as W
 from corvane.llm.filters import KeyFilter
 from corvane.llm.workspace import Workspace
 
-_WINDOW_BASE = 0xA24BAED4963EE407
-SPAN = "f long, content long, doc_id long, row long, start int, len int"
+SPAN = "f long, content long, guard long, doc_id long, row long, start int, len int"
+#: Tasks that the rows of one fingerprint are dealt to, where a join could not split them.
+SALTS = 16
 
 
 def least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,23 +46,22 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of documents with their word hashes and first words."""
+def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[], W.Words]]]:
+    """Ranges of documents with their word hashes and first words, and a way to their words."""
     data, offsets = W.column(batch.column(text))
     for a, b in W.chunks(offsets):
-        _, _, h, first = W.words(data, offsets[a : b + 1], W.PLAIN)
-        yield a, b, h, first
+        start, end, h, first = W.words(data, offsets[a : b + 1], W.PLAIN)
+        yield a, b, h, first, lambda start=start, end=end: W.Words(data, start, end)
 
 
 def _spans(window: int):
-    part = (window + 1) // 2
+    part = max(1, window // 3)
 
     def of(h: np.ndarray, first: np.ndarray):
-        """Document number, start, length, fingerprint and content of the spans of a range of documents."""
-        runs = W.Grams(h).of(part)
+        """Document number, first word, number of windows and fingerprint of the spans of a range of documents."""
         if len(h) < window:
             return None
-        f = least_of(runs, window - part + 1)
+        f = least_of(W.grams(h, part), window - part + 1)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(f)]
         inside = np.arange(len(f)) + window <= first[doc + 1]
         new = np.ones(len(f), bool)
@@ -70,30 +71,31 @@ def _spans(window: int):
         if not len(start):
             return None
         last = np.minimum(np.append(start[1:], len(f)), first[doc[start] + 1] - window + 1)
-        content = W.Grams(h, _WINDOW_BASE).span(start, last + window - 1)
-        return doc[start], start - first[doc[start]], last - start, f[start], content
+        return doc[start], start, last - start, f[start]
 
     def run(batches):
         for batch in batches:
             ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for a, _, h, first in _pieces(batch, 2):
+            for a, _, h, first, own in _pieces(batch, 2):
                 if (found := of(h, first)) is not None:
-                    doc, start, n, f, content = found
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[doc + a]), pa.array(rows[doc + a]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["f", "content", "doc_id", "row", "start", "len"])
+                    doc, start, n, f = found
+                    content, guard = own().digests(start, start + n + window - 1)
+                    columns = [f.view(np.int64), content, guard, ids[doc + a], rows[doc + a], (start - first[doc]).astype(np.int32), n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["f", "content", "guard", "doc_id", "row", "start", "len"])
 
     return run
 
 
 def _windows(window: int):
-    """Every window of the given spans: its fingerprint, a hash of all its words, and its place."""
+    """Every window of the given spans: its fingerprint, a digest of its words, and its place."""
 
     def run(batches):
         for batch in batches:
             ids, rows, spans = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             edge, items = np.asarray(spans.offsets), spans.values
             f, start, n, asks = (np.asarray(items.field(k)) for k in ("f", "start", "len", "asks"))
-            for a, b, h, first in _pieces(batch, 2):
-                hashes = W.Grams(h, _WINDOW_BASE).of(window)
+            for a, b, _, first, own in _pieces(batch, 2):
+                words = own()
                 lo, hi = int(edge[a]), int(edge[b])
                 doc = np.repeat(np.arange(a, b), np.diff(edge[a : b + 1]))
                 at = start[lo:hi] + first[doc - a]
@@ -106,7 +108,9 @@ def _windows(window: int):
                     ok = place + window <= first[doc[of] - a + 1]  # a repeated doc_id may bring another text
                     of, step, place = of[ok], step[ok], place[ok]
                     if len(of):
-                        yield pa.RecordBatch.from_arrays([pa.array(f[lo + of]), pa.array(hashes[place].view(np.int64)), pa.array(ids[doc[of]]), pa.array(rows[doc[of]]), pa.array((start[lo + of] + step).astype(np.int32)), pa.array(asks[lo + of])], ["f", "h", "doc_id", "row", "start", "asks"])
+                        h, g = words.digests(place, place + window)
+                        columns = [f[lo + of], h, g, ids[doc[of]], rows[doc[of]], (start[lo + of] + step).astype(np.int32), asks[lo + of]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["f", "h", "g", "doc_id", "row", "start", "asks"])
 
     return run
 
@@ -145,17 +149,17 @@ def with_row(documents: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of spans; see the module's text.  fanout: runs held before they are compacted."""
+    """Sorted immutable runs of spans; see the module's text.  fanout: runs held at most before a batch is added."""
 
     def __init__(self, spark: SparkSession, window: int = 50, fanout: int = 4):
         self.spark, self.window, self.fanout = spark, window, fanout
         self.space, self.runs, self.made = Workspace(spark, "spans"), [], 0
 
     def _write(self, spans: DataFrame) -> None:
-        least = spans.groupBy("f", "content").agg(F.min(F.struct("doc_id", "start", "len")).alias("s"), F.max("last").alias("last"))
+        least = spans.groupBy("f", "content", "guard").agg(F.min(F.struct("doc_id", "start", "len")).alias("s"), F.max("last").alias("last"))
         name = f"run-{self.made}"
         self.made += 1
-        self.runs.append((name, self.space.keep(least.select("f", "content", "s.*", "last").sortWithinPartitions("f", "content"), name)))
+        self.runs.append((name, self.space.keep(least.select("f", "content", "guard", "s.*", "last").sortWithinPartitions("f", "content", "guard"), name)))
 
     def _all(self) -> DataFrame:
         out = self.runs[0][1]
@@ -179,36 +183,42 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Index a batch; return (doc_id, row, start, len), spans of windows of the batch that also start in a document with a
         smaller doc_id.  corpus: all documents added so far and the batch, to read texts of matches from."""
-        spans, turn = self.spans(batch), self.made
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        turn = self.made
+        spans = self.space.keep(self.spans(batch), f"spans-{turn}")
         self._write(spans.withColumn("last", F.col("doc_id")))
         runs = self._all()
         shared = runs.groupBy("f").agg(F.min("doc_id").alias("least"), F.max("last").alias("last")).where("least < last").select("f", "least")
         shared = self.space.keep(shared, f"shared-{turn}")
         suspects = self.space.keep(spans.join(shared, "f").where("doc_id > least").drop("least"), f"suspects-{turn}")
+        self.space.drop(f"spans-{turn}")
+        words = ["f", "content", "guard"]
         variants = runs.join(shared.select("f"), "f", "left_semi")
         if len(self.runs) > 1:
-            variants = variants.groupBy("f", "content").agg(F.min(F.struct("doc_id", "start", "len")).alias("s")).select("f", "content", "s.*")
-        variants = self.space.keep(variants.select("f", "content", "doc_id", "start", "len"), f"variants-{turn}")
-        first = variants.select("f", "content", F.col("doc_id").alias("first"))
-        judged = self.space.keep(suspects.join(first, ["f", "content"]).withColumn("found", F.expr("first < doc_id")).drop("first", "content"), f"judged-{turn}")
+            variants = variants.groupBy(*words).agg(F.min(F.struct("doc_id", "start", "len")).alias("s")).select(*words, "s.*")
+        variants = self.space.keep(variants.select(*words, "doc_id", "start", "len"), f"variants-{turn}")
+        first = variants.select(*words, F.col("doc_id").alias("first"))
+        judged = self.space.keep(suspects.join(first, words).withColumn("found", F.expr("first < doc_id")).drop("first", "content", "guard"), f"judged-{turn}")
         found = judged.where("found").select("doc_id", "row", "start", "len")
         asked = judged.where("not found").select("f", "doc_id", "row", "start", "len")
         return found.unionByName(self._verified(asked, variants, corpus, turn))
 
     def _verified(self, asked: DataFrame, variants: DataFrame, corpus: DataFrame, turn: int) -> DataFrame:
-        open_ = asked.select("f").distinct()
-        sources = variants.join(open_, "f", "left_semi").select("f", "doc_id", F.lit(None).cast("long").alias("row"), "start", "len", F.lit(False).alias("asks"))
+        open_ = asked.select("f").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = variants.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+        sources = salted.join(open_, ["f", "salt"], "left_semi").select("f", "doc_id", F.lit(None).cast("long").alias("row"), "start", "len", F.lit(False).alias("asks"))
         wanted = asked.withColumn("asks", F.lit(True)).unionByName(sources)
         wanted = self.space.keep(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("f", "start", "len", "asks", "row")).alias("spans")), f"wanted-{turn}")
         texts = KeyFilter(wanted, "doc_id").keep(with_row(corpus).where("doc_id is not null"), "doc_id")
         texts = texts.join(wanted, "doc_id").select("doc_id", "row", "text", F.expr("transform(filter(spans, s -> s.row is null or s.row = row), s -> struct(s.f as f, s.start as start, s.len as len, s.asks as asks))").alias("spans"))
-        rows = self.space.keep(texts.mapInArrow(_windows(self.window), "f long, h long, doc_id long, row long, start int, asks boolean"), f"windows-{turn}")
-        least = self.space.keep(rows.groupBy("f", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("f", "h", "least"), f"known-{turn}")
-        out = rows.where("asks").join(least, ["f", "h"]).where("doc_id > least").select("doc_id", "row", "start", F.lit(1).alias("len"))
-        return out
+        rows = self.space.keep(texts.mapInArrow(_windows(self.window), "f long, h long, g long, doc_id long, row long, start int, asks boolean"), f"windows-{turn}")
+        words = ["f", "h", "g"]
+        least = self.space.keep(rows.groupBy(*words).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*words, "least"), f"known-{turn}")
+        return rows.where("asks").join(least, words).where("doc_id > least").select("doc_id", "row", "start", F.lit(1).alias("len"))
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, batches: int = 2, fanout: int = 4) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 50, batches: int = 3, fanout: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one space between them) of each row of documents (doc_id, text).
 
     The table is added to an index in batches of rising doc_id, as a growing corpus would be.
@@ -223,14 +233,13 @@ def remove_repeats(documents: DataFrame, window: int = 50, batches: int = 2, fan
         upto = documents if below is None else documents.where(F.col("doc_id") < below)
         found = index.space.keep(index.add(upto.where(F.col("doc_id") >= edge), upto), f"found-{i}")
         marks = found if marks is None else marks.unionByName(found)
-        if len(index.runs) > index.fanout:
-            index.compact()
     schema = "doc_id long, row long, n_words long, n_removed long, kept string"
     texts = with_row(documents)
     if marks is None:
         return texts.mapInArrow(_kept(window, False), schema).drop("row")
     marks = marks.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "len")).alias("spans")).withColumn("key", F.xxhash64("doc_id", "row"))
     marks = index.space.keep(marks, "marks")
+    index.space.only("marks")
     wanted = KeyFilter(marks, "key")
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "row"))
     clean = keyed.select("doc_id", "row", "text", wanted.place("key")).mapInArrow(_kept(window, False, wanted.test()), schema)

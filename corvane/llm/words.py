@@ -1,9 +1,10 @@
 """Words and word hashes of Arrow text columns, a few hundred kilobytes of bytes at a time.
 
 Texts stay UTF-8 bytes: both word rules of the operators name ASCII separators only, so a byte table
-decides what belongs to a word and no text is ever cut inside a character.  A word's hash is a sum of
-byte values times powers of an odd base, taken with prefix sums over a block, then mixed; it depends on
-the word's bytes alone.  Blocks end at separators, so memory is bounded however long a text is.
+decides what belongs to a word and no text is ever cut inside a character.  A word's hash takes its bytes
+eight at a time, each time through a mixing bijection of 64 bits, so no structure of words makes them
+collide; a long word's is the XXH3 hash of its bytes.  Runs of words are hashed as trees of such mixes.  Blocks end
+at separators, so memory is bounded however long a text is.
 """
 
 from __future__ import annotations
@@ -12,23 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BLOCK = 1 << 19
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
-_BASE = 0x9E6C63D0876A9A35
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, dtype=U64)
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 64
+_SIZE, _LEFT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: The bytes of a lane that belong to a word with so many bytes left.
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +39,6 @@ class Rule:
         self.lower = np.arange(256, dtype=np.uint8)
         if lower:
             self.lower[65:91] += 32
-        self.value = _BYTE[self.lower]
 
 
 def _spaces() -> np.ndarray:
@@ -67,11 +59,22 @@ def _alnum() -> np.ndarray:
 #: runs of letters, digits and everything beyond ASCII, lower-cased.
 PLAIN, FOLDED, ALNUM = Rule(_spaces(), False), Rule(_spaces(), True), Rule(_alnum(), True)
 
-_POW, _INV = powers(_BASE, BLOCK), powers(inverse(_BASE), BLOCK)
-
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return (_POW, _INV) if n <= BLOCK else (powers(_BASE, n), powers(inverse(_BASE), n))
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word; data has eight bytes more than its last word."""
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = end - start
+    h, at, left, rows = mix(size.astype(U64) * _SIZE), start, size, None
+    while len(at):
+        if rows is None:
+            h = mix(h ^ (lanes[at] & _LANE[np.minimum(left, 8)]))
+        else:
+            h[rows] = mix(h[rows] ^ (lanes[at] & _LANE[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left <= LONG_WORD) if rows is None else left > 8)
+        rows, at, left = more if rows is None else rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
 
 
 def _block(data: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,10 +87,10 @@ def _block(data: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     after[-1:], after[:-1] = False, inside[1:]
     after[bounds[(bounds > 0) & (bounds <= len(data))] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    pow_, inv = _tables(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(rule.value[data] * pow_[: len(data)], out=sums[1:])
-    return start, end, mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(U64))
+    read = np.empty(len(data) + 8, np.uint8)
+    np.take(rule.lower, data, out=read[:-8])
+    read[-8:] = 0
+    return start, end, _hashes(read, start, end)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,23 +148,44 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return b" ".join([bytes(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
 
 
-_GRAM = 0xD6E8FEB86659FD93
-
-
-class Grams:
-    """Hashes of n consecutive words of one sequence of word hashes, from prefix sums."""
-
-    def __init__(self, h: np.ndarray, base: int = _GRAM):
-        self.n, self.inv = len(h), powers(inverse(base), len(h) + 1)
-        self.sums = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * powers(base, len(h)), out=self.sums[1:])
-
-    def of(self, n: int) -> np.ndarray:
-        """The hash of each run of n words, by its first word; runs may cross texts, which the caller masks."""
-        if self.n < n:
-            return np.zeros(0, U64)
-        return mix((self.sums[n:] - self.sums[:-n]) * self.inv[: self.n - n + 1] + U64(n))
-
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of the words start to end (exclusive)."""
-        return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(U64))
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _LEFT + b)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words, by its first word; runs may cross texts, which the caller masks.
+
+    Runs of powers of two words are pairs of halves; n words are pairs of those that n is the sum of.
+    """
+    count = len(h) - n + 1
+    if count <= 0:
+        return np.zeros(0, U64)
+    out, at, width, level = None, 0, 1, h
+    while width <= n:
+        if n & width:
+            part = level[at : at + count]
+            out = part if out is None else _pair(out, part)
+            at += width
+        if 2 * width <= n:
+            level = _pair(level[:-width], level[width:])
+        width *= 2
+    return mix(out + U64(n))
+
+
+class Words:
+    """The words of texts as one run of bytes, a blank after each, to digest runs of them."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        size = end - start
+        self.at = np.concatenate(([0], np.cumsum(size + 1)))
+        buffer = np.full(int(self.at[-1]), 0x20, np.uint8)
+        place = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+        buffer[place] = data[place + np.repeat(start - self.at[:-1], size)]
+        self.bytes = buffer.tobytes()
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests, as two numbers, of the bytes of the words first to last (exclusive)."""
+        raw, digest = memoryview(self.bytes), xxhash.xxh3_128_digest
+        spans = zip(self.at[first].tolist(), (self.at[last] - 1).tolist(), strict=True)
+        both = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (tests on one machine), one of its own."""
+    """The folder named by spark.checkpoint.dir; only where none is set and all tasks run in the driver (tests), one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -22,7 +25,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what the session hands to Python at once."""
+    """Bound what the session hands to Python at once, from now on: plans are lazy, so the setting has to stay."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -41,7 +44,32 @@ class Workspace:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def _at(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._at(f"{self.path}/{name}")
+        files.delete(path, True)
+
+    def only(self, *names: str) -> None:
+        """Drop all tables but these, which a lazy result still reads."""
+        path, files = self._at(self.path)
+        for status in files.listStatus(path) if files.exists(path) else []:
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
+    def close(self) -> None:
+        """Drop the whole folder, once results are read."""
+        path, files = self._at(self.path)
+        files.delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores as make them none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -22,7 +22,7 @@ def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
 
 
 #: Columns of names that the operators use inside, and one that nothing knows.
-EXTRA = "row long, key string, set string, n int, spans string, token long, score string, topic string, weight string, odd map<string,int>"
+EXTRA = "row long, key string, set string, n int, spans string, token long, score string, topic string, weight string, odd map<string,int>, _row long, _key string, _id string, _text string, _place string, _source string, _lang string, _topic string, _tokens string, _probability string, place long, mix string, its_id string, its_row string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 
 
@@ -31,7 +31,7 @@ def table(spark, rows: list[tuple]):
     full = []
     for r in rows:
         doc_id, text, lang, source = (*r, "en", "s0")[:4] if len(r) < 4 else r
-        full.append((doc_id, text, lang, source, len(text) if text is not None else None, 1, "k", "s", 2, "x", 3, "y", "t", "w", {"a": 1}))
+        full.append((doc_id, text, lang, source, len(text) if text is not None else None, 1, "k", "s", 2, "x", 3, "y", "t", "w", {"a": 1}, 4, *["u"] * 9, 5, *["v"] * 3))
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -52,4 +52,8 @@ def edge_rows() -> list[tuple]:
     rows += [(400 + i, f"{prose(rng, 50)} {passage} {prose(rng, 50)}") for i in range(6)]
     rows += [(500, base[12]), (500, base[12]), (501, base[13]), (501, base[14]), (502, "a\x00b  c d É"), (503, "one two three four five"), (504, "One TWO three four five")]
     rows += [(600, base[12], None, None), (601, passage, "de", None)]
+    # Sequences of two values, and their opposites, that are alike under any polynomial modulo a power of two.
+    for opposite in (0, 1):
+        turns = ["ab"[i.bit_count() + opposite & 1] for i in range(1024)]
+        rows += [(700 + opposite, "".join(turns)), (702 + opposite, f"{base[-1][:300]} {''.join(turns)} {prose(random.Random(7), 49)}"), (704 + opposite, " ".join("st"[t == "a"] + "u" for t in turns))]
     return rows

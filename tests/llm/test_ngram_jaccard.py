@@ -4,9 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import ngram_jaccard
-from corvane.llm.ngram_jaccard import jaccard_components, least_overlap, may_link, one_of_each, parities, prefix, prefix_length, sketch
+from corvane.llm.ngram_jaccard import JaccardJoin, jaccard_components, least_overlap, may_link, one_of_each, parities, prefix, prefix_length, sketch
 from tests.llm.conftest import low, table, words
 
 
@@ -53,6 +54,28 @@ def test_one_of_each(spark, edge_rows):
     assert got == expected
 
 
+def test_sets_that_share_half_a_digest(spark, edge_rows, monkeypatch):
+    full = ngram_jaccard.digest
+    monkeypatch.setattr(ngram_jaccard, "digest", lambda tokens: (full(tokens)[0] & 3, full(tokens)[1]))
+    join = JaccardJoin(table(spark, edge_rows))
+    sets = join.sets().where("n > 0")
+    assert join.renamed and sets.select("set").distinct().count() == len({shingles(t) for _, t, *_ in edge_rows} - {frozenset()})
+    assert sets.groupBy("set").agg(F.count_distinct("guard").alias("k")).where("k > 1").count() == 0
+
+
+def test_a_group_is_opened_by_the_least_need_of_its_tokens(spark):
+    """Six shared prefix tokens, of which the sixth lies too late to count, and a larger member of the group that lessens what is asked for there."""
+    shared = np.sort(np.random.default_rng(9).integers(0, 2**63, 46).astype(np.uint64))
+    own = lambda k, n: np.sort(np.concatenate((shared, np.arange(k, k + n, dtype=np.uint64))))
+    one, two, third = own(10, 5), own(20, 5), np.arange(100, 152, dtype=np.uint64)
+    join = JaccardJoin(spark.createDataFrame([], "doc_id long, text string"))
+    each = spark.createDataFrame([(i, len(s), bytearray(sketch(s)), i, *parities(s)) for i, s in ((1, one), (2, two), (3, third))], "set long, n int, sketch binary, doc_id long, q0 long, q1 long, q2 long, q3 long")
+    rows = [(t, i, rest, 40, 9) for t, rest in ((1, 51), (2, 50), (3, 49), (4, 48), (5, 47), (6, 41)) for i in (1, 2)] + [(6, 3, 42, 41, 9)]
+    rows = spark.createDataFrame(rows, "token long, set long, rest int, behind int, leader long")
+    groups = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
+    assert (1, 2) in {(r.a, r.b) for r in join.opened(rows, each, groups).collect()}
+
+
 def test_empty_table(spark):
     assert jaccard_components(table(spark, [])).collect() == []
 
