@@ -6,11 +6,13 @@ lose least.  A vector's code is the signs of its turned coordinates, in at most
 nearer, so the radius serves larger tables too.
 *Index.*  Codes are cut into PARTS substrings, each with a table from its values to rows.  By the pigeonhole principle a
 code within radius r agrees with the query within r // PARTS in some substring (for some parts one less), so probing the values that
-near finds every code within r; the whole code's distance then decides, and floats rerank by exact cosine.
+near finds every code within r; the whole code's distance then decides, and floats rerank by exact cosine.  The values to probe are enumerated
+while they are fewer than the values that a block holds; beyond that, which happens where neighbours are nearly as far as other rows, the held values
+are compared instead.
 
-Rows are indexed in blocks, each in one task's memory, and each answers all queries of a block of queries with its k best; the k best of
-those are the answer.  Both kinds of blocks are bounded, whatever the tables.  A block in which a query finds fewer than k rows within r is
-searched whole for that query.
+Rows are indexed once, in written blocks of bounded size, each one row of a table.  Queries go round by round, so many that a broadcast of them is
+bounded; each block answers a round's queries with its k best, and the k best of those are the answer.  A block in which a query finds fewer than k
+rows within r is searched whole for that query.
 
 Defined cases: a vector that is null, zero, of another length than most of the sample, or holds null or non-finite numbers takes no part; rows that repeat a vec_id are one
 query, and no candidate of it; a candidate's best row counts; ties go to the smaller vec_id; an empty table gives none; extra columns are ignored.
@@ -18,16 +20,21 @@ query, and no candidate of it; a candidate's best row counts; ties go to the sma
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.llm.workspace import Workspace
 
-#: Rows the rotation and radius are learned from; queries of a block; rows of an index block.
-SAMPLE, QUERIES, ROWS = 8192, 2048, 16384
+#: Rows the rotation and radius are learned from; queries of a round; rows of an index block.
+SAMPLE, QUERIES, ROWS = 8192, 8192, 16384
+#: Bytes of vectors in a round or an index block, whatever their length.
+BYTES = 16 << 20
 PARTS, TURNS, KEEP = 4, 40, 0.995
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA, RESULT = "query_id long, vec_id long, score double", "query_id long, rank int, vec_id long, score double"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -75,30 +82,42 @@ class Codes:
         return self.radius // len(self.parts) - (part > self.radius % len(self.parts))
 
 
+@cache
+def ball(bits: int, reach: int) -> np.ndarray:
+    """The numbers of so many bits that have at most `reach` ones."""
+    x = np.arange(1 << bits, dtype=np.uint64)
+    return x[np.bitwise_count(x) <= reach]
+
+
 class Block:
-    """A multi-index of some rows."""
+    """A multi-index of some rows; order: what rows are by each substring, if that is known."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, v: np.ndarray):
+    def __init__(self, codes: Codes, ids: np.ndarray, v: np.ndarray, order: np.ndarray | None = None):
         self.codes, self.ids, self.v, self.code = codes, ids, v, codes.of(v)
         self.norm = np.sqrt((v * v).sum(axis=1))
+        part = [(self.code >> np.uint64(shift)) & mask for shift, mask in codes.parts]
+        self.order = order if order is not None else np.stack([np.argsort(x, kind="stable") for x in part]).astype(np.int32)
         self.tables = []
-        for shift, mask in codes.parts:
-            value = (self.code >> np.uint64(shift)) & mask
-            order = np.argsort(value, kind="stable")
-            values, first = np.unique(value[order], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+        for (_, mask), x, by in zip(codes.parts, part, self.order, strict=True):
+            first = np.zeros(int(mask) + 2, np.int64)  # where the rows of each value begin in by
+            np.cumsum(np.bincount(x.astype(np.int64), minlength=int(mask) + 1), out=first[1:])
+            self.tables.append((first, np.flatnonzero(np.diff(first)).astype(np.uint64), by))
 
     def within(self, code: np.uint64) -> np.ndarray:
         """Rows whose code is within the radius, by probing each substring's table."""
         found = []
-        for part, ((shift, mask), (values, first, order)) in enumerate(zip(self.codes.parts, self.tables, strict=True)):
-            hit = np.flatnonzero(np.bitwise_count(values ^ ((code >> np.uint64(shift)) & mask)) <= self.codes.reach(part)) if self.codes.reach(part) >= 0 else []
-            if len(hit):
-                inside = np.zeros(len(order), np.int8)
-                np.add.at(inside, first[hit], 1)
-                last = first[np.asarray(hit) + 1]
-                np.subtract.at(inside, last[last < len(order)], 1)
-                found.append(order[np.cumsum(inside) > 0])
+        for part, ((shift, mask), (first, held, by)) in enumerate(zip(self.codes.parts, self.tables, strict=True)):
+            if (reach := self.codes.reach(part)) < 0:
+                continue
+            own, bits = (code >> np.uint64(shift)) & mask, int(mask).bit_length()
+            if sum(comb(bits, i) for i in range(reach + 1)) < len(held):
+                at = (ball(bits, reach) ^ own).astype(np.int64)
+                at = at[first[at] < first[at + 1]]
+            else:
+                at = held[np.bitwise_count(held ^ own) <= reach].astype(np.int64)
+            count = first[at + 1] - first[at]
+            if count.sum():
+                found.append(by[np.repeat(first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
         rows = np.concatenate(found) if found else np.zeros(0, int)
         rows = rows[np.bitwise_count(self.code[rows] ^ code) <= self.codes.radius]
         return np.unique(rows)
@@ -115,26 +134,40 @@ class Block:
         return self.ids[rows][best], score[best]
 
 
-def _search(held, k: int):
+def _indexed(held):
+    """Blocks of rows as bytes: ids, vectors, and the orders of rows by each substring."""
+
     def run(batches):
-        codes, ids, v = held.value
-        asked, norms = codes.of(v), np.sqrt((v * v).sum(axis=1))
+        codes = held.value
 
-        def answer(parts):
-            block = Block(codes, np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts]))
-            out = [block.nearest(int(q), x, float(n), c, k) for q, x, n, c in zip(ids, v, norms, asked, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
+        def block(parts):
+            own = Block(codes, np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts]))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.ids, own.v, own.order)], ["ids", "v", "by"])
 
         parts, n = [], 0
         for batch in batches:
             if len(batch):
                 parts.append((np.asarray(batch.column(0)), matrix(batch.column(1))))
                 n += len(batch)
-            if n >= ROWS:
-                yield answer(parts)
+            if n >= ROWS or sum(x.nbytes for _, x in parts) >= BYTES:
+                yield block(parts)
                 parts, n = [], 0
         if n:
-            yield answer(parts)
+            yield block(parts)
+
+    return run
+
+
+def _search(held, k: int):
+    def run(batches):
+        codes, ids, v = held.value
+        asked, norms = codes.of(v), np.sqrt((v * v).sum(axis=1))
+        for batch in batches:
+            for own, vectors, by in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = np.frombuffer(own.as_buffer(), np.int64)
+                block = Block(codes, own, np.frombuffer(vectors.as_buffer(), float).reshape(len(own), -1), np.frombuffer(by.as_buffer(), np.int32).reshape(len(codes.parts), -1))
+                out = [block.nearest(int(q), x, float(n), c, k) for q, x, n, c in zip(ids, v, norms, asked, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -147,21 +180,23 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     widths = sample["v"].str.len()
     width = int(widths.mode().iloc[0]) if len(sample) else 0
     if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     codes = Codes(np.stack(sample["v"][widths == width].to_list()), k)
-    rows = usable(rows).where(F.size("v") == width)
+    held = spark.sparkContext.broadcast(codes)
+    blocks = space.keep(usable(rows).where(F.size("v") == width).mapInArrow(_indexed(held), "ids binary, v binary, by binary"), "index")
     asked = space.keep(usable(queries).where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    blocks = max(1, -(-asked.count() // QUERIES))
+    rounds = -(-asked.count() // max(1, min(QUERIES, BYTES // (8 * width))))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     found = None
-    for i in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
-        if not len(block):
+    for i in range(rounds):
+        some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == i).toPandas()
+        if not len(some):
             continue
-        held = spark.sparkContext.broadcast((codes, block["vec_id"].to_numpy(np.int64), np.stack(block["v"].to_list())))
-        part = rows.mapInArrow(_search(held, k), SCHEMA)
+        query = spark.sparkContext.broadcast((codes, some["vec_id"].to_numpy(np.int64), np.stack(some["v"].to_list())))
+        part = blocks.mapInArrow(_search(query, k), SCHEMA).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        part = space.keep(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"found-{i}")
+        query.destroy()
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held.destroy()
+    space.only(*(f"found-{i}" for i in range(rounds)))
+    return found if found is not None else spark.createDataFrame([], RESULT)

@@ -129,7 +129,11 @@ def formatted(rows: DataFrame, template: Template = instruct) -> DataFrame:
 
 
 def digests(done: DataFrame) -> DataFrame:
-    """What conversations in the instruction format say when read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What conversations in the instruction format say when read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    One with a turn whose span isn't known (its history was rewritten, or the text couldn't be told from its surroundings) can't be read back: digests
+    and loss_chars are null.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
@@ -138,6 +142,9 @@ def digests(done: DataFrame) -> DataFrame:
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 text, whole, loss, chars = text.as_py(), hashlib.sha256(), hashlib.sha256(), 0
                 spans = spans.as_py()
+                if any(s["text_start"] is None for s in spans):
+                    rows.append((len(spans), None, None, None, len(text)))
+                    continue
                 for s in spans:
                     content = text[s["text_start"] : s["text_end"]]
                     role, said = read_turn(text[s["start"] : s["end"]], content)
@@ -150,4 +157,4 @@ def digests(done: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    return done.where(F.size("rewrites") == 0).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return done.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -9,8 +9,9 @@ The patterns of one length m make a matcher of three tables over blocks of two w
 * the patterns themselves, compared word by word, at last as bytes.
 
 A task scans many segments of its texts in step, each at its own place, as numpy vectors; the blocks of skipped words are never
-hashed.  A benchmark beyond SLICE_BYTES of text is searched in slices, each a broadcast of bounded size, and the slices' hits are
-united; documents are never dealt out for one slice.
+hashed.  A benchmark beyond SLICE_BYTES of text is searched in slices, and the slices' hits are united; documents are never dealt out for
+one slice.  A slice is a few arrays of about ten times its text; of more than HELD slices a task has one in memory at a time and reads it again,
+from its machine's copy, for the next batch of texts.
 
 Defined cases: null text has no words; an item without words or with a null id is no pattern; items with one id count once; rows of documents that repeat an id
 are judged each by its own text; extra columns are ignored.
@@ -29,28 +30,28 @@ from corvane.llm.substring_dedup import with_row
 from corvane.llm.workspace import small_batches
 
 U64 = W.U64
-#: Text of a benchmark that one broadcast matcher may hold; windows that one step scans; bits of a shift table.
-SLICE_BYTES, SEGMENT, SHIFT_BITS = 8 << 20, 512, 20
+#: Text of a benchmark that one broadcast slice may hold, slices that a task keeps; windows that one step scans; bits of a shift table.
+SLICE_BYTES, HELD, SEGMENT, SHIFT_BITS = 4 << 20, 4, 512, 20
 _K = U64(0x9FB21C651E98DF25)
 
 
 class Matcher:
-    """Patterns of one length, as rows of word hashes; literals holds their words as bytes."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]], hashes: np.ndarray):
-        self.m, self.block, self.literals = hashes.shape[1], min(2, hashes.shape[1]), patterns
-        self.shift = np.full(1 << SHIFT_BITS, self.m - self.block + 1, np.int32)
-        for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self.slot(self.hash(hashes, end)), self.m - 1 - end)
-        suffix = self.hash(hashes, self.m - 1)
+    """Patterns of m words, by their first words among all words of a slice."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, m: int):
+        self.m, self.block, self.words, self.first = m, min(2, m), words, first
+        self.shift = np.full(1 << SHIFT_BITS, m - self.block + 1, np.int32)
+        for end in range(self.block - 1, m):
+            np.minimum.at(self.shift, self.slot(self.hash(words, first + end)), m - 1 - end)
+        suffix = self.hash(words, first + m - 1)
         self.order = np.argsort(suffix, kind="stable")
-        self.suffix, self.hashes = suffix[self.order], hashes
-        self.head = self.hash(hashes, self.block - 1)
+        self.suffix = suffix[self.order]
+        self.head = self.hash(words, first + self.block - 1)
 
-    def hash(self, words: np.ndarray, end) -> np.ndarray:
-        """The block that ends at a word; words may be rows or one sequence."""
-        last = words[..., end]
-        return last if self.block == 1 else (words[..., end - 1] * _K + last) * _K
+    def hash(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The blocks that end at words."""
+        last = words[end]
+        return last if self.block == 1 else (words[end - 1] * _K + last) * _K
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
@@ -71,8 +72,8 @@ class Matcher:
             at, stop = at[going], stop[going]
         return np.sort(np.concatenate(found)) if found else at
 
-    def matches(self, t: np.ndarray, first: np.ndarray, word) -> list[tuple[int, int]]:
-        """(first word, pattern) of each occurrence; word(i) gives a word's bytes."""
+    def matches(self, t: np.ndarray, first: np.ndarray, same) -> list[tuple[int, int]]:
+        """(first word, pattern) of each occurrence; same(i, j, m) compares m words from the text's word i with those of the slice's word j."""
         out, ends = [], self.ends(t, first)
         for a in range(0, len(ends), 1 << 16):
             end = ends[a : a + (1 << 16)]
@@ -83,44 +84,47 @@ class Matcher:
                 p = self.order[lo]
                 ok = np.flatnonzero(self.head[p] == self.hash(t, end - self.m + self.block))
                 q, e = p[ok], end[ok]
-                same = (t[e[:, None] + np.arange(1 - self.m, 1)] == self.hashes[q]).all(axis=1)
-                for s, k in zip((e[same] - self.m + 1).tolist(), q[same].tolist(), strict=True):
-                    if all(word(s + i) == w for i, w in enumerate(self.literals[k])):
-                        out.append((s, k))
+                alike = (t[e[:, None] + np.arange(1 - self.m, 1)] == self.words[self.first[q][:, None] + np.arange(self.m)]).all(axis=1)
+                out += [(s, k) for s, k in zip((e[alike] - self.m + 1).tolist(), q[alike].tolist(), strict=True) if same(s, int(self.first[k]), self.m)]
                 lo = lo + 1
         return out
 
 
 class Patterns:
-    """Matchers of a slice of the benchmark, and which items each pattern belongs to."""
+    """Matchers of a slice of the benchmark, its words, and which items each pattern belongs to."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            start, end, _, _ = W.words(data, np.array([0, len(data)]), W.ALNUM)
-            own = [W.ALNUM.lower[data[a:b]].tobytes() for a, b in zip(start, end, strict=True)]
-            m = min(n, len(own))
-            for i in range(len(own) - m + 1 if m else 0):
-                by_length[m][tuple(own[i : i + m])].add(item)
+        data, offsets = W.column(pa.array([text for _, text in items], pa.string()))
+        start, end, h, first = W.words(data, offsets, W.ALNUM)
+        self.words, ids, size = W.Words(W.ALNUM.lower[data], start, end), np.array([i for i, _ in items], np.int64), np.diff(first)
         self.matchers = []
-        for m, patterns in sorted(by_length.items()):
-            literals = list(patterns)
-            data = np.frombuffer(b" ".join(w for p in literals for w in p), np.uint8)
-            hashes = W.words(data, np.array([0, len(data)]), W.ALNUM)[2].reshape(len(literals), m)
-            self.matchers.append((Matcher(literals, hashes), [sorted(patterns[p]) for p in literals]))
+        for m in np.unique(np.minimum(size, n)).tolist():
+            if not m:
+                continue
+            own = np.flatnonzero(np.minimum(size, n) == m)  # items whose windows have m words
+            count = size[own] - m + 1
+            at = np.repeat(first[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            lo, hi = self.words.digests(at, at + m)
+            order = np.lexsort((at, np.repeat(ids[own], count), hi, lo))  # equal windows are one pattern of several items
+            lo, hi, at, item = lo[order], hi[order], at[order], np.repeat(ids[own], count)[order]
+            edge = np.flatnonzero(np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+            self.matchers.append((Matcher(h, at[edge], m), np.append(edge, len(at)), item))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[list[tuple[int, int]], list[int]]]]:
         """Number of words of each text; for each its hit words as disjoint ascending (start, end), and the items found."""
         start, end, t, first = W.words(data, offsets, W.ALNUM)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[int]] = defaultdict(set)
-        for matcher, owners in self.matchers:
-            found = matcher.matches(t, first, lambda i: W.ALNUM.lower[data[start[i] : end[i]]].tobytes())
+
+        def same(i: int, j: int, m: int) -> bool:
+            return b" ".join([W.ALNUM.lower[data[start[k] : end[k]]].tobytes() for k in range(i, i + m)]) == self.words.of(j, j + m)
+
+        for matcher, edge, owners in self.matchers:
+            found = matcher.matches(t, first, same)
             docs = np.searchsorted(first, [s for s, _ in found], "right") - 1
             for d, (s, k) in zip(docs.tolist(), found, strict=True):
                 hits[d].append((s - int(first[d]), s - int(first[d]) + matcher.m))
-                items[d].update(owners[k])
+                items[d].update(owners[edge[k] : edge[k + 1]].tolist())
         return np.diff(first), [(united(hits[d]), sorted(items[d])) if d in hits else ([], []) for d in range(len(first) - 1)]
 
 
@@ -148,10 +152,12 @@ def slices(benchmark: DataFrame, n: int, limit: int = SLICE_BYTES) -> list:
 def found_in(batch: pa.RecordBatch, text: int, parts: list):
     """(first text, number of words, (hits, items)) of ranges of a batch's texts, hits of all slices united."""
     data, offsets = W.column(batch.column(text))
-    for a, b in W.chunks(offsets):
+    for a, b in W.chunks(offsets, W.BLOCK if len(parts) <= HELD else 32 * W.BLOCK):
         n, each = None, None
         for part in parts:
             n, own = part.value.of(data, offsets[a : b + 1])
+            if len(parts) > HELD and getattr(part, "_path", None):
+                part.__dict__.pop("_value", None)  # read from the local copy again when it is next asked for
             each = own if each is None else [(united(x[0] + y[0]), sorted({*x[1], *y[1]})) for x, y in zip(each, own, strict=True)]
         if n is None:
             n = np.diff(W.words(data, offsets[a : b + 1], W.ALNUM)[3])

@@ -21,6 +21,11 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed
 FROM w LEFT JOIN k USING (doc_id)
 """
 
+WORDS = f"""
+SELECT source, lang, count(*)::BIGINT AS n_docs, sum(len(regexp_extract_all(coalesce(text, ''), {BLANK_WORDS})))::BIGINT AS n_tokens
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id) GROUP BY ALL
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({lower("coalesce(text, '')")}, {ALNUM_WORDS}) AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({lower("coalesce(text, '')")}, {ALNUM_WORDS}) AS ws FROM benchmark),

@@ -4,7 +4,7 @@
 phone numbers (a plus sign, 8 to 15 digits), leftmost and non-overlapping for each kind; a match that fails its test is dropped.
 
 *Disguised* ones go through transducers.  Each rewrites a text and keeps, for every character it writes, the source span it
-came from: look-alike and full-width characters to ASCII (invisible ones go), spelled digits to digits, and bracketed or spoken
+came from, as a list of the pieces between edits: look-alike and full-width characters to ASCII (invisible ones go), spelled digits to digits, and bracketed or spoken
 "at" and "dot" to their signs.  The base detectors then read the result, and their spans are mapped back.  A span inside a base
 span of its kind adds nothing; one that goes beyond it stands beside it, and is masked with it.  A text without any cue isn't rewritten.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -110,25 +110,41 @@ _SPOKEN_DOT = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t](?=[A-Za-z0-9])", re.I)
 
 
 class Rewritten:
-    """A text and the source span of each of its characters."""
+    """A text and the source span of each of its characters, as pieces: from `at` on, characters stand each for one of the source
+    from `start` on or, where an `end` is given, all for the span from start to end."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
-        self.text = text
-        self.start = start if start is not None else list(range(len(text)))
-        self.end = end if end is not None else list(range(1, len(text) + 1))
+    def __init__(self, text: str, at: list[int] | None = None, start: list[int] | None = None, end: list[int | None] | None = None):
+        self.text, self.at, self.start, self.end = text, at or [0], start or [0], end or [None]
+
+    def _of(self, i: int) -> Span:
+        k = bisect_right(self.at, i) - 1
+        if self.end[k] is not None:
+            return self.start[k], self.end[k]
+        return self.start[k] + i - self.at[k], self.start[k] + i - self.at[k] + 1
 
     def replaced(self, edits: Iterable[tuple[int, int, str]]) -> Rewritten:
         """With edits (start, end, new characters), ascending and disjoint; each new character stands for the whole edited span."""
-        text, start, end, at = [], [], [], 0
-        for a, b, new in edits:
-            text += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
-            at = b
-        return Rewritten("".join([*text, self.text[at:]]), start + self.start[at:], end + self.end[at:])
+        text, at, start, end, done, size = [], [], [], [], 0, 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            k = bisect_right(self.at, done) - 1
+            while done < a:  # the pieces between two edits
+                stop = min(a, self.at[k + 1]) if k + 1 < len(self.at) else a
+                at.append(size)
+                start.append(self.start[k] + (done - self.at[k] if self.end[k] is None else 0))
+                end.append(self.end[k])
+                text.append(self.text[done:stop])
+                size, done, k = size + stop - done, stop, k + 1
+            if new:
+                at.append(size)
+                start.append(self._of(a)[0])
+                end.append(self._of(b - 1)[1])
+                text.append(new)
+                size += len(new)
+            done = b
+        return Rewritten("".join(text), at, start, end)
 
     def source(self, span: Span) -> Span:
-        return self.start[span[0]], self.end[span[1] - 1]
+        return self._of(span[0])[0], self._of(span[1] - 1)[1]
 
 
 def lookalikes(t: Rewritten) -> Rewritten:

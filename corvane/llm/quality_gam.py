@@ -10,7 +10,7 @@ Training takes a bounded sample (TRAIN_ROWS) of the labelled rows, those with th
 scoring reads every text once and deals out nothing.
 
 Defined cases: null or empty text has features (zeros) and so a score.  Label rows with a null id or label teach nothing; an id with
-several labels teaches each.  Without both labels in the sample every score is the share of ones, or a half without any.  Rows
+several labels teaches each once, by the least features of the rows that repeat it.  Without both labels in the sample every score is the share of ones, or a half without any.  Rows
 that repeat stay rows; extra columns are ignored.
 """
 
@@ -171,10 +171,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
     def run(batches):
         for batch in batches:
             x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(taught), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "x array<double>, y double").toPandas()
+    found = texts.join(F.broadcast(taught), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y double")
+    found = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()  # as many rows as were chosen, however often an id repeats
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(NAMES)))
     order = np.lexsort([*x.T, found["y"].to_numpy(float)])  # rows arrive in any order; sums shall not
     return Gam().fit(x[order], found["y"].to_numpy(float)[order])

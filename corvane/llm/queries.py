@@ -8,6 +8,7 @@ from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, tok
 from corvane.llm.decontamination import contamination
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.substring_dedup import remove_repeats
+from corvane.llm.workspace import Workspace
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +21,38 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and tokens by source, language and tokenizer version, from a rollup that all documents were committed to (twice, to no effect)."""
-    documents = _read(spark, sf_dir, "documents")
-    rollup = token_rollup.TokenRollup(spark)
+def _rolled_up(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    """Totals of a rollup that takes estimates of all documents, revises them to the counts, deletes the documents that labels call
+    toxic, is compacted, and is offered every batch again, to no effect."""
+    space, rollup = Workspace(spark, "counts"), token_rollup.TokenRollup(spark)
+    counts = space.keep(counts, "documents")  # what each document counts for, to take it back by
+    estimates = counts.withColumn("n_tokens", F.lit(1).cast("long"))
+    toxic = _read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    batches = {
+        "estimates": token_rollup.inserts(estimates),
+        "counts": token_rollup.revisions(estimates, counts),
+        "toxic": token_rollup.deletes(counts.join(toxic, "doc_id", "left_semi")),
+    }
     for _ in range(2):
-        rollup.apply("documents-1", token_rollup.inserts(token_rollup.counted(documents)))
+        for name, changes in batches.items():
+            rollup.apply(name, changes)
+        rollup.compact()
+    space.close()
     return rollup.totals()
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic and their tokens, by source, language and tokenizer version, kept up by inserts, revisions and deletes."""
+    return _rolled_up(spark, sf_dir, token_rollup.counted(_read(spark, sf_dir, "documents")))
+
+
+def word_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 for words between blanks only, which SQL can count."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    counts = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lit("words-1").alias("version"), words.alias("n_tokens"))
+    return _rolled_up(spark, sf_dir, counts).drop("version")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
@@ -60,7 +84,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusion probability, weight and selection of every document, raked to flattened marginals of source, language and topic."""
     rows = mixing.mixed(_read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_weight").alias("weight"), F.col("_selected").alias("selected"))
+    none = [F.coalesce(f"mix.{d}", F.lit("(none)")).alias(d) for d in ("source", "lang", "topic")]
+    return rows.select("doc_id", *none, F.col("mix.tokens").alias("n_tokens"), "mix.probability", "mix.weight", "mix.selected")
 
 
 #: Hosts with their subdomains, path beginnings, verdicts.
@@ -87,6 +112,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "word_counts_rollup": word_counts_rollup,
     "op3_decontamination": op3_decontamination,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_chat_format": op5_chat_format,
@@ -98,6 +124,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
+    "word_counts_rollup": oracles.WORDS,
     "op3_decontamination": oracles.OP3,
     "op5_chat_format": oracles.OP5,
     "op6_ngram_jaccard": oracles.OP6,

@@ -1,9 +1,10 @@
 """Token totals by source, language and tokenizer version, maintained from signed deltas.
 
 A change is a row (sign, source, lang, version, n_tokens): an insert is +1, a delete -1 with the old count, a revision both.  A batch
-of changes is summed to one row a key and committed under its id: written aside, then renamed, so a batch is there as a whole or
-not at all, and a batch whose id is there already changes nothing.  Totals are the sums over all commits; compaction writes
-them as one commit that names the batches it stands for, which stay known.
+of changes is summed to one row a key and committed under its id: its sums are written aside, then one small file that names them is renamed into
+place unless a file of that id is there, so a batch is there as a whole or not at all, and of two writers of one id one counts.  (The store's
+rename has to refuse an existing file, as HDFS does; a local folder's does for one writer at a time.)  Totals are the sums over all commits; compaction
+writes them as one commit that names the batches it stands for, which stay known in a table.
 
 Batches are summed where they are read (sums are additive), so only keys are dealt out.  A lost executor costs tasks; a driver lost between
 writing and renaming leaves a folder that is ignored.
@@ -17,8 +18,10 @@ from __future__ import annotations
 import base64
 import uuid
 from functools import cache
+from hashlib import sha256
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.workspace import shared_folder, small_batches
@@ -73,38 +76,63 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share: sums below data/, for each batch a file of commits/ that names its sums, and
+    below stands-for/ the names of the batches that a compaction replaced."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_folder(spark).rstrip('/')}/corvane/rollup-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self) -> list[str]:
-        if not self._fs.exists(self._path(f"{self.path}/commits")):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/commits")))
-
-    def _superseded(self) -> set[str]:
-        """Batches that a compaction stands for."""
-        out: set[str] = set()
-        for name in self._names():
-            if name.startswith("base-") and self._fs.exists(self._path(f"{self.path}/stands-for/{name}")):
-                out |= {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/stands-for/{name}").collect()}
-        return out
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._fs.mkdirs(self._path(f"{self.path}/commits"))
+        self._names_of = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._unless_there = spark.sparkContext._gateway.new_array(rename, 1)
+        self._unless_there[0] = rename.NONE
+
+    def _commits(self) -> dict[str, str]:
+        """Sums of each batch or compaction that is committed; compaction keeps them few."""
+        if not self._fs.listStatus(self._path(f"{self.path}/commits")):
+            return {}
+        rows = self.spark.read.text(f"{self.path}/commits", wholetext=True).select("value").collect()
+        return dict(r["value"].split("\n") for r in rows)
+
+    def _replaced(self) -> DataFrame | None:
+        """The batches that compactions stand for."""
+        if not self._fs.exists(self._path(f"{self.path}/stands-for")):
+            return None
+        return self.spark.read.schema("batch string, base string").parquet(f"{self.path}/stands-for").select("batch", "base")
+
+    def _live(self) -> dict[str, str]:
+        """Commits that no committed compaction stands for; old ones may still be there where a compaction was cut short."""
+        commits, replaced = self._commits(), self._replaced()
+        if replaced is None or not commits:
+            return commits
+        names = [c for c in commits]
+        gone = {r["batch"] for r in replaced.where(F.col("batch").isin(names) & F.col("base").isin(names)).collect()}
+        return {c: data for c, data in commits.items() if c not in gone}
 
     def committed(self, batch: str) -> bool:
-        return batch in self._names() or batch in self._superseded()
+        commits, replaced = self._commits(), self._replaced()
+        return batch in commits or replaced is not None and replaced.where((F.col("batch") == batch) & F.col("base").isin([c for c in commits])).limit(1).count() > 0
 
     def _commit(self, name: str, sums: DataFrame) -> bool:
-        aside = f"{self.path}/aside/{name}-{uuid.uuid4().hex}"
-        sums.write.parquet(aside)
-        self._fs.mkdirs(self._path(f"{self.path}/commits"))
-        done = self._fs.rename(self._path(aside), self._path(f"{self.path}/commits/{name}")) if name not in self._names() else False
-        if not done:
-            self._fs.delete(self._path(aside), True)
-        return done
+        """Write sums aside, then let the first writer of the name win: a file is renamed unless there is one of that name."""
+        unique = uuid.uuid4().hex
+        data, aside = f"{self.path}/data/{unique}", self._path(f"{self.path}/aside-{unique}")
+        sums.write.parquet(data)
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(f"{name}\n{data}".encode()))
+        stream.close()
+        try:
+            self._names_of.rename(aside, self._path(f"{self.path}/commits/{sha256(name.encode()).hexdigest()}"), self._unless_there)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            self._fs.delete(aside, False)
+            self._fs.delete(self._path(data), True)
+            return False
+        return True
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of changes; False if it was there already."""
@@ -114,19 +142,20 @@ class TokenRollup:
         return self._commit(batch, changes.groupBy(*KEYS).agg(F.sum(n).alias("n_docs"), F.sum(n * F.col("n_tokens")).alias("n_tokens")))
 
     def totals(self) -> DataFrame:
-        gone = self._superseded()
-        names = [n for n in self._names() if n not in gone]
-        if not names:
+        live = self._live()
+        if not live:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/commits/{n}" for n in names))
+        rows = self.spark.read.schema(SCHEMA).parquet(*live.values())
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Put one commit in the place of all; each of the old ones stays known by name."""
-        gone = self._superseded()
-        names = [n for n in self._names() if n not in gone]
-        name = f"base-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(n,) for n in sorted(gone | set(names))], "batch string").coalesce(1).write.parquet(f"{self.path}/stands-for/{name}")
-        self._commit(name, self.totals())
-        for old in names:
-            self._fs.delete(self._path(f"{self.path}/commits/{old}"), True)
+        there, live, replaced, base = self._commits(), self._live(), self._replaced(), f"base-{uuid.uuid4().hex}"
+        names = self.spark.createDataFrame([(n,) for n in sorted(live)], "batch string")
+        if replaced is not None:
+            names = names.unionByName(replaced.where(F.col("base").isin([c for c in live])).select("batch"))
+        names.withColumn("base", F.lit(base)).coalesce(1).write.parquet(f"{self.path}/stands-for/of={base}")
+        self._commit(base, self.totals())
+        for name, data in there.items():  # a compaction that is cut short here is still right: the new one stands for all of these
+            self._fs.delete(self._path(f"{self.path}/commits/{sha256(name.encode()).hexdigest()}"), False)
+            self._fs.delete(self._path(data), True)

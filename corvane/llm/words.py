@@ -183,6 +183,9 @@ class Words:
         buffer[place] = data[place + np.repeat(start - self.at[:-1], size)]
         self.bytes = buffer.tobytes()
 
+    def of(self, first: int, last: int) -> bytes:
+        return self.bytes[self.at[first] : self.at[last] - 1]
+
     def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit digests, as two numbers, of the bytes of the words first to last (exclusive)."""
         raw, digest = memoryview(self.bytes), xxhash.xxh3_128_digest

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
-from corvane.llm import ann
+from corvane.llm import ann, queries
+
+TABLES = "/root/testdata/sf0.1"
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, v string"
 
@@ -44,14 +48,28 @@ def test_recall_and_scores(spark, monkeypatch):
     assert all(s == pytest.approx(exact[q, v], abs=1e-12) for q, vs in got.items() for v, s in vs)
 
 
-def test_pigeonhole_finds_every_code_in_the_radius():
+@pytest.mark.parametrize("spread", [9.0, 0.05])
+def test_pigeonhole_finds_every_code_in_the_radius(spread):
+    """Far neighbours, whose substrings are compared with those held; and near ones, whose substrings are enumerated."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(2000, 40))
+    x = rng.normal(size=(200, 40))[rng.integers(0, 200, 2000)] + spread * rng.normal(size=(2000, 40))
     codes = ann.Codes(x, 5)
+    assert (codes.radius < 12) == (spread < 1)
     block = ann.Block(codes, np.arange(2000), x)
+    again = ann.Block(codes, np.arange(2000), x, block.order)
     for i in range(40):
         near = np.flatnonzero(np.bitwise_count(block.code ^ block.code[i]) <= codes.radius)
-        assert block.within(block.code[i]).tolist() == near.tolist()
+        assert block.within(block.code[i]).tolist() == near.tolist() == again.within(block.code[i]).tolist()
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TABLES}/embeddings.parquet"), reason="no test tables here")
+def test_recall_of_the_query(spark):
+    rows = spark.read.parquet(f"{TABLES}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").toPandas()
+    expected = brute(rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list()), [i for i in rows["vec_id"] if i % 50 == 0], 5)
+    got: dict[int, set] = {q: set() for q in expected}
+    for r in queries.op4_nearest_neighbours(spark, TABLES).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & {v for v, _ in near}) for q, near in expected.items()) >= 0.95 * sum(map(len, expected.values()))
 
 
 def test_edges(spark):

@@ -33,6 +33,16 @@ def test_templates_that_rewrite_history_are_found():
     assert not rewrote and [text[s[2] : s[3]] for s in spans] == ["a", "b"]
 
 
+def test_conversations_that_cannot_be_read_back_are_told(spark):
+    def only_last(turns):
+        return "".join(f"[INST] {t if i == len(turns) - 1 else ''} [/INST]" for i, (r, t) in enumerate(turns))
+
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in C.digests(C.formatted(df, only_last)).collect()}
+    assert set(got) == {1, 2} and got[1].n_turns == 2 and got[1].turns_sha256 is None and got[1].loss_chars is None and got[1].formatted_chars > 0
+    assert got[2].turns_sha256 == hashlib.sha256(b"user\nc\n").hexdigest()
+
+
 def test_table(spark):
     rows = [(1, 1, "assistant", "two", "x", "y"), (1, 0, "user", "one", "x", "y"), (2, 0, None, None, "x", "y"), (3, 0, "user", "a", "x", "y"), (3, 0, "assistant", "b", "x", "y"), (3, 0, "assistant", "b", "x", "y"), (None, 0, "user", "n", "x", "y"), (4, None, "assistant", "c", "x", "y"), (4, 1, "assistant", "d" * 200_000, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, spans string")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 import time
+import tracemalloc
 
 from hypothesis import given, settings, strategies as st
 
@@ -33,6 +34,29 @@ def spans(text):
     return {k: [text[a:b] for a, b in v] for k, v in pii.disguised(text, pii.base(text)).items() if v}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc", max_size=30), st.data())
+def test_every_character_keeps_its_source(text, data):
+    t, spans = pii.Rewritten(text), [(i, i + 1) for i in range(len(text))]
+    for _ in range(3):
+        edges = sorted(data.draw(st.sets(st.integers(0, len(t.text)), max_size=6)))
+        edits = [(a, b, data.draw(st.sampled_from(["", "x", "yz"]))) for a, b in zip(edges[::2], edges[1::2], strict=False)]
+        new, own, at = "", [], 0
+        for a, b, s in edits:
+            new, own, at = new + t.text[at:a] + s, own + spans[at:a] + [(spans[a][0], spans[b - 1][1])] * len(s), b
+        t, spans, new = t.replaced(edits), own + spans[at:], new + t.text[at:]
+        assert t.text == new and [t.source((i, i + 1)) for i in range(len(new))] == spans
+
+
+def test_memory_goes_with_edits_not_characters():
+    text = "plain words of no interest " * 200_000 + "mail jane at example dot com"
+    plain = pii.base(text)
+    tracemalloc.start()
+    assert pii.disguised(text, plain)["email"] == [(len(text) - 23, len(text))]
+    assert tracemalloc.get_traced_memory()[1] < 5 * len(text)
+    tracemalloc.stop()
+
+
 def test_disguises_map_back_to_the_source():
     assert spans("write to john.doe [at] example (dot) com now") == {"email": ["john.doe [at] example (dot) com"]}
     assert spans("mail jane at example dot co dot uk") == {"email": ["jane at example dot co dot uk"]}
@@ -80,15 +104,15 @@ def test_long_runs_are_linear():
 
 
 def test_table(spark, edge_rows):
-    rows = [*edge_rows, (700, "mail a.b@c.de or +49 (30) 123-4567, 10.0.0.1, 4111 1111 1111 1111 and 300.1.1.1"), (701, "x at y dot com")]
+    rows = [*edge_rows, (800, "mail a.b@c.de or +49 (30) 123-4567, 10.0.0.1, 4111 1111 1111 1111 and 300.1.1.1"), (801, "x at y dot com")]
     got = {r.doc_id: r for r in pii.find(table(spark, rows)).collect()}
     assert len(pii.find(table(spark, rows)).collect()) == len(rows)
-    r = got[700]
+    r = got[800]
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
     assert r.masked == "mail <EMAIL> or <PHONE>, <IP>, <CARD> and 300.1.1.1"
-    assert got[701].n_email == 0 and got[701].spans == "email:0:14"
+    assert got[801].n_email == 0 and got[801].spans == "email:0:14"
     kept = pii.redacted(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
     found = {r.doc_id: r for r in kept.collect()}
-    assert found[100].text is None and found[701].text == "<EMAIL>" and found[701].n_chars == 7
+    assert found[100].text is None and found[801].text == "<EMAIL>" and found[801].n_chars == 7
     assert pii.find(table(spark, [])).collect() == []

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import token_rollup as T
+from corvane.llm import queries, token_rollup as T
 from tests.llm.conftest import table, words
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(f"{T.TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabulary here")
@@ -49,7 +49,48 @@ def test_an_interrupted_compaction_counts_nothing_twice(spark, tmp_path):
     rollup._fs = Broken()
     rollup.compact()
     rollup._fs = delete
-    assert len(rollup._names()) == 2 and as_dict(rollup) == before
+    assert len(rollup._commits()) == 2 and as_dict(rollup) == before
+    rollup.compact()
+    assert len(rollup._commits()) == 1 and as_dict(rollup) == before and not rollup.apply("b1", changes(spark, []))
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, tmp_path):
+    one, two = (T.TokenRollup(spark, f"file://{tmp_path}/d") for _ in "ab")
+    sums = spark.createDataFrame([("s", "en", "v1", 1, 10)], T.SCHEMA)
+    assert one._commit("b/1", sums) and not two._commit("b/1", sums)
+    assert as_dict(one) == {("s", "en", "v1"): (1, 10)} and len(os.listdir(f"{tmp_path}/d/data")) == 1
+
+
+def test_a_compaction_without_its_commit_stands_for_nothing(spark, tmp_path):
+    rollup = T.TokenRollup(spark, f"file://{tmp_path}/e")
+    rollup.apply("b1", changes(spark, [(1, "s", "en", "v1", 10, "1")]))
+    commit, rollup._commit = rollup._commit, lambda *a: (_ for _ in ()).throw(OSError)
+    with pytest.raises(OSError):
+        rollup.compact()
+    rollup._commit = commit
+    assert as_dict(rollup) == {("s", "en", "v1"): (1, 10)} and not rollup.apply("b1", changes(spark, []))
+
+
+@needs_vocabulary
+def test_the_query_against_brute_force(spark, edge_rows, tmp_path):
+    """Inserts of estimates, revisions to counts, deletes of what labels call toxic, compaction, and all batches again."""
+    table(spark, edge_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    toxic = {101, 103, 300, 500, 9999}
+    spark.createDataFrame([(i, 0, int(i in toxic)) for i in [*range(600), 9999]] + [(500, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with open(f"{T.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        encoding = T._encoding(f.read())
+    expected: dict = {}
+    for doc_id, text, *more in edge_rows:
+        if doc_id in toxic:
+            continue
+        lang, source = more if more else ("en", "s0")
+        for version, n in (("words-1", len(words(text))), ("byte_bpe_50k", len(encoding.encode_ordinary(text or "")))):
+            docs, tokens = expected.get((source, lang, version), (0, 0))
+            expected[source, lang, version] = docs + 1, tokens + n
+    got = queries.op2_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in got} == expected
+    got = queries.word_counts_rollup(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, "words-1"): (r.n_docs, r.n_tokens) for r in got} == {k: v for k, v in expected.items() if k[2] == "words-1"}
 
 
 @needs_vocabulary
