@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from corvane.functions.naming import RESIDUES
@@ -58,6 +60,29 @@ def frequencies(sequence: Column, alphabet: str = RESIDUES) -> Column:
     return F.transform(F.array(*(F.lit(c) for c in alphabet)), lambda c: F.coalesce(F.try_divide((F.length(sequence) - F.length(F.replace(sequence, c, F.lit("")))).cast("double"), F.length(sequence)), F.lit(0.0)))
 
 
+# The public hydropathy, volume and charge scales of residues, in the alphabet's order.
+HYDROPATHY = [1.8, 2.5, -3.5, -3.5, 2.8, -0.4, -3.2, 4.5, -3.9, 3.8, 1.9, -3.5, -1.6, -3.5, -4.5, -0.8, -0.7, 4.2, -0.9, -1.3]
+VOLUME = [88.6, 108.5, 111.1, 138.4, 189.9, 60.1, 153.2, 166.7, 168.6, 166.7, 162.9, 114.1, 112.7, 143.8, 173.4, 89.0, 116.1, 140.0, 227.8, 193.6]
+CHARGE = [0.0, 0.0, -1.0, -1.0, 0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def property_of(sequence: Column, length: int, values: list[float], alphabet: str = RESIDUES) -> Column:
+    """The letters' values, 0 for other letters and behind the end."""
+    known = F.create_map(*(F.lit(x) for c, v in zip(alphabet, values, strict=True) for x in (c, v)))
+    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.coalesce(F.element_at(known, F.substr(sequence, i, F.lit(1))), F.lit(0.0)))
+
+
+def physicochemical(sequence: Column, length: int) -> Column:
+    """Hydropathy, volume and charge of each position, one after the other."""
+    return F.concat(*(property_of(sequence, length, v) for v in (HYDROPATHY, VOLUME, CHARGE)))
+
+
+def fourier(v: Column, n: int) -> Column:
+    """Sizes of the first half of the discrete Fourier transform of n numbers, as sums of sines and cosines."""
+    turn = lambda k, wave: F.aggregate(F.transform(v, lambda x, j: x * wave(2 * math.pi * k * j / n)), F.lit(0.0), lambda s, x: s + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: F.sqrt(F.pow(turn(k, F.cos), 2.0) + F.pow(turn(k, F.sin), 2.0)))
+
+
 def k_mers(sequence: Column, k: int = 3) -> Column:
     """All runs of k letters, in order."""
     return F.when(F.length(sequence) >= k, F.transform(F.sequence(F.lit(1), F.length(sequence) - (k - 1)), lambda i: F.substr(sequence, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))

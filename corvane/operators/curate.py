@@ -16,9 +16,20 @@ def grouped_labels(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n_duplicates"), kinds.alias("n_labels"), F.array_sort(F.collect_set(F.col(label).cast("string"))).alias("labels"), F.max(label).alias(label))
 
 
-def duplicates(df: DataFrame, key: str, label: str) -> dict[str, DataFrame]:
-    """Keys repeated with one label (consistent), with several (conflicts), and keys of one row (unique), from one grouping."""
-    one = grouped_labels(df, key, label)
+def repeated_texts(df: DataFrame, text: str, label: str) -> DataFrame:
+    """Texts of several rows, their number and labels: long keys are grouped by a 128-bit digest, and only repeated ones are dealt out."""
+    df = df.select(text, label, F.md5(F.col(text).cast("binary")).alias("_digest"))
+    many = df.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_digest").alias("_many"))
+    again = df.join(many, F.col("_digest").eqNullSafe(F.col("_many")), "left_semi")
+    return grouped_labels(again, text, label).where("n_duplicates > 1")
+
+
+def duplicates(df: DataFrame, key: str, label: str, without_null: bool = False) -> dict[str, DataFrame]:
+    """Keys repeated with one label (consistent), with several (conflicts), and keys of one row (unique), from one grouping.
+
+    A null label is a label, unless rows without one are left out before.
+    """
+    one = grouped_labels(df.where(F.col(label).isNotNull()) if without_null else df, key, label)
     again = one.where("n_duplicates > 1")
     return {
         "consistent": again.where("n_labels = 1").select(key, label, "n_duplicates"),
@@ -88,8 +99,9 @@ def support_counts(df: DataFrame, n_sources: str) -> DataFrame:
 
 
 def support_summary(df: DataFrame, n_sources: str) -> DataFrame:
+    """Rows of one source, of two or more, and of three or more (high), with their percentages."""
     n = F.col(n_sources)
-    out = df.agg(F.count("*").alias("n_total"), F.count_if(n == 1).alias("n_single"), F.count_if(n >= 2).alias("n_multi"), F.count_if(n >= 6).alias("n_high"))
+    out = df.agg(F.count("*").alias("n_total"), F.count_if(n == 1).alias("n_single"), F.count_if(n >= 2).alias("n_multi"), F.count_if(n >= 3).alias("n_high"))
     return out.withColumns({f"pct_{k}": F.coalesce(stats.ratio(F.col(f"n_{k}") * 100, F.col("n_total")), F.lit(0.0)) for k in ("single", "multi", "high")})
 
 
@@ -105,9 +117,20 @@ def dataset_metadata(df: DataFrame, sequence: str, label: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_total"), F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative"), F.count_if(F.col(label).isNull()).alias("n_conflict"), F.min(s).alias("min_length"), F.max(s).alias("max_length"))
 
 
-def recovered_labels(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """df with label from `labels` by key, whatever label it had; null where there is none."""
-    return df.drop(label).join(labels.select(key, label).dropDuplicates([key]), key, "left")
+def recovered_labels(df: DataFrame, original: DataFrame, label: str, on: list[str], order: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """df with its labels, or if it has no column of them, those of the original by the first of the `on` columns that both have; and
+    how many rows have none (n_rows, n_missing).
+
+    An original that repeats a key gives the label of its first row by order (all columns, if none is given).
+    """
+    if label not in df.columns:
+        key = next((c for c in on if c in df.columns and c in original.columns), None)
+        if key is None:
+            raise ValueError(f"no column {label}, and none of {', '.join(on)} to recover it by")
+        along = F.struct(*(F.col(c) for c in order or [c for c, t in original.dtypes if not t.startswith("map")]))
+        known = original.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(label), along).alias("_known"))
+        df = df.join(known, key, "left").withColumn(label, F.col(f"_known.{label}")).drop("_known")
+    return df, df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(label).isNull()).alias("n_missing"))
 
 
 def materialized(source: DataFrame, features: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -118,9 +141,10 @@ def materialized(source: DataFrame, features: DataFrame, key: str, order: list[s
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in shared}).drop(*(f"_{c}" for c in shared))
 
 
-def mapped_by_name(df: DataFrame, names: DataFrame, column: str, name: str, value: str, output: str) -> DataFrame:
-    """df with value looked up by a trimmed, case-free name; a name listed twice gives its last value."""
-    low = names.groupBy(F.lower(F.trim(name)).alias("_name")).agg(F.max(value).alias(output))
+def mapped_by_name(df: DataFrame, names: DataFrame, column: str, name: str, value: str, output: str, order: str) -> DataFrame:
+    """df with value looked up by a trimmed, case-free name; a name listed several times gives its last value by order, null or not."""
+    low = names.groupBy(F.lower(F.trim(name)).alias("_name")).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
+    low = low.select("_name", F.col("_last.v").alias(output))
     return df.withColumn("_name", F.lower(F.trim(column))).join(low, "_name", "left").drop("_name")
 
 

@@ -83,3 +83,25 @@ def decision_ranking(deltas: DataFrame, groups: list[str], primary: str, seconda
         "decision_rank": F.when(chosen, F.sum(chosen.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")),
     })
     return out.withColumn("decision_class", F.when(~known, "Insufficient pairs").when(F.col("decision_rank").isNotNull(), "Recommended").otherwise("Low performance or insufficient evidence"))
+
+
+def ranked_distributions(deltas: DataFrame, ranking: DataFrame, groups: list[str], metric: str, rank: str = "rank_by_lowest_loss", panel: str | None = None, top: int = 30, filters: dict[str, object] | None = None) -> DataFrame:
+    """The boxes of a ranking: for the top groups (of each value of panel, if there is one) the count and five numbers of their deltas.
+
+    Groups meet their deltas by one key of their columns, in which missing values are equal.  filters: a value or several that a column has to
+    have, on both sides.  panel_rank is the least rank in the panel, which orders panels; groups without deltas have no box.
+    """
+    for column, choice in (filters or {}).items():
+        wanted = [str(c) for c in choice] if isinstance(choice, (list, tuple, set)) else [str(choice)]
+        deltas, ranking = (df.where(F.col(column).cast("string").isin(wanted)) for df in (deltas, ranking))
+    own = [panel] if panel else []
+    order = Window.partitionBy(*(own or [F.lit(1)])).orderBy(F.col(rank).asc_nulls_last(), *groups)
+    first = ranking.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top)
+    shown = list(dict.fromkeys([*own, *keys.existing(ranking, groups)]))
+    first = first.select(*shown, F.col(rank).alias("rank"), keys.combo_key(ranking, groups).alias("combo"))
+    if panel:
+        first = first.withColumn("panel_rank", F.min("rank").over(Window.partitionBy(panel)))
+    values = deltas.select(keys.combo_key(deltas, groups).alias("combo"), F.col(f"delta__{metric}").alias("_d")).where("_d is not null")
+    chosen = values.join(first.select("combo").distinct(), "combo", "left_semi")  # before values are dealt out by group
+    boxes = chosen.groupBy("combo").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in stats.five_numbers(F.col("_d")).items()))
+    return first.join(boxes, "combo")

@@ -1,27 +1,56 @@
-"""Distances and similarities: all pairs in blocks, their summaries and ladders, and nearest neighbours between two sides.
+"""Distances and similarities: all pairs in tiles, their summaries and ladders, and nearest neighbours between two sides.
 
-All pairs of n vectors are n (n - 1) / 2 rows by definition; they are made from blocks of vectors, each task multiplying two blocks, so that
-nothing is broadcast and memory is two blocks.  Summaries that need no single pair should use them rather than keep the pairs.
+All pairs of n vectors are n (n - 1) / 2 rows by definition.  Vectors are dealt to groups, and each task has the tile of two groups: about as many
+tiles as the session has tasks at a time, or more where a group's vectors would exceed BLOCK_BYTES.  So a vector travels as often as there are
+groups, tiles meet by an equal join, and a task holds two groups and a strip of values.  Summaries and quantiles of pairs are taken from counts, without a
+table of the pairs.  Rows whose vector is null or not finite take no part.  Keys are unique (checked() tells).
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import stats, vectors
 
-#: Vectors of one block.
-BLOCK = 512
+#: Bytes of the vectors of a group; vectors of a group at least, and of a strip of values at once.
+BLOCK_BYTES, LEAST, STRIP = 16 << 20, 64, 512
+#: Bins of a pass over values, and values that may be sorted at last.
+BINS, FEW = 4096, 100_000
+
+
+def taking_part(df: DataFrame, vector: str) -> DataFrame:
+    v = vectors.doubles(F.col(vector))
+    return df.where(F.col(vector).isNotNull() & F.coalesce(vectors.is_finite(v), F.lit(False)))
 
 
-def blocked(df: DataFrame, key: str, vector: str, extra: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """One row a block: its number, and its keys, vectors and extra columns as arrays."""
-    n = max(1, -(-df.count() // block))
-    number = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
+def groups(df: DataFrame, vector: str, block: int | None = None) -> int:
+    """How many groups the vectors of df are dealt to; block: the vectors of a group, if that is to be said."""
+    n, width = df.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    if block:
+        return max(1, -(-n // block))
+    wanted = math.isqrt(2 * df.sparkSession.sparkContext.defaultParallelism) + 1
+    return max(1, min(wanted, -(-n // LEAST)), -(-n * width * 8 // BLOCK_BYTES))
+
+
+def packed(df: DataFrame, key: str, vector: str, number: str, n: int, extra: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """One row a group (in each of by): its number, and its keys, vectors and extra columns, by key."""
+    block = F.pmod(F.xxhash64(key, vector), F.lit(n)).cast("int").alias(number)
     item = F.struct(F.col(key).alias("key"), vectors.doubles(F.col(vector)).alias("v"), *extra)
-    return df.where(F.col(vector).isNotNull()).groupBy(number).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return df.groupBy(*by, block).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _tiled(one: DataFrame, two: DataFrame, n_one: int, n_two: int, by: list[str] = (), half: bool = False) -> DataFrame:
+    """Both sides' items (items_a, items_b) for each pair of groups block_a and block_b; half: of one table with itself, each pair once."""
+    along_b = F.sequence(F.col("block_a") if half else F.lit(0), F.lit(n_two - 1))
+    along_a = F.sequence(F.lit(0), F.col("block_b") if half else F.lit(n_one - 1))
+    a = one.withColumnRenamed("items", "items_a").withColumn("block_b", F.explode(along_b))
+    b = two.withColumnRenamed("items", "items_b").withColumn("block_a", F.explode(along_a))
+    return a.join(b, [*by, "block_a", "block_b"]).repartition(*by, "block_a", "block_b")
 
 
 def _unpack(items, extra: list[str]):
@@ -37,40 +66,90 @@ def _values(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def pairs(df: DataFrame, key: str, vector: str, metric: str = "cosine", label: str | None = None, where: tuple[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+def pairs(df: DataFrame, key: str, vector: str, metric: str = "cosine", label: str | None = None, where: tuple[str, float] | None = None, block: int | None = None) -> DataFrame:
     """key_a < key_b, value, and with a label same_label, of all pairs; where (">=" or "<=", limit) keeps close ones before they leave the task."""
-    extra = [label] if label else []
-    one = blocked(df, key, vector, extra, block)
+    extra, df = [label] if label else [], taking_part(df, vector)
+    n = groups(df, vector, block)
     kind = dict(df.dtypes)[key]
     schema = f"key_a {kind}, key_b {kind}, value double" + (", same_label boolean" if label else "")
-    # Blocks meet where the first number is not above the second: a stated pairing of whole blocks, not of rows.
-    both = one.select(F.col("block").alias("block_a"), F.col("items").alias("items_a")).join(one.select(F.col("block").alias("block_b"), F.col("items").alias("items_b")), F.col("block_a") <= F.col("block_b"))
-    both = both.repartition("block_a", "block_b")
+    both = _tiled(packed(df, key, vector, "block_a", n, extra), packed(df, key, vector, "block_b", n, extra), n, n, half=True)
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 ka, va, ea = _unpack(row.items_a, extra)
                 kb, vb, eb = _unpack(row.items_b, extra)
-                value = _values(va, vb, metric)
-                ok = np.triu(np.ones(value.shape, bool), 1) if row.block_a == row.block_b else np.ones(value.shape, bool)
-                if where:
-                    ok &= value >= where[1] if where[0] == ">=" else value <= where[1]
-                i, j = np.nonzero(ok)
-                swap = ka[i] > kb[j]
-                out = {"key_a": np.where(swap, kb[j], ka[i]), "key_b": np.where(swap, ka[i], kb[j]), "value": value[i, j]}
-                if extra:
-                    out["same_label"] = ea[0][i] == eb[0][j]
-                yield pd.DataFrame(out)
+                for at in range(0, len(ka), STRIP):
+                    value = _values(va[at : at + STRIP], vb, metric)
+                    ok = np.triu(np.ones(value.shape, bool), 1 + at) if row.block_a == row.block_b else np.ones(value.shape, bool)
+                    if where:
+                        ok &= value >= where[1] if where[0] == ">=" else value <= where[1]
+                    i, j = np.nonzero(ok)
+                    value, i = value[i, j], i + at
+                    swap = ka[i] > kb[j]
+                    out = {"key_a": np.where(swap, kb[j], ka[i]), "key_b": np.where(swap, ka[i], kb[j]), "value": value}
+                    if extra:
+                        out["same_label"] = ea[0][i] == eb[0][j]
+                    yield pd.DataFrame(out)
 
     return both.mapInPandas(run, schema)
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] = ()) -> dict[tuple, list[float | None]]:
+    """For each group of by (few) the exact, linearly interpolated quantiles of column, nulls left out.
+
+    Passes of counts narrow each wanted rank down to a range of FEW values at most, or of one; only those are sorted, at last.
+    """
+    by, x = list(by), F.col(column).cast("double")
+    df = df.select(*(F.col(b).alias(f"_by{i}") for i, b in enumerate(by)), x.alias("_x")).where("_x is not null")
+    names = [f"_by{i}" for i in range(len(by))]
+    ends = {tuple(r[n] for n in names): (r["lo"], r["hi"], r["n"]) for r in df.groupBy(*names).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n")).collect() if r["n"]}
+    at = {g: [p * (n - 1) for p in shares] for g, (_, _, n) in ends.items()}
+    ranks = {g: sorted({r for h in at[g] for r in (math.floor(h), math.ceil(h))}) for g in ends}
+    known: dict[tuple, dict[int, float]] = {g: {} for g in ends}
+    open_ = [(g, lo, hi, 0, n) for g, (lo, hi, n) in ends.items()]  # group, least and greatest value, values before, values inside
+
+    def inside(g: tuple, lo: float, hi: float) -> Column:
+        own = F.col("_x").between(lo, hi)
+        for name, value in zip(names, g, strict=True):
+            own = own & F.col(name).eqNullSafe(F.lit(value))
+        return own
+
+    while wide := [o for o in open_ if o[4] > FEW and o[1] < o[2]]:
+        part, place = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (g, lo, hi, _, _) in enumerate(wide):
+            part = F.when(inside(g, lo, hi), i).otherwise(part)
+            place = F.when(inside(g, lo, hi), F.least(F.floor((F.col("_x") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")).otherwise(place)
+        counts = df.select(part.alias("part"), place.alias("place"), "_x").where("part is not null").groupBy("part", "place")
+        rows = counts.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n")).orderBy("part", "place").collect()
+        open_ = [o for o in open_ if o not in wide]
+        before = {i: o[3] for i, o in enumerate(wide)}
+        for r in rows:
+            g, first = wide[r["part"]][0], before[r["part"]]
+            before[r["part"]] += r["n"]
+            if any(first <= rank < first + r["n"] for rank in ranks[g]):
+                open_.append((g, r["lo"], r["hi"], first, r["n"]))
+    some = [o for o in open_ if o[1] < o[2]]
+    if some:
+        part = F.lit(None).cast("int")
+        for i, (g, lo, hi, _, _) in enumerate(some):
+            part = F.when(inside(g, lo, hi), i).otherwise(part)
+        values: dict[int, list[float]] = {}
+        for r in df.select(part.alias("part"), "_x").where("part is not null").collect():  # FEW for each wanted rank, at most
+            values.setdefault(r["part"], []).append(r["_x"])
+        for i, (g, _, _, first, _) in enumerate(some):
+            known[g] |= {first + j: v for j, v in enumerate(sorted(values[i])) if first + j in ranks[g]}
+    for g, lo, hi, first, n in open_:
+        if lo == hi:
+            known[g] |= {r: lo for r in ranks[g] if first <= r < first + n}
+    weighed = lambda g, h: known[g][math.floor(h)] + (known[g][math.ceil(h)] - known[g][math.floor(h)]) * (h - math.floor(h))
+    return {g: [weighed(g, h) for h in at[g]] for g in ends}
+
+
 def percentile_ladder(values: DataFrame, column: str, percents: list[float]) -> DataFrame:
-    """percentile, threshold: exact, linearly interpolated, in one pass."""
-    q = F.percentile(column, F.array(*(F.lit(p / 100) for p in percents)))
-    out = values.agg(q.alias("q"), F.array(*(F.lit(float(p)) for p in percents)).alias("p"))
-    return out.select(F.explode(F.arrays_zip("p", "q")).alias("z")).select(F.col("z.p").alias("percentile"), F.col("z.q").alias("threshold"))
+    """percentile, threshold: exact, linearly interpolated; null without values."""
+    found = quantiles(values, column, [p / 100 for p in percents]).get((), [None] * len(percents))
+    return values.sparkSession.createDataFrame([(float(p), q) for p, q in zip(percents, found, strict=True)], "percentile double, threshold double")
 
 
 def threshold_counts(values: DataFrame, column: str, limits: list[float], at_least: bool = True) -> DataFrame:
@@ -94,8 +173,13 @@ def pair_summary(values: DataFrame, column: str) -> DataFrame:
 
 
 def pair_type_summary(values: DataFrame, column: str, same: str = "same_label") -> DataFrame:
-    kind = F.when(F.col(same), "same_label").otherwise("different_label").alias("pair_type")
-    return values.groupBy(kind).agg(*(c.alias(n) for n, c in stats.describe(F.col(column)).items()))
+    """Count, mean, deviation, extremes and quartiles of the pairs of one label and of two."""
+    kind, x = F.when(F.col(same), "same_label").otherwise("different_label"), F.col(column)
+    values = values.withColumn("pair_type", kind)
+    quarter = [(g, *q) for (g,), q in quantiles(values, column, [0.25, 0.5, 0.75], ["pair_type"]).items()]
+    quarter = values.sparkSession.createDataFrame(quarter, "pair_type string, p25 double, p50 double, p75 double")
+    out = values.groupBy("pair_type").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("minimum"), F.max(x).alias("maximum"))
+    return out.join(quarter, "pair_type", "left").select("pair_type", "n", "mean", "std", "minimum", "p25", "p50", "p75", "maximum")
 
 
 def value_summary(df: DataFrame, vector: str) -> DataFrame:
@@ -107,22 +191,15 @@ def value_summary(df: DataFrame, vector: str) -> DataFrame:
     return out.select("n", "n_features", "minimum", "maximum", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("m") - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def nearest(test: DataFrame, train: DataFrame, key: str, vector: str, metric: str = "cosine", by: list[str] = (), block: int = BLOCK) -> DataFrame:
+def nearest(test: DataFrame, train: DataFrame, key: str, vector: str, metric: str = "cosine", by: list[str] = (), block: int | None = None) -> DataFrame:
     """Each test row's nearest train row in the same `by` groups: by, key, nearest_key, value (similarity or distance); ties to the smaller key.
 
-    Blocks of either side meet, each pair answers its best, and the best of those is taken: no side is broadcast or put in one task.
+    Groups of either side meet, each pair answers its best, and the best of those is taken: no side is broadcast or put in one task.
     """
-    by = list(by)
+    by, test, train = list(by), taking_part(test, vector), taking_part(train, vector)
     kind = dict(test.dtypes)[key]
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        number = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"block_{name}")
-        return df.where(F.col(vector).isNotNull()).groupBy(*by, number).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), vectors.doubles(F.col(vector)).alias("v")))).alias(f"items_{name}"))
-
-    one, two = packed(test, "a"), packed(train, "b")
-    both = one.join(two, by) if by else one.join(two, F.lit(True))
-    both = both.repartition(*by, "block_a", "block_b")
+    n_one, n_two = groups(test, vector, block), groups(train, vector, block)
+    both = _tiled(packed(test, key, vector, "block_a", n_one, by=by), packed(train, key, vector, "block_b", n_two, by=by), n_one, n_two, by)
     sign = 1 if metric == "cosine" else -1
 
     def run(frames):
@@ -130,20 +207,26 @@ def nearest(test: DataFrame, train: DataFrame, key: str, vector: str, metric: st
             for row in frame.to_dict("records"):
                 ka, va, _ = _unpack(row["items_a"], [])
                 kb, vb, _ = _unpack(row["items_b"], [])
-                value = _values(va, vb, metric) * sign
-                best = value.argmax(axis=1)
-                yield pd.DataFrame({**{b: row[b] for b in by}, "key": ka, "nearest_key": kb[best], "value": value[np.arange(len(ka)), best] * sign})
+                for at in range(0, len(ka), STRIP):
+                    value = _values(va[at : at + STRIP], vb, metric) * sign
+                    best = value.argmax(axis=1)
+                    yield pd.DataFrame({**{b: row[b] for b in by}, "key": ka[at : at + STRIP], "nearest_key": kb[best], "value": value[np.arange(len(best)), best] * sign})
 
     types = dict(test.dtypes)
     found = both.mapInPandas(run, ", ".join([*(f"{b} {types[b]}" for b in by), f"key {kind}", f"nearest_key {kind}", "value double"]))
-    rank = F.struct((F.col("value") * sign).alias("v"), F.negative("nearest_key").alias("k"), "nearest_key", "value")
-    return found.groupBy(*by, "key").agg(F.max(rank).alias("r")).select(*by, "key", "r.nearest_key", "r.value")
+    best = F.min_by(F.struct("nearest_key", "value"), F.struct((F.col("value") * -sign).alias("v"), "nearest_key"))
+    return found.groupBy(*by, "key").agg(best.alias("r")).select(*by, "key", "r.nearest_key", "r.value")
+
 
+def knn_vote(test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5, metric: str = "cosine", weights: str = "uniform", block: int | None = None) -> DataFrame:
+    """key, share of ones among the k nearest train rows (ties to smaller keys), predicted; groups of either side meet.
 
-def knn_vote(test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """key, share of ones among the k most similar train rows (ties to smaller keys), predicted; blocks of either side meet."""
-    one, two = blocked(test, key, vector, [], block), blocked(train, key, vector, [label], block)
-    both = one.select(F.col("block").alias("block_a"), F.col("items").alias("items_a")).join(two.select(F.col("block").alias("block_b"), F.col("items").alias("items_b")), F.lit(True)).repartition("block_a", "block_b")
+    weights: uniform, or distance (each vote by one over its distance; rows at no distance outvote all others).
+    """
+    sign = 1 if metric == "cosine" else -1
+    test, train = taking_part(test, vector), taking_part(train, vector)
+    n_one, n_two = groups(test, vector, block), groups(train, vector, block)
+    both = _tiled(packed(test, key, vector, "block_a", n_one), packed(train, key, vector, "block_b", n_two, [label]), n_one, n_two)
     kind = dict(test.dtypes)[key]
 
     def run(frames):
@@ -151,22 +234,65 @@ def knn_vote(test: DataFrame, train: DataFrame, key: str, vector: str, label: st
             for row in frame.itertuples(index=False):
                 ka, va, _ = _unpack(row.items_a, [])
                 kb, vb, (y,) = _unpack(row.items_b, [label])
-                value = np.round(_values(va, vb, "cosine"), 12)
-                order = np.argsort(-value, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"key": np.repeat(ka, order.shape[1]), "near": kb[order].ravel(), "value": np.take_along_axis(value, order, 1).ravel(), "y": y[order].ravel().astype(float)})
+                for at in range(0, len(ka), STRIP):
+                    value = np.round(_values(va[at : at + STRIP], vb, metric) * sign, 12)
+                    order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"key": np.repeat(ka[at : at + STRIP], order.shape[1]), "near": kb[order].ravel(), "value": np.take_along_axis(value, order, 1).ravel(), "y": y[order].ravel().astype(float)})
 
     found = both.mapInPandas(run, f"key {kind}, near {kind}, value double, y double")
     order = Window.partitionBy("key").orderBy(F.col("value").desc(), "near")
-    out = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy("key").agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    if weights == "distance":
+        apart = F.greatest(1 - F.col("value") if metric == "cosine" else -F.col("value"), F.lit(0.0))
+        found = found.withColumn("w", F.least(1 / F.greatest(apart, F.lit(1e-12)), F.lit(1e12)))
+    else:
+        found = found.withColumn("w", F.lit(1.0))
+    out = found.groupBy("key").agg(F.sum(F.col("y") * F.col("w")).alias("ones"), F.sum("w").alias("n"))
     return out.select("key", (F.col("ones") / F.col("n")).alias("score"), (F.col("ones") * 2 > F.col("n")).cast("int").alias("predicted"))
 
 
-def checked(df: DataFrame, key: str, vector: str, binary: bool = False, nonzero: bool = False) -> DataFrame:
-    """df, or an error: vectors finite, of one length, keys unique; on demand only 0 and 1, or none zero."""
+def canonical_ids(df: DataFrame, key: str) -> DataFrame:
+    """df with its key as text without blanks at the ends, or an error if one is null or empty."""
+    out = df.withColumn(key, F.trim(F.col(key).cast("string")))
+    if out.where(F.col(key).isNull() | (F.col(key) == "")).limit(1).count():
+        raise ValueError(f"rows without {key}")
+    return out
+
+
+def embedding_space(spark, spec: dict, read) -> DataFrame:
+    """A configured space {"path", "id", "vector" or "prefix", "metric"}: id, features, checked, and of unit length for cosine.
+
+    read(spark, path) gives its table; a vector column is taken as it is, else columns of the prefix, else all numeric columns but the id.
+    """
+    df, key = read(spark, spec["path"]), spec.get("id", "id")
+    if vector := spec.get("vector"):
+        features = F.col(vector)
+    else:
+        prefix = spec.get("prefix")
+        numeric = ("int", "bigint", "smallint", "tinyint", "float", "double")
+        wide = [c for c, t in df.dtypes if c != key and (c.startswith(prefix) if prefix else t in numeric or t.startswith("decimal"))]
+        if not wide:
+            raise ValueError(f"no features in {spec['path']}")
+        wide.sort(key=lambda c: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", c) if x])
+        features = F.array(*(F.col(c).cast("double") for c in wide))
+    out = canonical_ids(df.select(F.col(key).alias("id"), vectors.doubles(features).alias("features")), "id")
+    cosine = spec.get("metric", "cosine") == "cosine"
+    out = checked(out, "id", "features", nonzero=cosine)
+    return normalized(out, "features") if cosine else out
+
+
+def embedding_spaces(spark, configuration: dict[str, dict], read) -> dict[str, DataFrame]:
+    """embedding_space() of each name."""
+    return {name: embedding_space(spark, spec, read) for name, spec in configuration.items()}
+
+
+def checked(df: DataFrame, key: str, vector: str, binary: bool = False, nonzero: bool = False, least_rows: int = 0) -> DataFrame:
+    """df, or an error: vectors finite, of one length, keys unique, rows enough; on demand only 0 and 1, or none zero."""
     v = vectors.doubles(F.col(vector))
     bad = df.agg(
         F.count_if(~vectors.is_finite(v)).alias("not finite"), (F.count_distinct(F.size(v)) - 1).alias("of another length"), (F.count("*") - F.count_distinct(key)).alias("repeated or null keys"),
         F.count_if(~vectors.is_binary(v) if binary else F.lit(False)).alias("not binary"), F.count_if(vectors.norm(v) == 0 if nonzero else F.lit(False)).alias("zero"),
+        F.greatest(F.lit(least_rows) - F.count("*"), F.lit(0)).alias("rows too few"),
     ).first().asDict()
     if wrong := {k: n for k, n in bad.items() if n and n > 0}:
         raise ValueError(f"vectors: {wrong}")
@@ -177,8 +303,26 @@ def normalized(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, vectors.unit(vectors.doubles(F.col(vector))))
 
 
-def similarity_summary(x: Column) -> dict[str, Column]:
-    """Mean, median, tails and shares of near-identical of the best similarity to train."""
+def similarity_summary(x: Column, values: str = "similarity") -> dict[str, Column]:
+    """Mean, median and tails of the best similarity to train, and the shares of near-identical rows; of distances no shares."""
     q = F.percentile(x, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
     out = {"mean": F.avg(x), **{n: F.get(q, F.lit(i)) for i, n in enumerate(("p05", "p25", "median", "p75", "p95"))}, "maximum": F.max(x)}
+    if values != "similarity":
+        return out
     return out | {f"prop_{int(t * 100)}": F.avg(F.when(x >= t, 1.0).otherwise(0.0)) for t in (0.90, 0.95, 0.99)}
+
+
+def fold_geometry(found: DataFrame, by: list[str], metric: str = "cosine") -> DataFrame:
+    """Per fold: test rows, tails of the distance to the nearest train row, and of the similarity, null unless the metric is cosine."""
+    value = F.col("value")
+    apart = similarity_summary(1 - value if metric == "cosine" else value, "distance")
+    alike = similarity_summary(value if metric == "cosine" else F.lit(None).cast("double"))
+    return found.groupBy(*by).agg(F.count("*").alias("n_test"), *(c.alias(f"distance_{n}") for n, c in apart.items()), *(c.alias(f"similarity_{n}") for n, c in alike.items()))
+
+
+def geometry_of_folds(folds: DataFrame, by: list[str], seed: str) -> DataFrame:
+    """Over folds and seeds of fold_geometry(): the mean of means, their deviation, the greatest of the greatest, and how many seeds and folds."""
+    out = [F.count_distinct(seed).alias("n_seeds"), F.count("*").alias("n_folds"), F.sum("n_test").alias("n_test")]
+    for x in ("distance", "similarity"):
+        out += [F.avg(f"{x}_mean").alias(f"{x}_mean"), F.stddev_samp(f"{x}_mean").alias(f"{x}_std"), F.max(f"{x}_maximum").alias(f"{x}_maximum")]
+    return folds.groupBy(*by).agg(*out)

@@ -88,9 +88,14 @@ def pair_differences(df: DataFrame, config: str, units: list[str], metric: str,
     return one.join(two, units).where("r1 < r2").withColumn("difference", F.col("m1") - F.col("m2")).drop("m1", "m2")
 
 
-def compared_pairs(differences: DataFrame) -> DataFrame:
-    """n, mean, median, deviation and 95 % t interval of each pair's differences, and whether the interval holds zero."""
+def pair_means(differences: DataFrame) -> DataFrame:
+    """n, mean, median and deviation (0 for one) of each pair's differences, and whether the first is higher."""
     x = F.col("difference")
-    out = differences.groupBy("first", "second").agg(F.count(x).alias("n_pairs"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_samp(x).alias("std"), stats.half_width_t(x).alias("half"))
-    out = out.withColumns({"ci_low": F.col("mean") - F.col("half"), "ci_high": F.col("mean") + F.col("half")}).drop("half")
-    return out.withColumn("ci_crosses_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))
+    out = differences.groupBy("first", "second").agg(F.count(x).alias("n_pairs"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"))
+    return out.where("n_pairs > 0").withColumn("first_higher", F.col("mean") > 0)
+
+
+def compared_pairs(differences: DataFrame, n_boot: int = 2000, ci: float = 95, seed: int = 123) -> DataFrame:
+    """pair_means() with the bootstrap interval of each mean, and whether it holds zero."""
+    found = bootstrap_ci(differences, ["first", "second"], "difference", n_boot, ci, seed).select("first", "second", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
+    return pair_means(differences).join(found, ["first", "second"]).withColumn("ci_crosses_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))

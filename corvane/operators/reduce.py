@@ -2,42 +2,71 @@
 
 Two reducers that must not be confused: *one pass* drops a row if any earlier row is close; *greedy* drops a row only if an earlier row
 that is itself kept is close.  Greedy is the sequential rule; here it is reached in rounds on the table of close pairs, each of which
-decides the rows whose earlier close rows are all decided.
+keeps the rows without an undecided earlier one, drops what is close to them, and goes on with the pairs that are left.
+
+Values are similarities unless a caller says that they are distances; the closest is the greatest of the ones, the least of the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as reduce_left
 
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import stats
 
 
-def one_pass(close: DataFrame) -> DataFrame:
-    """removed_id, representative_id (its closest earlier row), cluster_id of close pairs (key_a < key_b, value: a similarity)."""
-    best = F.max(F.struct(F.round("value", 9).alias("v"), F.negative("key_a").alias("o"), F.col("key_a").alias("k")))
-    out = close.groupBy(F.col("key_b").alias("removed_id")).agg(best.alias("b"))
+def one_pass(close: DataFrame, distance: bool = False) -> DataFrame:
+    """removed_id, representative_id (its closest earlier row, ties to the smaller id), cluster_id of close pairs (key_a < key_b, value)."""
+    apart = F.round("value", 9) * (1 if distance else -1)
+    out = close.groupBy(F.col("key_b").alias("removed_id")).agg(F.min(F.struct(apart.alias("v"), F.col("key_a").alias("k"))).alias("b"))
     return out.select("removed_id", F.col("b.k").alias("representative_id"), F.col("b.k").alias("cluster_id"))
 
 
-def greedy(close: DataFrame, keep: Callable[[DataFrame], DataFrame], most_rounds: int = 200) -> DataFrame:
-    """The same columns by the greedy rule; keep writes a table and returns it, to cut lineage each round (DataFrame.checkpoint does)."""
+def greedy(close: DataFrame, keep: Callable[[DataFrame], DataFrame], distance: bool = False) -> DataFrame:
+    """The same columns by the greedy rule; keep writes a table and returns it, to cut lineage each round (DataFrame.checkpoint does).
+
+    Each round decides the row of the least id at least, so the rounds end; they are as many as the longest chain of decisions.
+    """
     edges = keep(close.select("key_a", "key_b", "value"))
-    state = keep(edges.select(F.explode(F.array("key_a", "key_b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
-        a, b = state.select(F.col("id").alias("key_a"), F.col("kept").alias("kept_a")), state.where("kept is null").select(F.col("id").alias("key_b"))
-        seen = edges.join(b, "key_b").join(a, "key_a").groupBy(F.col("key_b").alias("id")).agg(F.bool_or(F.coalesce("kept_a", F.lit(False))).alias("near"), F.bool_or(F.col("kept_a").isNull()).alias("open"))
-        step = state.join(seen, "id", "left")
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("near").isNull(), True).when(F.col("near"), False).when(~F.col("open"), True)
-        state = keep(step.select("id", decided.alias("kept")))
-        if not state.where("kept is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError("rows left undecided")
-    kept = state.where("kept").select(F.col("id").alias("key_a"))
-    gone = state.where("not kept").select(F.col("id").alias("key_b"))
-    return one_pass(edges.join(gone, "key_b", "left_semi").join(kept, "key_a", "left_semi"))
+    open_, gone = edges.select("key_a", "key_b"), None
+    while open_.limit(1).count():
+        later = open_.select(F.col("key_b").alias("key_a")).distinct()
+        first = open_.select("key_a").distinct().join(later, "key_a", "left_anti")  # kept: all close rows before them went
+        near = keep(open_.join(first, "key_a", "left_semi").select("key_b").distinct())
+        gone = near if gone is None else keep(gone.unionByName(near))
+        open_ = open_.join(near, "key_b", "left_anti").join(near.select(F.col("key_b").alias("key_a")), "key_a", "left_anti")
+        open_ = keep(open_)
+    if gone is None:
+        return one_pass(edges, distance)
+    kept = edges.join(gone, "key_b", "left_semi").join(gone.select(F.col("key_b").alias("key_a")), "key_a", "left_anti")
+    return one_pass(kept, distance)
+
+
+def reduction_ladder(df: DataFrame, key: str, vector: str, label: str, ladder: list[tuple[float, float]], keep: Callable[[DataFrame], DataFrame], metric: str = "cosine", rule: str = "greedy", labels: list[int] = (0, 1)) -> tuple[DataFrame, DataFrame]:
+    """Reductions at each (percentile, threshold) of a ladder, from one table of the pairs that the widest threshold calls close.
+
+    Returns the maps (percentile, removed_id, representative_id, cluster_id) and the summary, a row a percentile.  Thresholds of
+    distances may not grow with the percentile, those of similarities not fall.
+    """
+    from corvane.operators import geometry
+
+    distance, ladder = metric != "cosine", sorted(ladder)
+    limits = [t for _, t in ladder]
+    if len({p for p, _ in ladder}) < len(ladder):
+        raise ValueError("percentiles repeat")
+    if distance and min(limits) < 0 or limits != sorted(limits, reverse=distance):
+        raise ValueError("distance thresholds may not be negative nor grow with the percentile" if distance else "similarity thresholds may not fall with the percentile")
+    close = keep(geometry.pairs(df, key, vector, metric, where=("<=", max(limits)) if distance else (">=", min(limits))).select("key_a", "key_b", "value"))
+    maps, summaries = [], []
+    for percent, limit in ladder:
+        near = close.where(F.col("value") <= limit if distance else F.col("value") >= limit)
+        removed = greedy(near, keep, distance) if rule == "greedy" else one_pass(near, distance)
+        removed = keep(removed.select(F.lit(percent).alias("percentile"), "*"))
+        maps.append(removed)
+        summaries.append(retention(df, removed, key, label, labels).select(F.lit(percent).alias("percentile"), F.lit(float(limit)).alias("threshold"), "*"))
+    return reduce_left(DataFrame.unionByName, maps), reduce_left(DataFrame.unionByName, summaries)
 
 
 def retained(df: DataFrame, key: str, removed: DataFrame) -> DataFrame:
@@ -47,7 +76,7 @@ def retained(df: DataFrame, key: str, removed: DataFrame) -> DataFrame:
 
 def retention(df: DataFrame, removed: DataFrame, key: str, label: str, labels: list[int] = (0, 1)) -> DataFrame:
     """n_original, n_reduced, removed, kept_fraction and n_<label> of what is kept, from one pass over df."""
-    gone = removed.select(F.col("removed_id").alias(key), F.lit(True).alias("_gone"))
+    gone = removed.select(F.col("removed_id").alias(key), F.lit(True).alias("_gone"))  # ids, one row each
     kept = F.col("_gone").isNull()
     out = df.join(gone, key, "left").agg(F.count("*").alias("n_original"), F.count_if(kept).alias("n_reduced"), *(F.count_if(kept & (F.col(label) == x)).alias(f"n_{x}") for x in labels))
     return out.withColumns({"removed": F.col("n_original") - F.col("n_reduced"), "kept_fraction": stats.ratio(F.col("n_reduced"), F.col("n_original"))})
@@ -70,6 +99,55 @@ def label_retention(before: DataFrame, after: DataFrame, label: str) -> DataFram
     return out.withColumn("retained_pct", stats.ratio(F.col("n_after") * 100, F.col("n_before")))
 
 
+def matched_reduction(df: DataFrame, key: str, vector: str, target: int, low: float, high: float, keep: Callable[[DataFrame], DataFrame], metric: str = "cosine", within: int = 15, steps: int = 16) -> tuple[float, DataFrame, DataFrame]:
+    """The greedy reduction between two thresholds that leaves nearest to target rows: its threshold, its map, and the history of tries.
+
+    Pairs are made once, for the threshold that calls most of them close; a try takes those that its own threshold leaves.
+    """
+    from corvane.operators import geometry
+
+    distance, n = metric != "cosine", df.count()
+    widest = ("<=", max(low, high)) if distance else (">=", min(low, high))
+    close = keep(geometry.pairs(df, key, vector, metric, where=widest).select("key_a", "key_b", "value"))
+
+    def at(limit: float) -> DataFrame:
+        return greedy(close.where(F.col("value") <= limit if distance else F.col("value") >= limit), keep, distance)
+
+    # What is left grows with a limit on similarities and shrinks with one on distances.
+    limit, history = matched_threshold(lambda x: n - at(-x if distance else x).count(), *((-high, -low) if distance else (low, high)), target, within, steps)
+    history = [h | {"threshold": -h["threshold"] if distance else h["threshold"]} for h in history]
+    found = df.sparkSession.createDataFrame([tuple(h.values()) for h in history], "iteration int, threshold double, n_retained long, difference long")
+    limit = -limit if distance else limit
+    return limit, keep(at(limit)), found
+
+
+def checked_map(removed: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """A reduction map, or an error: ids and representatives are known, none is removed twice, no representative is removed, clusters are named."""
+    known = ids.select(F.col(key).alias("_id"))
+    gone, lead = removed.select(F.col("removed_id").alias("_id")), removed.select(F.col("representative_id").alias("_id"))
+    wrong = {
+        "removed twice": gone.groupBy("_id").count().where("count > 1"),
+        "of unknown ids": gone.unionByName(lead).join(known, "_id", "left_anti"),
+        "with removed representatives": lead.join(gone, "_id", "left_semi"),
+        "without a cluster": removed.where("cluster_id is null or representative_id is null or removed_id is null"),
+    }
+    for what, rows in wrong.items():
+        if found := rows.limit(3).collect():
+            raise ValueError(f"rows {what}: {found}")
+    return removed
+
+
+def homology_rows(removed: DataFrame, df: DataFrame, key: str, label: str, identity: str = "min_seq_id", labels: list[int] = (0, 1)) -> DataFrame:
+    """A summary row of each identity threshold of a table of maps (identity, removed_id): counts before and after, of each label too."""
+    limits = removed.select(identity).distinct()
+    total = df.agg(F.count("*").alias("n_original"), *(F.count_if(F.col(label) == y).alias(f"all_{y}") for y in labels))
+    gone = removed.select(identity, F.col("removed_id").alias(key)).distinct().join(df.select(key, label), key)
+    gone = gone.groupBy(identity).agg(F.count("*").alias("removed"), *(F.count_if(F.col(label) == y).alias(f"gone_{y}") for y in labels))
+    out = limits.join(gone, identity, "left").fillna(0).crossJoin(F.broadcast(total))  # one row
+    kept = F.col("n_original") - F.col("removed")
+    return out.select(identity, "n_original", kept.alias("n_reduced"), "removed", stats.ratio(kept, F.col("n_original")).alias("kept_fraction"), *((F.col(f"all_{y}") - F.col(f"gone_{y}")).alias(f"n_{y}") for y in labels))
+
+
 def matched_threshold(count_at: Callable[[float], int], low: float, high: float, target: int, within: int = 15, steps: int = 16) -> tuple[float, list[dict]]:
     """The threshold between low and high whose count is nearest to target, by bisection; and its history, nearest first.
 

@@ -63,8 +63,12 @@ def completeness(expected: DataFrame, found: DataFrame, by: list[str]) -> DataFr
 
 
 def corrected_master(base: DataFrame, replacement: DataFrame, by: list[str]) -> DataFrame:
-    """base without the keys that replacement brings, and replacement; origin says which; columns that one side lacks are null."""
-    gone = replacement.select(*by).distinct()
+    """base without the keys that replacement brings, and replacement; origin says which; columns that one side lacks are null.
+
+    A key that one of the tables has twice is an error: which of its rows counts can't be told.
+    """
+    base, replacement = keys.assert_unique(base, by), keys.assert_unique(replacement, by)
+    gone = replacement.select(*by)
     on = reduce(lambda a, b: a & b, (F.col(f"base.{c}").eqNullSafe(F.col(f"gone.{c}")) for c in by))
     kept = base.alias("base").join(gone.alias("gone"), on, "left_anti")
     return kept.withColumn("origin", F.lit("original")).unionByName(replacement.withColumn("origin", F.lit("replacement")), allowMissingColumns=True)

@@ -10,7 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions import stats, vectors
+from corvane.functions import naming, stats, vectors
+from corvane.operators.curate import numbered
 
 #: Ranges of the hash that rows are ranked in: two hexadecimal digits.
 RANGES = 2
@@ -40,19 +41,23 @@ def kfold(df: DataFrame, key: str, seed: int, n_splits: int = 5, label: str | No
     return out.select(*columns, F.floor(F.col("_rank") * n_splits / F.col("_n")).cast("int").alias("fold"))
 
 
-def distance_folds(df: DataFrame, key: str, vector: str, seed: int, n_splits: int = 5) -> DataFrame:
+def distance_folds(df: DataFrame, key: str, vector: str, seed: int, n_splits: int = 5, metric: str = "euclidean", standardize: bool = False) -> DataFrame:
     """Folds of equal size by distance to the centroid, so that test rows lie apart from train rows; ties by hash of key and seed.
 
-    The centroid is one vector of sums; ranks are taken in 256 ranges of the distance.
+    metric: euclidean, or cosine (1 - similarity); standardize: after each place's mean and deviation are taken out.  The centroid is one
+    vector of sums.  Rows are numbered in ranges of their own making, so a distance that many rows have costs no single task.
     """
+    if standardize:
+        from corvane.operators.training import scaled
+
+        df = scaled(df.select(key, vector), vector, "standard")
     v = vectors.doubles(F.col(vector))
     center = df.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_center"))
-    far = df.select(key, v.alias("v")).crossJoin(F.broadcast(center)).select(key, F.round(vectors.euclidean(F.col("v"), F.col("_center")), 9).alias("_far"))  # one row
-    span = far.agg(F.min("_far").alias("_lo"), F.max("_far").alias("_hi"))
-    scaled = F.coalesce(F.try_divide((F.col("_far") - F.col("_lo")) * F.lit(2.0**40 - 1), F.col("_hi") - F.col("_lo")), F.lit(0.0)).cast("long")
-    order = F.concat(F.lpad(F.lower(F.hex(scaled)), 10, "0"), order_hash(key, seed))
-    out = ranked(far.crossJoin(F.broadcast(span)), order)
-    return out.select(key, F.floor(F.col("_rank") * n_splits / F.col("_n")).cast("int").alias("fold"))
+    apart = vectors.euclidean(F.col("v"), F.col("_center")) if metric == "euclidean" else 1 - F.coalesce(vectors.cosine(F.col("v"), F.col("_center")), F.lit(0.0))
+    far = df.select(key, v.alias("v")).crossJoin(F.broadcast(center)).select(key, F.round(apart, 6).alias("_far"), order_hash(key, seed).alias("_order"))  # one row
+    out = numbered(far, ["_far", "_order", key], "_number")
+    n = out.agg(F.count("*").alias("_n"))
+    return out.crossJoin(F.broadcast(n)).select(key, F.floor((F.col("_number") - 1) * n_splits / F.col("_n")).cast("int").alias("fold"))  # one row
 
 
 def assignments(folds: DataFrame, key: str, n_splits: int, seed: int, val_share: float = 0.1, **tags: str) -> DataFrame:
@@ -110,3 +115,19 @@ def fingerprint(assigned: DataFrame, key: str, by: list[str]) -> DataFrame:
     """A digest of each group's train and test ids."""
     ids = lambda part: F.collect_list(F.when(F.col("part") == part, F.col(key).cast("string")))
     return assigned.groupBy(*by).agg(vectors.assignment_hash(ids("train"), ids("test")).alias("assignment_hash"))
+
+
+def ordered_levels(df: DataFrame, level: str) -> DataFrame:
+    """df with the kind of each level (none, percentile, identity, threshold), its value, and level_order: kinds in that order, each by value."""
+    text = F.coalesce(F.col(level).cast("string"), F.lit(""))
+    kind = F.when(text.rlike("^p[0-9]"), "percentile").when(text.startswith("minseqid_"), "identity").when(text.startswith("threshold_"), "threshold").otherwise("none")
+    out = df.withColumns({"level_kind": kind, "level_value": naming.parameter_value(text)})
+    place = F.array_position(F.array(*(F.lit(k) for k in ("none", "percentile", "identity", "threshold"))), F.col("level_kind"))
+    order = Window.orderBy(place, F.col("level_value").asc_nulls_first(), level)
+    ranks = out.select(level, "level_kind", "level_value").distinct().withColumn("level_order", F.row_number().over(order)).select(F.col(level).alias("_level"), "level_order")  # levels, not data
+    return out.join(ranks, F.col(level).eqNullSafe(F.col("_level"))).drop("_level")
+
+
+def feasibility(status: DataFrame, scenario: str, level: str, levels: list[str]) -> DataFrame:
+    """The share of kept splits by scenario and level, one column a level."""
+    return status.groupBy(scenario).pivot(level, levels).agg(F.avg((F.col("status") == "kept").cast("double")))

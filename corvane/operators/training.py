@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import stats, vectors
+from corvane.operators import geometry, models
 
-#: Scalers by name; quantile and power need a fit beyond sums and are offered per column by percent_rank only.
-SCALERS = ("none", "standard", "minmax", "maxabs", "robust", "l1", "l2", "max", "quantile")
+#: Scalers by name; normalizer_l2 is another name of l2.
+SCALERS = ("none", "standard", "minmax", "maxabs", "robust", "l1", "l2", "max", "quantile", "power", "normalizer_l2")
 METRICS = ("accuracy", "precision", "recall", "f1", "mcc")
 
 
@@ -31,14 +33,16 @@ def _statistics(df: DataFrame, vector: str, scaler: str) -> DataFrame:
 
 def scaled(df: DataFrame, vector: str, scaler: str = "standard", fit_on: DataFrame | None = None) -> DataFrame:
     """df with its vector scaled; what is learned is learned from fit_on (the train rows), population deviation, a constant place left as it is."""
-    v = vectors.doubles(F.col(vector))
+    v, scaler = vectors.doubles(F.col(vector)), "l2" if scaler == "normalizer_l2" else scaler
     if scaler in ("none", None):
         return df
     if scaler in ("l1", "l2", "max"):
         size = {"l1": F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), "l2": vectors.norm(v), "max": F.array_max(F.transform(v, F.abs))}[scaler]
         return df.withColumn(vector, F.transform(v, lambda x: x / F.when(size > 0, size).otherwise(1.0)))
     if scaler == "quantile":
-        return _quantile(df, vector, fit_on or df)
+        return _quantile(df, vector, fit_on if fit_on is not None else df)
+    if scaler == "power":
+        return _power(df, vector, fit_on if fit_on is not None else df)
     fit = _statistics(fit_on if fit_on is not None else df, vector, scaler)  # one row
     return df.crossJoin(F.broadcast(fit)).withColumn(vector, F.zip_with(v, F.col("_fit"), lambda x, f: (x - f["c"]) / f["s"])).drop("_fit")
 
@@ -51,6 +55,35 @@ def _quantile(df: DataFrame, vector: str, fit_on: DataFrame, points: int = 1000)
     return df.crossJoin(F.broadcast(fit)).withColumn(vector, F.zip_with(vectors.doubles(F.col(vector)), F.col("_fit"), below)).drop("_fit")
 
 
+def yeo_johnson(x: Column, power: Column) -> Column:
+    """The power transform of numbers of either sign."""
+    up = F.when(F.abs(power) < 1e-9, F.log1p(x)).otherwise((F.pow(1 + x, power) - 1) / power)
+    down = F.when(F.abs(power - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - power) - 1) / (2 - power))
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def _power(df: DataFrame, vector: str, fit_on: DataFrame, low: float = -4.0, high: float = 6.0, tries: int = 11, passes: int = 6) -> DataFrame:
+    """Each place by its Yeo-Johnson power of greatest likelihood on the train rows, then standardised.
+
+    A pass holds `tries` powers of each place against one another in one aggregate, and the next looks between the neighbours of the best.
+    """
+    long = fit_on.select(F.posexplode(vectors.doubles(F.col(vector))).alias("i", "x"))
+    grid, step = long.select("i").distinct().select("i", F.lit(low).alias("lo")), (high - low) / (tries - 1)
+    for turn in range(passes):
+        powers = [F.col("lo") + k * step for k in range(tries)]
+        drift = F.sum(F.signum("x") * F.log1p(F.abs("x")))
+        fits = [(-F.count("x") / 2 * F.log(F.greatest(F.var_pop(yeo_johnson(F.col("x"), p)), F.lit(1e-300))) + (F.first(p) - 1) * drift).alias(f"fit{k}") for k, p in enumerate(powers)]
+        best = long.join(F.broadcast(grid), "i").groupBy("i", "lo").agg(*fits)  # as many rows as a vector has places
+        at = F.array_position(F.array(*(f"fit{k}" for k in range(tries))), F.greatest(*(f"fit{k}" for k in range(tries)))).cast("double") - 1
+        found = best.select("i", (F.col("lo") + at * step).alias("power")).collect()
+        if turn < passes - 1:
+            grid = df.sparkSession.createDataFrame([(r["i"], max(low, r["power"] - step)) for r in found], "i int, lo double")
+            step = 2 * step / (tries - 1)
+    powers = F.array(*(F.lit(float(p)) for _, p in sorted((r["i"], r["power"]) for r in found)))
+    turned = lambda rows: rows.withColumn(vector, F.zip_with(vectors.doubles(F.col(vector)), powers, yeo_johnson))
+    return scaled(turned(df), vector, "standard", turned(fit_on))
+
+
 def metrics(df: DataFrame, truth: str, predicted: str, by: Iterable[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*(c.alias(n) for n, c in stats.confusion(F.col(truth), F.col(predicted)).items()))
 
@@ -59,43 +92,116 @@ def model(name: str, features: str = "features", label: str = "label", **setting
     """A classifier of pyspark.ml by the usual name of its kind."""
     from pyspark.ml import classification as c
 
-    kinds = {"LogisticRegression": c.LogisticRegression, "RandomForestClassifier": c.RandomForestClassifier, "DecisionTreeClassifier": c.DecisionTreeClassifier, "LinearSVC": c.LinearSVC, "GradientBoostingClassifier": c.GBTClassifier, "GaussianNB": c.NaiveBayes, "MLPClassifier": c.MultilayerPerceptronClassifier}
+    forest, boosted = c.RandomForestClassifier, c.GBTClassifier
+    kinds = {"LogisticRegression": c.LogisticRegression, "RandomForestClassifier": forest, "ExtraTreesClassifier": forest, "BaggingClassifier": forest, "DecisionTreeClassifier": c.DecisionTreeClassifier, "ExtraTreeClassifier": forest, "LinearSVC": c.LinearSVC, "SVC": c.LinearSVC, "GaussianProcessClassifier": c.LogisticRegression, "GradientBoostingClassifier": boosted, "HistGradientBoostingClassifier": boosted, "XGBClassifier": boosted, "LGBMClassifier": boosted, "GaussianNB": c.NaiveBayes, "MLPClassifier": c.MultilayerPerceptronClassifier}
     if name not in kinds:
-        raise ValueError(f"no distributed model of the name {name}; there are {', '.join(kinds)}")
+        raise ValueError(f"no distributed model of the name {name}; there are {', '.join(sorted({*kinds, *models.PARAMETERS}))}")
     if name == "GaussianNB":
         settings.setdefault("modelType", "gaussian")
-    if name in ("RandomForestClassifier", "DecisionTreeClassifier", "GradientBoostingClassifier"):
+    if name in ("ExtraTreesClassifier", "ExtraTreeClassifier"):
+        settings = {"bootstrap": False, "maxBins": 8, "featureSubsetStrategy": "sqrt", "numTrees": 1 if name == "ExtraTreeClassifier" else 100} | settings
+    if name == "BaggingClassifier":
+        settings = {"featureSubsetStrategy": "all", "numTrees": 10} | settings
+    if kinds[name] in (forest, boosted, c.DecisionTreeClassifier):
         settings.setdefault("seed", 0)
     return kinds[name](featuresCol=features, labelCol=label, **settings)
 
 
-def fitted(train: DataFrame, test: DataFrame, vector: str, label: str, name: str, scaler: str = "none", **settings) -> DataFrame:
-    """test with prediction; scaler and model learn from train only; a label other than 1 counts as 0."""
+def _predicted(train: DataFrame, test: DataFrame, name: str, settings: dict) -> DataFrame:
+    """test with prediction, by a model of train; both have _x (doubles), _y (0.0 or 1.0) and _key."""
     from pyspark.ml.functions import array_to_vector
 
-    def ready(df: DataFrame) -> DataFrame:
-        out = scaled(df, vector, scaler, fit_on=train)
-        return out.withColumns({"_x": array_to_vector(vectors.doubles(F.col(vector))), "_y": F.coalesce((F.col(label) == 1).cast("double"), F.lit(0.0))})
-
-    predicted = model(name, "_x", "_y", **settings).fit(ready(train)).transform(ready(test))
-    return predicted.withColumn("prediction", F.col("prediction").cast("int")).select(*test.columns, "prediction")
+    settings = dict(settings)
+    if name == "KNeighborsClassifier":
+        k, metric, weights = settings.pop("k", 5), settings.pop("metric", "euclidean"), settings.pop("weights", "uniform")
+        votes = geometry.knn_vote(test, train, "_key", "_x", "_y", int(k), "cosine" if metric == "cosine" else "euclidean", weights)
+        return test.join(votes.select(F.col("key").alias("_key"), F.col("predicted").alias("prediction")), "_key")
+    if name in ("LinearDiscriminantAnalysis", "QuadraticDiscriminantAnalysis"):
+        return models.Discriminant(name.startswith("Linear"), **settings).fit(train, "_x", "_y").predicted(test, "_x")
+    if name in ("SVC", "GaussianProcessClassifier"):
+        gamma = settings.pop("gamma", "scale")
+        train, test = (models.kernel_features(df, "_x", gamma, train) for df in (train, test))
+    out = model(name, "_v", "_y", **settings).fit(train.withColumn("_v", array_to_vector("_x"))).transform(test.withColumn("_v", array_to_vector("_x")))
+    return out.withColumn("prediction", F.col("prediction").cast("int"))
+
+
+def _ready(df: DataFrame, train: DataFrame, vector: str, label: str, scaler: str) -> DataFrame:
+    out = scaled(df, vector, scaler, fit_on=train)
+    return out.withColumns({"_x": vectors.doubles(F.col(vector)), "_y": F.coalesce((F.col(label) == 1).cast("double"), F.lit(0.0))})
+
+
+def fitted(train: DataFrame, test: DataFrame, vector: str, label: str, name: str, scaler: str = "none", key: str | None = None, **settings) -> DataFrame:
+    """test with prediction; scaler and model learn from train only; a label other than 1 counts as 0.  key: unique on either side, for neighbours' votes."""
+    one, two = (_ready(df, train, vector, label, scaler).withColumn("_key", F.col(key) if key else F.lit(None)) for df in (train, test))
+    return _predicted(one, two, name, settings).select(*test.columns, "prediction")
+
+
+def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurations: list[dict], keep: Callable[[DataFrame], DataFrame], scalers: Iterable[str] = ("none",), at_once: int = 4, **tags) -> tuple[DataFrame, DataFrame]:
+    """Fold results of each configuration {"algorithm", "params"} with each scaler, and the configurations that failed (fold, cfg_idx, scaler, error).
+
+    df is a long table of assignments with fold, part (train, val, test), features and label.  A scaler is fitted once a fold, on its train rows, and
+    its scaled rows are written (keep); configurations share them, at_once of them at a time.  One that fails is listed and doesn't end the others.
+    params have the names of training grids; tags are constant columns.
+    """
+    spark, done, failed = df.sparkSession, [], []
+    folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]  # few
+    width = df.select(F.size(vector)).first()
+    for fold in folds:
+        own = df.where(F.col("fold") == fold).select(F.col(key).alias("_key"), "part", F.col(vector).alias(vector), label)
+        for scaler in scalers:
+            rows = keep(_ready(own, own.where("part = 'train'"), vector, label, scaler).select("_key", "part", "_x", "_y"))
+            counts = {r["part"]: (r["n"], int(r["k"])) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("_y").alias("k")).collect()}
+            train, asked = rows.where("part = 'train'"), rows.where("part <> 'train'")
+
+            def one(at: int, fold=fold, scaler=scaler, train=train, asked=asked, counts=counts):
+                c = configurations[at]
+                try:
+                    settings = models.translated(c["algorithm"], c.get("params", {}), counts["train"][0])
+                    found = _predicted(train, asked, c["algorithm"], settings).withColumn("_t", F.col("_y").cast("int"))
+                    found = {r["part"]: r for r in metrics(found, "_t", "prediction", ["part"]).collect()}
+                    row = {"fold": fold, "cfg_idx": at, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler, "n_features": width[0]}
+                    for p in ("train", "val", "test"):
+                        n, k = counts.get(p, (0, 0))
+                        row |= {f"n_{p}": n, f"{p}_pos": k, f"{p}_neg": n - k}
+                    for p in ("val", "test"):
+                        row |= {f"{m}_{p}": float(found[p][m]) if p in found else None for m in METRICS}
+                    done.append(row)
+                except Exception as error:
+                    failed.append((fold, at, scaler, c.get("algorithm"), f"{type(error).__name__}: {error}"[:500]))
+
+            with ThreadPool(max(1, min(at_once, len(configurations)))) as pool:
+                pool.map(one, range(len(configurations)))
+    if not done:
+        raise RuntimeError(f"no configuration gave results: {failed[:3]}")
+    done.sort(key=lambda r: (r["fold"], r["scaler"], r["cfg_idx"]))
+    kind = {"fold": dict(df.dtypes)["fold"], "algorithm": "string", "config": "string", "scaler": "string"}
+    schema = ", ".join(f"{c} {kind.get(c, 'double' if c.endswith(('_val', '_test')) and not c.startswith('n_') else 'long')}" for c in done[0])
+    out = spark.createDataFrame([tuple(r.values()) for r in done], schema).withColumns({k: F.lit(v) for k, v in tags.items()})
+    return out, spark.createDataFrame(sorted(failed), f"fold {kind['fold']}, cfg_idx long, scaler string, algorithm string, error string")
 
 
 def evaluated(df: DataFrame, vector: str, label: str, fold: int, configurations: list[dict], scaler: str = "none") -> tuple[list[dict], list[dict]]:
-    """Fold results of each configuration {"algorithm", "params"} on df (with part: train, val or test); failures are listed and skipped."""
-    done, failed = [], []
-    parts = {p: df.where(F.col("part") == p) for p in ("train", "val", "test")}
-    for i, c in enumerate(configurations):
-        try:
-            row = {"fold": fold, "cfg_idx": i, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler}
-            for p in ("val", "test"):
-                out = fitted(parts["train"], parts[p], vector, label, c["algorithm"], scaler, **c.get("params", {}))
-                found = metrics(out.withColumn("_t", (F.col(label) == 1).cast("int")), "_t", "prediction").first()
-                row |= {f"{m}_{p}": found[m] for m in METRICS}
-            done.append(row)
-        except Exception as error:  # one configuration that fails is reported and does not end the others
-            failed.append({"cfg_idx": i, "algorithm": c.get("algorithm"), "error": str(error)[:500]})
-    return done, failed
+    """trained_by_fold() of one fold (df with part and unique rows) as plain rows; without any result both lists tell."""
+    from corvane.session import checkpointed
+
+    rows = df.withColumns({"fold": F.lit(fold), "_id": F.monotonically_increasing_id()})
+    try:
+        done, failed = trained_by_fold(rows, "_id", vector, label, configurations, checkpointed, [scaler])
+    except RuntimeError as error:
+        return [], [{"cfg_idx": i, "algorithm": c.get("algorithm"), "error": str(error)[:500]} for i, c in enumerate(configurations)]
+    return [r.asDict() for r in done.collect()], [{k: r[k] for k in ("cfg_idx", "algorithm", "error")} for r in failed.collect()]
+
+
+def grids(document: dict, algorithm: str | None = None) -> list[dict]:
+    """Configurations of a grid document {"param_grids": {algorithm: [params, ..]}}, of one algorithm or all; a dict of lists stands for all its combinations."""
+    found = document.get("param_grids", document)
+    if algorithm is not None and algorithm not in found:
+        raise ValueError(f"no grid for {algorithm}; there are {', '.join(sorted(found))}")
+    out = []
+    for name, params in found.items():
+        if algorithm in (None, name):
+            out += configurations({name: params}) if isinstance(params, dict) else [{"algorithm": name, "params": p} for p in params]
+    return out
 
 
 def configurations(grid: dict[str, dict[str, list]]) -> list[dict]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.functions import stats, vectors
+from corvane.functions import naming, stats, vectors
 from corvane.operators import curate, reduce
 from corvane.plans.registry import registry
 from corvane.plans.tables import r, read, rounded
@@ -49,7 +49,7 @@ def duplicate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT text, count(*)::BIGINT AS n_duplicates, array_to_string(list_sort(list(DISTINCT source)), ';') AS labels FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 over texts, P37: the sources of each repeated text, joined."""
-    rows = curate.grouped_labels(read(spark, sf_dir, "documents"), "text", "source").where("n_duplicates > 1")
+    rows = curate.repeated_texts(read(spark, sf_dir, "documents"), "text", "source")
     return rows.select("text", "n_duplicates", F.array_join("labels", ";").alias("labels"))
 
 
@@ -93,10 +93,26 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, length(text)::INTEGER AS length FROM documents WHERE length(text) BETWEEN 70 AND 1024 AND regexp_full_match(text, '[A-Za-z ,.\\n]*')")
 def qc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain characters only and a length within limits."""
+    """Plain characters only and a length within limits."""
     return _checked(spark, sf_dir).where("passes").select("doc_id", "length")
 
 
+@query("SELECT c_custkey, length(c_mktsegment)::INTEGER AS length, regexp_full_match(c_mktsegment, '[ACDEFGHIKLMNPQRSTVWY]*') AS is_canon, regexp_full_match(c_mktsegment, '[ACDEFGHIKLMNPQRSTVWYBZX]*') AS is_extended, length(c_mktsegment) BETWEEN 9 AND 1024 AS is_in_length FROM customer")
+def residue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capital letters held against both alphabets of residues, and lengths within limits."""
+    rows = curate.quality_control(read(spark, sf_dir, "customer"), "c_mktsegment", least=9)
+    return rows.select("c_custkey", "length", "is_canon", naming.canonical(F.col("c_mktsegment"), extended=True).alias("is_extended"), "is_in_length")
+
+
+@query("SELECT p_partkey, (round((length(p_type) - length(replace(p_type, 'A', ''))) * 1.8::DOUBLE, 6) + 0::DOUBLE) AS hydropathy_a, (round(abs(list_sum([CASE WHEN c = 'D' THEN -1 WHEN c = 'E' THEN -1 WHEN c = 'K' THEN 1 WHEN c = 'R' THEN 1 WHEN c = 'H' THEN 0.1::DOUBLE ELSE 0 END FOR c IN string_split(p_type, '')])), 6) + 0::DOUBLE) AS charge FROM part")
+def property_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: physicochemical values of letters, and the constant part of their Fourier transform, which is their sum."""
+    rows, kind = read(spark, sf_dir, "part"), F.col("p_type")
+    only = F.aggregate(vectors.property_of(kind, 40, [v if c == "A" else 0.0 for c, v in zip(naming.RESIDUES, vectors.HYDROPATHY, strict=True)]), F.lit(0.0), lambda s, x: s + x)
+    charge = F.slice(vectors.physicochemical(kind, 40), 81, 40)
+    return rounded(rows.select("p_partkey", only.alias("hydropathy_a"), F.get(vectors.fourier(charge, 40), F.lit(0)).alias("charge")))
+
+
 @query("SELECT regexp_full_match(text, '[A-Za-z ,.\\n]*') AS is_canon, length(text) BETWEEN 70 AND 1024 AS is_in_length, count(*)::BIGINT AS n, min(length(text))::INTEGER AS min_length, max(length(text))::INTEGER AS max_length FROM documents GROUP BY ALL")
 def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
@@ -130,7 +146,7 @@ def support_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.support_counts(_supported(spark, sf_dir), "n_sources")
 
 
-@query(f"WITH {_SUP}, a AS (SELECT count(*)::BIGINT AS n_total, count(*) FILTER (n_sources = 1)::BIGINT AS n_single, count(*) FILTER (n_sources >= 2)::BIGINT AS n_multi, count(*) FILTER (n_sources >= 6)::BIGINT AS n_high FROM u) SELECT *, {r('n_single * 100 / n_total')} AS pct_single, {r('n_multi * 100 / n_total')} AS pct_multi, {r('n_high * 100 / n_total')} AS pct_high FROM a")
+@query(f"WITH {_SUP}, a AS (SELECT count(*)::BIGINT AS n_total, count(*) FILTER (n_sources = 1)::BIGINT AS n_single, count(*) FILTER (n_sources >= 2)::BIGINT AS n_multi, count(*) FILTER (n_sources >= 3)::BIGINT AS n_high FROM u) SELECT *, {r('n_single * 100 / n_total')} AS pct_single, {r('n_multi * 100 / n_total')} AS pct_multi, {r('n_high * 100 / n_total')} AS pct_high FROM a")
 def support_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7."""
     return rounded(curate.support_summary(_supported(spark, sf_dir), "n_sources"))
@@ -152,9 +168,17 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def label_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels attached again, whatever the table says."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(9).alias("quality"))
-    return curate.recovered_labels(rows, read(spark, sf_dir, "labels"), "doc_id", "quality")
+    """Labels of a table that has lost them."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return curate.recovered_labels(rows, read(spark, sf_dir, "labels"), "quality", ["doc_id", "text"])[0]
+
+
+@query(f"WITH t AS (SELECT text, arg_min_null(lang, doc_id) AS lang FROM documents WHERE text IS NOT NULL GROUP BY ALL), j AS (SELECT b.item_id, t.lang FROM benchmark b LEFT JOIN t USING (text) UNION ALL SELECT 1000000 + d.doc_id, t.lang FROM documents d LEFT JOIN t USING (text)) SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (lang IS NULL)::BIGINT AS n_missing FROM j")
+def label_recovery_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels recovered by sequence, where ids are others, and how many rows stay without."""
+    documents = read(spark, sf_dir, "documents")
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text").unionByName(documents.select((F.col("doc_id") + 1000000).alias("item_id"), "text"))
+    return curate.recovered_labels(rows, documents.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], ["doc_id", "lang"])[1]
 
 
 @query("SELECT c_custkey, c_mktsegment, coalesce(c_mktsegment, s) AS first_seen, n FROM (SELECT o_custkey, min(o_orderpriority) AS s, count(*)::BIGINT AS n FROM orders GROUP BY ALL) JOIN customer ON c_custkey = o_custkey".replace("coalesce(c_mktsegment, s) AS first_seen", "c_nationkey"))
@@ -170,7 +194,7 @@ def mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names looked up without regard to case and blanks."""
     names = read(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.concat(F.lit(" "), F.upper(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))).alias("name"), "n_nationkey")
     rows = read(spark, sf_dir, "supplier").withColumn("who", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(" ")))
-    return rounded(curate.mapping_report(curate.mapped_by_name(rows, names, "who", "name", "n_nationkey", "found"), "found"))
+    return rounded(curate.mapping_report(curate.mapped_by_name(rows, names, "who", "name", "n_nationkey", "found", "n_nationkey"), "found"))
 
 
 @query(f"WITH b AS (SELECT quality, count(*) AS n FROM labels GROUP BY ALL), a AS (SELECT quality, count(*) AS n FROM labels WHERE toxic = 0 GROUP BY ALL) SELECT coalesce(b.quality, a.quality) AS quality, coalesce(b.n, 0)::BIGINT AS n_before, coalesce(a.n, 0)::BIGINT AS n_after, {r('coalesce(a.n, 0) * 100 / b.n')} AS retained_pct FROM b FULL JOIN a ON a.quality IS NOT DISTINCT FROM b.quality")

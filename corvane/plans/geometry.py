@@ -122,6 +122,40 @@ def maxabs_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "maxabs"))
 
 
+def _normed_sql(size: str) -> str:
+    return _digest_sql(f"s AS (SELECT vec_id, [x / {size} FOR x IN v] AS v FROM e)")
+
+
+@query(_normed_sql("list_sum([abs(y) FOR y IN v])"))
+def l1_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12."""
+    return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "l1"))
+
+
+@query(_normed_sql("list_max([abs(y) FOR y IN v])"))
+def max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12."""
+    return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "max"))
+
+
+@query(_normed_sql("sqrt(list_dot_product(v, v))"))
+def l2_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12, by the name that training uses."""
+    return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "normalizer_l2"))
+
+
+@query()
+def power_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yeo-Johnson; a test holds the powers against a search in numpy."""
+    return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "power"))
+
+
+@query()
+def quantile_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places among quantiles."""
+    return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "quantile"))
+
+
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both strategies' folds of the embeddings: by id (random), and by label block (distance)."""
     rows = read(spark, sf_dir, "embeddings")
@@ -211,6 +245,34 @@ def logistic_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(training.metrics(out, "y", "prediction", ["fold"]))
 
 
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folds of the embeddings by id, a label that the vectors can tell, and for each fold its parts."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.get(F.col("embedding"), F.lit(0)) + F.get(F.col("embedding"), F.lit(1)) > 0).cast("int").alias("y"), (F.col("vec_id") % 3).cast("int").alias("own"))
+    part = F.when(F.col("own") == F.col("fold"), "test").when(F.col("vec_id") % 10 == 0, "val").otherwise("train")
+    return rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("part", part).drop("own")
+
+
+GRID = {"param_grids": {"LogisticRegression": [{"C": 1.0, "max_iter": 20}, {"C": 0.01, "max_iter": 20, "n_jobs": 8}], "GaussianNB": [{}], "LinearDiscriminantAnalysis": [{"shrinkage": None}], "QuadraticDiscriminantAnalysis": [{"reg_param": 0.1}], "DecisionTreeClassifier": [{"max_depth": 4}], "KNeighborsClassifier": {"n_neighbors": [3, 7], "metric": ["cosine"]}, "SVC": [{"C": 1.0, "max_iter": 20}]}}
+
+
+@query()
+def training_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every configuration of a grid, with two scalers, trained and judged on each fold; tests hold its parts against numpy."""
+    found, _ = training.trained_by_fold(_training_rows(spark, sf_dir), "vec_id", "embedding", "y", training.grids(GRID), checkpointed, ["none", "standard"], partition_strategy="random")
+    return rounded(found)
+
+
+_KF = "p AS (SELECT vec_id, embedding::DOUBLE[] AS v, (embedding[1] + embedding[2] > 0)::INTEGER AS y, (vec_id % 3)::INTEGER AS own FROM embeddings), f AS (SELECT *, fold::INTEGER AS fold, CASE WHEN own = fold THEN 'test' WHEN vec_id % 10 = 0 THEN 'val' ELSE 'train' END AS part FROM p CROSS JOIN range(3) r(fold))"
+
+
+@query(f"WITH {_KF.replace('SELECT *, fold::INTEGER AS fold', 'SELECT vec_id, v, y, fold::INTEGER AS fold')}, c AS (SELECT a.fold, a.part, a.vec_id, a.y AS t, b.y, row_number() OVER (PARTITION BY a.fold, a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS n FROM f a JOIN f b ON a.fold = b.fold AND a.part <> 'train' AND b.part = 'train'), k AS (SELECT fold, part, vec_id, max(t) AS t, (avg(y) > 0.5::DOUBLE)::INTEGER AS p FROM c WHERE n <= 3 GROUP BY ALL) SELECT fold, part, count(*)::BIGINT AS n, {r('avg((t = p)::INT)')} AS accuracy, sum(t)::BIGINT AS positives FROM k GROUP BY ALL")
+def neighbours_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accuracy on val and test of each fold of one configuration of the grid's."""
+    found, _ = training.trained_by_fold(_training_rows(spark, sf_dir), "vec_id", "embedding", "y", [{"algorithm": "KNeighborsClassifier", "params": {"n_neighbors": 3, "metric": "cosine"}}], checkpointed)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"n_{p}").alias("n"), F.col(f"accuracy_{p}").alias("accuracy"), F.col(f"{p}_pos").alias("positives")) for p in ("val", "test"))))
+    return rounded(found.select("fold", each.alias("e")).select("fold", "e.*"))
+
+
 @query()
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V10."""
@@ -249,6 +311,38 @@ def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.greedy(_close(spark, sf_dir), checkpointed)
 
 
+_LADDER = [(30.0, 0.25), (60.0, 0.35), (90.0, 0.45)]
+
+
+@query()
+def reduction_by_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy reductions at each threshold of a ladder, over ids that are text; tests hold it against the sequential rule."""
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("seq_"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding", "label")
+    return rounded(reduce.reduction_ladder(rows, "id", "embedding", "label", _LADDER, checkpointed)[1])
+
+
+@query()
+def euclidean_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: the same for distances, whose thresholds fall as percentiles grow, and the closest representative of each removed row."""
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("seq_"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding", "label")
+    return reduce.reduction_ladder(rows, "id", "embedding", "label", [(30.0, 1.2), (60.0, 1.1), (90.0, 1.0)], checkpointed, "euclidean")[0]
+
+
+@query(f"WITH {_D}, c AS (SELECT key_a, key_b, value FROM p WHERE value <= 1.15::DOUBLE) SELECT 'seq_' || key_b::VARCHAR AS removed_id, 'seq_' || key_a::VARCHAR AS representative_id FROM (SELECT *, row_number() OVER (PARTITION BY key_b ORDER BY round(value, 9), key_a::VARCHAR) AS n FROM (SELECT CASE WHEN a < b THEN a ELSE b END AS key_a, CASE WHEN a < b THEN b ELSE a END AS key_b, value FROM (SELECT key_a::VARCHAR AS a, key_b::VARCHAR AS b, value FROM c))) WHERE n = 1")
+def euclidean_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2, one pass, over text ids: a removed row's representative is the nearest earlier one."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("id", F.concat(F.lit("seq_"), F.col("vec_id").cast("string")))
+    close = geometry.pairs(rows, "id", "embedding", "euclidean", where=("<=", 1.15))
+    return reduce.one_pass(close, distance=True).drop("cluster_id")
+
+
+@query()
+def matched_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold whose greedy reduction leaves nearest to three fifths of all rows, by bisection, and its tries."""
+    rows = read(spark, sf_dir, "embeddings")
+    return rounded(reduce.matched_reduction(rows, "vec_id", "embedding", rows.count() * 3 // 5, 0.2, 0.6, checkpointed, within=2, steps=8)[2], 9)
+
+
 _A = f"{_C}, m AS (SELECT key_b AS removed_id, key_a AS representative_id, row_number() OVER (PARTITION BY key_b ORDER BY round(value, 9) DESC, key_a) AS n FROM c), d AS (SELECT removed_id, representative_id FROM m WHERE n = 1), s AS (SELECT vec_id, 'one_pass' AS method, coalesce(d.representative_id, vec_id) AS cluster_id, d.removed_id IS NULL AS is_representative, label FROM e LEFT JOIN d ON vec_id = d.removed_id)"
 
 

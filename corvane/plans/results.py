@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import keys, naming, stats
-from corvane.operators import curate, delta, insight, report, results
+from corvane.operators import curate, delta, experiment, insight, report, results
 from corvane.plans.registry import registry
 from corvane.plans.tables import FOLD_RESULTS, MEAN_RESULTS, fold_results, mean_results, r, read, rounded
+from corvane.session import shared_folder
+from corvane.sources import sinks, tables
 
 QUERIES, ORACLES, query = registry()
 
@@ -278,10 +282,16 @@ def _top_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insight.pair_differences(rows, "cfg", ["seed", "partition"], "test", top)
 
 
-@query(f"WITH {_TOP}, {_PAIRS} SELECT first, second, n_pairs, {r('mean')} AS mean, {r('median')} AS median, {r('std')} AS std, {r('mean - h')} AS ci_low, {r('mean + h')} AS ci_high, mean - h <= 0 AND mean + h >= 0 AS ci_crosses_zero FROM (SELECT first, second, count(x)::BIGINT AS n_pairs, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, {_HALF} AS h FROM d GROUP BY ALL)")
+@query(f"WITH {_TOP}, {_PAIRS} SELECT first, second, count(x)::BIGINT AS n_pairs, {r('avg(x)')} AS mean, {r('median(x)')} AS median, {r('coalesce(stddev_samp(x), 0)')} AS std, avg(x) > 0 AS first_higher FROM d GROUP BY ALL")
 def pairwise_top_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of the four best configurations."""
-    return rounded(insight.compared_pairs(_top_differences(spark, sf_dir)))
+    """Differences of the four best configurations; their bootstrap intervals are pairwise_intervals."""
+    return rounded(insight.pair_means(_top_differences(spark, sf_dir)))
+
+
+@query()
+def pairwise_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparisons with bootstrap intervals, whose draws SQL doesn't have; a test holds them against numpy."""
+    return insight.compared_pairs(_top_differences(spark, sf_dir))
 
 
 @query()
@@ -375,11 +385,92 @@ def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("reduction").agg(F.count("*").alias("n"), F.avg("mcc").alias("mcc")))
 
 
+# Published retention of a space.
 _LADDER = [(30.0, 4193, 24), (90.0, 4193, 453), (99.9, 4193, 3652)]
 
 
+def _summaries(spark: SparkSession) -> DataFrame:
+    """The published rows as a reducer leaves them, in a file whose name has the space, read back."""
+    folder = f"{shared_folder(spark)}/corvane/summaries-{uuid.uuid4().hex}"
+    rows = "\n".join(f"{p},{n},{k},{k // 2},{k - k // 2}" for p, n, k in _LADDER)
+    sinks.write_text(spark, f"percentile,n_total,n_kept,n_0,n_1\n{rows}\n", f"{folder}/ankh2_reduced_distance_reduction_summary.csv")
+    return tables.read_summaries(spark, folder, "percentile double, n_total long, n_kept long, n_0 long, n_1 long")
+
+
 @query("SELECT 'Ankh2' AS dataset_reduction_label, 'distance' AS reduction_kind, 'percentile' AS parameter_type, p::DOUBLE AS parameter_value, n::BIGINT AS n_input, k::BIGINT AS n_reduced, " + f"{r('k / n')} AS retained_fraction, {r('100 * k / n')} AS retained_percent, {r('100 - 100 * k / n')} AS removed_percent FROM (VALUES " + ", ".join(str(t) for t in _LADDER) + ") t(p, n, k)")
 def reduction_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published retention of a space in the common layout."""
-    rows = spark.createDataFrame(_LADDER, "percentile double, n_total long, n_kept long")
-    return rounded(report.reduction_summary(rows, "Ankh2", "distance"))
+    """Published retention of a space, read from its file, in the common layout."""
+    return rounded(report.reduction_summary(_summaries(spark), "Ankh2", "distance"))
+
+
+@query(f"SELECT 'ankh2' AS model, 453::BIGINT AS n_reduced, {r('453 / 4193')} AS coverage, {r('227 / 453')} AS fraction_1")
+def reduction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ninetieth percentile keeps, and of which class."""
+    rows = _summaries(spark).withColumnRenamed("n_kept", "n_reduced")
+    return rounded(report.coverage(rows, 90.0, 4193))
+
+
+def _box_sql(top: str, shown: str, key: str) -> str:
+    q = lambda p: r(f"quantile_cont(delta__test, {p}::DOUBLE)")
+    return f"""WITH {_SIDES}, k AS (SELECT reduction, cfg, partition, row_number() OVER (ORDER BY round(avg(loss__test), 12), round(coalesce(stddev_samp(delta__test), 0), 12), round(avg(test__candidate), 12) DESC, reduction, cfg, partition)::INTEGER AS rank FROM p GROUP BY reduction, cfg, partition),
+t AS ({top}) SELECT {shown}, t.rank, {key} AS combo, count(*)::BIGINT AS n, {q(0)} AS minimum, {q(0.25)} AS q1, {q(0.5)} AS median, {q(0.75)} AS q3, {q(1)} AS maximum FROM t JOIN p USING (reduction, cfg, partition) GROUP BY ALL"""
+
+
+_COMBO = "reduction || ' | ' || cfg || ' | ' || partition"
+
+
+def _box_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    deltas = _deltas(spark, sf_dir)
+    return deltas, delta.decision_ranking(deltas, ["reduction", "cfg", "partition"], "test")
+
+
+@query(_box_sql("SELECT * FROM k WHERE rank <= 10", "reduction, cfg, partition", _COMBO))
+def combination_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the deltas behind the ten best combinations, met by one key of their columns."""
+    deltas, ranking = _box_ranking(spark, sf_dir)
+    return rounded(delta.ranked_distributions(deltas, ranking, ["reduction", "cfg", "partition"], "test", top=10))
+
+
+@query(_box_sql("SELECT *, min(rank) OVER (PARTITION BY partition) AS panel_rank FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY rank) AS n FROM k WHERE reduction = 'R') WHERE n <= 3", "reduction, cfg, partition, panel_rank", _COMBO))
+def sensitivity_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best configurations of each partition's panel, of one reduction."""
+    deltas, ranking = _box_ranking(spark, sf_dir)
+    out = delta.ranked_distributions(deltas, ranking, ["reduction", "cfg", "partition"], "test", panel="partition", top=3, filters={"reduction": "R"})
+    return rounded(out)
+
+
+@query(f"SELECT l_partkey::VARCHAR AS representation, count(*)::BIGINT AS n, {r('avg(l_tax)')} AS mcc FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' GROUP BY ALL")
+def result_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results made ready for a panel: unscaled rows of distance reductions only, of the levels that parse."""
+    items = read(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "N", "distance_reduction").when(F.col("l_returnflag") == "A", "homology_reduction").otherwise("unknown")
+    rows = items.select(F.lit("random").alias("partition_strategy"), *(F.col("l_tax").alias(m) for m in ("mcc_val_mean", "f1_val_mean", "mcc_test_mean")), F.lit("SVC").alias("algorithm"), F.col("l_suppkey").alias("seed"), F.col("l_linenumber").alias("cfg_idx"), F.col("l_partkey").cast("string").alias("representation_clean"), kind.alias("reduction_strategy_clean"), F.lit("p30_0").alias("reduction_level"), F.lit("prot_bert").alias("reduced_by"), F.when(F.col("l_linestatus") == "O", "no_norm").otherwise("l2").alias("scaler"))
+    ready = report.result_table(report.prepared_results(rows))
+    return rounded(ready.where("threshold = 'p30' and reduced_by_label = 'ProtBERT'").groupBy(F.col("representation_label").alias("representation")).agg(F.count("*").alias("n"), F.avg("mcc_test_mean").alias("mcc")))
+
+
+@query(f"SELECT threshold, count(*)::BIGINT AS n, {r('avg(s)')} AS mean FROM (SELECT 'p' || (l_linenumber * 10)::VARCHAR AS threshold, l_discount AS s FROM lineitem WHERE l_linenumber IN (2, 3) AND l_returnflag = 'A') GROUP BY ALL")
+def similarity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of similarity of the wanted levels and representation."""
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("random").alias("split_strategy"), F.concat(F.lit("p"), (F.col("l_linenumber") * 10).cast("string"), F.lit("_0")).alias("reduction_level"), F.col("l_discount").alias("s"), F.col("l_returnflag").alias("train_representation"))
+    out = report.similarity_observations(rows, "s", "p20 30", "A")
+    return rounded(out.groupBy("threshold").agg(F.count("*").alias("n"), F.avg("s").alias("mean")))
+
+
+@query("SELECT l_linenumber::BIGINT AS i, CASE WHEN l_linenumber = 1 THEN 'no_threshold' WHEN l_linenumber % 2 = 0 THEN (l_linenumber * 10)::VARCHAR ELSE (l_linenumber * 10)::VARCHAR || '.5' END AS shown, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def parameter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters as they are shown."""
+    value = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") * 10 + F.when(F.col("l_linenumber") % 2 == 0, 0.0).otherwise(0.5))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("i"), experiment.parameter_text(value.cast("string")).alias("shown")).agg(F.count("*").alias("n"))
+
+
+@query("WITH f AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) SELECT 'p' || (ascii(p) - 48)::VARCHAR || '0_0' AS level, CASE WHEN s = 'F' THEN '/d/p' || (ascii(p) - 48)::VARCHAR || '0_0/data_nr_labeled.csv' END AS reduced_dataset, n::BIGINT AS n FROM f")
+def reduced_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the reduced table of each row of a summary lies, among the files that are there."""
+    rows = read(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("p"), "o_orderstatus").agg(F.count("*").alias("n"))
+    value = F.concat("p", F.lit("0.0"))
+    there = rows.where("o_orderstatus = 'F'").select(F.explode(F.array(*(F.concat(F.lit("/d/p"), F.replace(value, F.lit("."), F.lit("_")), F.lit(f"/{n}")) for n in ("data_nr.csv", "data_nr_labeled.csv")))).alias("path"))
+    lost = F.when(F.col("o_orderstatus") != "F", F.lit("threshold")).otherwise("percentile")
+    summary = rows.select(F.when(F.col("o_orderstatus") == "F", "distance").otherwise("homology").alias("kind"), lost.alias("parameter_type"), value.alias("parameter_value"), "n")
+    out = experiment.reduced_tables(summary, there, "/d")
+    return out.select(F.concat(F.lit("p"), F.replace(F.col("parameter_value"), F.lit("."), F.lit("_"))).alias("level"), "reduced_dataset", "n")

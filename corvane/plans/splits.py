@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.operators import split
+from corvane.operators import experiment, split
 from corvane.plans.registry import registry
 from corvane.plans.tables import r, read, rounded
 
@@ -28,9 +28,11 @@ def kfold_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.kfold(read(spark, sf_dir, "labels"), "doc_id", 7, label="quality")
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings), c AS (SELECT i, avg(x) AS m FROM x GROUP BY i),
+d AS (SELECT vec_id, round(sqrt(sum((x - m) * (x - m))), 6) AS far FROM x JOIN c USING (i) GROUP BY vec_id)
+SELECT vec_id, floor((row_number() OVER (ORDER BY far, md5(vec_id::VARCHAR || '-7'), vec_id) - 1) * 5 / count(*) OVER ())::INTEGER AS fold FROM d""")
 def kfold_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests hold it against random folds."""
+    """R10."""
     return split.distance_folds(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 7)
 
 
@@ -102,3 +104,25 @@ def scenario_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assignment_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V13."""
     return split.fingerprint(_assigned(spark, sf_dir), "doc_id", ["fold"])
+
+
+@query(f"WITH {_PRE}, k AS (SELECT lang, avg((status = 'kept')::INT) FILTER (source = 'src0') AS a, avg((status = 'kept')::INT) FILTER (source = 'src1') AS b FROM s GROUP BY lang) SELECT lang, {r('a')} AS src0, {r('b')} AS src1 FROM k")
+def split_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kept splits by scenario and level, one column a level."""
+    return rounded(split.feasibility(_precheck(spark, sf_dir), "lang", "source", ["src0", "src1"]))
+
+
+@query("SELECT level, kind AS level_kind, v AS level_value, row_number() OVER (ORDER BY CASE kind WHEN 'none' THEN 0 WHEN 'percentile' THEN 1 WHEN 'identity' THEN 2 ELSE 3 END, v NULLS FIRST, level)::INTEGER AS level_order, n FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'no_threshold' WHEN 1 THEN 'p' || (l_linenumber * 10)::VARCHAR || '_5' WHEN 2 THEN 'minseqid_0_' || l_linenumber::VARCHAR ELSE 'threshold_0.' || l_linenumber::VARCHAR END AS level, CASE l_linenumber % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'percentile' WHEN 2 THEN 'identity' ELSE 'threshold' END AS kind, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN l_linenumber * 10 + 0.5::DOUBLE ELSE l_linenumber / 10::DOUBLE END AS v, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL)")
+def level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by kind and value."""
+    i = F.col("l_linenumber")
+    level = F.when(i % 4 == 0, "no_threshold").when(i % 4 == 1, F.concat(F.lit("p"), (i * 10).cast("string"), F.lit("_5"))).when(i % 4 == 2, F.concat(F.lit("minseqid_0_"), i.cast("string"))).otherwise(F.concat(F.lit("threshold_0."), i.cast("string")))
+    rows = read(spark, sf_dir, "lineitem").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    return split.ordered_levels(rows, "level").select("level", "level_kind", "level_value", "level_order", "n")
+
+
+@query(f"WITH {_PRE} SELECT lang AS scenario, source AS strategy, a AS algorithm, 'none' AS scaler, lang AS representation_strategy, 'unknown' AS redundancy_strategy FROM s CROSS JOIN (VALUES ('GaussianNB'), ('SVC')) t(a) WHERE status = 'kept'")
+def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that kept splits make with algorithms and scalers."""
+    rows = _precheck(spark, sf_dir).select(F.col("lang").alias("scenario"), F.col("source").alias("strategy"), "status")
+    return experiment.training_matrix(rows, ["GaussianNB", "SVC"], ["none"], ["scenario", "strategy"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,20 @@ def session(name: str = "corvane", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only where none is set and all tasks run in the driver (tests), one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names; only where none is named, in one of this machine's."""
+    """df with its lineage cut, in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

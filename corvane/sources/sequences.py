@@ -33,7 +33,7 @@ def running_headers(lines: DataFrame, file: str, number: str, text: str) -> Data
     head = F.when(F.col(text).startswith(">"), F.col(number))
     marked = lines.withColumn("_head", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     body = F.transform(F.array_sort(F.collect_list(F.when(F.col(text).rlike("^[A-Z]+$"), F.struct(F.col(number).alias("n"), F.col(text).alias("t"))))), lambda x: x["t"])
-    out = marked.where("_head is not null").groupBy(file, "_head").agg(F.max(F.when(F.col(number) == F.col("_head"), F.substring(text, 2, 10**6))).alias("id"), F.array_join(body, "").alias("sequence"))
+    out = marked.where("_head is not null").groupBy(file, "_head").agg(F.max(F.when(F.col(number) == F.col("_head"), F.substr(F.col(text), F.lit(2)))).alias("id"), F.array_join(body, "").alias("sequence"))
     return out.select(file, "id", "sequence")
 
 

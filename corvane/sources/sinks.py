@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", by: list[str] = ()) -> None:
@@ -22,15 +22,45 @@ def append_aligned(df: DataFrame, path: str) -> None:
     empty.unionByName(df, allowMissingColumns=True).select(*(f.name for f in target)).write.mode("append").parquet(path)
 
 
-def write_json(spark: SparkSession, document: dict, path: str) -> None:
-    """A small document as one readable file, in any file system that Spark knows."""
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, in any file system that Spark knows."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(bytearray(json.dumps(document, indent=2, ensure_ascii=False, sort_keys=True).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def write_json(spark: SparkSession, document: dict, path: str) -> None:
+    """A small document as one readable file, in any file system that Spark knows."""
+    write_text(spark, json.dumps(document, indent=2, ensure_ascii=False, sort_keys=True), path)
+
+
+def write_parameters(spark: SparkSession, document: dict, path: str) -> None:
+    """Parameters as YAML, in their order; where no YAML writer is at hand, as JSON, which YAML readers read too."""
+    try:
+        import yaml
+
+        text = yaml.safe_dump(document, sort_keys=False, allow_unicode=True)
+    except ImportError:
+        text = json.dumps(document, indent=2, ensure_ascii=False)
+    write_text(spark, text, path)
+
+
+def mark_done(spark: SparkSession, folder: str, name: str = "DONE", document: dict | None = None) -> str:
+    """Leave a marker that a run is complete; its path."""
+    path = f"{folder.rstrip('/')}/{name}"
+    write_text(spark, json.dumps(document or {}, sort_keys=True, default=str), path)
+    return path
+
+
+def write_splits(assigned: DataFrame, status: DataFrame, path: str, by: list[str]) -> None:
+    """Assignments as Parquet, a folder each of by, without those of splits that status doesn't call kept; status goes beside them."""
+    kept = status.groupBy(*by).agg(F.min((F.col("status") == "kept").cast("int")).alias("_ok")).where("_ok = 1").drop("_ok")
+    assigned.join(kept, by, "left_semi").write.mode("overwrite").partitionBy(*by).parquet(f"{path}/assignments")
+    status.write.mode("overwrite").parquet(f"{path}/status")
+
+
 def summary_document(df: DataFrame, limit: int = 1000) -> list[dict]:
     """A small result as plain rows, or an error if it isn't small."""
     rows = df.limit(limit + 1).collect()
@@ -39,8 +69,14 @@ def summary_document(df: DataFrame, limit: int = 1000) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
-    """Small results as sheets of one local workbook; needs a writer of that format (openpyxl) beside pandas."""
+def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000, csv: str | None = None, widest: int = 60) -> None:
+    """Small results as sheets of one local workbook, with filters and columns as wide as their texts; and beside them, in the folder csv, as CSV.
+
+    Workbooks need a writer of that format (openpyxl) beside pandas; the CSV files are written without it too.
+    """
+    if csv is not None:
+        for name, df in sheets.items():
+            write_csv(df.coalesce(1), f"{csv.rstrip('/')}/{name}")
     try:
         import openpyxl  # noqa: F401
     except ImportError as error:
@@ -51,4 +87,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000
         for name, df in sheets.items():
             frame = pd.DataFrame(summary_document(df, limit), columns=df.columns)
             frame.to_excel(out, sheet_name=name[:31], index=False)
-            out.sheets[name[:31]].auto_filter.ref = out.sheets[name[:31]].dimensions
+            sheet = out.sheets[name[:31]]
+            sheet.auto_filter.ref = sheet.dimensions
+            for cells in sheet.columns:
+                sheet.column_dimensions[cells[0].column_letter].width = min(widest, 2 + max(len(str(c.value or "")) for c in cells))

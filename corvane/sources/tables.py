@@ -37,8 +37,8 @@ def packed_features(df: DataFrame, prefix: str = "p_", metadata: Iterable[str] |
 
 
 def wide_features(df: DataFrame, name: str = "features", prefix: str = "p_", size: int | None = None) -> DataFrame:
-    """The other way; size is read from the first row if it isn't given."""
-    size = size if size is not None else len(df.select(name).first()[0])
+    """The other way; size is that of the longest array if it isn't given, and shorter arrays end in nulls."""
+    size = size if size is not None else df.agg(F.coalesce(F.max(F.size(name)), F.lit(0))).first()[0]
     return df.select(*(c for c in df.columns if c != name), *(F.get(vectors.doubles(F.col(name)), F.lit(i)).alias(f"{prefix}{i}") for i in range(size)))
 
 
@@ -57,11 +57,38 @@ def read_found(spark: SparkSession, folder: str, schema: str, pattern: str = "*.
     return df.withColumn("source_path", F.col("_metadata.file_path")).withColumns(path_metadata(F.col("source_path")))
 
 
+def read_folds(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The tables fold_<n>/{train,val,test}.csv below a folder as one, with fold, part, and what the path says of them."""
+    df = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "{train,val,test}.csv").csv(folder)
+    df = df.withColumn("source_path", F.col("_metadata.file_path")).where(F.col("source_path").rlike(r"/fold_[0-9]+/(?:train|val|test)\.csv$"))
+    told = path_metadata(F.col("source_path"))
+    return df.withColumns({k: v for k, v in told.items() if k not in df.columns}).withColumn("part", F.regexp_extract("source_path", r"/(train|val|test)\.csv$", 1))
+
+
+def read_seed_summaries(spark: SparkSession, folder: str, pattern: str = "split_summary.csv") -> DataFrame:
+    """Split statuses (reduction_levels, status, reason) of all seeds below a folder, with scenario, strategy and seed from their paths.
+
+    A missing status is unknown, a missing reason empty; is_kept and is_invalid (anything but kept) flag them; the level's parameter is told apart.
+    Hidden folders and those of analyses are passed over, and files that can't be read.
+    """
+    schema = "reduction_levels string, status string, reason string"
+    reader = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true")
+    df = reader.csv(folder).withColumn("source_path", F.col("_metadata.file_path"))
+    df = df.where(~F.col("source_path").rlike(r"/(?:split_analysis|_summary|\.[^/]*)/"))
+    told, level = path_metadata(F.col("source_path")), F.col("reduction_levels")
+    df = df.withColumns({k: told[k] for k in ("scenario", "strategy", "seed")})
+    df = df.withColumns({"status": F.coalesce("status", F.lit("unknown")), "reason": naming.clean_reason(F.col("reason")), "threshold": F.when(level == "no_threshold", "").otherwise(level)})
+    return df.withColumns({"is_kept": (F.col("status") == "kept").cast("int"), "is_invalid": (F.col("status") != "kept").cast("int"), "parameter_type": naming.parameter_type(F.coalesce(level, F.lit(""))), "parameter_value": naming.parameter_value(level)})
+
+
 def path_metadata(path: Column) -> dict[str, Column]:
-    """scenario, strategy, seed, level and fold of a path .../scenario/strategy/seed_N/level/fold_NN/..."""
+    """scenario, strategy, seed, level and fold of a path .../scenario/strategy/seed_N/level/fold_NN/..., or .../scenario/strategy/level/seed_N/..,
+    or .../scenario/level/strategy/seed_N/..; null for what a path doesn't say."""
     pick = lambda p, g: F.nullif(F.regexp_extract(path, p, g), F.lit(""))
-    tree = r"([^/]+)/([^/]+)/seed_([0-9]+)(?:/|$)"
-    return {"scenario": pick(tree, 1), "strategy": pick(tree, 2), "seed": pick(tree, 3).cast("int"), "reduction_level": naming.reduction_level(path), "fold": pick(r"/fold_([0-9]+)(?:/|$)", 1).cast("int")}
+    tree, level = r"([^/]+)/([^/]+)/seed_?([0-9]+)(?:/|$)", r"(?:p[0-9]+_[0-9]+|minseqid_[0-9]+(?:_[0-9]+)?|threshold_[0-9.]+|no_threshold|no_level)"
+    after, between = rf"([^/]+)/([^/]+)/{level}/seed_?([0-9]+)(?:/|$)", rf"([^/]+)/{level}/([^/]+)/seed_?([0-9]+)(?:/|$)"
+    one = lambda g: F.coalesce(pick(after, g), pick(between, g), pick(tree, g))
+    return {"scenario": one(1), "strategy": one(2), "seed": one(3).cast("int"), "reduction_level": naming.reduction_level(path), "fold": pick(r"/fold_([0-9]+)(?:/|$)", 1).cast("int")}
 
 
 def without_done(files: DataFrame, markers: DataFrame, key: str) -> DataFrame:
@@ -92,18 +119,23 @@ def read_summaries(spark: SparkSession, folder: str, schema: str, ending: str =
     return reader.csv(folder).withColumn("model", F.substr(name, F.lit(1), F.length(name) - len(ending)))
 
 
-def fetched(df: DataFrame, key: str, fetch: Callable[[str], str], output: str = "content", at_once: int = 4) -> DataFrame:
-    """df with what fetch returns for each key, "" where it fails; at_once tasks ask at a time.  fetch runs on executors."""
-    names, schema = [*df.columns, output], StructType([*df.schema.fields, StructField(output, StringType())])
+def fetched(df: DataFrame, key: str, fetch: Callable[[str], str], output: str = "content", at_once: int = 4, error: str = "error") -> DataFrame:
+    """df with what fetch returns for each key, "" where it fails, and why it failed, null where it didn't; at_once tasks ask at a time.
+
+    fetch runs on executors.  That a source is out shows in the errors, not in the contents.
+    """
+    names, schema = [*df.columns, output, error], StructType([*df.schema.fields, StructField(output, StringType()), StructField(error, StringType())])
 
     def run(frames):
         for frame in frames:
-            found = []
+            found, wrong = [], []
             for value in frame[key]:
                 try:
                     found.append(fetch(value) or "")
-                except Exception:  # a source that doesn't answer is a missing value
+                    wrong.append(None)
+                except Exception as reason:  # one key that fails doesn't end the others
                     found.append("")
-            yield frame.assign(**{output: found})[names]
+                    wrong.append(f"{type(reason).__name__}: {reason}"[:500])
+            yield frame.assign(**{output: found, error: wrong})[names]
 
     return df.repartition(at_once).mapInPandas(run, schema)
