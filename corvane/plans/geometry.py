@@ -188,6 +188,13 @@ def nearest_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_nearest(spark, sf_dir).groupBy("strategy", "fold").agg(*(c.alias(n) for n, c in geometry.similarity_summary(F.col("value")).items())))
 
 
+@query(f"WITH {_F}, g AS (SELECT strategy, fold, count(*) AS n, avg(value) AS s, avg(1 - value) AS d, max(value) AS sm, max(1 - value) AS dm FROM n GROUP BY ALL) SELECT strategy, count(DISTINCT fold)::BIGINT AS n_seeds, count(*)::BIGINT AS n_folds, sum(n)::BIGINT AS n_test, {r('avg(d)')} AS distance_mean, {r('stddev_samp(d)')} AS distance_std, {r('max(dm)')} AS distance_maximum, {r('avg(s)')} AS similarity_mean, {r('stddev_samp(s)')} AS similarity_std, {r('max(sm)')} AS similarity_maximum FROM g GROUP BY strategy")
+def geometry_over_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of folds' means, the greatest of their greatest."""
+    folds = geometry.fold_geometry(_nearest(spark, sf_dir), ["strategy", "fold"])
+    return rounded(geometry.geometry_of_folds(folds, ["strategy"], "fold"))
+
+
 @query(f"WITH {_F}, s AS (SELECT strategy, fold, avg(1 - value) AS d FROM n GROUP BY ALL), p AS (SELECT a.d AS base, b.d AS other, b.d - a.d AS delta FROM s a JOIN s b USING (fold) WHERE a.strategy = 'random' AND b.strategy = 'distance') SELECT 'embedding' AS space, count(*)::BIGINT AS n_seeds, {r('avg(base)')} AS base_mean, {r('avg(other)')} AS other_mean, {r('avg(delta)')} AS delta_mean, {r('stddev_samp(delta)')} AS delta_sd, {r('2.776445::DOUBLE * stddev_samp(delta) / sqrt(count(*))')} AS delta_ci95, true AS complete FROM p")
 def geometry_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of both strategies paired by fold."""

@@ -474,3 +474,17 @@ def reduced_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = rows.select(F.when(F.col("o_orderstatus") == "F", "distance").otherwise("homology").alias("kind"), lost.alias("parameter_type"), value.alias("parameter_value"), "n")
     out = experiment.reduced_tables(summary, there, "/d")
     return out.select(F.concat(F.lit("p"), F.replace(F.col("parameter_value"), F.lit("."), F.lit("_"))).alias("level"), "reduced_dataset", "n")
+
+
+@query(f"WITH m AS ({MEAN_RESULTS}), d AS (SELECT a.cfg, a.partition, a.reduction, a.test - b.test AS x FROM m a JOIN (SELECT * FROM m WHERE reduction = 'N') b ON a.seed = b.seed AND a.cfg = b.cfg AND a.partition = b.partition WHERE a.reduction <> 'N') SELECT partition, reduction, count(*)::BIGINT AS n, " + ", ".join(f"{r(f'quantile_cont(x, {p}::DOUBLE)')} AS {k}" for k, p in (("minimum", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("maximum", 1))) + " FROM d GROUP BY ALL")
+def delta_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """five numbers of the deltas of a reduction, in a facet for each partition."""
+    rows = delta.reference_delta(mean_results(spark, sf_dir), F.col("reduction") == "N", MATCH, "test", F.col("reduction") != "N")
+    return rounded(results.five_number_summary(rows, ["partition", "reduction"], "delta_test"))
+
+
+@query(f"WITH m AS ({MEAN_RESULTS}), d AS (SELECT a.cfg, a.reduction, a.test - b.test AS x FROM m a JOIN (SELECT * FROM m WHERE partition = 'F') b ON a.seed = b.seed AND a.cfg = b.cfg AND a.reduction = b.reduction WHERE a.partition <> 'F') SELECT cfg, " + ", ".join(f"{r(chr(97) + 'vg(x) FILTER (reduction = ' + chr(39) + k + chr(39) + ')')} AS \"{k}\"" for k in "ANR") + " FROM d GROUP BY cfg")
+def delta_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mean deltas of a partition, configurations by reductions."""
+    rows = delta.reference_delta(mean_results(spark, sf_dir), F.col("partition") == "F", ["seed", "cfg", "reduction"], "test", F.col("partition") != "F")
+    return rounded(results.heatmap(rows, "cfg", "reduction", ["A", "N", "R"], "delta_test"))
