@@ -79,6 +79,47 @@ SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN least(
 OP7 = _op7({"source": 0.5, "lang": 0.5, "topic": 0.0}, 0.7, 10, "mix-1")
 
 
+def _op8(rules: list[tuple[str, str, str]], depth: int) -> str:
+    """Rules and template trees; `depth` levels of a tree are written out, which is enough for paths of fewer segments than that."""
+    fits = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in rules)
+    smoothed = lambda k, n, prior="0.1::DOUBLE": f"(({k}) + {prior} * 5) / (({n}) + 5)::DOUBLE"
+    steps = [
+        "u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"a AS (SELECT page_id, {lower("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"rules AS ({fits})",
+        "best AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM (SELECT DISTINCT host, path FROM a) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)",
+        "j AS (SELECT page_id, host, path, rule, v, [CASE WHEN regexp_full_match(x, '([0-9]+|[0-9a-fA-F-]{8,})([.][A-Za-z0-9]{1,5})?') THEN '*' || regexp_extract(x, '([.][A-Za-z0-9]{1,5})?$') ELSE x END FOR x IN string_split(path, '/') IF x <> ''] AS segments FROM a LEFT JOIN best USING (host, path))",
+        "paths AS (SELECT host, segments, count(*) AS n, count(v) AS labelled, count(*) FILTER (v = 'block') AS hits FROM j GROUP BY ALL)",
+        "hosts AS (SELECT host, sum(labelled) AS class_n, sum(hits) AS class_k FROM paths GROUP BY ALL)",
+        f"l0 AS (SELECT paths.*, []::VARCHAR[] AS made, []::VARCHAR[] AS class, CASE WHEN class_n >= 5 THEN {smoothed('class_k', 'class_n')} END AS near, class_n, class_k, true AS open FROM paths JOIN hosts USING (host))",
+    ]
+    for i in range(depth):
+        steps += [
+            f"s{i} AS (SELECT * EXCLUDE (class_n, class_k, open), coalesce(segments[{i + 1}], '') AS s FROM l{i} WHERE open)",
+            f"k{i} AS (SELECT host, made, count(*) AS kinds, max(n) / sum(n) AS share FROM (SELECT host, made, s, sum(n) AS n FROM s{i} GROUP BY ALL) GROUP BY ALL)",
+            f"t{i} AS (SELECT s{i}.*, CASE WHEN kinds >= 16 AND share <= 0.2::DOUBLE AND s <> '' THEN '*' ELSE s END AS t FROM s{i} JOIN k{i} USING (host, made))",
+            f"h{i} AS (SELECT host, class, t, sum(labelled) AS here_n, sum(hits) AS here_k FROM t{i} GROUP BY ALL)",
+            f"z{i} AS (SELECT *, sum(here_n) OVER w AS up_n, (sum(here_k) OVER w) / greatest(sum(here_n) OVER w, 1)::DOUBLE AS rate FROM h{i} WINDOW w AS (PARTITION BY host, class))",
+            f"c{i} AS (SELECT host, class, t, CASE WHEN here_n >= 5 AND abs(here_k - here_n * rate) / sqrt(greatest(here_n * rate * (1 - rate), 1e-9::DOUBLE)) < 1.96::DOUBLE AND t <> '' THEN '/' ELSE t END AS c FROM z{i})",
+            f"m{i} AS (SELECT *, sum(labelled) OVER w AS class_n, sum(hits) OVER w AS class_k, count(*) OVER w AS paths FROM t{i} JOIN c{i} USING (host, class, t) WINDOW w AS (PARTITION BY host, class, c))",
+            f"l{i + 1} AS (SELECT host, segments, n, labelled, hits, CASE WHEN t <> '' THEN list_append(made, t) ELSE made END AS made, list_append(class, c) AS class, CASE WHEN class_n >= 5 THEN {smoothed('class_k', 'class_n')} ELSE near END AS near, class_n, class_k, s <> '' AND paths > 1 AS open FROM m{i})",
+        ]
+    ended = " UNION ALL ".join(f"SELECT host, segments, labelled, hits, near, class_n, class_k, list_concat(made, segments[{i + 2}:]) AS made FROM l{i + 1} WHERE NOT open" for i in range(depth))
+    steps += [
+        f"e AS (SELECT *, '/' || array_to_string(made, '/') AS template FROM ({ended}))",
+        "told AS (SELECT template, host, sum(hits) / sum(labelled)::DOUBLE AS own FROM e GROUP BY ALL HAVING sum(labelled) > 0)",
+        "every AS (SELECT template, count(*) AS hosts, sum(own) AS shares FROM told GROUP BY ALL)",
+        "x AS (SELECT e.*, (coalesce(shares, 0) - coalesce(own, 0) + 0.5::DOUBLE) / (coalesce(hosts, 0) - (own IS NOT NULL)::INT + 5)::DOUBLE AS across FROM e LEFT JOIN told USING (template, host) LEFT JOIN every USING (template))",
+        f"y AS (SELECT host, segments, round(CASE WHEN class_n >= 5 THEN near ELSE {smoothed('class_k', 'class_n', 'coalesce(near, across)')} END, 12) >= 0.8::DOUBLE AS rejected FROM x)",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT page_id, host, path, rule, coalesce(v, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN y USING (host, segments)"
+
+
+#: Hosts with their subdomains, path beginnings, verdicts: the rules of the query.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+OP8 = _op8(URL_RULES, 4)
+
+
 def _escaped(text: str) -> str:
     """Lengths only matter: each control string and each backslash grows by one character."""
     return f"(length({text}) + length(regexp_replace({text}, '[^\\\\]', '', 'g')) + len(regexp_extract_all({text}, '<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|\\[TURN|\\[/TURN\\]')))"

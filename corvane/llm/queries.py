@@ -88,8 +88,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *none, F.col("mix.tokens").alias("n_tokens"), "mix.probability", "mix.weight", "mix.selected")
 
 
-#: Hosts with their subdomains, path beginnings, verdicts.
-URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+URL_RULES = oracles.URL_RULES
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +128,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": oracles.OP5,
     "op6_ngram_jaccard": oracles.OP6,
     "op7_mixing": oracles.OP7,
+    "op8_url_filters": oracles.OP8,
 }

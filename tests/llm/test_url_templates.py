@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import defaultdict
 
-from corvane.llm import url_templates as U
+import pytest
+
+from corvane.llm import queries, url_templates as U
 from corvane.llm.queries import URL_RULES
 from corvane.llm.workspace import Workspace
 
@@ -71,3 +77,90 @@ def test_deep_paths_are_told_apart(spark):
     df = spark.createDataFrame(pages, "host string, path string, bad boolean")
     got = {r.template: r.rejected for r in U.judged_templates(df, Workspace(spark, "t")).collect()}
     assert got == {"/a/b/c/d/e/bad/*": True, "/a/b/c/d/e/good/*": False, "/x" * 500: False}
+
+
+def trees(pages):
+    """Template, purity and verdict of each (host, segments), level by level, from plain counts."""
+    rows = {}
+    for host, path, bad in pages:
+        parts = tuple(re.sub(r"^(?:[0-9]+|[0-9a-fA-F-]{8,})(?=$|\.[A-Za-z0-9]{1,5}$)", "*", x) for x in path.split("/") if x)
+        row = rows.setdefault((host, parts), {"host": host, "parts": parts, "n": 0, "labelled": 0, "hits": 0, "made": (), "class": ()})
+        row["n"] += 1
+        row["labelled"] += bad is not None
+        row["hits"] += bad is True
+    smoothed = lambda k, n, prior: (k + prior * U.PRIOR_WEIGHT) / (n + U.PRIOR_WEIGHT)
+
+    def sums(rows, *key):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for r in rows:
+            own = out[tuple(r[k] for k in key)]
+            for i, v in enumerate((r["labelled"], r["hits"], r["n"], 1)):
+                own[i] += v
+        return out
+
+    for r in rows.values():
+        labelled, hits, *_ = sums(rows.values(), "host")[r["host"],]
+        r["near"] = smoothed(hits, labelled, U.PRIOR) if labelled >= U.MERGE_PAGES else None
+    open_, i = list(rows.values()), 0
+    while open_:
+        for r in open_:
+            r["s"] = r["parts"][i] if i < len(r["parts"]) else ""
+        kinds = sums(open_, "host", "made", "s")
+        for r in open_:
+            own = [v[2] for (h, m, _), v in kinds.items() if (h, m) == (r["host"], r["made"])]
+            r["t"] = "*" if len(own) >= U.WILD_KINDS and max(own) / sum(own) <= U.WILD_SHARE and r["s"] else r["s"]
+        here, above = sums(open_, "host", "class", "t"), sums(open_, "host", "class")
+        for r in open_:
+            (n, k, *_), (up_n, up_k, *_) = here[r["host"], r["class"], r["t"]], above[r["host"], r["class"]]
+            rate = up_k / max(up_n, 1)
+            z = abs(k - n * rate) / math.sqrt(max(n * rate * (1 - rate), 1e-9))
+            r["c"] = "/" if n >= U.MERGE_PAGES and z < U.MERGE_Z and r["t"] else r["t"]
+        pure = sums(open_, "host", "class", "c")
+        for r in open_:
+            r["class_n"], r["class_k"], _, r["paths"] = pure[r["host"], r["class"], r["c"]]
+            if r["class_n"] >= U.MERGE_PAGES:
+                r["near"] = smoothed(r["class_k"], r["class_n"], U.PRIOR)
+        for r in open_:
+            r["made"] += (r["t"],) if r["t"] else ()
+            r["class"] += (r["c"],)
+            if not r["s"] or r["paths"] == 1:
+                r["made"] += r["parts"][i + 1 :]
+        open_, i = [r for r in open_ if r["s"] and r["paths"] > 1], i + 1
+    for r in rows.values():
+        r["template"] = "".join(f"/{m}" for m in r["made"])
+    told = {k: v[1] / v[0] for k, v in sums(rows.values(), "template", "host").items() if v[0]}
+    for r in rows.values():
+        others = [v for (t, h), v in told.items() if t == r["template"] and h != r["host"]]
+        across = (sum(others) + U.PRIOR * U.PRIOR_WEIGHT) / (len(others) + U.PRIOR_WEIGHT)
+        r["purity"] = r["near"] if r["class_n"] >= U.MERGE_PAGES else smoothed(r["class_k"], r["class_n"], across if r["near"] is None else r["near"])
+    return {(r["host"], r["parts"]): (r["template"], round(r["purity"], 9), round(r["purity"], 12) >= U.REJECT) for r in rows.values()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_against_plain_counts(spark, seed):
+    """Hosts of few and many pages, wide and deep paths, branches that are bad, good, mixed or unlabelled."""
+    rng, pages = random.Random(seed), []
+    share = {"spam": 0.95, "buy": 0.9, "news": 0.05, "blog": 0.3, "x": 0.5}
+    for _ in range(1500):
+        host, first = rng.choice(["a", "a", "a", "b", "c", "d", f"h{rng.randrange(40)}"]), rng.choice(list(share))
+        path = f"/{first}" + "".join(f"/{rng.choice(['p', 'q', str(rng.randrange(99)), f'w{rng.randrange(30)}', 'deadbeef01.html', f'n{rng.randrange(400)}'])}" for _ in range(rng.randrange(6)))
+        pages.append((host, path, rng.random() < share[first] if rng.random() < 0.4 else None))
+    pages += [("", "", None), ("a", "/", True), ("a", "//spam//p", False)]
+    df = spark.createDataFrame(pages, "host string, path string, bad boolean")
+    got = {(r.host, tuple(r.segments)): (r.template, round(r.purity, 9), r.rejected) for r in U.judged_templates(df, Workspace(spark, "t")).collect()}
+    expected = trees(pages)
+    assert got == expected and len({v[2] for v in expected.values()}) == 2
+
+
+def test_rules_and_trees_of_the_query_against_plain_counts(spark, tmp_path):
+    """Verdicts of a table on which templates decide about pages that no rule fits."""
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice(['casino.example.com', 'fair.example.net', 'x.example.org', 'y.fr', 'z.example.net'])}/{rng.choice(['en', 'de', 'es', 'fr', 'it/a'])}/{rng.randrange(1000)}{rng.choice(['', '.html', '?q=1'])}" for _ in range(900)] + URLS
+    spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    cut = [brute(u) for u in urls]
+    known = trees([(h, p, None if v is None else v == "block") for h, p, _, v in cut])
+    segments = lambda p: tuple(re.sub(r"^(?:[0-9]+|[0-9a-fA-F-]{8,})(?=$|\.[A-Za-z0-9]{1,5}$)", "*", x) for x in p.split("/") if x)
+    expected = {i: (h, p, rule, v or ("block" if known[h, segments(p)][2] else "allow")) for i, (h, p, rule, v) in enumerate(cut)}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op8_url_filters(spark, str(tmp_path)).collect()}
+    assert got == expected
+    assert sum(rule is None and v == "block" for _, _, rule, v in got.values()) > 50
