@@ -24,7 +24,8 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.workspace import shared_folder, small_batches
+from corvane.llm.workspace import small_batches
+from corvane.session import shared_folder
 
 TOKENIZERS = "/opt/tokenizers"
 KEYS = ["source", "lang", "version"]
@@ -80,7 +81,7 @@ class TokenRollup:
     below stands-for/ the names of the batches that a compaction replaced."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_folder(spark).rstrip('/')}/corvane/rollup-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/corvane/rollup-{uuid.uuid4().hex}"
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(conf)

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set and all tasks run in the driver (tests), one of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
+from corvane.session import shared_folder
 
 #: Rows and bytes of one Arrow batch at most: texts can be long, and a batch stands in memory several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -37,7 +25,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
-        self.spark, self.path = spark, f"{shared_folder(spark).rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the written table."""
