@@ -136,3 +136,16 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
        (3 + sum(chars))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+#: All pairs of vectors, and what links lead to.
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, token_rollup, url_templates
 from corvane.llm.decontamination import contamination
+from corvane.llm.lattice_dedup import near_duplicates
 from corvane.llm.ngram_jaccard import jaccard_components
 from corvane.llm.substring_dedup import remove_repeats
 from corvane.llm.workspace import Workspace
@@ -108,6 +109,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"), mask=False).drop("masked")
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors, by cosine of at least 0.95: vec_id, n_links, component_id, kept."""
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op12_embedding_dedup": op12_embedding_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
@@ -129,4 +136,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": oracles.OP6,
     "op7_mixing": oracles.OP7,
     "op8_url_filters": oracles.OP8,
+    "op12_embedding_dedup": oracles.OP12,
 }

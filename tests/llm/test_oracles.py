@@ -14,4 +14,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
