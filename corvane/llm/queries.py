@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, token_rollup, url_templates
+from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, token_alignment, token_rollup, url_templates
 from corvane.llm.decontamination import contamination
 from corvane.llm.lattice_dedup import near_duplicates
 from corvane.llm.ngram_jaccard import jaccard_components
@@ -109,6 +109,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"), mask=False).drop("masked")
 
 
+#: Files of public vocabularies, on every machine.
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str, byte_bpe: str = BYTE_BPE, pieces: str = PIECE_BPE) -> DataFrame:
+    """Token groups and links of every document in two tokenizers: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    return token_alignment.Alignment(_read(spark, sf_dir, "documents"), byte_bpe, pieces).documents()
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all vectors, by cosine of at least 0.95: vec_id, n_links, component_id, kept."""
     return near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.95)
@@ -126,6 +135,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_token_alignment": op11_token_alignment,
     "op12_embedding_dedup": op12_embedding_dedup,
 }
 ORACLES: dict[str, str] = {
