@@ -20,7 +20,9 @@ import hashlib
 import json
 import os
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.workspace import Workspace
 
-#: Bytes of text in a block; stretches that are remembered, and how long they may be.
-BLOCK, KNOWN, LONG = 8 << 20, 200_000, 64
+#: Characters of text in a block; stretches of a generation that are remembered, and how long they may be.
+BLOCK, KNOWN, LONG = 8 << 20, 150_000, 64
 CUT = re.compile(r"(?<=[\x21-\x7e\w]) (?!\Z)")
+#: A blank at which a text isn't cut.
+WHOLE = re.compile(r"[^\x21-\x7e\w] |\A | \Z")
 BLOCKS = "block long, documents array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,groups_sha256:string>>, refs binary, dictionary array<struct<key:string,n:long>>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -43,68 +47,99 @@ def _byte_of() -> dict[str, int]:
 
 
 class Aligner:
-    """Two loaded tokenizers, and the groups of the stretches seen last."""
+    """Two loaded tokenizers, and the groups of the stretches seen last, in two generations."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.a.encode_special_tokens = True
-        byte_of, texts = _byte_of(), self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in texts.items()}
+        byte_of = _byte_of()
+        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = re.compile("<0x[0-9A-F]{2}>")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte.fullmatch(p) else p.replace("▁", " ").encode() for p in names]
-        before = (json.loads(self.a.to_str())["pre_tokenizer"] or {}) if any(re.search(r"[^ ] ", t.decode("latin-1")) for t in self.a_bytes.values()) or self.a.pre_tokenizer else {}
-        level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and self.a.normalizer is None
-        self.separable = bool(level) and not any(re.search("[^▁]▁", p) for p in names)
-        self.known: dict[str, tuple] = {}
-        self.groups: dict[str, int] = {}
-        self.keys: list[str] = []
+        self.a_size, self.b_size = {i: len(t) for i, t in self.a_bytes.items()}, [len(t) for t in self.b_bytes]
+        told = json.loads(self.a.to_str())
+        before, model = told["pre_tokenizer"] or {}, told["model"]
+        level = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.separable = level and not any(re.search("[^▁]▁", p) for p in names)
+        # Where ids come in the order of merges, as here, ranks say all: a faster encoder for short stretches.
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.quick = None
+        if level and [model["vocab"]["".join(m)] for m in merges] == [*range(256, 256 + len(merges))] and not model.get("ignore_merges"):
+            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            self.quick = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks={t: i for i, t in self.a_bytes.items()}, special_tokens={}).encode_ordinary
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def cut(self, text: str) -> list[str]:
-        return CUT.split(text) if self.separable else [text]
+        if not self.separable:
+            return [text]
+        return CUT.split(text) if WHOLE.search(text) else text.split(" ")
 
     def _groups(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """Digest text, group numbers, A tokens and B tokens of a stretch that a blank goes before; None if bytes differ."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = b" " + text.encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        """Groups, A tokens and B tokens of a stretch that a blank goes before; None if bytes differ."""
+        whole, a_bytes, b_bytes = b" " + text.encode(), self.a_bytes, self.b_bytes
+        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
             return None
-        out, i, j, end_a, end_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            end_a += len(a_bytes[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(b_bytes[j])
-                j += 1
-            if end_a == end_b:
-                out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-        numbers = []
-        for key in out:
-            n = self.groups.setdefault(key, len(self.keys))
-            if n == len(self.keys):
-                self.keys.append(key)
-            numbers.append(n)
-        return ";".join(out), numbers, len(a), len(b)
+        if len(a) == 1 or len(b) == 1:
+            return (f"{','.join(map(str, a))}|{','.join(map(str, b))}",), len(a), len(b)
+        end_a, end_b = [*accumulate([self.a_size[i] for i in a])], [*accumulate([self.b_size[i] for i in b])]
+        out, i, j = [], 0, 0
+        both = set(end_b)
+        for at, end in enumerate(end_a):
+            if end in both:
+                to = bisect_left(end_b, end, j)
+                out.append(f"{','.join(map(str, a[i : at + 1]))}|{','.join(map(str, b[j : to + 1]))}")
+                i, j = at + 1, to + 1
+        return tuple(out), len(a), len(b)
+
+    def _many(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """_groups of many stretches, whose tokens are compared as one run of bytes."""
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        whole = " ".join(["", *texts]).encode()
+        stop = np.cumsum([1 + len(t) if t.isascii() else 1 + len(t.encode()) for t in texts])
+        count_a, count_b = [len(x) for x in a], [len(x) for x in b]
+        end_a, end_b = np.cumsum([self.a_size[i] for i in flat_a]), np.cumsum([self.b_size[i] for i in flat_b])
+        same = 0 not in count_a and 0 not in count_b and b"".join([self.a_bytes[i] for i in flat_a]) == whole == b"".join([self.b_bytes[i] for i in flat_b])
+        if not same or (end_a[np.cumsum(count_a) - 1] != stop).any() or (end_b[np.cumsum(count_b) - 1] != stop).any():
+            return [self._groups(*x) for x in zip(texts, a, b, strict=True)]
+        place = np.searchsorted(end_b, end_a)
+        cut_a = np.flatnonzero(end_b[place] == end_a)
+        cut_b = place[cut_a]
+        last = np.searchsorted(end_a[cut_a], stop, "right").tolist()
+        keys, i, j = [], 0, 0
+        for x, y in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), strict=True):
+            left = flat_a[i] if x - i == 1 else ",".join(map(str, flat_a[i:x]))
+            right = flat_b[j] if y - j == 1 else ",".join(map(str, flat_b[j:y]))
+            keys.append(f"{left}|{right}")
+            i, j = x, y
+        return [(tuple(keys[f:t]), m, n) for f, t, m, n in zip([0, *last[:-1]], last, count_a, count_b, strict=True)]
 
     def of(self, stretches: set[str]) -> dict[str, tuple | None]:
-        """The groups of the stretches, which are encoded if they aren't known."""
-        new = [s for s in stretches if s not in self.known]
-        fresh = {}
+        """The groups of the stretches; those that aren't remembered are encoded."""
+        if len(self.young) > KNOWN:
+            self.young, self.old = {}, self.young
+        young, old, out, new = self.young, self.old, {}, []
+        for s in stretches:
+            if s in young:
+                out[s] = young[s]
+            elif s in old:
+                out[s] = young[s] = old[s]
+            else:
+                new.append(s)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            a = self.a.encode_batch([" " + s for s in some], add_special_tokens=False)
-            for s, x, y in zip(some, a, self.b.encode(some, num_threads=1), strict=True):
-                (self.known if len(s) <= LONG else fresh)[s] = self._groups(s, x.ids, y)
-        return fresh
-
-    def forget(self) -> None:
-        if len(self.known) > KNOWN or len(self.keys) > 2 * KNOWN:
-            self.known, self.groups, self.keys = {}, {}, []
+            a = [self.quick(" " + s) if self.quick and len(s) <= LONG else self.a.encode(" " + s, add_special_tokens=False).ids for s in some]
+            for s, x in zip(some, self._many(some, a, self.b.encode(some, num_threads=1)), strict=True):
+                out[s] = x
+                if len(s) <= LONG:
+                    young[s] = x
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -115,28 +150,31 @@ def aligner(byte_bpe: str, pieces: str) -> Aligner:
 def _blocks(byte_bpe: str, pieces: str, by_document: bool):
     def block(number: int, rows: list[tuple]) -> pa.RecordBatch:
         own = aligner(byte_bpe, pieces)
-        own.forget()
         cut = [own.cut(t) if t else [] for _, t in rows]
-        fresh = own.of({s for c in cut for s in c})
+        found = own.of({s for c in cut for s in c})
+        entry: dict[str, int] = {}  # the block's dictionary
+        numbers = {s: [entry.setdefault(k, len(entry)) for k in x[0]] for s, x in found.items() if x}
+        text = {s: ";".join(x[0]) for s, x in found.items() if x}
         documents, refs = [], []
         for (doc_id, _), c in zip(rows, cut, strict=True):
-            found = [own.known[s] if s in own.known else fresh[s] for s in c]
-            if not found or None in found:
+            if not c or not all(map(found.__getitem__, c)):
                 documents.append((doc_id, 0, 0, 0, ""))
                 continue
-            texts, numbers, a, b = zip(*found, strict=True)
-            numbers = np.fromiter((n for x in numbers for n in x), np.int64)
-            refs.append(numbers)
-            documents.append((doc_id, sum(a), sum(b), len(numbers), hashlib.sha256(";".join(texts).encode()).hexdigest()))
-        held, place = np.unique(np.concatenate(refs) if refs else np.zeros(0, np.int64), return_inverse=True)
-        n = np.bincount(place, minlength=len(held))
+            own_refs = [n for s in c for n in numbers[s]]
+            refs.append(np.array(own_refs, np.int64))
+            a, b = sum([found[s][1] for s in c]), sum([found[s][2] for s in c])
+            documents.append((doc_id, a, b, len(own_refs), hashlib.sha256(";".join([text[s] for s in c]).encode()).hexdigest()))
+        place = np.concatenate(refs) if refs else np.zeros(0, np.int64)
+        n = np.bincount(place, minlength=len(entry))
         if by_document:
-            n, ends = np.zeros(len(held), np.int64), np.cumsum([len(r) for r in refs])
-            for x in np.split(place, ends[:-1]) if refs else []:
-                n[np.unique(x)] += 1
+            n = np.bincount(np.concatenate([np.unique(r) for r in refs]) if refs else place, minlength=len(entry))
+        held = np.flatnonzero(n)  # not those of texts that have no tokens after all
+        renumbered = np.zeros(len(entry), np.int64)
+        renumbered[held] = np.arange(len(held))
+        keys, place, n = list(entry), renumbered[place], n[held]
         rows = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups_sha256"), zip(*documents, strict=True), strict=True))
         rows = pa.StructArray.from_arrays([pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in rows.items()], list(rows))
-        entries = pa.StructArray.from_arrays([pa.array([own.keys[x] for x in held.tolist()], pa.string()), pa.array(n, pa.int64())], ["key", "n"])
+        entries = pa.StructArray.from_arrays([pa.array([keys[x] for x in held.tolist()], pa.string()), pa.array(n, pa.int64())], ["key", "n"])
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, entries)]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], pa.array([place.astype("<i4").tobytes()], pa.binary()), lists[1]], ["block", "documents", "refs", "dictionary"])
 
