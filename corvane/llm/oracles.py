@@ -149,3 +149,23 @@ c AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+#: All phrases, all cuts of them, and all longer phrases that hold them.
+OP13 = f"""
+WITH p AS (SELECT lang, doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i
+           FROM (SELECT coalesce(lang, 'und') AS lang, doc_id, regexp_split_to_array({lower("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, d, array_to_string(ws[i:i + d - 1], ' ') AS phrase FROM (SELECT lang, ws, d, unnest(range(1, len(ws) - d + 2)) AS i FROM w CROSS JOIN range(1, 5) r(d))),
+f AS (SELECT lang, phrase, d, string_split(phrase, ' ') AS ws, count(*)::BIGINT AS a FROM g GROUP BY lang, phrase, d HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT f.lang, f.phrase, f.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a) // (x.a + y.a) AS score
+      FROM (SELECT *, unnest(range(1, d)) AS k FROM f WHERE d > 1) f
+      JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1:k], ' ') JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[k + 1:], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, a AS longer, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+             FROM (SELECT f.*, m, unnest(range(1, d - m + 2)) AS i FROM f CROSS JOIN range(2, 4) r(m) WHERE m < d)),
+h AS (SELECT lang, phrase, max(longer) AS longer FROM inner_of GROUP BY lang, phrase),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+      FROM b LEFT JOIN h USING (lang, phrase) WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * b.a)
+SELECT k.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import ann, chat_format, mixing, oracles, pii, quality_gam, token_alignment, token_rollup, url_templates
+from corvane.llm.collocations import collocations
 from corvane.llm.decontamination import contamination
 from corvane.llm.lattice_dedup import near_duplicates
 from corvane.llm.ngram_jaccard import jaccard_components
@@ -123,6 +124,11 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of each language: lang, rank, phrase, a, l, r, n, score."""
+    return collocations(_read(spark, sf_dir, "documents"), least=30, top=2000, percent=80)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -137,6 +143,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_token_alignment": op11_token_alignment,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
@@ -147,4 +154,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": oracles.OP7,
     "op8_url_filters": oracles.OP8,
     "op12_embedding_dedup": oracles.OP12,
+    "op13_collocations": oracles.OP13,
 }

@@ -77,6 +77,18 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed(values: pa.LargeBinaryArray) -> np.ndarray:
+    """The hash of each of some words, which stand side by side."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(0, U64)
+    offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    read = np.zeros(int(offsets[-1] - offsets[0]) + 8, np.uint8)
+    if len(read) > 8:
+        read[:-8] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return _hashes(read, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+
+
 def _block(data: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of the words of a block; no word crosses one of bounds (sorted inner offsets)."""
     inside = rule.inside[data]
