@@ -71,6 +71,39 @@ def test_a_compaction_without_its_commit_stands_for_nothing(spark, tmp_path):
     assert as_dict(rollup) == {("s", "en", "v1"): (1, 10)} and not rollup.apply("b1", changes(spark, []))
 
 
+def between(rollup, act):
+    """Does something just before the rollup's next commit of sums."""
+    commit = rollup._commit
+
+    def late(*a, **k):
+        rollup._commit = commit
+        act()
+        return commit(*a, **k)
+
+    rollup._commit = late
+
+
+def test_a_batch_committed_beside_a_compaction_counts_once(spark, tmp_path):
+    one, two = (T.TokenRollup(spark, f"file://{tmp_path}/f") for _ in "ab")
+    one.apply("b1", changes(spark, [(1, "s", "en", "v1", 10, "1")]))
+    between(one, lambda: two.apply("b2", changes(spark, [(1, "s", "en", "v1", 100, "2")])))
+    assert one.compact() and as_dict(one) == as_dict(two) == {("s", "en", "v1"): (2, 110)}
+    assert one.compact() and as_dict(two) == {("s", "en", "v1"): (2, 110)}
+    assert not one.apply("b1", changes(spark, [])) and not two.apply("b2", changes(spark, []))
+
+
+def test_of_two_compactions_at_once_one_counts(spark, tmp_path):
+    one, two = (T.TokenRollup(spark, f"file://{tmp_path}/g") for _ in "ab")
+    one.apply("b1", changes(spark, [(1, "s", "en", "v1", 10, "1")]))
+    # the other comes first, and again with a later batch: its base takes two numbers, and neither is free again
+    between(one, lambda: (two.compact(), two.apply("b2", changes(spark, [(1, "s", "en", "v1", 5, "2")])), two.compact()))
+    sums = one._summed
+    one._summed = lambda live: spark.createDataFrame(sums(live).collect(), T.SCHEMA)  # read before the other removes the files
+    assert not one.compact() and as_dict(one) == as_dict(two) == {("s", "en", "v1"): (2, 15)}
+    assert two.compact() and as_dict(one) == {("s", "en", "v1"): (2, 15)} and len(one._commits()) == 1
+    assert len(os.listdir(f"{tmp_path}/g/data")) == 1 and not one.apply("b1", changes(spark, []))
+
+
 @needs_vocabulary
 def test_the_query_against_brute_force(spark, edge_rows, tmp_path):
     """Inserts of estimates, revisions to counts, deletes of what labels call toxic, compaction, and all batches again."""
