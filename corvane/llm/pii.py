@@ -102,6 +102,16 @@ _SPELLED_PART = re.compile(rf"({PLUS_WORDS}|\+)|({_WORD})|([0-9]+)", re.I)
 _BRACKET = re.compile(rf"[ \t]?[\[({{<][ \t]?(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))[ \t]?[\])}}>][ \t]?", re.I)
 _CHAIN = rf"[A-Za-z0-9-]++(?:(?:\.|[ \t](?:{DOT_WORDS})[ \t])[A-Za-z0-9-]++)+"
 _SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])[ \t]({AT_WORDS})[ \t](?![0-9.]++(?![A-Za-z0-9-]))(?={_CHAIN})", re.I)
+_CHAINED = re.compile(_CHAIN, re.I)
+# Common endings of domains; words that announce an address, and short ones that may follow them; words that are no name.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io ai co me tv app dev xyz online site shop blog eu uk us ca au nz de fr es it nl be ch at lu pl se no dk fi is pt ie in jp cn kr tw hk sg br mx ar cl pe ru ua tr gr cz sk si hr hu ro bg lt lv ee za il".split()
+)
+CUES = frozenset("mail email e-mail mailto contact write reach ask ping correo escribe escribir courriel contactez écrivez schreib schreiben kontakt".split())
+LINKS, NO_NAMES = frozenset("to a à an us me".split()), frozenset("me us him her them you it i we he she they this that mir uns ihm ihr ihnen moi nous lui leur mí nosotros".split())
+_BEFORE = re.compile(r"(?:([\w-]+)[^\w\n]{1,3})?(?:([\w-]+)[^\w\n]{1,3})?(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)\Z")
+#: Characters before a spoken "at" that are looked at for a name and its announcement.
+REACH = 120
 _MIXED = re.compile(rf"@(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9-])", re.I)
 _NAMED = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t][A-Za-z0-9._%+-]++(?=@)", re.I)
 _SPOKEN_BEFORE, _DOT_REACH = re.compile(rf"[ \t](?:{DOT_WORDS})[ \t]\Z", re.I), max(map(len, DOT_WORDS.split("|"))) + 2
@@ -178,10 +188,31 @@ def spelled_digits(t: Rewritten) -> Rewritten:
     return t.replaced(out)
 
 
+def _meant(text: str, m: re.Match) -> bool:
+    """Whether a spoken "at" stands in an address: its domain has a spoken dot, or it has a common ending, and what is left of "at" is written
+    like a name (a letter, and a point, underscore, digit or spoken dot) or announced as one.  Other languages' words for the sign mean nothing else."""
+    if m[1].lower() != "at":
+        return True
+    domain = _CHAINED.match(text, m.end())[0]
+    if " " in domain or "\t" in domain:
+        return True
+    if domain.rsplit(".", 1)[1].lower() not in ENDINGS or domain[:4].lower() == "www.":
+        return False
+    before = _BEFORE.search(text[max(0, m.start() - REACH) : m.start()])
+    if not before:
+        return False
+    far, near, name = (x or "" for x in before.groups())
+    if not near:
+        far, near = "", far
+    if any(c.isalpha() for c in name) and (any(c in "._" or c.isdigit() for c in name.strip(".")) or _SPOKEN_BEFORE.search(text[max(0, m.start() - len(name) - _DOT_REACH) : m.start() - len(name)])):
+        return True
+    return name.lower() not in NO_NAMES and (near.lower() in CUES or near.lower() in LINKS and far.lower() in CUES)
+
+
 def at_and_dot(t: Rewritten) -> Rewritten:
-    """Bracketed signs, spoken "at" before a domain, and the spoken dots on either side of an at sign."""
+    """Bracketed signs, spoken "at" in an address, and the spoken dots on either side of an at sign."""
     t = t.replaced((m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKET.finditer(t.text))
-    signs = {(m.start(), m.end()) for m in _SPOKEN.finditer(t.text)} | {(m.start(), m.start() + 1) for m in _MIXED.finditer(t.text)} | {(m.end(), m.end() + 1) for m in _NAMED.finditer(t.text)}
+    signs = {(m.start(), m.end()) for m in _SPOKEN.finditer(t.text) if _meant(t.text, m)} | {(m.start(), m.start() + 1) for m in _MIXED.finditer(t.text)} | {(m.end(), m.end() + 1) for m in _NAMED.finditer(t.text)}
     edits: list[tuple[int, int, str]] = []
     done = 0
     for start, end in sorted(signs):

@@ -88,6 +88,26 @@ def test_names_and_domains_partly_spoken():
     assert pii.masked(text, {k: plain[k] + more[k] for k in pii.KINDS}) == "mail <EMAIL> ok"
 
 
+PROSE = """The train arrived at 10.30am and they met me at www.example.com, she said. She works at Amazon.com and looked at St.Mary on the hill.
+Sold at Fr.5 a piece, or 3 at No.5; rated 4.5 at example.com and 9 at imdb.com. Look at this. He was at Yahoo.com until 2009, at 12.5 percent.
+You can find us at example.org or call us at home. We met at St.James at 8.15, at Fig.2 and at p.17; ask me at www.example.net.
+The dot at the end, the point at issue, two at a time, one at 3.14; more at Sec.4.2 and at U.S. prices; write it at least once."""
+
+
+def test_prose_is_left_alone():
+    assert spans(PROSE) == {}
+    for sentence in re.split(r"(?<=[.;]) ", PROSE):
+        assert spans(sentence) == {}
+
+
+def test_spoken_at_in_addresses():
+    for text in ("jane.doe at example.com", "jane_d at mail.example.org", "jane7 at example.co.uk", "john dot doe at example.com", "jane at example dot com", "jane arroba ejemplo.es"):
+        assert spans(f"say {text} now") == {"email": [text]}
+    for cue in ("mail", "Email:", "contact", "write to", "e-mail me -"):
+        assert spans(f"please {cue} jane at example.com.") == {"email": ["jane at example.com"]}
+    assert spans(f"{'x' * 500} mail jane at example.com") == {"email": ["jane at example.com"]}
+
+
 def test_long_disguised_runs_are_linear():
     for text in ("a dot " * 60_000 + "a at b.c", "a at b.c " * 40_000, "one dot " * 60_000, "a@b dot " * 50_000, "1 one " * 60_000, "a at " + "b." * 100_000):
         start = time.time()
