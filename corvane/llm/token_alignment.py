@@ -20,9 +20,8 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.workspace import Workspace
 
-#: Characters of text in a block; stretches of a generation that are remembered, and how long they may be.
-BLOCK, KNOWN, LONG = 8 << 20, 150_000, 64
+#: Characters of text in a block; characters of a stretch from which on the quick encoder isn't asked.
+BLOCK, LONG = 1 << 20, 64
 CUT = re.compile(r"(?<=[\x21-\x7e\w]) (?!\Z)")
 #: A blank at which a text isn't cut.
 WHOLE = re.compile(r"[^\x21-\x7e\w] |\A | \Z")
@@ -47,7 +46,7 @@ def _byte_of() -> dict[str, int]:
 
 
 class Aligner:
-    """Two loaded tokenizers, and the groups of the stretches seen last, in two generations."""
+    """Two loaded tokenizers, and how their tokens of many texts are grouped."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -62,7 +61,9 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = re.compile("<0x[0-9A-F]{2}>")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte.fullmatch(p) else p.replace("▁", " ").encode() for p in names]
-        self.a_size, self.b_size = {i: len(t) for i, t in self.a_bytes.items()}, [len(t) for t in self.b_bytes]
+        self.a_bytes = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.kind = np.uint16 if max(len(self.a_bytes), len(names)) <= 1 << 16 else np.uint32
         told = json.loads(self.a.to_str())
         before, model = told["pre_tokenizer"] or {}, told["model"]
         level = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -72,74 +73,74 @@ class Aligner:
         self.quick = None
         if level and [model["vocab"]["".join(m)] for m in merges] == [*range(256, 256 + len(merges))] and not model.get("ignore_merges"):
             pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            self.quick = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks={t: i for i, t in self.a_bytes.items()}, special_tokens={}).encode_ordinary
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+            self.quick = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes) if t}, special_tokens={}).encode_ordinary
 
     def cut(self, text: str) -> list[str]:
         if not self.separable:
             return [text]
         return CUT.split(text) if WHOLE.search(text) else text.split(" ")
 
-    def _groups(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """Groups, A tokens and B tokens of a stretch that a blank goes before; None if bytes differ."""
-        whole, a_bytes, b_bytes = b" " + text.encode(), self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return (f"{','.join(map(str, a))}|{','.join(map(str, b))}",), len(a), len(b)
-        end_a, end_b = [*accumulate([self.a_size[i] for i in a])], [*accumulate([self.b_size[i] for i in b])]
-        out, i, j = [], 0, 0
-        both = set(end_b)
-        for at, end in enumerate(end_a):
-            if end in both:
-                to = bisect_left(end_b, end, j)
-                out.append(f"{','.join(map(str, a[i : at + 1]))}|{','.join(map(str, b[j : to + 1]))}")
-                i, j = at + 1, to + 1
-        return tuple(out), len(a), len(b)
-
-    def _many(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
-        """_groups of many stretches, whose tokens are compared as one run of bytes."""
-        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-        whole = " ".join(["", *texts]).encode()
-        stop = np.cumsum([1 + len(t) if t.isascii() else 1 + len(t.encode()) for t in texts])
-        count_a, count_b = [len(x) for x in a], [len(x) for x in b]
-        end_a, end_b = np.cumsum([self.a_size[i] for i in flat_a]), np.cumsum([self.b_size[i] for i in flat_b])
-        same = 0 not in count_a and 0 not in count_b and b"".join([self.a_bytes[i] for i in flat_a]) == whole == b"".join([self.b_bytes[i] for i in flat_b])
-        if not same or (end_a[np.cumsum(count_a) - 1] != stop).any() or (end_b[np.cumsum(count_b) - 1] != stop).any():
-            return [self._groups(*x) for x in zip(texts, a, b, strict=True)]
-        place = np.searchsorted(end_b, end_a)
-        cut_a = np.flatnonzero(end_b[place] == end_a)
-        cut_b = place[cut_a]
-        last = np.searchsorted(end_a[cut_a], stop, "right").tolist()
-        keys, i, j = [], 0, 0
-        for x, y in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), strict=True):
-            left = flat_a[i] if x - i == 1 else ",".join(map(str, flat_a[i:x]))
-            right = flat_b[j] if y - j == 1 else ",".join(map(str, flat_b[j:y]))
-            keys.append(f"{left}|{right}")
-            i, j = x, y
-        return [(tuple(keys[f:t]), m, n) for f, t, m, n in zip([0, *last[:-1]], last, count_a, count_b, strict=True)]
-
-    def of(self, stretches: set[str]) -> dict[str, tuple | None]:
-        """The groups of the stretches; those that aren't remembered are encoded."""
-        if len(self.young) > KNOWN:
-            self.young, self.old = {}, self.young
-        young, old, out, new = self.young, self.old, {}, []
-        for s in stretches:
-            if s in young:
-                out[s] = young[s]
-            elif s in old:
-                out[s] = young[s] = old[s]
-            else:
-                new.append(s)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            a = [self.quick(" " + s) if self.quick and len(s) <= LONG else self.a.encode(" " + s, add_special_tokens=False).ids for s in some]
-            for s, x in zip(some, self._many(some, a, self.b.encode(some, num_threads=1)), strict=True):
-                out[s] = x
-                if len(s) <= LONG:
-                    young[s] = x
-        return out
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [self.quick(" " + t) if self.quick and len(t) <= LONG else self.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+        return a, self.b.encode(texts, num_threads=1) if texts else []
+
+    def grouped(self, texts: list[str]) -> Groups:
+        """The groups of stretches, each with a blank before it.  One whose tokens' bytes don't give it back has none."""
+        a, b = self._encoded(texts)
+        whole, each = " ".join(["", *texts]).encode(), list(range(len(texts)))
+        if b"".join([self.a_bytes[i] for x in a for i in x]) != whole or b"".join([self.b_bytes[i] for x in b for i in x]) != whole:
+            each = [n for n, t in enumerate(texts) if b"".join([self.a_bytes[i] for i in a[n]]) == (" " + t).encode() == b"".join([self.b_bytes[i] for i in b[n]])]
+            a, b = [a[n] for n in each], [b[n] for n in each]
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        ends = [np.cumsum(size[f]) for f, size in zip(flat, (self.a_size, self.b_size), strict=True)]
+        count = np.zeros((2, len(texts)), np.int64)
+        count[:, each] = [[len(x) for x in a], [len(x) for x in b]]
+        place = np.searchsorted(ends[1], ends[0])
+        cut = ends[1][np.minimum(place, len(ends[1]) - 1)] == ends[0] if len(ends[0]) else np.zeros(0, bool)
+        last = [np.flatnonzero(cut) + 1, place[cut] + 1]  # of each group, among either's tokens
+        first = [np.concatenate(([0], x))[: len(x)] for x in last]
+        number, keys = self._interned(flat, first, last)
+        stops = np.searchsorted(last[0], np.cumsum(count[0]), "right")  # groups up to the end of each stretch
+        return Groups(keys, number, np.concatenate(([0], stops)), count, np.isin(np.arange(len(texts)), each))
+
+    def _interned(self, flat: list[np.ndarray], first: list[np.ndarray], last: list[np.ndarray]) -> tuple[np.ndarray, list[str]]:
+        """A number for each group, and the distinct groups as text; groups of one shape are compared as runs of ids."""
+        sizes = [b - a for a, b in zip(first, last, strict=True)]
+        number, keys = np.zeros(len(sizes[0]), np.int64), []
+        shape = sizes[0] << 32 | sizes[1]
+        for own in np.unique(shape).tolist():
+            m, n = own >> 32, own & 0xFFFFFFFF
+            rows = np.flatnonzero(shape == own)
+            ids = np.concatenate([flat[x][first[x][rows, None] + np.arange(w)] for x, w in ((0, m), (1, n))], axis=1).astype(self.kind)
+            _, at, place = np.unique(ids.view(np.dtype((np.void, ids.itemsize * (m + n)))).ravel() if ids.itemsize * (m + n) > 8 else _packed(ids), return_index=True, return_inverse=True)
+            number[rows] = place + len(keys)
+            keys += [f"{','.join(map(str, r[:m]))}|{','.join(map(str, r[m:]))}" for r in ids[at].tolist()]
+        return number, keys
+
+
+def _packed(ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(ids), np.uint64)
+    for x in ids.T:
+        out = out << np.uint64(8 * ids.itemsize) | x.astype(np.uint64)
+    return out
+
+
+class Groups:
+    """Distinct groups (keys), the groups of stretches by number (from first[i] to first[i + 1]), A and B tokens of each, and whether it has any."""
+
+    def __init__(self, keys: list[str], number: np.ndarray, first: np.ndarray, count: np.ndarray, good: np.ndarray):
+        self.keys, self.number, self.first, self.count, self.good = keys, number, first, count, good
+
+    def texts(self) -> list[str]:
+        names = [self.keys[i] for i in self.number.tolist()]
+        return [";".join(names[a:b]) for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)]
+
+    def of(self, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group numbers of a run of stretches, and how many groups there are up to each."""
+        size = np.diff(self.first)[stretches]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        return self.number[np.repeat(self.first[stretches] - stop + size, size) + np.arange(total)], np.concatenate(([0], stop))
 
 
 @lru_cache(maxsize=2)
@@ -151,32 +152,35 @@ def _blocks(byte_bpe: str, pieces: str, by_document: bool):
     def block(number: int, rows: list[tuple]) -> pa.RecordBatch:
         own = aligner(byte_bpe, pieces)
         cut = [own.cut(t) if t else [] for _, t in rows]
-        found = own.of({s for c in cut for s in c})
-        entry: dict[str, int] = {}  # the block's dictionary
-        numbers = {s: [entry.setdefault(k, len(entry)) for k in x[0]] for s, x in found.items() if x}
-        text = {s: ";".join(x[0]) for s, x in found.items() if x}
-        documents, refs = [], []
-        for (doc_id, _), c in zip(rows, cut, strict=True):
-            if not c or not all(map(found.__getitem__, c)):
-                documents.append((doc_id, 0, 0, 0, ""))
-                continue
-            own_refs = [n for s in c for n in numbers[s]]
-            refs.append(np.array(own_refs, np.int64))
-            a, b = sum([found[s][1] for s in c]), sum([found[s][2] for s in c])
-            documents.append((doc_id, a, b, len(own_refs), hashlib.sha256(";".join([text[s] for s in c]).encode()).hexdigest()))
-        place = np.concatenate(refs) if refs else np.zeros(0, np.int64)
-        n = np.bincount(place, minlength=len(entry))
+        known: dict[str, int] = {}  # the block's stretches
+        place = np.array([known.setdefault(s, len(known)) for c in cut for s in c], np.int64)
+        groups = own.grouped(list(known))
+        ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+        bad = np.concatenate(([0], np.cumsum(~groups.good[place])))
+        good = (np.diff(ends) > 0) & (bad[ends[1:]] == bad[ends[:-1]])
+        place = place[np.repeat(good, np.diff(ends))]  # stretches of texts that have tokens
+        ends = np.concatenate(([0], np.cumsum(np.where(good, np.diff(ends), 0))))
+        refs, stop = groups.of(place)
+        texts = groups.texts()
+        sums = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(groups.count[:, place], axis=1)), axis=1)
+        sums = sums[:, ends[1:]] - sums[:, ends[:-1]]
+        sizes, spans = stop[ends[1:]] - stop[ends[:-1]], zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        order = place.tolist()
+        digests = [hashlib.sha256(";".join([texts[x] for x in order[a:b]]).encode()).hexdigest() if b > a else "" for a, b in spans]
+        documents = list(zip([r[0] for r in rows], *sums.tolist(), sizes.tolist(), digests, strict=True))
+        n = np.bincount(refs, minlength=len(groups.keys))
         if by_document:
-            n = np.bincount(np.concatenate([np.unique(r) for r in refs]) if refs else place, minlength=len(entry))
+            parts = [np.unique(refs[a:b]) for a, b in zip(stop[ends[:-1]].tolist(), stop[ends[1:]].tolist(), strict=True)]
+            n = np.bincount(np.concatenate(parts) if parts else refs, minlength=len(groups.keys))
         held = np.flatnonzero(n)  # not those of texts that have no tokens after all
-        renumbered = np.zeros(len(entry), np.int64)
+        renumbered = np.zeros(len(groups.keys), np.int64)
         renumbered[held] = np.arange(len(held))
-        keys, place, n = list(entry), renumbered[place], n[held]
+        keys, place, n = groups.keys, renumbered[refs], n[held]
         rows = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups_sha256"), zip(*documents, strict=True), strict=True))
         rows = pa.StructArray.from_arrays([pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in rows.items()], list(rows))
         entries = pa.StructArray.from_arrays([pa.array([keys[x] for x in held.tolist()], pa.string()), pa.array(n, pa.int64())], ["key", "n"])
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, entries)]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], pa.array([place.astype("<i4").tobytes()], pa.binary()), lists[1]], ["block", "documents", "refs", "dictionary"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], pa.array([place.astype("<u2" if len(held) <= 1 << 16 else "<u4").tobytes()], pa.binary()), lists[1]], ["block", "documents", "refs", "dictionary"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -201,12 +205,13 @@ def _summed(batches):
     for batch in batches:
         for documents, refs, counts in zip(batch.column("documents"), batch.column("refs"), batch.column("counts"), strict=True):
             rows = pa.RecordBatch.from_struct_array(documents.values)
-            refs, total = np.frombuffer(refs.as_buffer(), "<i4"), np.zeros((2, 0), np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.asarray(rows.column("n_groups")))))
+            raw, total = refs.as_buffer(), np.zeros((2, 0), np.int64)
+            refs = np.frombuffer(raw, "<u2" if raw.size == 2 * ends[-1] else "<u4")
             if counts.values is not None and len(counts.values):
                 pos, count, best = (np.asarray(counts.values.field(k)).astype(np.int64) for k in ("pos", "count", "best"))
                 total = np.zeros((2, len(pos)), np.int64)
                 total[:, pos] = best, count
-            ends = np.concatenate(([0], np.cumsum(np.asarray(rows.column("n_groups")))))
             sums = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(total[:, refs], axis=1)), axis=1)
             best, count = sums[:, ends[1:]] - sums[:, ends[:-1]]
             yield pa.RecordBatch.from_arrays(

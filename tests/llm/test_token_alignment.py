@@ -65,7 +65,6 @@ def ours(docs, **more):
 
 def test_whole_texts_by_brute_force(spark, edge_rows, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 20_000)
-    monkeypatch.setattr(alignment, "KNOWN", 500)
     rng = random.Random(3)
     signs = [" ", "  ", "\n", "\t", ".", ",", "é", "ß", " ", "a", "b", "the", "'s", "'ll", "12", "▁x", "\x85", " ", "😀", "_", "²", "I"]
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "".join(rng.choice(signs) for _ in range(rng.choice([3, 20, 80])))) for i in range(150)]
