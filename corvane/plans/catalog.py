@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.plans import curation, files, geometry, names, results, splits
+from corvane.plans import curation, files, geometry, names, reductions, results, splits
 
 FLAGSHIP = "decision_ranking"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (results, curation, geometry, splits, names, files):
+for _part in (results, curation, geometry, splits, names, files, reductions):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
