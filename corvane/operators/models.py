@@ -1,7 +1,8 @@
-"""Classifiers that pyspark.ml doesn't have, fitted from sums over rows: discriminant analysis and kernels by random Fourier features.
+"""Classifiers that pyspark.ml doesn't have, fitted from sums over rows: discriminant analysis, naive Bayes, linear machines of squared hinge loss, and kernels
+by random Fourier features; trees are in trees.py.
 
-Names and parameters are those that training grids use.  What a distributed model can't take over from a grid is listed by unused(), and models that stand
-in for another kind are listed in STAND_INS.
+Names and parameters are those that training grids use.  Parameters of a grid that change nothing here are listed by losses(), which fold results carry; values that a model can't
+take raise.  Models that stand in for another kind are listed in STAND_INS.
 """
 
 from __future__ import annotations
@@ -12,23 +13,33 @@ from pyspark.sql import DataFrame, functions as F
 
 # Models by the names of training grids, and for each its parameters and what the distributed model calls them.
 TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "random_state": "seed", "criterion": "impurity"}
-BOOSTED = TREE | {"n_estimators": "maxIter", "max_iter": "maxIter", "learning_rate": "stepSize", "subsample": "subsamplingRate", "min_child_samples": "minInstancesPerNode"}
 FOREST = TREE | {"n_estimators": "numTrees", "max_samples": "subsamplingRate", "bootstrap": "bootstrap", "max_features": "featureSubsetStrategy"}
+BOOSTED = {"learning_rate": "rate", "max_depth": "max_depth", "random_state": "seed"}
+RANDOM = {"max_depth": "max_depth", "min_samples_split": "min_split", "min_samples_leaf": "min_leaf", "criterion": "criterion", "max_features": "node_features", "random_state": "seed"}
 LINEAR = {"max_iter": "maxIter", "tol": "tol", "C": "C", "fit_intercept": "fitIntercept"}
 PARAMETERS = {
-    "RandomForestClassifier": FOREST, "ExtraTreesClassifier": FOREST, "BaggingClassifier": FOREST, "DecisionTreeClassifier": TREE, "ExtraTreeClassifier": TREE,
-    "HistGradientBoostingClassifier": BOOSTED, "GradientBoostingClassifier": BOOSTED, "XGBClassifier": BOOSTED, "LGBMClassifier": BOOSTED,
-    "LogisticRegression": LINEAR | {"penalty": "penalty", "l1_ratio": "elasticNetParam"}, "LinearSVC": LINEAR, "GaussianNB": {"var_smoothing": "smoothing"},
-    "KNeighborsClassifier": {"n_neighbors": "k", "metric": "metric", "weights": "weights"}, "LinearDiscriminantAnalysis": {"shrinkage": "shrinkage"}, "QuadraticDiscriminantAnalysis": {"reg_param": "reg_param"},
-    "SVC": LINEAR | {"gamma": "gamma"}, "GaussianProcessClassifier": {"gamma": "gamma", "max_iter": "maxIter"}, "MLPClassifier": {"hidden_layer_sizes": "layers", "max_iter": "maxIter", "random_state": "seed"},
+    "RandomForestClassifier": FOREST, "DecisionTreeClassifier": TREE,
+    "ExtraTreesClassifier": RANDOM | {"n_estimators": "trees", "bootstrap": "bootstrap"}, "ExtraTreeClassifier": RANDOM,
+    "BaggingClassifier": {"n_estimators": "trees", "max_samples": "rows", "max_features": "tree_features", "bootstrap": "bootstrap", "random_state": "seed"},
+    "HistGradientBoostingClassifier": BOOSTED | {"max_iter": "trees", "max_leaf_nodes": "max_leaves", "l2_regularization": "l2", "min_samples_leaf": "min_rows", "class_weight": "balanced"},
+    "GradientBoostingClassifier": BOOSTED | {"n_estimators": "trees", "subsample": "rows", "min_samples_leaf": "min_rows"},
+    "XGBClassifier": BOOSTED | {"n_estimators": "trees", "subsample": "rows", "colsample_bytree": "columns", "gamma": "gamma", "reg_alpha": "l1", "reg_lambda": "l2", "min_child_weight": "min_weight", "scale_pos_weight": "positive_weight"},
+    "LGBMClassifier": BOOSTED | {"n_estimators": "trees", "num_leaves": "max_leaves", "subsample": "rows", "colsample_bytree": "columns", "reg_alpha": "l1", "reg_lambda": "l2", "min_child_samples": "min_rows", "min_child_weight": "min_weight", "class_weight": "balanced", "scale_pos_weight": "positive_weight"},
+    "LogisticRegression": LINEAR | {"penalty": "penalty", "l1_ratio": "elasticNetParam"}, "LinearSVC": LINEAR | {"loss": "loss"}, "GaussianNB": {"var_smoothing": "smoothing"},
+    "KNeighborsClassifier": {"n_neighbors": "k", "metric": "metric", "weights": "weights", "p": "p"}, "LinearDiscriminantAnalysis": {"shrinkage": "shrinkage"}, "QuadraticDiscriminantAnalysis": {"reg_param": "reg_param"},
+    "SVC": LINEAR | {"gamma": "gamma", "kernel": "kernel"}, "GaussianProcessClassifier": {"gamma": "gamma", "max_iter": "maxIter"}, "MLPClassifier": {"hidden_layer_sizes": "layers", "max_iter": "maxIter", "random_state": "seed"},
+}
+# What the models of grids take where a grid says nothing.
+DEFAULTS = {
+    "ExtraTreesClassifier": {"splitter": "random", "node_features": "sqrt"}, "ExtraTreeClassifier": {"trees": 1, "splitter": "random", "node_features": "sqrt"}, "BaggingClassifier": {"trees": 10, "bootstrap": True},
+    "HistGradientBoostingClassifier": {"max_leaves": 31, "min_rows": 20}, "GradientBoostingClassifier": {"max_depth": 3}, "XGBClassifier": {"rate": 0.3, "max_depth": 6, "l2": 1.0, "min_weight": 1.0}, "LGBMClassifier": {"max_leaves": 31, "min_rows": 20},
 }
 STAND_INS = {
-    "ExtraTreesClassifier": "a forest without bootstrap whose thresholds are few", "ExtraTreeClassifier": "one such tree", "BaggingClassifier": "a forest that tries all features",
-    "HistGradientBoostingClassifier": "gradient-boosted trees over bins", "XGBClassifier": "gradient-boosted trees over bins", "LGBMClassifier": "gradient-boosted trees over bins",
-    "SVC": "a linear machine over random Fourier features of the Gaussian kernel", "GaussianProcessClassifier": "a logistic model over random Fourier features of the Gaussian kernel",
+    "SVC": "with a Gaussian kernel, a linear machine over random Fourier features", "GaussianProcessClassifier": "a logistic model over random Fourier features of the Gaussian kernel",
+    "MLPClassifier": "sigmoid units in place of rectified ones", "BaggingClassifier": "Poisson weights in place of draws of rows", "GradientBoostingClassifier": "trees over bins",
 }
-#: Random features of a kernel; depth of a tree that a grid leaves open.
-KERNEL_FEATURES, OPEN_DEPTH = 512, 20
+#: Random features of a kernel; depth of a pyspark.ml tree that a grid leaves open, and its greatest.
+KERNEL_FEATURES, OPEN_DEPTH, MOST_DEPTH = 512, 20, 30
 
 
 def unused(name: str, params: dict) -> list[str]:
@@ -36,27 +47,59 @@ def unused(name: str, params: dict) -> list[str]:
     return sorted(set(params) - set(PARAMETERS[name]) - set(PARAMETERS[name].values()))
 
 
+def losses(name: str, params: dict) -> list[str]:
+    """Parameters of a grid that the distributed model doesn't know, and those whose value it can't hold and replaces (name=value used)."""
+    if name not in PARAMETERS:
+        return []
+    out = unused(name, params)
+    if PARAMETERS[name] in (TREE, FOREST) and "max_depth" in params and (params["max_depth"] is None or params["max_depth"] > MOST_DEPTH):
+        out.append(f"max_depth={translated(name, params, 1)['maxDepth']}")
+    if PARAMETERS[name] is FOREST and isinstance(params.get("max_samples"), int):
+        out.append("max_samples=1.0")
+    if name == "LGBMClassifier" and "subsample" in params and not params.get("subsample_freq"):
+        out.append("subsample=1.0")  # as in the original, where no row is left out unless a frequency is given
+    return out
+
+
 def translated(name: str, params: dict, n_rows: int) -> dict:
     """The distributed model's parameters."""
     known = {k: v for k, v in params.items() if k in PARAMETERS[name].values()} | {PARAMETERS[name][k]: v for k, v in params.items() if k in PARAMETERS[name]}
-    out = {k: v for k, v in known.items() if v is not None and k not in ("C", "penalty", "impurity", "featureSubsetStrategy", "layers")}
+    if name in BOOSTED_KINDS or name in RANDOM_KINDS:
+        out = DEFAULTS[name] | {k: v for k, v in known.items() if v is not None or k in ("max_depth", "max_leaves", "node_features")}
+        if "balanced" in out:
+            if out["balanced"] != "balanced" and out["balanced"] is not True:
+                raise ValueError(f"class weights are balanced or none, not {out['balanced']}")
+            out["balanced"] = True
+        if name == "LGBMClassifier":
+            out["max_depth"] = None if (out.get("max_depth") or -1) < 0 else out["max_depth"]
+            if not params.get("subsample_freq"):
+                out.pop("rows", None)
+        if "rows" in out and isinstance(out["rows"], int):
+            out["rows"] = 1.0 if out["rows"] == 1 else min(1.0, out["rows"] / max(n_rows, 1))
+        return out
+    out = {k: v for k, v in known.items() if v is not None and k not in ("C", "penalty", "impurity", "featureSubsetStrategy")}
     if "C" in known:
         out["regParam"] = 1.0 / (float(known["C"]) * max(n_rows, 1))
+    if known.get("penalty") not in (None, "l1", "l2", "elasticnet"):
+        raise ValueError(f"no such penalty: {known['penalty']}")
     if known.get("penalty") == "l1":
         out["elasticNetParam"] = 1.0
-    if known.get("impurity") in ("gini", "entropy") and PARAMETERS[name] is not BOOSTED:
+    if known.get("impurity") in ("gini", "entropy"):
         out["impurity"] = known["impurity"]
     if known.get("featureSubsetStrategy") in ("sqrt", "log2"):
         out["featureSubsetStrategy"] = known["featureSubsetStrategy"]
     if isinstance(out.get("subsamplingRate"), int):
         out["subsamplingRate"] = 1.0  # a number of rows is no rate
-    if PARAMETERS[name] in (TREE, FOREST) and out.get("maxDepth") is None:
-        out["maxDepth"] = OPEN_DEPTH
-    if "maxDepth" in out:
-        out["maxDepth"] = min(30, int(out["maxDepth"])) if out["maxDepth"] > 0 else OPEN_DEPTH
+    if PARAMETERS[name] in (TREE, FOREST):
+        depth = out.get("maxDepth") or OPEN_DEPTH
+        out["maxDepth"] = min(MOST_DEPTH, int(depth)) if depth > 0 else OPEN_DEPTH
     return out
 
 
+BOOSTED_KINDS = ("HistGradientBoostingClassifier", "GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier")
+RANDOM_KINDS = ("ExtraTreesClassifier", "ExtraTreeClassifier", "BaggingClassifier")
+
+
 def _moments(df: DataFrame, x: str, y: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """For each class its rows, sums and sums of products of its vectors; a task gives one row a class, the sum of those is as wide as the vectors squared."""
 
@@ -82,7 +125,33 @@ class Discriminant:
     """Linear (one covariance) or quadratic (one a class) discriminant analysis of two classes."""
 
     def __init__(self, linear: bool, shrinkage: float | str | None = None, reg_param: float = 0.0):
-        self.linear, self.shrinkage, self.reg = linear, 0.1 if shrinkage == "auto" else float(shrinkage or 0.0), float(reg_param)
+        self.linear, self.auto, self.reg = linear, shrinkage == "auto", float(reg_param)
+        self.shrinkage = 0.0 if self.auto else float(shrinkage or 0.0)
+
+    def _estimated(self, df: DataFrame, x: str, y: str, moments: dict) -> np.ndarray:
+        """The common covariance, each class's shrunk towards a multiple of one by as much as loses least (Ledoit and Wolf), at unit variances."""
+        means = {k: s / n for k, (n, s, _) in moments.items()}
+        sizes = {k: (np.sqrt(np.maximum(np.diag(q) / n - (s / n) ** 2, 0))) for k, (n, s, q) in moments.items()}
+        sizes = {k: np.where(v > 0, v, 1.0) for k, v in sizes.items()}
+
+        def run(frames):
+            total = {0: 0.0, 1: 0.0}
+            for frame in frames:
+                for label, part in frame.groupby("y"):
+                    z = (np.stack(part["x"].to_list()) - means[int(label)]) / sizes[int(label)]
+                    total[int(label)] += float((z * z).sum(1) @ (z * z).sum(1))
+            yield pd.DataFrame({"y": list(total), "b": list(total.values())})
+
+        rows = df.select(F.col(x).alias("x"), F.col(y).cast("int").alias("y")).mapInPandas(run, "y int, b double").groupBy("y").agg(F.sum("b").alias("b")).collect()
+        fourth, out, all_ = {r["y"]: r["b"] for r in rows}, 0.0, sum(n for n, _, _ in moments.values())
+        for k, (n, s, q) in moments.items():
+            cov = (q / n - np.outer(means[k], means[k])) / np.outer(sizes[k], sizes[k])
+            p, mu = len(s), np.trace(cov) / len(s)
+            spread = (cov * cov).sum()
+            delta = (spread - 2 * mu * np.trace(cov) + p * mu * mu) / p
+            share = min((fourth[k] / n - spread) / (p * n), delta) / delta if delta > 0 else 0.0
+            out = out + n / all_ * ((1 - share) * cov + share * mu * np.eye(p)) * np.outer(sizes[k], sizes[k])
+        return out
 
     def fit(self, df: DataFrame, x: str, y: str) -> Discriminant:
         moments = _moments(df, x, y)
@@ -91,9 +160,10 @@ class Discriminant:
         total = sum(n for n, _, _ in moments.values())
         scatter = {k: q - np.outer(s, s) / n for k, (n, s, q) in moments.items()}
         self.parts = []
+        common = self._estimated(df, x, y, moments) if self.linear and self.auto else sum(scatter.values()) / total
         for k in (0, 1):
             n, s, _ = moments[k]
-            cov = sum(scatter.values()) / total if self.linear else (1 - self.reg) * scatter[k] / max(n - 1, 1) + self.reg * np.eye(len(s))
+            cov = common if self.linear else (1 - self.reg) * scatter[k] / max(n - 1, 1) + self.reg * np.eye(len(s))
             if self.linear and self.shrinkage:
                 cov = (1 - self.shrinkage) * cov + self.shrinkage * np.trace(cov) / len(cov) * np.eye(len(cov))
             size, axes = np.linalg.eigh(cov)
@@ -108,12 +178,107 @@ class Discriminant:
 
     def predicted(self, df: DataFrame, x: str) -> DataFrame:
         """df with prediction (0 or 1)."""
+        return _predicted(df, x, self.decide)
+
+
+def _predicted(df: DataFrame, x: str, decide) -> DataFrame:
+    @F.pandas_udf("int")
+    def class_of(v: pd.Series) -> pd.Series:
+        return pd.Series((decide(np.stack(v.to_list())) > 0).astype(np.int32))
+
+    return df.withColumn("prediction", class_of(F.col(x)))
+
+
+class NaiveBayes:
+    """Gaussian naive Bayes of two classes; variances get `smoothing` of the greatest variance of a feature."""
+
+    def __init__(self, smoothing: float = 1e-9):
+        self.smoothing = float(smoothing)
+
+    def fit(self, df: DataFrame, x: str, y: str) -> NaiveBayes:
+        """One pass of sums a place and class."""
+        long = df.select(F.col(y).cast("int").alias("y"), F.posexplode(x).alias("i", "v"))
+        rows = long.groupBy("y", "i").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect()  # two a feature
+        if {r["y"] for r in rows} != {0, 1}:
+            raise ValueError("two classes are needed")
+        n, m, s = (np.array([[r[c] for r in sorted(rows, key=lambda r: r["i"]) if r["y"] == k] for k in (0, 1)], float) for c in "nms")
+        share = n / n.sum(axis=0)
+        mean = (share * m).sum(axis=0)
+        self.mean, self.var = m, s + self.smoothing * float((share * (s + (m - mean) ** 2)).sum(axis=0).max())
+        self.prior = np.log(share[:, 0])
+        return self
+
+    def decide(self, v: np.ndarray) -> np.ndarray:
+        score = [p - 0.5 * (np.log(2 * np.pi * s).sum() + ((v - m) ** 2 / s).sum(axis=1)) for p, m, s in zip(self.prior, self.mean, self.var, strict=True)]
+        return score[1] - score[0]
+
+    def predicted(self, df: DataFrame, x: str) -> DataFrame:
+        return _predicted(df, x, self.decide)
+
+
+class SquaredHinge:
+    """A linear machine whose loss is the square of the hinge, with half the squared length of all coefficients: L-BFGS, one aggregate a step."""
+
+    def __init__(self, regParam: float = 1.0, maxIter: int = 1000, tol: float = 1e-4, fitIntercept: bool = True, memory: int = 10):  # noqa: N803
+        self.reg, self.steps, self.tol, self.intercept, self.memory = float(regParam), int(maxIter), float(tol), bool(fitIntercept), memory
 
-        @F.pandas_udf("int")
-        def class_of(v: pd.Series) -> pd.Series:
-            return pd.Series((self.decide(np.stack(v.to_list())) > 0).astype(np.int32))
+    def _loss(self, df: DataFrame, x: str, y: str, n: int, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and its slope at coefficients w (the last is the intercept)."""
 
-        return df.withColumn("prediction", class_of(F.col(x)))
+        def run(frames):
+            loss, slope = 0.0, np.zeros(len(w))
+            for frame in frames:
+                if len(frame):
+                    v = np.stack(frame["x"].to_list())
+                    v = np.hstack([v, np.full((len(v), 1), float(self.intercept))])
+                    sign = np.where(frame["y"].to_numpy() > 0, 1.0, -1.0)
+                    short = np.maximum(1 - sign * (v @ w), 0)
+                    loss, slope = loss + float(short @ short), slope - 2 * v.T @ (short * sign)
+            yield pd.DataFrame({"i": np.arange(len(w) + 1), "v": np.append(slope, loss)})
+
+        rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as coefficients
+        total = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
+        return total[-1] / n + 0.5 * self.reg * float(w @ w), total[:-1] / n + self.reg * w
+
+    def fit(self, df: DataFrame, x: str, y: str) -> SquaredHinge:
+        n, width, classes = df.agg(F.count("*"), F.max(F.size(x)), F.count_distinct(y)).first()
+        if classes != 2:
+            raise ValueError("two classes are needed")
+        w, past = np.zeros(width + 1), []
+        loss, slope = self._loss(df, x, y, n, w)
+        for _ in range(min(self.steps, 200)):
+            if np.abs(slope).max() <= self.tol * 1e-2:
+                break
+            way, parts = -slope, []
+            for s, g in reversed(past):
+                a = float(s @ way) / float(s @ g)
+                parts.append(a)
+                way = way - a * g
+            if past:
+                way = way * float(past[-1][0] @ past[-1][1]) / float(past[-1][1] @ past[-1][1])
+            for (s, g), a in zip(past, reversed(parts), strict=True):
+                way = way + (a - float(g @ way) / float(s @ g)) * s
+            far = 1.0 if past else 1.0 / max(1.0, float(np.abs(slope).sum()))
+            for _ in range(30):
+                new = w + far * way
+                new_loss, new_slope = self._loss(df, x, y, n, new)
+                if new_loss <= loss + 1e-4 * far * float(slope @ way):
+                    break
+                far /= 2
+            else:
+                break
+            s, g = new - w, new_slope - slope
+            if float(s @ g) > 1e-14:
+                past = [*past, (s, g)][-self.memory :]
+            w, loss, slope = new, new_loss, new_slope
+        self.w = w
+        return self
+
+    def decide(self, v: np.ndarray) -> np.ndarray:
+        return v @ self.w[:-1] + self.w[-1] * self.intercept
+
+    def predicted(self, df: DataFrame, x: str) -> DataFrame:
+        return _predicted(df, x, self.decide)
 
 
 def kernel_features(df: DataFrame, x: str, gamma: float | str, fit_on: DataFrame, n: int = KERNEL_FEATURES, seed: int = 0) -> DataFrame:

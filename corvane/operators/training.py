@@ -9,7 +9,8 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import stats, vectors
-from corvane.operators import geometry, models
+from corvane.operators import geometry, models, trees
+from corvane.session import checkpointed
 
 #: Scalers by name; normalizer_l2 is another name of l2.
 SCALERS = ("none", "standard", "minmax", "maxabs", "robust", "l1", "l2", "max", "quantile", "power", "normalizer_l2")
@@ -92,35 +93,55 @@ def model(name: str, features: str = "features", label: str = "label", **setting
     """A classifier of pyspark.ml by the usual name of its kind."""
     from pyspark.ml import classification as c
 
-    forest, boosted = c.RandomForestClassifier, c.GBTClassifier
-    kinds = {"LogisticRegression": c.LogisticRegression, "RandomForestClassifier": forest, "ExtraTreesClassifier": forest, "BaggingClassifier": forest, "DecisionTreeClassifier": c.DecisionTreeClassifier, "ExtraTreeClassifier": forest, "LinearSVC": c.LinearSVC, "SVC": c.LinearSVC, "GaussianProcessClassifier": c.LogisticRegression, "GradientBoostingClassifier": boosted, "HistGradientBoostingClassifier": boosted, "XGBClassifier": boosted, "LGBMClassifier": boosted, "GaussianNB": c.NaiveBayes, "MLPClassifier": c.MultilayerPerceptronClassifier}
+    forest = c.RandomForestClassifier
+    kinds = {"LogisticRegression": c.LogisticRegression, "RandomForestClassifier": forest, "DecisionTreeClassifier": c.DecisionTreeClassifier, "LinearSVC": c.LinearSVC, "SVC": c.LinearSVC, "GaussianProcessClassifier": c.LogisticRegression, "MLPClassifier": c.MultilayerPerceptronClassifier}
     if name not in kinds:
         raise ValueError(f"no distributed model of the name {name}; there are {', '.join(sorted({*kinds, *models.PARAMETERS}))}")
-    if name == "GaussianNB":
-        settings.setdefault("modelType", "gaussian")
-    if name in ("ExtraTreesClassifier", "ExtraTreeClassifier"):
-        settings = {"bootstrap": False, "maxBins": 8, "featureSubsetStrategy": "sqrt", "numTrees": 1 if name == "ExtraTreeClassifier" else 100} | settings
-    if name == "BaggingClassifier":
-        settings = {"featureSubsetStrategy": "all", "numTrees": 10} | settings
-    if kinds[name] in (forest, boosted, c.DecisionTreeClassifier):
+    if kinds[name] in (forest, c.DecisionTreeClassifier):
         settings.setdefault("seed", 0)
+    if kinds[name] in (c.LogisticRegression, c.LinearSVC):
+        settings.setdefault("standardization", False)  # penalties are of the coefficients as they are
     return kinds[name](featuresCol=features, labelCol=label, **settings)
 
 
+def _neighbours(train: DataFrame, test: DataFrame, k: int = 5, metric: str = "minkowski", weights: str = "uniform", p: float = 2) -> DataFrame:
+    metric = {"minkowski": {2: "euclidean"}.get(p, f"minkowski of {p}")}.get(metric, metric)
+    if metric not in ("euclidean", "cosine") or weights not in ("uniform", "distance"):
+        raise ValueError(f"neighbours are by euclidean or cosine distance, weighted uniform or by distance, not {metric}, {weights}")
+    votes = geometry.knn_vote(test, train, "_key", "_x", "_y", int(k), metric, weights)
+    return test.join(votes.select(F.col("key").alias("_key"), F.col("predicted").alias("prediction")), "_key")
+
+
 def _predicted(train: DataFrame, test: DataFrame, name: str, settings: dict) -> DataFrame:
     """test with prediction, by a model of train; both have _x (doubles), _y (0.0 or 1.0) and _key."""
     from pyspark.ml.functions import array_to_vector
 
     settings = dict(settings)
     if name == "KNeighborsClassifier":
-        k, metric, weights = settings.pop("k", 5), settings.pop("metric", "euclidean"), settings.pop("weights", "uniform")
-        votes = geometry.knn_vote(test, train, "_key", "_x", "_y", int(k), "cosine" if metric == "cosine" else "euclidean", weights)
-        return test.join(votes.select(F.col("key").alias("_key"), F.col("predicted").alias("prediction")), "_key")
+        return _neighbours(train, test, **settings)
     if name in ("LinearDiscriminantAnalysis", "QuadraticDiscriminantAnalysis"):
         return models.Discriminant(name.startswith("Linear"), **settings).fit(train, "_x", "_y").predicted(test, "_x")
-    if name in ("SVC", "GaussianProcessClassifier"):
+    if name == "GaussianNB":
+        return models.NaiveBayes(**settings).fit(train, "_x", "_y").predicted(test, "_x")
+    if name in models.BOOSTED_KINDS or name in models.RANDOM_KINDS:
+        kind = trees.Boosted if name in models.BOOSTED_KINDS else trees.Forest
+        return kind(**settings).fit(train, "_key", "_x", "_y", checkpointed).predicted(test, "_x")
+    if name == "LinearSVC":
+        loss = settings.pop("loss", "squared_hinge")
+        if loss not in ("hinge", "squared_hinge"):
+            raise ValueError(f"no such loss: {loss}")
+        if loss == "squared_hinge":
+            return models.SquaredHinge(**settings).fit(train, "_x", "_y").predicted(test, "_x")
+    if name == "SVC" and settings.get("kernel", "rbf") not in ("rbf", "linear"):
+        raise ValueError(f"no such kernel: {settings['kernel']}")
+    if name == "GaussianProcessClassifier" or name == "SVC" and settings.pop("kernel", "rbf") == "rbf":
         gamma = settings.pop("gamma", "scale")
         train, test = (models.kernel_features(df, "_x", gamma, train) for df in (train, test))
+    settings.pop("gamma", None)  # of no kernel
+    if name == "MLPClassifier":
+        hidden = settings.pop("layers", (100,))
+        settings["layers"] = [train.select(F.size("_x")).first()[0], *([hidden] if isinstance(hidden, int) else hidden), 2]
+        settings.setdefault("seed", 0)
     out = model(name, "_v", "_y", **settings).fit(train.withColumn("_v", array_to_vector("_x"))).transform(test.withColumn("_v", array_to_vector("_x")))
     return out.withColumn("prediction", F.col("prediction").cast("int"))
 
@@ -141,7 +162,7 @@ def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurat
 
     df is a long table of assignments with fold, part (train, val, test), features and label.  A scaler is fitted once a fold, on its train rows, and
     its scaled rows are written (keep); configurations share them, at_once of them at a time.  One that fails is listed and doesn't end the others.
-    params have the names of training grids; tags are constant columns.
+    params have the names of training grids, and lost_params lists those of a configuration that change nothing or are replaced; tags are constant columns.
     """
     spark, done, failed = df.sparkSession, [], []
     folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]  # few
@@ -159,7 +180,7 @@ def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurat
                     settings = models.translated(c["algorithm"], c.get("params", {}), counts["train"][0])
                     found = _predicted(train, asked, c["algorithm"], settings).withColumn("_t", F.col("_y").cast("int"))
                     found = {r["part"]: r for r in metrics(found, "_t", "prediction", ["part"]).collect()}
-                    row = {"fold": fold, "cfg_idx": at, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler, "n_features": width[0]}
+                    row = {"fold": fold, "cfg_idx": at, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler, "n_features": width[0], "lost_params": ",".join(models.losses(c["algorithm"], c.get("params", {})))}
                     for p in ("train", "val", "test"):
                         n, k = counts.get(p, (0, 0))
                         row |= {f"n_{p}": n, f"{p}_pos": k, f"{p}_neg": n - k}
@@ -174,7 +195,7 @@ def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurat
     if not done:
         raise RuntimeError(f"no configuration gave results: {failed[:3]}")
     done.sort(key=lambda r: (r["fold"], r["scaler"], r["cfg_idx"]))
-    kind = {"fold": dict(df.dtypes)["fold"], "algorithm": "string", "config": "string", "scaler": "string"}
+    kind = {"fold": dict(df.dtypes)["fold"], "algorithm": "string", "config": "string", "scaler": "string", "lost_params": "string"}
     schema = ", ".join(f"{c} {kind.get(c, 'double' if c.endswith(('_val', '_test')) and not c.startswith('n_') else 'long')}" for c in done[0])
     out = spark.createDataFrame([tuple(r.values()) for r in done], schema).withColumns({k: F.lit(v) for k, v in tags.items()})
     return out, spark.createDataFrame(sorted(failed), f"fold {kind['fold']}, cfg_idx long, scaler string, algorithm string, error string")
@@ -182,8 +203,6 @@ def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurat
 
 def evaluated(df: DataFrame, vector: str, label: str, fold: int, configurations: list[dict], scaler: str = "none") -> tuple[list[dict], list[dict]]:
     """trained_by_fold() of one fold (df with part and unique rows) as plain rows; without any result both lists tell."""
-    from corvane.session import checkpointed
-
     rows = df.withColumns({"fold": F.lit(fold), "_id": F.monotonically_increasing_id()})
     try:
         done, failed = trained_by_fold(rows, "_id", vector, label, configurations, checkpointed, [scaler])

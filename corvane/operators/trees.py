@@ -7,7 +7,7 @@ with nodes alone.
 
 *Boosted* trees take the logistic loss.  A cut's gain is that of its children's scores, T(G)^2 / (H + l2) with T shrinking G by l1, less the parent's, halved, less gamma.  A tree with
 `max_leaf_nodes` grows best first: nodes that the best-first order reaches are cut wave by wave, and those that it doesn't reach in the end are closed again.
-*Random* trees take squared distance from the mean (gini) or entropy.  Bagged rows are weighted by Poisson draws from a hash of key and tree;
+*Random* trees take squared distance from the mean (gini) or entropy.  Bagged rows are weighted by Poisson draws from a hash of key, features and tree;
 `best` cuts are the best of all bins, `random` ones one random threshold a feature; a node looks at a random choice of features.
 
 Everything drawn is drawn from the seed and ids, so a lost task gives the same rows again.
@@ -89,7 +89,7 @@ def poisson(keys: np.ndarray, tree: int, seed: int, mean: float) -> np.ndarray:
 
 
 class Frame:
-    """Binned train rows in a written table: id (a hash of the key), y (0 or 1), weight, margin, bins."""
+    """Binned train rows in a written table: id (a hash of key and features), y (0 or 1), weight, margin, bins."""
 
     def __init__(self, train: DataFrame, key: str, x: str, y: str, keep: Callable[[DataFrame], DataFrame], weight: Callable[[np.ndarray], np.ndarray] | None = None):
         self.bounds, self.keep = edges(train, x), keep
@@ -104,7 +104,7 @@ class Frame:
                 bins = [r.tobytes() for r in binned(v, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w), pa.array(np.zeros(len(batch))), pa.array(bins, pa.binary())], ["id", "y", "w", "m", "bins"])
 
-        rows = train.select(F.xxhash64(key).alias("id"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"))
+        rows = train.select(F.xxhash64(key, x).alias("id"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"))
         self.rows = keep(rows.mapInArrow(run, ROWS))
 
     def sums(self, jobs: dict[tuple[int, int], np.ndarray], weigh) -> dict[tuple[int, int], np.ndarray]:

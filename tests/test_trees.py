@@ -139,7 +139,7 @@ def test_forests_equal_plain_trees(spark, table, monkeypatch, how):
     x, y, df = table
     monkeypatch.setattr(trees, "SUMS", 5 * 256 * 3 * 3)
     forest = trees.Forest(trees=3, seed=4, **how).fit(df, "id", "v", "y", checkpointed)
-    ids = np.array([r[0] for r in df.selectExpr("xxhash64(id) as h", "id").orderBy("id").collect()])
+    ids = np.array([r[0] for r in df.selectExpr("xxhash64(id, v) as h", "id").orderBy("id").collect()])
     for t in range(3):
         w = trees.poisson(ids.view(np.uint64), t, 4, forest.part).astype(float) if forest.bootstrap else (trees._uniform(ids, 4, t) < forest.part).astype(float)
         plain = grown(x, y, w, forest.bounds, forest, t)
