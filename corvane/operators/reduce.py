@@ -1,8 +1,8 @@
 """Redundancy reduction: which rows stand for others at a threshold, and what is left.
 
 Two reducers that must not be confused: *one pass* drops a row if any earlier row is close; *greedy* drops a row only if an earlier row
-that is itself kept is close.  Greedy is the sequential rule; here it is reached in rounds on the table of close pairs, each of which
-keeps the rows without an undecided earlier one, drops what is close to them, and goes on with the pairs that are left.
+that is itself kept is close.  Greedy is the sequential rule; here ranges of keys are decided in order, each by one task, as far as the earlier rows
+of other ranges are decided, and rounds go on with the pairs whose earlier row is open.
 
 Values are similarities unless a caller says that they are distances; the closest is the greatest of the ones, the least of the others.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce as reduce_left
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import stats
@@ -24,23 +25,52 @@ def one_pass(close: DataFrame, distance: bool = False) -> DataFrame:
     return out.select("removed_id", F.col("b.k").alias("representative_id"), F.col("b.k").alias("cluster_id"))
 
 
+#: Pairs of a range of keys.
+RANGE = 1 << 19
+
+
+def _decided(frame: pd.DataFrame) -> pd.DataFrame:
+    """key and kept (1 or 0) of the later rows of a range's pairs, as far as they follow from what is known of the earlier ones (1, 0, or -1: not known)."""
+    frame = frame.sort_values("key_b", kind="stable")
+    state: dict = {}
+    now, kept, sure = None, 1, True
+    for a, b, known in zip(frame["key_a"].tolist(), frame["key_b"].tolist(), frame["known"].tolist(), strict=True):
+        if b != now:
+            if now is not None and (sure or not kept):
+                state[now] = kept
+            now, kept, sure = b, 1, True
+        own = known if known >= 0 else state.get(a, -1)
+        if own == 1:
+            kept = 0
+        elif own < 0:
+            sure = False
+    if now is not None and (sure or not kept):
+        state[now] = kept
+    return pd.DataFrame({"key": pd.Series(list(state), dtype=frame["key_b"].dtype), "kept": pd.Series(list(state.values()), dtype="int32")})
+
+
 def greedy(close: DataFrame, keep: Callable[[DataFrame], DataFrame], distance: bool = False) -> DataFrame:
     """The same columns by the greedy rule; keep writes a table and returns it, to cut lineage each round (DataFrame.checkpoint does).
 
-    Each round decides the row of the least id at least, so the rounds end; they are as many as the longest chain of decisions.
+    A round decides the first open range at least; rounds are as many as decisions hang on one another across ranges.
     """
     edges = keep(close.select("key_a", "key_b", "value"))
-    open_, gone = edges.select("key_a", "key_b"), None
+    kind, ranges = dict(edges.dtypes)["key_a"], max(1, -(-edges.count() // RANGE))
+    open_ = keep(edges.select("key_a", "key_b").repartitionByRange(ranges, "key_b").withColumn("range", F.spark_partition_id()))
+    later = open_.select(F.col("key_b").alias("key")).distinct()
+    new = keep(open_.select(F.col("key_a").alias("key")).distinct().join(later, "key", "left_anti").withColumn("kept", F.lit(1)))  # rows without an earlier one stay
+    parts = []
     while open_.limit(1).count():
-        later = open_.select(F.col("key_b").alias("key_a")).distinct()
-        first = open_.select("key_a").distinct().join(later, "key_a", "left_anti")  # kept: all close rows before them went
-        near = keep(open_.join(first, "key_a", "left_semi").select("key_b").distinct())
-        gone = near if gone is None else keep(gone.unionByName(near))
-        open_ = open_.join(near, "key_b", "left_anti").join(near.select(F.col("key_b").alias("key_a")), "key_a", "left_anti")
-        open_ = keep(open_)
-    if gone is None:
+        known = open_.join(new.select(F.col("key").alias("key_a"), F.col("kept").alias("known")), "key_a", "left").fillna(-1, ["known"])
+        new = keep(known.groupBy("range").applyInPandas(lambda f: _decided(f), f"key {kind}, kept int"))
+        parts.append(new)
+        # What is removed decides nothing more; a row that is open has no earlier one that is known to stay.
+        left = known.where("known = -1").join(new.select(F.col("key").alias("key_b")), "key_b", "left_anti")
+        open_ = keep(left.select("key_a", "key_b", "range"))
+    if not parts:
         return one_pass(edges, distance)
-    kept = edges.join(gone, "key_b", "left_semi").join(gone.select(F.col("key_b").alias("key_a")), "key_a", "left_anti")
+    gone = reduce_left(DataFrame.unionByName, parts).where("kept = 0").select("key")
+    kept = edges.join(gone.withColumnRenamed("key", "key_b"), "key_b", "left_semi").join(gone.withColumnRenamed("key", "key_a"), "key_a", "left_anti")
     return one_pass(kept, distance)
 
 
@@ -50,7 +80,7 @@ def reduction_ladder(df: DataFrame, key: str, vector: str, label: str, ladder: l
     Returns the maps (percentile, removed_id, representative_id, cluster_id) and the summary, a row a percentile.  Thresholds of
     distances may not grow with the percentile, those of similarities not fall.
     """
-    from corvane.operators import geometry
+    from corvane.operators import neighbourhood
 
     distance, ladder = metric != "cosine", sorted(ladder)
     limits = [t for _, t in ladder]
@@ -58,7 +88,7 @@ def reduction_ladder(df: DataFrame, key: str, vector: str, label: str, ladder: l
         raise ValueError("percentiles repeat")
     if distance and min(limits) < 0 or limits != sorted(limits, reverse=distance):
         raise ValueError("distance thresholds may not be negative nor grow with the percentile" if distance else "similarity thresholds may not fall with the percentile")
-    close = keep(geometry.pairs(df, key, vector, metric, where=("<=", max(limits)) if distance else (">=", min(limits))).select("key_a", "key_b", "value"))
+    close = keep(neighbourhood.close_pairs(df, key, vector, max(limits) if distance else min(limits), metric))
     maps, summaries = [], []
     for percent, limit in ladder:
         near = close.where(F.col("value") <= limit if distance else F.col("value") >= limit)
@@ -104,11 +134,10 @@ def matched_reduction(df: DataFrame, key: str, vector: str, target: int, low: fl
 
     Pairs are made once, for the threshold that calls most of them close; a try takes those that its own threshold leaves.
     """
-    from corvane.operators import geometry
+    from corvane.operators import neighbourhood
 
     distance, n = metric != "cosine", df.count()
-    widest = ("<=", max(low, high)) if distance else (">=", min(low, high))
-    close = keep(geometry.pairs(df, key, vector, metric, where=widest).select("key_a", "key_b", "value"))
+    close = keep(neighbourhood.close_pairs(df, key, vector, max(low, high) if distance else min(low, high), metric))
 
     def at(limit: float) -> DataFrame:
         return greedy(close.where(F.col("value") <= limit if distance else F.col("value") >= limit), keep, distance)

@@ -7,7 +7,7 @@ from functools import reduce as reduce_left
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import vectors
-from corvane.operators import cluster, geometry, reduce, results, training
+from corvane.operators import cluster, geometry, neighbourhood, reduce, results, training
 from corvane.plans.registry import registry
 from corvane.plans.tables import r, read, rounded
 from corvane.session import checkpointed
@@ -288,7 +288,7 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _close(spark: SparkSession, sf_dir: str, limit: float = 0.3) -> DataFrame:
-    return _pairs(spark, sf_dir, where=(">=", limit)).select("key_a", "key_b", "value")
+    return neighbourhood.close_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", limit)
 
 
 _C = f"{_P}, c AS (SELECT key_a, key_b, value FROM p WHERE value >= 0.3::DOUBLE)"
@@ -339,7 +339,7 @@ def euclidean_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def euclidean_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2, one pass, over text ids: a removed row's representative is the nearest earlier one."""
     rows = read(spark, sf_dir, "embeddings").withColumn("id", F.concat(F.lit("seq_"), F.col("vec_id").cast("string")))
-    close = geometry.pairs(rows, "id", "embedding", "euclidean", where=("<=", 1.15))
+    close = neighbourhood.close_pairs(rows, "id", "embedding", 1.15, "euclidean")
     return reduce.one_pass(close, distance=True).drop("cluster_id")
 
 
