@@ -257,11 +257,12 @@ def top_of_each(df: DataFrame, on: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where(F.col("place") <= n)
 
 
-def over_levels(df: DataFrame, level: str, values: list[str], by: list[str] = ()) -> DataFrame:
-    """The first row of each group at each of a curve's levels, null where it has none, with the fractions of both classes."""
+def over_levels(df: DataFrame, level: str, values: list[str], by: list[str] = (), order: list = ()) -> DataFrame:
+    """The first row of each group at each of a curve's levels, null where it has none, with the fractions of both classes; order says which is first, then
+    all columns do."""
     own = list(by)
     every = (df.select(*own).distinct() if own else df.sparkSession.range(1).select()).withColumn(level, F.explode(F.array(*(F.lit(v) for v in dict.fromkeys(values)))))
-    once = df.dropDuplicates([*own, level])
+    once = first_of_each(df, [*own, level], [*order, *(F.col(c) for c in df.columns)])
     out = every.join(once, [*own, level], "left")
     total = F.col("n_0") + F.col("n_1")
     return out.withColumns({f"fraction_{y}": stats.ratio(F.col(f"n_{y}"), total) for y in (0, 1)}) if {"n_0", "n_1"} <= set(df.columns) else out

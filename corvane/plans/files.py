@@ -118,36 +118,47 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.judged(rows)[2]
 
 
-_OUTCOMES = ["accepted", "inside_experiment_blocklist", "scaler_excluded", "unparsed_filename", "missing_done_marker"]
-
-
-@query("SELECT * FROM (VALUES ('accepted', 1::BIGINT), ('inside_experiment_blocklist', 1), ('scaler_excluded', 1), ('unparsed_filename', 1), ('missing_done_marker', 1), ('discovered', 5)) t(outcome, n)")
+@query("""WITH f AS (SELECT DISTINCT l_suppkey % 40 AS e, l_linenumber AS i FROM lineitem), o AS (SELECT CASE WHEN e IN (3, 7) THEN 'inside_experiment_blocklist' WHEN i = 6 THEN 'unparsed_filename' WHEN i = 2 THEN 'scaler_excluded' WHEN e % 2 = 0 THEN 'missing_done_marker' ELSE 'accepted' END AS outcome FROM f WHERE i <> 7)
+SELECT outcome, count(*)::BIGINT AS n FROM o GROUP BY ALL UNION ALL SELECT 'discovered', count(*) FROM o""")
 def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result files below a folder, and why some are left out; hidden ones aren't seen."""
-    root = _folder(spark, "runs")
-    for name in ("e1/p30_0/exploration_by_fold_SVC_scaler_none.csv", "e1/p30_0/exploration_by_fold_SVC_scaler_l2.csv", "e2/exploration_by_fold_SVC_scaler_none.csv", "e1/exploration_by_fold_bad.csv", "e3/exploration_by_fold_SVC_scaler_max.csv", ".hidden/exploration_by_fold_SVC_scaler_none.csv"):
-        sinks.write_text(spark, "x\n1\n", f"{root}/{name}")
-    sinks.mark_done(spark, f"{root}/e1/p30_0", "training_done_scaler_none.txt")
+    """Result files that lines name, below a folder, and why some are left out; hidden ones aren't seen."""
+    root, e, i = _folder(spark, "runs"), F.col("l_suppkey") % 40, F.col("l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").select(e.alias("e"), i.alias("i")).distinct()
+    file = F.when(F.col("i") == 6, "bad.csv").otherwise(F.concat(F.lit("SVC"), F.col("i").cast("string"), F.lit("_scaler_"), F.when(F.col("i") == 2, "l2").otherwise("none"), F.lit(".csv")))
+    folder = F.concat(F.when(F.col("i") == 7, ".hidden/e").otherwise("e"), F.col("e").cast("string"))
+    sinks.write_named(rows.select(F.concat(folder, F.lit("/p30_0/exploration_by_fold_"), file).alias("file"), "i"), root, "file")
+    marked = rows.where("e % 2 = 1").select(F.concat(F.lit("e"), F.col("e").cast("string"), F.lit("/p30_0/training_done_scaler_none.txt")).alias("file"), F.lit(1).alias("done")).distinct()
+    sinks.write_named(marked, f"{root}/markers", "file")
+    markers = experiment.done_markers(spark, f"{root}/markers").withColumn("path", F.replace("path", F.lit("/markers/"), F.lit("/")))
     files = tables.found_files(spark, root, "exploration_by_fold_*.csv")
-    return experiment.accepted_files(files, root.removeprefix("file://"), block=["e2"], exclude=["l2"], markers=experiment.done_markers(spark, root))[1]
+    return experiment.accepted_files(files, root.removeprefix("file://"), block=["e3", "e7"], exclude=["l2"], markers=markers)[1]
 
 
-@query("SELECT 'fold' || f::VARCHAR AS id, part, f::INTEGER AS fold, 7 AS seed, 'scen' AS scenario, 'random_kfold' AS strategy FROM range(3) r(f) CROSS JOIN (VALUES ('train'), ('val'), ('test')) v(part)")
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = f THEN 'test' WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS part, f::INTEGER AS fold, 7 AS seed, lang AS scenario, 'random_kfold' AS strategy FROM documents CROSS JOIN range(3) r(f)")
 def fold_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of folds in folders, as one."""
-    root = _folder(spark, "folds")
-    for f in range(3):
-        for part in ("train", "val", "test"):
-            sinks.write_text(spark, f"id\nfold{f}\n", f"{root}/scen/random_kfold/seed_7/fold_{f}/{part}.csv")
+    """Documents dealt to files of folds, a folder a language, and read back as one table."""
+    root, fold = _folder(spark, "folds"), F.col("fold")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold"))
+    part = F.when(F.col("doc_id") % 3 == fold, "test").when(F.col("doc_id") % 10 == 0, "val").otherwise("train")
+    file = F.concat("lang", F.lit("/random_kfold/seed_7/fold_"), fold.cast("string"), F.lit("/"), part, F.lit(".csv"))
+    sinks.write_named(rows.select(F.col("doc_id").cast("string").alias("id"), file.alias("file")), root, "file")
     return tables.read_folds(spark, root, "id string").select("id", "part", "fold", "seed", "scenario", "strategy")
 
 
-@query("SELECT 's' || seed::VARCHAR AS scenario, seed, threshold, status, reason, (status = 'kept')::INTEGER AS is_kept, (status <> 'kept')::INTEGER AS is_invalid, kind AS parameter_type, v AS parameter_value FROM (VALUES ('p30_0', 'kept', '', 'percentile', 30::DOUBLE), ('p90_0', 'unknown', 'bad', 'percentile', 90), ('', 'invalid_split', '', 'none', NULL)) t(threshold, status, reason, kind, v) CROSS JOIN (VALUES (1), (2)) u(seed)")
+@query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY source))::INTEGER AS seed, n FROM s)
+SELECT lang AS scenario, seed, CASE n % 3 WHEN 0 THEN '' ELSE 'p' || (n % 90)::VARCHAR || '_0' END AS threshold, CASE n % 3 WHEN 0 THEN 'invalid_split' WHEN 1 THEN 'kept' ELSE 'unknown' END AS status, CASE WHEN n % 3 = 2 THEN 'bad' ELSE '' END AS reason, (n % 3 = 1)::INTEGER AS is_kept, (n % 3 <> 1)::INTEGER AS is_invalid,
+CASE n % 3 WHEN 0 THEN 'none' ELSE 'percentile' END AS parameter_type, CASE WHEN n % 3 <> 0 THEN (n % 90)::DOUBLE END AS parameter_value FROM t""")
 def seed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses of all seeds below a folder; what analyses left there is passed over."""
-    root = _folder(spark, "status")
-    for folder in ("s1/random/seed_1", "s2/random/seed_2", "s2/split_analysis/seed_2"):
-        sinks.write_text(spark, "reduction_levels,status,reason\np30_0,kept,\np90_0,,log ERROR: bad\nno_threshold,invalid_split,\n", f"{root}/{folder}/split_summary.csv")
+    """Statuses of a seed for each source below a folder a language; what analyses left there is passed over."""
+    from pyspark.sql import Window
+
+    root, n = _folder(spark, "status"), F.col("n")
+    rows = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("seed", F.row_number().over(Window.partitionBy("lang").orderBy("source")))  # few sources
+    level = F.when(n % 3 == 0, "no_threshold").otherwise(F.concat(F.lit("p"), (n % 90).cast("string"), F.lit("_0")))
+    said = rows.select(level.alias("reduction_levels"), F.when(n % 3 == 0, "invalid_split").when(n % 3 == 1, "kept").alias("status"), F.when(n % 3 == 2, "log ERROR: bad").alias("reason"), F.explode(F.array(F.lit("random"), F.lit("split_analysis"))).alias("strategy"), "lang", "seed")
+    file = F.concat("lang", F.lit("/"), "strategy", F.lit("/seed_"), F.col("seed").cast("string"), F.lit("/split_summary.csv"))
+    sinks.write_named(said.select("reduction_levels", "status", "reason", file.alias("file")), root, "file")
     return tables.read_seed_summaries(spark, root).drop("reduction_levels", "source_path", "strategy")
 
 

@@ -91,15 +91,21 @@ def scenario_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*(c.alias(n) for n, c in said.items()), naming.longest_prefix(F.col("name"), known).alias("prefix")).agg(F.sum("n").alias("n"))
 
 
-_MADE = (("onehot", "no_reduced", None, None), ("ankh2", "reduced_distance", "ankh2", None), ("ankh2", "reduced_distance", "esm", "esm"), ("esm", "reduced_descriptor", "onehot", None), ("esm", "reduced_homology", "x", "ankh2"))
+_KINDS = ("no_reduced", "reduced_homology", "reduced_distance")
 
 
-@query("SELECT name, representation, strategy, short FROM (VALUES ('onehot_no_reduced', 'onehot', 'no_reduction', 'onehot_no_reduced'), ('ankh2_reduced_distance', 'ankh2', 'distance_reduction', 'ankh2_reduced_distance'), ('ankh2_reduced_distance_by_esm_split_by_esm', 'ankh2', 'distance_reduction', 'ankh2_reduced_distance_by_esm_split_by_esm'), ('esm_reduced_descriptor_by_onehot', 'esm_reduced_descriptor_by_onehot', 'unknown', 'esm_reduced_descriptor_by_onehot'), ('esm_reduced_homology_split_by_ankh2', 'esm', 'homology_reduction', 'esm_reduced_homology_split_by_ankh2')) t(name, representation, strategy, short)")
+@query("""WITH l AS (SELECT DISTINCT lang AS a FROM documents), k AS (SELECT x.a AS train, y.a AS red, z.a AS split, kind FROM l x, l y, (SELECT a FROM l UNION ALL SELECT NULL) z, (VALUES ('no_reduced'), ('reduced_homology'), ('reduced_distance')) v(kind)),
+n AS (SELECT *, kind = 'reduced_distance' AND red <> train AS other FROM k)
+SELECT train || '_' || kind || CASE WHEN other THEN '_by_' || red ELSE '' END || coalesce('_split_by_' || split, '') AS name, train AS representation, CASE kind WHEN 'no_reduced' THEN 'no_reduction' WHEN 'reduced_homology' THEN 'homology_reduction' ELSE 'distance_reduction' END AS strategy,
+coalesce(split, CASE WHEN kind = 'reduced_distance' THEN red ELSE train END) AS split_space, count(*)::BIGINT AS n FROM n GROUP BY ALL""")
 def made_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of configured scenarios, read back."""
-    rows = spark.createDataFrame([(experiment.scenario_name(*m),) for m in _MADE], "name string")
-    read_back = naming.experiment(F.col("name"))
-    return rows.select("name", read_back["representation_clean"].alias("representation"), read_back["reduction_strategy_clean"].alias("strategy"), experiment.short_scenario(F.col("name")).alias("short"))
+    """Names of the scenarios that every pair of languages makes, read back."""
+    spaces = [x.lang for x in read(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]  # a corpus has few
+    made = [(experiment.scenario_name(a, kind, b, c),) for a in spaces for b in spaces for c in [*spaces, None] for kind in _KINDS]
+    rows = spark.createDataFrame(made, "name string")
+    told = naming.experiment(F.col("name"))
+    rows = rows.select("name", told["representation_clean"].alias("representation"), told["reduction_strategy_clean"].alias("strategy"), told["split_space_clean"].alias("split_space"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_N}, x AS (SELECT {_pick_sql('l_partkey', 'distance_reduction', 'homology_reduction', 'no_reduction', 'unknown', None)} AS red, {_pick_sql('l_partkey', 'p30_0', 'minseqid_3', None, 'p90_0')} AS level, {_pick_sql('l_partkey', 'random', 'other', 'distance')} AS split, n FROM k) SELECT red AS reduction_strategy, level AS reduction_level, sum(n)::BIGINT AS n FROM x WHERE split IN ('random', 'distance') AND (red = 'no_reduction' OR red = 'distance_reduction' AND level IN ('p30_0', 'p90_0') OR red = 'homology_reduction' AND level = 'minseqid_3') GROUP BY ALL")
@@ -146,27 +152,35 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-@query("SELECT folder, splitter, n_splits, standardized, metric FROM (VALUES ('random_kfold', 'random_kfold', 5, NULL::BOOLEAN, NULL), ('stratified_kfold', 'stratified_kfold', 3, NULL, NULL), ('distance_aware_kfold_norm', 'distance_aware_kfold', 5, true, 'euclidean'), ('distance_aware_kfold_no_norm', 'distance_aware_kfold', 5, false, 'euclidean')) t(folder, splitter, n_splits, standardized, metric)")
+@query("""WITH s AS (SELECT DISTINCT l_linenumber AS seed FROM lineitem), n AS (SELECT count(DISTINCT lang)::INTEGER AS n FROM documents)
+SELECT folder, splitter, seed::INTEGER AS seed, CASE WHEN splitter = 'stratified_kfold' THEN n ELSE 5 END AS n_splits, standardized, metric
+FROM (VALUES ('random_kfold', 'random_kfold', NULL::BOOLEAN, NULL), ('stratified_kfold', 'stratified_kfold', NULL, NULL), ('distance_aware_kfold_norm', 'distance_aware_kfold', true, 'euclidean'), ('distance_aware_kfold_no_norm', 'distance_aware_kfold', false, 'euclidean')) t(folder, splitter, standardized, metric), s, n""")
 def splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders of the configured strategies and what their splitters are told."""
-    strategies = {"random_kfold": {"enabled": True}, "stratified_kfold": {"enabled": True, "n_splits": 3}, "distance_aware_kfold": {"enabled": True, "descriptor_modes": ["norm", "no_norm"]}}
+    """Folders of the strategies, as many stratified folds as there are languages, and what their splitters are told for each seed."""
+    n = read(spark, sf_dir, "documents").agg(F.count_distinct("lang")).first()[0]
+    strategies = {"random_kfold": {"enabled": True}, "stratified_kfold": {"enabled": True, "n_splits": n}, "distance_aware_kfold": {"enabled": True, "descriptor_modes": ["norm", "no_norm"]}}
     rows = []
-    for folder in experiment.strategy_folders(strategies, "descriptors"):
-        told = experiment.split_parameters(folder, 7, strategies, "label", "descriptors", "euclidean")[experiment.splitter(folder)]
-        rows.append((folder, experiment.splitter(folder), told["n_splits"], told.get("standardize_descriptors"), told.get("metric")))
-    return spark.createDataFrame(rows, "folder string, splitter string, n_splits int, standardized boolean, metric string")
+    for seed in sorted(x.l_linenumber for x in read(spark, sf_dir, "lineitem").select("l_linenumber").distinct().collect()):  # seven
+        for folder in experiment.strategy_folders(strategies, "descriptors"):
+            told = experiment.split_parameters(folder, seed, strategies, "label", "descriptors", "euclidean")[experiment.splitter(folder)]
+            rows.append((folder, experiment.splitter(folder), told["seed"], told["n_splits"], told.get("standardize_descriptors"), told.get("metric")))
+    return spark.createDataFrame(rows, "folder string, splitter string, seed int, n_splits int, standardized boolean, metric string")
 
 
-@query("SELECT label, kind, metric, strategy, experiment FROM (VALUES ('One-hot', 'onehot_descriptor', 'euclidean', 'descriptor_euclidean', 'onehot_reduced_descriptor'), ('Ankh2', 'embedding_distance', 'cosine', 'embedding_cosine', 'ankh2_reduced_distance'), ('Ankh2 by identity', 'homology', NULL, 'homology', 'ankh2_reduced_homology')) t(label, kind, metric, strategy, experiment)")
+@query("""WITH d AS (SELECT source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source), k AS (SELECT source, 'a' || (first % 7)::VARCHAR AS path, CASE n % 3 WHEN 0 THEN 'onehot_descriptor' WHEN 1 THEN 'embedding_distance' ELSE 'homology' END AS kind FROM d),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY path ORDER BY source) = 1)
+SELECT source AS label, kind, CASE kind WHEN 'onehot_descriptor' THEN 'euclidean' WHEN 'embedding_distance' THEN 'cosine' END AS metric, CASE kind WHEN 'onehot_descriptor' THEN 'descriptor_euclidean' WHEN 'embedding_distance' THEN 'embedding_cosine' ELSE 'homology' END AS strategy,
+CASE kind WHEN 'onehot_descriptor' THEN 'onehot_reduced_descriptor' ELSE source || CASE kind WHEN 'homology' THEN '_reduced_homology' ELSE '_reduced_distance' END END AS experiment FROM f""")
 def reduction_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specs of reductions, and where each comes from."""
-    specs = experiment.summary_specs(["One-hot::onehot_descriptor::/a", "Ankh2 :: embedding_distance::/b", "twice::homology::/b", "Ankh2 by identity::homology::/c"])
-    rows = []
-    for label, kind, _ in specs:
-        method = {"key": "onehot", "method": "one_hot"} if kind == "onehot_descriptor" else {"key": "ankh2", "method": "embedding"}
+    """Specs of a reduction of each source, the first of each path, and where each comes from."""
+    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy("source").collect()  # a row a source
+    kinds = ("onehot_descriptor", "embedding_distance", "homology")
+    out = []
+    for label, kind, _ in experiment.summary_specs(f"{x.source} :: {kinds[x.n % 3]}::a{x.first % 7}" for x in rows):
+        method = {"key": "onehot", "method": "one_hot"} if kind == "onehot_descriptor" else {"key": label, "method": "embedding"}
         made = experiment.provenance({"name": "d"}, method, kind, {"enabled": True})
-        rows.append((label, kind, made["analysis"]["metric"], made["reduction"]["strategy"], made["experiment"]["name"]))
-    return spark.createDataFrame(rows, "label string, kind string, metric string, strategy string, experiment string")
+        out.append((label, kind, made["analysis"]["metric"], made["reduction"]["strategy"], made["experiment"]["name"]))
+    return spark.createDataFrame(out, "label string, kind string, metric string, strategy string, experiment string")
 
 
 @query("SELECT 'part_' || p_partkey::VARCHAR AS id, p_brand FROM part")
@@ -212,12 +226,13 @@ def top_four(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_of_each(read(spark, sf_dir, "orders"), ["o_orderstatus"], [F.col("o_totalprice").desc(), "o_orderkey"], 4).select("o_orderstatus", "o_orderkey", "place")
 
 
-@query(f"WITH c AS (SELECT l_returnflag AS model, 'p' || (l_linenumber * 10)::VARCHAR AS level, count(*) FILTER (l_linestatus = 'O')::BIGINT AS n_0, count(*) FILTER (l_linestatus = 'F')::BIGINT AS n_1 FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), e AS (SELECT model, level FROM (SELECT DISTINCT model FROM c) CROSS JOIN (VALUES ('p10'), ('p30'), ('p90')) v(level)) SELECT model, level, n_0, n_1, {r('n_0 / nullif(n_0 + n_1, 0)')} AS fraction_0, {r('n_1 / nullif(n_0 + n_1, 0)')} AS fraction_1 FROM e LEFT JOIN c USING (model, level)")
+@query(f"WITH g AS (SELECT l_returnflag AS model, l_linenumber AS i, 'p' || (l_linenumber % 3 * 30 + 10)::VARCHAR AS level, count(*) FILTER (l_linestatus = 'O')::BIGINT AS n_0, count(*) FILTER (l_linestatus = 'F')::BIGINT AS n_1 FROM lineitem GROUP BY ALL), c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY model, level ORDER BY i DESC) = 1), e AS (SELECT model, level FROM (SELECT DISTINCT model FROM c) CROSS JOIN (VALUES ('p10'), ('p30'), ('p70')) v(level)) SELECT model, level, i, n_0, n_1, {r('n_0 / nullif(n_0 + n_1, 0)')} AS fraction_0, {r('n_1 / nullif(n_0 + n_1, 0)')} AS fraction_1 FROM e LEFT JOIN c USING (model, level)")
 def reduction_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """class fractions along the levels of a curve, null where a model has none."""
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
-    counts = rows.groupBy(F.col("l_returnflag").alias("model"), F.concat(F.lit("p"), (F.col("l_linenumber") * 10).cast("string")).alias("level")).agg(F.count_if(F.col("l_linestatus") == "O").alias("n_0"), F.count_if(F.col("l_linestatus") == "F").alias("n_1"))
-    return rounded(report.over_levels(counts, "level", ["p10", "p30", "p90", "p10"], ["model"]))
+    """class fractions along the levels of a curve, of the last line number that has a level, null where a model has none."""
+    i = F.col("l_linenumber")
+    counts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("model"), i.alias("i")).agg(F.count_if(F.col("l_linestatus") == "O").alias("n_0"), F.count_if(F.col("l_linestatus") == "F").alias("n_1"))
+    counts = counts.withColumn("level", F.concat(F.lit("p"), (F.col("i") % 3 * 30 + 10).cast("string")))
+    return rounded(report.over_levels(counts, "level", ["p10", "p30", "p70", "p10"], ["model"], [F.col("i").desc()]))
 
 
 @query(f"WITH v AS (SELECT n_chars::DOUBLE AS x, lang FROM documents WHERE n_chars BETWEEN 1 AND 5000), f AS (SELECT lang, stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h, count(*) AS n FROM v GROUP BY lang), b AS (SELECT lang, n, h, floor(x / (h / 4)) AS b, count(*) AS c, avg(x) AS m FROM v JOIN f USING (lang) GROUP BY ALL), g AS (SELECT i * 500::DOUBLE AS x FROM range(11) t(i)) SELECT lang, x, {r('sum(c * exp(-0.5::DOUBLE * pow((x - m) / h, 2)) / (n * h * sqrt(2 * pi())))', 8)} AS density FROM b JOIN g ON abs(x - m) <= 8 * h GROUP BY lang, x")

@@ -300,27 +300,40 @@ def pairwise_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insight.bootstrap_ci(_top_differences(spark, sf_dir), ["first", "second"], "difference")
 
 
-_NAMES = ["onehot_no_reduced", "prot_t5_reduced_homology", "ankh2_ext1_reduced_distance", "ankh2_reduced_distance_by_onehot", "onehot_reduced_distance_split_by_prot_t5", "prot_t5_no_reduced_split_by_onehot", "x_reduced_descriptor_one", "a_reduced_homology_split_by_b", "odd_split_by_z"]
+_SPACES = "SELECT 's' || (l_suppkey % 7)::VARCHAR AS rep, 'm' || (l_partkey % 5)::VARCHAR || '_t' AS red, CASE WHEN l_quantity > 25 THEN 'z' || (l_orderkey % 3)::VARCHAR END AS split, l_linenumber % 5 AS kind FROM lineitem"
 
 
-@query("SELECT * FROM (VALUES ('onehot_no_reduced','onehot','no_reduction','none','onehot'),('prot_t5_reduced_homology','prot_t5','homology_reduction','none','prot_t5'),('ankh2_ext1_reduced_distance','ankh2_ext1','distance_reduction','ankh2_ext1','ankh2_ext1'),('ankh2_reduced_distance_by_onehot','ankh2','distance_reduction','onehot','onehot'),('onehot_reduced_distance_split_by_prot_t5','onehot','distance_reduction','onehot','prot_t5'),('prot_t5_no_reduced_split_by_onehot','prot_t5','no_reduction','none','onehot'),('x_reduced_descriptor_one','x_reduced_descriptor_one','unknown','unknown','unknown'),('a_reduced_homology_split_by_b','a','homology_reduction','none','b'),('odd_split_by_z','odd','unknown','unknown','z')) t(name, representation_clean, reduction_strategy_clean, reduced_by, split_space_clean)")
+@query(f"""WITH x AS ({_SPACES}), k AS (SELECT CASE kind WHEN 4 THEN rep || '_reduced_descriptor' ELSE rep END AS representation_clean, CASE kind WHEN 0 THEN 'no_reduction' WHEN 1 THEN 'homology_reduction' WHEN 4 THEN 'unknown' ELSE 'distance_reduction' END AS reduction_strategy_clean,
+CASE kind WHEN 2 THEN rep WHEN 3 THEN red WHEN 4 THEN 'unknown' ELSE 'none' END AS reduced_by, coalesce(split, CASE kind WHEN 2 THEN rep WHEN 3 THEN red WHEN 4 THEN 'unknown' ELSE rep END) AS split_space_clean FROM x) SELECT *, count(*)::BIGINT AS n FROM k GROUP BY ALL""")
 def parse_experiment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14."""
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumns(naming.experiment(F.col("name")))
+    """Names of experiments that lines make, read apart."""
+    c = lambda x: x.cast("string")
+    rep, red, kind = F.concat(F.lit("s"), c(F.col("l_suppkey") % 7)), F.concat(F.lit("m"), c(F.col("l_partkey") % 5), F.lit("_t")), F.col("l_linenumber") % 5
+    ending = F.when(kind == 0, "_no_reduced").when(kind == 1, "_reduced_homology").when(kind == 2, "_reduced_distance").when(kind == 3, F.concat(F.lit("_reduced_distance_by_"), red)).otherwise("_reduced_descriptor")
+    split = F.when(F.col("l_quantity") > 25, F.concat(F.lit("_split_by_z"), c(F.col("l_orderkey") % 3))).otherwise("")
+    told = naming.experiment(F.col("name"))
+    return read(spark, sf_dir, "lineitem").select(F.concat(rep, ending, split).alias("name")).groupBy(*(v.alias(k) for k, v in told.items())).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('p90_0','p90'),('0.9','p90'),('p99_5','p99_5'),('','p100'),('p 70','p70'),('none','p100'),('95','p95'),('junk',NULL),('0.995','p99_5'),('P30','p30')) t(value, level)")
+@query("""WITH x AS (SELECT l_quantity::INTEGER AS q, l_linenumber AS i FROM lineitem), v AS (SELECT CASE i WHEN 1 THEN 'p' || q::VARCHAR || '_0' WHEN 2 THEN ' P ' || q::VARCHAR WHEN 3 THEN 'p' || q::VARCHAR || '_5' WHEN 4 THEN '0.' || lpad(q::VARCHAR, 2, '0') WHEN 5 THEN (q + 1)::VARCHAR || '.25' WHEN 6 THEN 'none' ELSE 'junk' END AS value,
+CASE i WHEN 3 THEN 'p' || q::VARCHAR || '_5' WHEN 5 THEN 'p' || (q + 1)::VARCHAR || '_25' WHEN 6 THEN 'p100' WHEN 7 THEN NULL ELSE 'p' || q::VARCHAR END AS level FROM x) SELECT value, level, count(*)::BIGINT AS n FROM v GROUP BY ALL""")
 def normalize_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P24."""
-    values = ["p90_0", "0.9", "p99_5", "", "p 70", "none", "95", "junk", "0.995", "P30"]
-    return spark.createDataFrame([(v,) for v in values], "value string").withColumn("level", naming.normal_threshold(F.col("value")))
+    """Percentiles that lines spell in seven ways."""
+    i, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    text = lambda x: x.cast("string")
+    value = F.when(i == 1, F.concat(F.lit("p"), text(q), F.lit("_0"))).when(i == 2, F.concat(F.lit(" P "), text(q))).when(i == 3, F.concat(F.lit("p"), text(q), F.lit("_5"))).when(i == 4, F.concat(F.lit("0."), F.lpad(text(q), 2, "0")))
+    value = value.when(i == 5, F.concat(text(q + 1), F.lit(".25"))).when(i == 6, "none").otherwise("junk")
+    return read(spark, sf_dir, "lineitem").groupBy(value.alias("value")).agg(F.count("*").alias("n")).select("value", naming.normal_threshold(F.col("value")).alias("level"), "n")
 
 
-@query("SELECT * FROM (VALUES ('p99_5','percentile',99.5::DOUBLE),('threshold_0.7','threshold',0.7::DOUBLE),('no_threshold','none',NULL),('minseqid_0_3','identity',0.3::DOUBLE),('p30_0','percentile',30::DOUBLE)) t(level, kind, value)")
+@query("""WITH x AS (SELECT l_quantity::INTEGER AS q, l_linenumber % 4 AS i FROM lineitem) SELECT CASE i WHEN 0 THEN 'no_threshold' WHEN 1 THEN 'p' || q::VARCHAR || '_5' WHEN 2 THEN 'threshold_0.' || q::VARCHAR ELSE 'minseqid_0_' || q::VARCHAR END AS level, CASE i WHEN 0 THEN 'none' WHEN 1 THEN 'percentile' WHEN 2 THEN 'threshold' ELSE 'identity' END AS kind,
+CASE WHEN i = 1 THEN q + 0.5::DOUBLE WHEN i > 1 THEN ('0.' || q::VARCHAR)::DOUBLE END AS value, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
 def parameter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P22, P23."""
-    rows = spark.createDataFrame([(v,) for v in ("p99_5", "threshold_0.7", "no_threshold", "minseqid_0_3", "p30_0")], "level string")
-    return rows.withColumns({"kind": naming.parameter_type(F.col("level")), "value": naming.parameter_value(F.col("level"))})
+    """Kind and number of the levels that lines name."""
+    i, q = F.col("l_linenumber") % 4, F.col("l_quantity").cast("int").cast("string")
+    level = F.when(i == 0, "no_threshold").when(i == 1, F.concat(F.lit("p"), q, F.lit("_5"))).when(i == 2, F.concat(F.lit("threshold_0."), q)).otherwise(F.concat(F.lit("minseqid_0_"), q))
+    rows = read(spark, sf_dir, "lineitem").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    return rows.select("level", naming.parameter_type(F.col("level")).alias("kind"), naming.parameter_value(F.col("level")).alias("value"), "n")
 
 
 @query("""SELECT p_partkey, p_brand || ' | ' || p_size::VARCHAR AS combo, CASE WHEN lower(trim(p_brand)) LIKE 'brand%' THEN 'B' ELSE p_brand END AS label,
@@ -385,29 +398,30 @@ def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("reduction").agg(F.count("*").alias("n"), F.avg("mcc").alias("mcc")))
 
 
-# Published retention of a space.
-_LADDER = [(30.0, 4193, 24), (90.0, 4193, 453), (99.9, 4193, 3652)]
+_KEPT = "SELECT lang, p::DOUBLE AS p, count(*) AS n, count(*) FILTER (doc_id % 100 < p) AS k, count(*) FILTER (doc_id % 100 < p AND n_chars > 1000) AS k1 FROM documents CROSS JOIN (VALUES (30), (60), (90)) t(p) GROUP BY ALL"
 
 
-def _summaries(spark: SparkSession) -> DataFrame:
-    """The published rows as a reducer leaves them, in a file whose name has the space, read back."""
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What percentiles of ids leave of each language, as a reducer's files, one a language, read back."""
     folder = f"{shared_folder(spark)}/corvane/summaries-{uuid.uuid4().hex}"
-    rows = "\n".join(f"{p},{n},{k},{k // 2},{k - k // 2}" for p, n, k in _LADDER)
-    sinks.write_text(spark, f"percentile,n_total,n_kept,n_0,n_1\n{rows}\n", f"{folder}/ankh2_reduced_distance_reduction_summary.csv")
+    rows = read(spark, sf_dir, "documents").withColumn("percentile", F.explode(F.array(*(F.lit(p) for p in (30.0, 60.0, 90.0)))))
+    kept = F.col("doc_id") % 100 < F.col("percentile")
+    rows = rows.groupBy(F.concat("lang", F.lit("_reduced_distance_reduction_summary.csv")).alias("file"), "percentile").agg(F.count("*").alias("n_total"), F.count_if(kept).alias("n_kept"), F.count_if(kept & (F.col("n_chars") <= 1000)).alias("n_0"), F.count_if(kept & (F.col("n_chars") > 1000)).alias("n_1"))
+    sinks.write_named(rows, folder, "file")
     return tables.read_summaries(spark, folder, "percentile double, n_total long, n_kept long, n_0 long, n_1 long")
 
 
-@query("SELECT 'Ankh2' AS dataset_reduction_label, 'distance' AS reduction_kind, 'percentile' AS parameter_type, p::DOUBLE AS parameter_value, n::BIGINT AS n_input, k::BIGINT AS n_reduced, " + f"{r('k / n')} AS retained_fraction, {r('100 * k / n')} AS retained_percent, {r('100 - 100 * k / n')} AS removed_percent FROM (VALUES " + ", ".join(str(t) for t in _LADDER) + ") t(p, n, k)")
+@query(f"SELECT 'All' AS dataset_reduction_label, 'distance' AS reduction_kind, 'percentile' AS parameter_type, p AS parameter_value, n::BIGINT AS n_input, k::BIGINT AS n_reduced, {r('k / n')} AS retained_fraction, {r('100 * k / n')} AS retained_percent, {r('100 - 100 * k / n')} AS removed_percent FROM ({_KEPT})")
 def reduction_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published retention of a space, read from its file, in the common layout."""
-    return rounded(report.reduction_summary(_summaries(spark), "Ankh2", "distance"))
+    """Retention of each language, read from its file, in the common layout."""
+    return rounded(report.reduction_summary(_summaries(spark, sf_dir), "All", "distance"))
 
 
-@query(f"SELECT 'ankh2' AS model, 453::BIGINT AS n_reduced, {r('453 / 4193')} AS coverage, {r('227 / 453')} AS fraction_1")
+@query(f"WITH t AS (SELECT count(*) AS total FROM documents) SELECT lang AS model, k::BIGINT AS n_reduced, {r('k / total')} AS coverage, {r('k1 / k')} AS fraction_1 FROM ({_KEPT}), t WHERE p = 90")
 def reduction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a ninetieth percentile keeps, and of which class."""
-    rows = _summaries(spark).withColumnRenamed("n_kept", "n_reduced")
-    return rounded(report.coverage(rows, 90.0, 4193))
+    """What a ninetieth percentile keeps of each language, and of which class."""
+    total = read(spark, sf_dir, "documents").count()
+    return rounded(report.coverage(_summaries(spark, sf_dir).withColumnRenamed("n_kept", "n_reduced"), 90.0, total))
 
 
 def _box_sql(top: str, shown: str, key: str) -> str:

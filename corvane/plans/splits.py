@@ -94,10 +94,11 @@ def split_strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(split.strategy_summary(_status(spark, sf_dir), ["reason"], scenario="lang"))
 
 
-@query("SELECT rep AS representation, s AS strategy, seed FROM (VALUES ('onehot'), ('prot_t5')) a(rep) CROSS JOIN (VALUES ('random'), ('stratified'), ('distance')) b(s) CROSS JOIN (VALUES (1), (2), (3)) c(seed)")
+@query("SELECT representation, strategy, seed FROM (SELECT DISTINCT lang AS representation FROM documents) a CROSS JOIN (SELECT DISTINCT o_orderstatus AS strategy FROM orders) b CROSS JOIN (SELECT DISTINCT l_linenumber AS seed FROM lineitem) c")
 def scenario_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R6, R14."""
-    return split.scenarios(spark, representation=["onehot", "prot_t5"], strategy=["random", "stratified", "distance"], seed=[1, 2, 3])
+    """Every combination of the languages, statuses and line numbers there are."""
+    values = lambda table, column: [x[0] for x in read(spark, sf_dir, table).select(column).distinct().orderBy(column).collect()]
+    return split.scenarios(spark, representation=values("documents", "lang"), strategy=values("orders", "o_orderstatus"), seed=values("lineitem", "l_linenumber"))
 
 
 @query(f"WITH {_ASSIGNED} SELECT fold, sha256('TRAIN' || coalesce(string_agg(CASE WHEN part = 'train' THEN doc_id::VARCHAR || '~' END, '' ORDER BY doc_id::VARCHAR), '') || 'TEST' || coalesce(string_agg(CASE WHEN part = 'test' THEN doc_id::VARCHAR || '~' END, '' ORDER BY doc_id::VARCHAR), '')) AS assignment_hash FROM a GROUP BY fold".replace("'~'", "chr(0)"))

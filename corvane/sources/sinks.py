@@ -22,6 +22,26 @@ def append_aligned(df: DataFrame, path: str) -> None:
     empty.unionByName(df, allowMissingColumns=True).select(*(f.name for f in target)).write.mode("append").parquet(path)
 
 
+def write_named(df: DataFrame, folder: str, name: str) -> None:
+    """Rows as CSV files below a folder, each under the path that its rows have in the column name; a task writes a file, and only then is it there by its name."""
+    from urllib.parse import unquote
+
+    spark, aside = df.sparkSession, f"{folder.rstrip('/')}/_writing"
+    df.repartition(name).write.mode("overwrite").option("header", "true").partitionBy(name).csv(aside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for own in files.listStatus(path(aside)):
+        if own.isDirectory():
+            target = path(f"{folder.rstrip('/')}/{unquote(own.getPath().getName().split('=', 1)[1])}")
+            parts = [x.getPath() for x in files.listStatus(own.getPath()) if x.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"{target} has {len(parts)} parts")
+            files.mkdirs(target.getParent())
+            files.delete(target, False)
+            files.rename(parts[0], target)
+    files.delete(path(aside), True)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text as one file, in any file system that Spark knows."""
     jvm = spark.sparkContext._jvm
