@@ -67,17 +67,77 @@ def bootstrap(values: np.ndarray, statistic: Callable = np.mean, n_boot: int = 2
     return tuple(np.percentile(found, [low, 100 - low]))
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], value: str, n_boot: int = 2000, ci: float = 95, seed: int = 123, statistic: Callable = np.mean) -> DataFrame:
-    """by, n, estimate, low, high; a group is one task's, as its resamples need all of it."""
-    types = dict(df.dtypes)
-
-    def run(key, frame):
-        x = frame[value].to_numpy(float)
-        low, high = bootstrap(x, statistic, n_boot, ci, seed)
-        x = x[~np.isnan(x)]
-        return pd.DataFrame([(*key, len(x), float(statistic(x)) if len(x) else None, low, high)])
-
-    return df.groupBy(*by).applyInPandas(run, ", ".join([*(f"{b} {types[b]}" for b in by), "n long, estimate double, low double, high double"]))
+#: What draws are made of: a prime, and shares of rows that a resample has at most 0, 1, 2 .. times (Poisson of mean 1).
+PRIME = 2147483647
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+#: Groups whose sums a task holds at once, and draws made at once.
+GROUPS, DRAWS = 256, 1 << 19
+
+
+def draw_key(columns: list[str]) -> Column:
+    """A number of 52 bits for the values of some columns."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def draws(keys: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row is in each resample: by whole numbers that SQL has too."""
+    a = ((keys % PRIME)[:, None] + resamples * 69621 % PRIME + seed * 40692) % PRIME
+    b = (a * a + 3 * a + 7) % PRIME
+    c = (b * 16807 + (keys // PRIME)[:, None]) % PRIME
+    d = (c * c + 5 * c + 11) % PRIME
+    return np.searchsorted(np.array(POISSON), (d * 48271 % PRIME) / PRIME, "right")
+
+
+def bootstrap_ci(df: DataFrame, by: list[str], value: str, n_boot: int = 2000, ci: float = 95, seed: int = 123, statistic: Callable = np.mean, key: list[str] = ()) -> DataFrame:
+    """by, n, estimate, low, high of the mean, where key names a row in its group: resamples hold a row as often as a hash of key and resample
+    says, so tasks sum rows where they are, and no group has to be in one.  Without a key a group is one task's, which any statistic may be asked of."""
+    types, by = dict(df.dtypes), list(by)
+    if key and statistic is not np.mean:
+        raise ValueError("draws by key give means")
+    if not key:
+
+        def run(own, frame):
+            x = frame[value].to_numpy(float)
+            low, high = bootstrap(x, statistic, n_boot, ci, seed)
+            x = x[~np.isnan(x)]
+            return pd.DataFrame([(*own, len(x), float(statistic(x)) if len(x) else None, low, high)])
+
+        return df.groupBy(*by).applyInPandas(run, ", ".join([*(f"{b} {types[b]}" for b in by), "n long, estimate double, low double, high double"]))
+
+    resamples = np.arange(n_boot)
+
+    def sums(frames):
+        def rows(held):
+            named = {b: pd.Series([None if pd.isna(own[i]) else own[i] for own in held], dtype=object) for i, b in enumerate(by)}
+            yield pd.DataFrame({**named, "w": [w for w, _ in held.values()], "x": [x for _, x in held.values()]})
+
+        held: dict[tuple, list] = {}
+        for frame in frames:
+            for own, part in frame.groupby(by, dropna=False):
+                w, x = held.setdefault(own, [np.zeros(n_boot), np.zeros(n_boot)])
+                keys, values = part["_key"].to_numpy(np.int64), part["_x"].to_numpy(float)
+                for at in range(0, len(keys), max(1, DRAWS // n_boot)):
+                    times = draws(keys[at : at + max(1, DRAWS // n_boot)], resamples, seed)
+                    w += times.sum(axis=0)
+                    x += values[at : at + len(times)] @ times
+                if len(held) >= GROUPS:
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
+
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, draw_key(list(key)).alias("_key"), F.col(value).cast("double").alias("_x"))
+    schema = ", ".join([*(f"{b} {types[b]}" for b in by), "w array<double>, x array<double>"])
+    each = rows.mapInPandas(sums, schema).select(*by, F.posexplode(F.arrays_zip("w", "x")).alias("i", "z")).groupBy(*by, "i").agg(F.sum("z.w").alias("w"), F.sum("z.x").alias("x"))
+    low = (100 - ci) / 200
+    found = each.where("w > 0").groupBy(*by).agg(F.percentile(F.col("x") / F.col("w"), F.array(F.lit(low), F.lit(1 - low))).alias("q"))
+    known = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("estimate"))
+    same = F.lit(True)
+    for b in by:
+        same = same & known[b].eqNullSafe(found[b])
+    out = known.join(found, same, "left").select(*(known[b] for b in by), "n", "estimate", "q")
+    one = F.col("n") < 2  # of one value the value twice
+    return out.select(*by, "n", "estimate", F.when(one, F.col("estimate")).otherwise(F.col("q")[0]).alias("low"), F.when(one, F.col("estimate")).otherwise(F.col("q")[1]).alias("high"))
 
 
 def pair_differences(df: DataFrame, config: str, units: list[str], metric: str, configs: DataFrame) -> DataFrame:
@@ -95,7 +155,7 @@ def pair_means(differences: DataFrame) -> DataFrame:
     return out.where("n_pairs > 0").withColumn("first_higher", F.col("mean") > 0)
 
 
-def compared_pairs(differences: DataFrame, n_boot: int = 2000, ci: float = 95, seed: int = 123) -> DataFrame:
-    """pair_means() with the bootstrap interval of each mean, and whether it holds zero."""
-    found = bootstrap_ci(differences, ["first", "second"], "difference", n_boot, ci, seed).select("first", "second", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
+def compared_pairs(differences: DataFrame, n_boot: int = 2000, ci: float = 95, seed: int = 123, key: list[str] = ()) -> DataFrame:
+    """pair_means() with the bootstrap interval of each mean, and whether it holds zero; key: the units of a pair's differences, by which they are drawn."""
+    found = bootstrap_ci(differences, ["first", "second"], "difference", n_boot, ci, seed, key=key).select("first", "second", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
     return pair_means(differences).join(found, ["first", "second"]).withColumn("ci_crosses_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))

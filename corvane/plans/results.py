@@ -288,16 +288,30 @@ def pairwise_top_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(insight.pair_means(_top_differences(spark, sf_dir)))
 
 
-@query()
+_DRAWN = f"""k AS (SELECT first, second, x, ('0x' || substr(md5(seed::VARCHAR || '|' || partition), 1, 13))::BIGINT AS key FROM d WHERE x IS NOT NULL),
+a AS (SELECT first, second, x, i, key, (key % {insight.PRIME} + i * 69621 % {insight.PRIME} + 123 * 40692) % {insight.PRIME} AS a FROM k CROSS JOIN range(2000) r(i)),
+b AS (SELECT *, (a * a + 3 * a + 7) % {insight.PRIME} AS b FROM a), c AS (SELECT *, (b * 16807 + key // {insight.PRIME}) % {insight.PRIME} AS c FROM b), e AS (SELECT *, ((c * c + 5 * c + 11) % {insight.PRIME} * 48271 % {insight.PRIME})::DOUBLE / {insight.PRIME} AS u FROM c),
+w AS (SELECT *, {' + '.join(f'(u >= {p!r}::DOUBLE)::INTEGER' for p in insight.POISSON)} AS w FROM e), s AS (SELECT first, second, i, sum(w * x) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
+q AS (SELECT first, second, quantile_cont(m, 0.025::DOUBLE) AS lo, quantile_cont(m, 0.975::DOUBLE) AS hi FROM s GROUP BY ALL),
+t AS (SELECT first, second, count(x)::BIGINT AS n, avg(x) AS mean, median(x) AS median, coalesce(stddev_samp(x), 0) AS std FROM d GROUP BY ALL),
+v AS (SELECT t.*, CASE WHEN n < 2 THEN mean ELSE lo END AS low, CASE WHEN n < 2 THEN mean ELSE hi END AS high FROM t JOIN q USING (first, second))"""
+_DIFFERENCES = _PAIRS.replace("a.m - b.m AS x", "a.m - b.m AS x, seed, partition")
+
+
+@query(f"WITH {_TOP}, {_DIFFERENCES}, {_DRAWN} SELECT first, second, n AS n_pairs, {r('mean')} AS mean, {r('median')} AS median, {r('std')} AS std, mean > 0 AS first_higher, {r('low')} AS ci_low, {r('high')} AS ci_high, low <= 0 AND high >= 0 AS ci_crosses_zero FROM v")
 def pairwise_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same comparisons with bootstrap intervals, whose draws SQL doesn't have; a test holds them against numpy."""
-    return insight.compared_pairs(_top_differences(spark, sf_dir))
+    """The same comparisons with bootstrap intervals, whose draws are hashes of units."""
+    return rounded(insight.compared_pairs(_top_differences(spark, sf_dir), key=["seed", "partition"]))
 
 
-@query()
+@query(f"WITH {_TOP}, {_DIFFERENCES}, {_DRAWN} SELECT first, second, n, {r('mean')} AS estimate, {r('low')} AS low, {r('high')} AS high FROM v")
 def pairwise_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same differences with bootstrap intervals."""
-    return insight.bootstrap_ci(_top_differences(spark, sf_dir), ["first", "second"], "difference")
+    return _rounded(insight.bootstrap_ci(_top_differences(spark, sf_dir), ["first", "second"], "difference", key=["seed", "partition"]))
+
+
+def _rounded(df: DataFrame | None) -> DataFrame | None:
+    return rounded(df) if df is not None else None
 
 
 _SPACES = "SELECT 's' || (l_suppkey % 7)::VARCHAR AS rep, 'm' || (l_partkey % 5)::VARCHAR || '_t' AS red, CASE WHEN l_quantity > 25 THEN 'z' || (l_orderkey % 3)::VARCHAR END AS split, l_linenumber % 5 AS kind FROM lineitem"

@@ -94,3 +94,11 @@ def test_percentiles_interpolate(spark, values):
 
     got = spark.createDataFrame([(v,) for v in values], "x double").agg(*(c.alias(n) for n, c in stats.five_numbers(F.col("x")).items())).first()
     assert list(got) == pytest.approx(list(np.percentile(values, [0, 25, 50, 75, 100])), rel=1e-9, abs=1e-6)
+
+
+def test_thresholds_in_all_digits(spark):
+    from corvane.functions import naming
+
+    said = {"p30_0": "p30", "1e-9": "p1_0000000000000001e-07", "0.9": "p90", "0.07": "p7", "12.3456789": "p12_3456789", "99.95": "p99_95", "0.00025": "p0_025", "p 70": "p70", "x": None, "100000000": "p100000000", "0.000005": "p0_0005"}
+    df = spark.createDataFrame([(k,) for k in said], "s string")
+    assert {r.s: r.t for r in df.select("s", naming.normal_threshold(F.col("s")).alias("t")).collect()} == said

@@ -193,3 +193,24 @@ def test_distance_folds_cut_the_order_of_distances(spark, metric, standardize):
 def test_repeated_texts(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), (None, "x")], "text string, source string")
     assert {(r.text, r.n_duplicates, tuple(r.labels)) for r in curate.repeated_texts(df, "text", "source").collect()} == {("a", 2, ("x", "y")), (None, 2, ("x",))}
+
+
+def test_draws_by_key(spark):
+    """Poisson numbers, alike for no two resamples or rows; intervals as wide as the deviation says, however rows are dealt out."""
+    rng = np.random.default_rng(1)
+    w = insight.draws(rng.integers(0, 1 << 52, 400), np.arange(2000), 7)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+    # rows whose keys follow one another
+    assert abs(np.corrcoef((v := insight.draws(np.arange(400), np.arange(2000), 7))[:-1].ravel(), v[1:].ravel())[0, 1]) < 0.01
+    x = rng.normal(0.3, 1, 300)
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 2.0), ("c", 0, None), (None, 1, 1.0), (None, 2, 3.0)]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    got = {r.g: r for r in insight.bootstrap_ci(df.repartition(5), ["g"], "x", key=["i"]).collect()}
+    again = {r.g: r for r in insight.bootstrap_ci(df.coalesce(1), ["g"], "x", key=["i"]).collect()}
+    assert set(got) == {"a", "b", None} and (got["b"].low, got["b"].high, got["b"].n) == (2.0, 2.0, 1)
+    assert got["a"].low == pytest.approx(again["a"].low) and got["a"].estimate == pytest.approx(x.mean())
+    half = 1.96 * x.std(ddof=1) / np.sqrt(300)
+    assert got["a"].low == pytest.approx(x.mean() - half, abs=0.15 * half) and got["a"].high == pytest.approx(x.mean() + half, abs=0.15 * half)
+    with pytest.raises(ValueError):
+        insight.bootstrap_ci(df, ["g"], "x", statistic=np.median, key=["i"])

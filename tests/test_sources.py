@@ -83,3 +83,12 @@ def test_summaries_and_fetching(spark, tmp_path):
     except ImportError:
         with pytest.raises(RuntimeError):
             sinks.write_workbook({"s": df}, str(tmp_path / "x.xlsx"))
+
+
+def test_files_by_name(spark, tmp_path):
+    from corvane.sources import sinks
+
+    rows = spark.createDataFrame([(i, f"a b/{i % 3}/x=1.csv") for i in range(50)], "i int, file string").repartition(4)
+    sinks.write_named(rows, f"file://{tmp_path}/t", "file")
+    assert sorted(str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("*.csv")) == [f"a b/{k}/x=1.csv" for k in range(3)]
+    assert sorted(r.i for r in spark.read.option("header", True).schema("i int").csv(f"{tmp_path}/t/a b/1/x=1.csv").collect()) == list(range(1, 50, 3))
