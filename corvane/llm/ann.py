@@ -2,8 +2,8 @@
 
 *Codes.*  A rotation is learned from a bounded sample: principal axes, then iterative quantisation, which turns them so that signs
 lose least.  A vector's code is the signs of its turned coordinates, in at most 64 bits.
-*Radius.*  From the same sample: the Hamming radius that holds nearly all (KEEP) of the sample's true neighbours.  Neighbours among more rows are
-nearer, so the radius serves larger tables too.
+*Radius.*  The Hamming radius that holds nearly all (KEEP) of the true neighbours of some queries (ASKED), which are compared with every row for that: neighbours among
+more rows are nearer, so a radius learned from the sample alone would be too wide.  It is never wider than the sample's.
 *Index.*  Codes are cut into PARTS substrings, each with a table from its values to rows.  By the pigeonhole principle a
 code within radius r agrees with the query within r // PARTS in some substring (for some parts one less), so probing the values that
 near finds every code within r; the whole code's distance then decides, and floats rerank by exact cosine.  The values to probe are enumerated
@@ -11,11 +11,11 @@ while they are fewer than the values that a block holds; beyond that, which happ
 are compared instead.
 
 Rows are indexed once, in written blocks of bounded size, each one row of a table.  Queries go round by round, so many that a broadcast of them is
-bounded; each block answers a round's queries with its k best, and the k best of those are the answer.  A block in which a query finds fewer than k
-rows within r is searched whole for that query.
+bounded; each block answers a round's queries with its k best within r, and the k best of those are the answer.  Only queries for which all blocks together have fewer than
+k rows within r are compared with every row.
 
-Defined cases: a vector that is null, zero, of another length than most of the sample, or holds null or non-finite numbers takes no part; rows that repeat a vec_id are one
-query, and no candidate of it; a candidate's best row counts; ties go to the smaller vec_id; an empty table gives none; extra columns are ignored.
+Defined cases: a vector that is null, zero, or holds null or non-finite numbers takes no part; vectors of one length are compared with each other, each length with an index of its own; components of
+any finite size are scaled by powers of two first; rows that repeat a vec_id are one query, and no candidate of it; a candidate's best row counts; ties go to the smaller vec_id; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ from corvane.llm.workspace import Workspace
 
 #: Rows the rotation and radius are learned from; queries of a round; rows of an index block.
 SAMPLE, QUERIES, ROWS = 8192, 8192, 16384
+#: Queries that are compared with every row to learn the radius.
+ASKED = 64
 #: Bytes of vectors in a round or an index block, whatever their length.
 BYTES = 16 << 20
 PARTS, TURNS, KEEP = 4, 40, 0.995
-SCHEMA, RESULT = "query_id long, vec_id long, score double", "query_id long, rank int, vec_id long, score double"
+SCHEMA, RESULT = "query_id long, vec_id long, score double, apart int", "query_id long, rank int, vec_id long, score double"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -45,8 +47,13 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(good, F.lit(False)))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near one: nothing overflows, and cosines stay as they are."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return scaled(np.asarray(column.flatten(), float).reshape(len(column), -1))
 
 
 class Codes:
@@ -122,16 +129,15 @@ class Block:
         rows = rows[np.bitwise_count(self.code[rows] ^ code) <= self.codes.radius]
         return np.unique(rows)
 
-    def nearest(self, query: int, v: np.ndarray, norm: float, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.within(code)
+    def nearest(self, query: int, v: np.ndarray, norm: float, code: np.uint64 | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k best rows within the radius, fewer if there are fewer; of all rows if there is no code."""
+        rows = self.within(code) if code is not None else np.arange(len(self.ids))
         rows = rows[self.ids[rows] != query]
-        if len(np.unique(self.ids[rows])) < k:
-            rows = np.flatnonzero(self.ids != query)
         score = (self.v[rows] * v).sum(axis=1) / (self.norm[rows] * norm)
         order = np.lexsort((self.ids[rows], -score))
         _, once = np.unique(self.ids[rows][order], return_index=True)  # the best row of each id
         best = order[np.sort(once)[:k]]
-        return self.ids[rows][best], score[best]
+        return rows[best], score[best]
 
 
 def _indexed(held):
@@ -158,45 +164,74 @@ def _indexed(held):
     return run
 
 
-def _search(held, k: int):
+def _search(held, k: int, whole: bool = False):
+    """Each block's k best rows of each query, among those within the radius or (whole) all, and how many bits they are away."""
+
     def run(batches):
         codes, ids, v = held.value
-        asked, norms = codes.of(v), np.sqrt((v * v).sum(axis=1))
+        own_codes, norms = codes.of(v), np.sqrt((v * v).sum(axis=1))
+        asked = [None] * len(ids) if whole else own_codes
         for batch in batches:
             for own, vectors, by in zip(*(batch.column(i) for i in range(3)), strict=True):
                 own = np.frombuffer(own.as_buffer(), np.int64)
                 block = Block(codes, own, np.frombuffer(vectors.as_buffer(), float).reshape(len(own), -1), np.frombuffer(by.as_buffer(), np.int32).reshape(len(codes.parts), -1))
                 out = [block.nearest(int(q), x, float(n), c, k) for q, x, n, c in zip(ids, v, norms, asked, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
+                place = np.concatenate([p for p, _ in out])
+                query = np.repeat(np.arange(len(ids)), [len(p) for p, _ in out])
+                apart = np.bitwise_count(block.code[place] ^ own_codes[query]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(own[place]), pa.array(np.concatenate([s for _, s in out])), pa.array(apart)], ["query_id", "vec_id", "score", "apart"])
 
     return run
 
 
+def _best(blocks: DataFrame, codes: Codes, some, k: int, whole: bool) -> DataFrame:
+    """The k best of all blocks for some queries (vec_id, v in pandas), as many as a broadcast may hold."""
+    query = blocks.sparkSession.sparkContext.broadcast((codes, some["vec_id"].to_numpy(np.int64), scaled(np.stack(some["v"].to_list()))))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    part = blocks.mapInArrow(_search(query, k, whole), SCHEMA).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("apart").alias("apart"))
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest rows found for each of queries; both have vec_id and embedding."""
     spark = rows.sparkSession
-    space = Workspace(spark, "ann")
-    sample = usable(rows).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
-    widths = sample["v"].str.len()
-    width = int(widths.mode().iloc[0]) if len(sample) else 0
-    if not width:
-        return spark.createDataFrame([], RESULT)
-    codes = Codes(np.stack(sample["v"][widths == width].to_list()), k)
-    held = spark.sparkContext.broadcast(codes)
-    blocks = space.keep(usable(rows).where(F.size("v") == width).mapInArrow(_indexed(held), "ids binary, v binary, by binary"), "index")
-    asked = space.keep(usable(queries).where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    space, found = Workspace(spark, "ann"), []
+    widths = [r["w"] for r in usable(rows).select(F.size("v").alias("w")).distinct().orderBy("w").collect()]  # as a rule one
+    for width in widths:
+        found += _of_width(usable(rows).where(F.size("v") == width), usable(queries).where(F.size("v") == width), width, k, space)
+    space.only(*(name for name, _ in found))
+    out = spark.createDataFrame([], RESULT)
+    for at, (_, part) in enumerate(found):
+        out = out.unionByName(part) if at else part
+    return out
+
+
+def _of_width(rows: DataFrame, queries: DataFrame, width: int, k: int, space: Workspace) -> list[tuple[str, DataFrame]]:
+    """Written results of the queries, round by round."""
+    spark, found = rows.sparkSession, []
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).toPandas()
+    codes = Codes(scaled(np.stack(sample["v"].to_list())), k)
+    blocks = space.keep(rows.mapInArrow(_indexed(spark.sparkContext.broadcast(codes)), "ids binary, v binary, by binary"), f"index-{width}")
+    asked = space.keep(queries.groupBy("vec_id").agg(F.min("v").alias("v")), f"queries-{width}")
+    few = asked.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(ASKED).toPandas()
+    if not len(few):
+        return []
+    apart = [r["apart"] for r in _best(blocks, codes, few, k, True).select("apart").collect()]  # k of each of ASKED
+    if apart:
+        codes.radius = min(codes.radius, int(np.quantile(apart, KEEP, method="higher")))
     rounds = -(-asked.count() // max(1, min(QUERIES, BYTES // (8 * width))))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    found = None
     for i in range(rounds):
         some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == i).toPandas()
         if not len(some):
             continue
-        query = spark.sparkContext.broadcast((codes, some["vec_id"].to_numpy(np.int64), np.stack(some["v"].to_list())))
-        part = blocks.mapInArrow(_search(query, k), SCHEMA).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        part = space.keep(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"found-{i}")
-        query.destroy()
-        found = part if found is None else found.unionByName(part)
-    held.destroy()
-    space.only(*(f"found-{i}" for i in range(rounds)))
-    return found if found is not None else spark.createDataFrame([], RESULT)
+        names = [f"found-{width}-{i}", f"whole-{width}-{i}"]
+        columns = ["query_id", "rank", "vec_id", "score"]
+        part = space.keep(_best(blocks, codes, some, k, False).select(columns), names[0])
+        full = {r["query_id"] for r in part.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").collect()}  # of a round's
+        short = some[~some["vec_id"].isin(full)]
+        if len(short):  # fewer than k rows within the radius anywhere
+            known = part.where(~F.col("query_id").isin([int(q) for q in short["vec_id"]]))
+            found.append((names[1], space.keep(_best(blocks, codes, short, k, True).select(columns), names[1])))
+            part = known
+        found.append((names[0], part))
+    return found

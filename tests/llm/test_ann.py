@@ -82,3 +82,43 @@ def test_edges(spark):
     assert ann.nearest(df, empty).collect() == []
     alone = spark.createDataFrame([(0, [1.0, 0.0], 0, "", "")], SCHEMA)
     assert ann.nearest(alone, alone).collect() == []
+
+
+def test_rows_stored_by_cluster(spark, monkeypatch):
+    """Neighbours that are near make the radius small, and no query is compared with all rows where its cluster has enough."""
+    monkeypatch.setattr(ann, "ROWS", 1024)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(100, 48)), 80, axis=0) + 0.02 * rng.normal(size=(8000, 48))
+    ids = np.arange(8000)
+    df = spark.createDataFrame(rows_of(ids, x), SCHEMA).repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    whole, best, radius = [], ann._best, []
+
+    def seen(blocks, codes, some, k, every):
+        if every:
+            whole.append(len(some))
+        else:
+            radius.append(codes.radius)
+        return best(blocks, codes, some, k, every)
+
+    monkeypatch.setattr(ann, "_best", seen)
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = brute(ids, np.array(x, np.float32).astype(float), list(got), 5)
+    assert len(got) == 160 and sum(len(got[q] & {v for v, _ in near}) for q, near in expected.items()) >= 0.95 * 800
+    assert whole[0] == 64 and sum(whole[1:]) <= 16  # the look for the radius, and few others
+    codes = ann.Codes(ann.scaled(x[rng.permutation(8000)[:4000]]), 5)
+    codes.radius = radius[0]
+    block = ann.Block(codes, ids, ann.scaled(x))
+    opened = [len(block.within(block.code[q])) for q in range(0, 8000, 400)]
+    assert np.mean(opened) < 0.05 * 8000
+
+
+def test_lengths_and_sizes(spark):
+    """Each length is searched for itself; the largest finite numbers have exact cosines."""
+    rows = [(0, [1.0, 1.0]), (50, [1e200, 0.0]), (1, [1e300, 1e300]), (2, [1e-300, 0.0]), (100, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 50 = 0"), 5).collect()}
+    half = 0.5**0.5
+    assert {k: v for k, (v, _) in got.items()} == {(0, 1): 1, (0, 2): 2, (0, 3): 50, (50, 1): 2, (50, 2): 0, (50, 3): 1, (100, 1): 3}
+    assert {k: s for k, (_, s) in got.items()} == pytest.approx({(0, 1): 1.0, (0, 2): half, (0, 3): half, (50, 1): 1.0, (50, 2): half, (50, 3): half, (100, 1): 1.0}, abs=1e-12)
