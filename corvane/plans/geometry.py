@@ -312,7 +312,18 @@ def retention_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduce.retention_ladder(_close(spark, sf_dir, 0.2), read(spark, sf_dir, "embeddings"), "vec_id", [0.2, 0.3, 0.4]))
 
 
-@query()
+def _greedy_sql(pairs: str, limits: list[tuple[float, float]], at_least: bool = True) -> str:
+    """Row by row: a row stays if none of those that stay is close; c (percentile, key_a, key_b, value), kept (percentile, id) and best, the closest one that stays."""
+    values, sign, order = ", ".join(f"({p}::DOUBLE, {t}::DOUBLE)" for p, t in limits), ">=" if at_least else "<=", "DESC" if at_least else "ASC"
+    return f"""WITH RECURSIVE {pairs}, t(percentile, threshold) AS (VALUES {values}), c AS (SELECT percentile, threshold, key_a, key_b, value FROM p JOIN t ON p.value {sign} t.threshold),
+near AS (SELECT percentile, key_b, list(key_a) AS near FROM c GROUP BY ALL), o AS (SELECT percentile, vec_id, row_number() OVER (PARTITION BY percentile ORDER BY vec_id) AS i FROM e CROSS JOIN t),
+n AS (SELECT o.percentile, o.vec_id, o.i, coalesce(near, []) AS near FROM o LEFT JOIN near ON near.percentile = o.percentile AND near.key_b = o.vec_id),
+g AS (SELECT percentile, 0::BIGINT AS i, []::BIGINT[] AS kept FROM t UNION ALL SELECT g.percentile, n.i, CASE WHEN list_has_any(g.kept, n.near) THEN g.kept ELSE list_append(g.kept, n.vec_id::BIGINT) END FROM g JOIN n ON n.percentile = g.percentile AND n.i = g.i + 1),
+kept AS (SELECT percentile, unnest(kept) AS id FROM g WHERE i = (SELECT max(i) FROM n)),
+best AS (SELECT c.* FROM c SEMI JOIN kept ON kept.percentile = c.percentile AND kept.id = c.key_a ANTI JOIN kept AS k2 ON k2.percentile = c.percentile AND k2.id = c.key_b QUALIFY row_number() OVER (PARTITION BY c.percentile, key_b ORDER BY round(value, 9) {order}, key_a) = 1)"""
+
+
+@query(f"{_greedy_sql(_P, [(0, 0.3)])} SELECT key_b AS removed_id, key_a AS representative_id, key_a AS cluster_id FROM best")
 def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, R5, greedy: tests hold it against the sequential rule."""
     return reduce.greedy(_close(spark, sf_dir), checkpointed)
@@ -321,18 +332,21 @@ def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LADDER = [(30.0, 0.25), (60.0, 0.35), (90.0, 0.45)]
 
 
-@query()
+@query(f"{_greedy_sql(_P, _LADDER)}, s AS (SELECT percentile, threshold, count(*)::BIGINT AS n_original, count(k.id)::BIGINT AS n_reduced, count(k.id) FILTER (label = 0)::BIGINT AS n_0, count(k.id) FILTER (label = 1)::BIGINT AS n_1 FROM e CROSS JOIN t LEFT JOIN kept k ON k.percentile = t.percentile AND k.id = e.vec_id GROUP BY ALL) SELECT *, n_original - n_reduced AS removed, {r('n_reduced / n_original')} AS kept_fraction FROM s".replace("SELECT percentile, threshold, count(*)::BIGINT AS n_original", "SELECT t.percentile, t.threshold, count(*)::BIGINT AS n_original"))
 def reduction_by_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy reductions at each threshold of a ladder, over ids that are text; tests hold it against the sequential rule."""
     rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("seq_"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding", "label")
     return rounded(reduce.reduction_ladder(rows, "id", "embedding", "label", _LADDER, checkpointed)[1])
 
 
-@query()
+_DISTANCES = [(30.0, 1.2), (60.0, 1.1), (90.0, 1.0)]
+
+
+@query(f"{_greedy_sql(_D, _DISTANCES, False)} SELECT percentile, 'seq_' || lpad(key_b::VARCHAR, 9, '0') AS removed_id, 'seq_' || lpad(key_a::VARCHAR, 9, '0') AS representative_id, 'seq_' || lpad(key_a::VARCHAR, 9, '0') AS cluster_id FROM best")
 def euclidean_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: the same for distances, whose thresholds fall as percentiles grow, and the closest representative of each removed row."""
     rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("seq_"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding", "label")
-    return reduce.reduction_ladder(rows, "id", "embedding", "label", [(30.0, 1.2), (60.0, 1.1), (90.0, 1.0)], checkpointed, "euclidean")[0]
+    return reduce.reduction_ladder(rows, "id", "embedding", "label", _DISTANCES, checkpointed, "euclidean")[0]
 
 
 @query(f"WITH {_D}, c AS (SELECT key_a, key_b, value FROM p WHERE value <= 1.15::DOUBLE) SELECT 'seq_' || key_b::VARCHAR AS removed_id, 'seq_' || key_a::VARCHAR AS representative_id FROM (SELECT *, row_number() OVER (PARTITION BY key_b ORDER BY round(value, 9), key_a::VARCHAR) AS n FROM (SELECT CASE WHEN a < b THEN a ELSE b END AS key_a, CASE WHEN a < b THEN b ELSE a END AS key_b, value FROM (SELECT key_a::VARCHAR AS a, key_b::VARCHAR AS b, value FROM c))) WHERE n = 1")
