@@ -6,6 +6,7 @@ the hash and counted once: a row's rank is its place in its range plus the sizes
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corvane.functions import naming, stats, vectors
 from corvane.operators.curate import numbered
 
-#: Ranges of the hash that rows are ranked in: two hexadecimal digits.
-RANGES = 2
+#: Hexadecimal digits of a hash that ranges of rows are told by, at least, and rows of a range.
+RANGES, ROWS = 2, 100_000
 
 
 def order_hash(key: str, seed: int) -> Column:
@@ -24,7 +25,8 @@ def order_hash(key: str, seed: int) -> Column:
 def ranked(df: DataFrame, order: Column, by: list[str] = ()) -> DataFrame:
     """df with _rank (from 0) and _n: the place by a hexadecimal order inside each group of by, and the group's size."""
     by = list(by)
-    df = df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGES))
+    digits = max(RANGES, math.ceil(math.log(max(df.count(), 1) / ROWS, 16)))
+    df = df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, digits))
     sizes = df.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     along = Window.partitionBy(*by).orderBy("_range")
     sizes = sizes.select(*by, "_range", (F.sum("_size").over(along) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_n"))

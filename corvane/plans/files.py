@@ -198,14 +198,17 @@ def small_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode("rows").alias("x")).select("x.*").join(there.select(F.lit(True).alias("ok")), F.lit(True), "left_semi")
 
 
-@query("WITH s AS (SELECT n_regionkey, n_nationkey, min((n_nationkey % 4 <> 3)::INT) OVER (PARTITION BY n_regionkey, n_nationkey % 2) AS ok FROM nation) SELECT n_nationkey, n_regionkey AS scenario, n_nationkey % 2 AS seed FROM s WHERE ok = 1")
+@query("WITH s AS (SELECT s_suppkey, s_nationkey AS scenario, s_suppkey % 2 AS seed, CASE WHEN s_nationkey % 5 = 0 THEN 'again' ELSE 'first' END AS written FROM supplier), k AS (SELECT *, min((CASE written WHEN 'again' THEN s_suppkey % 7 <> 3 ELSE s_suppkey % 4 <> 3 END)::INT) OVER (PARTITION BY scenario, seed) AS ok FROM s) SELECT s_suppkey, scenario, seed, written FROM k WHERE ok = 1")
 def written_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assignments written without those of invalid splits."""
+    """Assignments written without those of invalid splits; a fifth of the scenarios is then replaced, and the others stay."""
     path = _folder(spark, "splits")
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("scenario"), (F.col("n_nationkey") % 2).alias("seed"))
-    status = rows.select("scenario", "seed", F.when(F.col("n_nationkey") % 4 == 3, "invalid_split").otherwise("kept").alias("status"))
-    sinks.write_splits(rows, status, path, ["scenario", "seed"])
-    return spark.read.schema("n_nationkey int, scenario int, seed int").parquet(f"{path}/assignments")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("scenario"), (F.col("s_suppkey") % 2).alias("seed"))
+    for written, some, wrong in (("first", rows, F.col("s_suppkey") % 4 == 3), ("again", rows.where("scenario % 5 = 0"), F.col("s_suppkey") % 7 == 3)):
+        status = some.select("scenario", "seed", F.when(wrong, "invalid_split").otherwise("kept").alias("status"))
+        sinks.write_splits(some.withColumn("written", F.lit(written)), status, path, ["scenario", "seed"])
+    out = sinks.read_splits(spark, path, ["scenario", "seed"])
+    kinds = dict(rows.dtypes)
+    return out.select("s_suppkey", F.col("scenario").cast(kinds["scenario"]).alias("scenario"), F.col("seed").cast(kinds["seed"]).alias("seed"), "written")
 
 
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT 'v' || vec_id::VARCHAR AS id, {r('v[2] / sqrt(list_dot_product(v, v))', 5)} AS second, {r('v[2]', 5)} AS raw FROM e")

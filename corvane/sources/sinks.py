@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -75,10 +76,29 @@ def mark_done(spark: SparkSession, folder: str, name: str = "DONE", document: di
 
 
 def write_splits(assigned: DataFrame, status: DataFrame, path: str, by: list[str]) -> None:
-    """Assignments as Parquet, a folder each of by, without those of splits that status doesn't call kept; status goes beside them."""
+    """Assignments as Parquet, a folder each of by below one of the run, without those of splits that status doesn't call kept; status goes beside them.
+
+    Only splits that status names are replaced, and by writing status last: until then, and if a run fails before, read_splits() gives what was there.
+    What earlier runs wrote of those splits is removed at the end.
+    """
+    spark, run = assigned.sparkSession, uuid.uuid4().hex
     kept = status.groupBy(*by).agg(F.min((F.col("status") == "kept").cast("int")).alias("_ok")).where("_ok = 1").drop("_ok")
-    assigned.join(kept, by, "left_semi").write.mode("overwrite").partitionBy(*by).parquet(f"{path}/assignments")
-    status.write.mode("overwrite").parquet(f"{path}/status")
+    assigned.join(kept, by, "left_semi").write.partitionBy(*by).parquet(f"{path}/assignments/run={run}")
+    status.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/status")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for own in status.select(*(F.col(b).cast("string") for b in by)).distinct().collect():  # the splits of a run, not their rows
+        folder = "/".join(f"{b}={escaped(v) if v is not None else '__HIVE_DEFAULT_PARTITION__'}" for b, v in zip(by, own, strict=True))
+        for old in files.globStatus(at(f"{path}/assignments/run=*/")) or []:
+            if old.getPath().getName() != f"run={run}":
+                files.delete(at(f"{old.getPath().toString()}/{folder}"), True)
+
+
+def read_splits(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """Assignments of the splits whose last status is kept."""
+    status = spark.read.parquet(f"{path}/status").groupBy(*by, "run").agg(F.min((F.col("status") == "kept").cast("int")).alias("_ok")).where("_ok = 1").drop("_ok")
+    return spark.read.parquet(f"{path}/assignments").join(status, [*by, "run"], "left_semi").drop("run")
 
 
 def summary_document(df: DataFrame, limit: int = 1000) -> list[dict]:

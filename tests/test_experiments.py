@@ -241,3 +241,19 @@ def test_sources_by_name(spark, tmp_path):
     described = spark.createDataFrame([("ANOX", "b"), ("ANOX", "a"), ("x", "c")], "source string, kind string")
     assert parsers.source_metadata(described, "ANOX").first().asDict() == {"number_of_sources": 2, "source": "ANOX", "kind": "a;b"}
     assert set(parsers.SOURCES) == {"AMPDB v1", "ANOX", "AOD", "AOPxSVM", "Ahmad et al", "Butt et al", "Feng et al", "Lam et al", "PredAoDP", "Thanh-Lam et al", "Zhai et al", "Zhang et al"}
+
+
+def test_one_split_is_replaced(spark, tmp_path):
+    """The others' files aren't touched, a run that fails before its status leaves what was there, and a split that is no longer kept is gone."""
+    path, by = f"file://{tmp_path}/s", ["scenario", "seed"]
+    kind = "scenario string, seed int, id string"
+    said = lambda *rows: spark.createDataFrame(rows, "scenario string, seed int, status string")
+    ids = lambda: sorted(r.id for r in sinks.read_splits(spark, path, by).collect())
+    sinks.write_splits(spark.createDataFrame([("a", 1, "x"), ("b c", 1, "y"), ("d", 1, "z")], kind), said(("a", 1, "kept"), ("b c", 1, "kept"), ("d", 1, "kept")), path, by)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet") if "scenario=a" in str(p)}
+    assert ids() == ["x", "y", "z"] and len(before) == 2
+    spark.createDataFrame([("a", 1, "torn")], kind).write.partitionBy(*by).parquet(f"{path}/assignments/run=torn")
+    assert ids() == ["x", "y", "z"]
+    sinks.write_splits(spark.createDataFrame([("b c", 1, "new"), ("d", 1, "z")], kind), said(("b c", 1, "kept"), ("d", 1, "kept"), ("d", 1, "invalid_split")), path, by)
+    assert ids() == ["new", "x"] and all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())
+    assert not [p for p in (tmp_path / "s").rglob("*.parquet") if "assignments" in str(p) and "scenario=d" in str(p)]
