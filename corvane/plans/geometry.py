@@ -150,7 +150,10 @@ def power_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "power"))
 
 
-@query()
+_QUANTILES = "u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), q AS (SELECT i, quantile_disc(x, [" + ", ".join(f"{k / 1000}::DOUBLE" for k in range(1001)) + "]) AS q FROM u GROUP BY i), s AS (SELECT vec_id, list(z ORDER BY i) AS v FROM (SELECT vec_id, u.i, len(list_filter(q, lambda y: y < x)) / 1001::DOUBLE AS z FROM u JOIN q USING (i)) GROUP BY vec_id)"
+
+
+@query(_digest_sql(_QUANTILES))
 def quantile_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places among quantiles."""
     return _digest(training.scaled(read(spark, sf_dir, "embeddings"), "embedding", "quantile"))
