@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,3 +59,36 @@ def test_pairs_learn_what_single_features_cannot():
 def test_features_are_finite():
     x = quality_gam.features(pa.array([None, "", " \n", "a", "A!\n\nb", "é" * 10000]))
     assert x.shape == (6, len(quality_gam.NAMES)) and np.isfinite(x).all()
+
+
+def plain_score(model, text):
+    """Features from split strings, and table entries summed one by one."""
+    from bisect import bisect_right
+    from collections import Counter
+    from math import exp, log1p, sqrt
+
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    lines = [x for x in re.split(rb"[\n\r]+", raw) if x]
+    n, sizes = len(words), [len(w) for w in words]
+    per = max(n, 1)
+    mean = sum(sizes) / per
+    x = [log1p(n), log1p(len(raw)), mean, sqrt(max(sum(a * a for a in sizes) / per - mean * mean, 0))]
+    x += [sum(b in set(c) for b in raw) / max(len(raw), 1) for c in quality_gam._CLASSES.values()]
+    x += [len(set(words)) / per, max(Counter(words).values(), default=0) / per, sum(a == b for a, b in zip(words, words[1:], strict=False)) / per]
+    x += [sum(a <= 2 for a in sizes) / per, sum(a > 12 for a in sizes) / per, log1p(len(lines)), len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1)]
+    x = [round(float(a), 9) for a in x]
+    logit = model.constant + sum(t[bisect_right(list(c), a)] for t, c, a in zip(model.tables, model.fine, x, strict=True))
+    for (f, k), grid in zip(model.pairs, model.grids, strict=True):
+        logit += grid[bisect_right(list(model.rough[f]), x[f])][bisect_right(list(model.rough[k]), x[k])]
+    return 1 / (1 + exp(-logit))
+
+
+def test_scores_are_sums_of_table_entries(spark, edge_rows):
+    rows, labels = corpus(150)
+    model = quality_gam.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model.pairs and any(t.any() for t in model.tables)
+    every = [(i, t) for i, (_, t, *_) in enumerate([*rows[:60], *edge_rows])]
+    got = {r.doc_id: r.score for r in quality_gam.scores(table(spark, every), model).collect()}
+    for i, text in every:
+        assert abs(got[i] - plain_score(model, text)) < 1e-9, (i, (text or "")[:60])
