@@ -311,7 +311,7 @@ def reduction_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_P}, m AS (SELECT vec_id, max(round(value, 9)) AS near FROM e LEFT JOIN (SELECT * FROM p WHERE value >= 0.2::DOUBLE) ON key_b = vec_id GROUP BY ALL), t AS (SELECT unnest({_DOUBLES([0.2, 0.3, 0.4])}) AS threshold) SELECT threshold, count(*)::BIGINT AS n_original, count(*) FILTER (near IS NULL OR near < threshold)::BIGINT AS n_reduced, count(*) FILTER (near >= threshold)::BIGINT AS removed, {r('count(*) FILTER (near IS NULL OR near < threshold) / count(*)')} AS kept_fraction FROM m CROSS JOIN t GROUP BY ALL")
 def retention_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-pass retention at several thresholds from one table of pairs."""
+    """One-pass retention at several thresholds from one table of pairs."""
     return rounded(reduce.retention_ladder(_close(spark, sf_dir, 0.2), read(spark, sf_dir, "embeddings"), "vec_id", [0.2, 0.3, 0.4]))
 
 
@@ -326,6 +326,15 @@ kept AS (SELECT percentile, unnest(kept) AS id FROM g WHERE i = (SELECT max(i) F
 best AS (SELECT c.* FROM c SEMI JOIN kept ON kept.percentile = c.percentile AND kept.id = c.key_a ANTI JOIN kept AS k2 ON k2.percentile = c.percentile AND k2.id = c.key_b QUALIFY row_number() OVER (PARTITION BY c.percentile, key_b ORDER BY round(value, 9) {order}, key_a) = 1)"""
 
 
+@query(f"WITH {_P}, m AS (SELECT vec_id, label, max(round(value, 9)) AS near FROM e LEFT JOIN (SELECT * FROM p WHERE value >= 0.2::DOUBLE) ON key_b = vec_id GROUP BY ALL), t AS (SELECT unnest({_DOUBLES([0.2, 0.3, 0.4])}) AS min_seq_id), s AS (SELECT min_seq_id, count(*)::BIGINT AS n_original, count(*) FILTER (near >= min_seq_id)::BIGINT AS removed, count(*) FILTER (label = 0 AND (near IS NULL OR near < min_seq_id))::BIGINT AS n_0, count(*) FILTER (label = 1 AND (near IS NULL OR near < min_seq_id))::BIGINT AS n_1 FROM m CROSS JOIN t GROUP BY ALL) SELECT min_seq_id, n_original, n_original - removed AS n_reduced, removed, {r('(n_original - removed) / n_original')} AS kept_fraction, n_0, n_1 FROM s WHERE removed > 0")
+def identity_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary row of each threshold of a table of maps."""
+    rows = read(spark, sf_dir, "embeddings")
+    close = _close(spark, sf_dir, 0.2)
+    maps = reduce_left(DataFrame.unionByName, (reduce.one_pass(close.where(F.round("value", 9) >= t)).withColumn("min_seq_id", F.lit(t)) for t in (0.2, 0.3, 0.4)))
+    return rounded(reduce.homology_rows(maps, rows, "vec_id", "label"))
+
+
 @query(f"{_greedy_sql(_P, [(0, 0.3)])} SELECT key_b AS removed_id, key_a AS representative_id, key_a AS cluster_id FROM best")
 def greedy_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, R5, greedy: tests hold it against the sequential rule."""

@@ -47,7 +47,7 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ASSIGNED} SELECT doc_id, quality, fold, part, 7 AS seed, 'stratified' AS strategy FROM a")
 def split_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S14, A9 fixture: one long table instead of folders."""
+    """A9 fixture: one long table instead of folders."""
     return _assigned(spark, sf_dir)
 
 
