@@ -216,71 +216,150 @@ class NaiveBayes:
         return _predicted(df, x, self.decide)
 
 
-class SquaredHinge:
-    """A linear machine whose loss is the square of the hinge, with half the squared length of all coefficients: L-BFGS, one aggregate a step."""
+class _Descent:
+    """L-BFGS of one convex function, a step at a time: ask() is where to look next, tell() what is there."""
+
+    def __init__(self, width: int, steps: int, tol: float, memory: int = 10):
+        self.w, self.steps, self.tol, self.memory = np.zeros(width), min(int(steps), 200), float(tol), memory
+        self.loss, self.past, self.done, self.halved = None, [], False, 0
+
+    def _way(self) -> np.ndarray:
+        way, parts = -self.slope, []
+        for s, g in reversed(self.past):
+            parts.append(float(s @ way) / float(s @ g))
+            way = way - parts[-1] * g
+        if self.past:
+            s, g = self.past[-1]
+            way = way * float(s @ g) / float(g @ g)
+        for (s, g), a in zip(self.past, reversed(parts), strict=True):
+            way = way + (a - float(g @ way) / float(s @ g)) * s
+        return way
+
+    def ask(self) -> np.ndarray:
+        return self.w if self.loss is None else self.w + self.far * self.way
+
+    def tell(self, loss: float, slope: np.ndarray) -> None:
+        if self.loss is None:
+            self.loss, self.slope = loss, slope
+        elif loss <= self.loss + 1e-4 * self.far * float(self.slope @ self.way):
+            s, g = self.far * self.way, slope - self.slope
+            if float(s @ g) > 1e-14:
+                self.past = [*self.past, (s, g)][-self.memory :]
+            self.w, self.loss, self.slope, self.halved = self.w + s, loss, slope, 0
+            self.steps -= 1
+        else:
+            self.far, self.halved = self.far / 2, self.halved + 1
+            self.done = self.halved > 30
+            return
+        self.done = self.steps <= 0 or np.abs(self.slope).max() <= self.tol
+        self.way = self._way()
+        self.far = 1.0 if self.past else 1.0 / max(1.0, float(np.abs(self.slope).sum()))
+
+
+class Linear:
+    """Linear models of several folds and settings at once: an iteration is one aggregate, however many there are.
+
+    A setting is (loss, penalty, intercept, steps, tol): logistic or squared_hinge loss, half the penalty times the squared length of coefficients; of the
+    squared hinge the intercept's too.
+    """
+
+    def __init__(self, settings: dict[int, list[tuple[str, float, bool, int, float]]]):
+        self.settings = {(f, i): s for f, own in settings.items() for i, s in enumerate(own)}  # by fold and place
+
+    @staticmethod
+    def _each(loss: str, sign: np.ndarray, m: np.ndarray) -> tuple[float, np.ndarray]:
+        """Summed loss and each row's slope by its margin."""
+        if loss == "logistic":
+            return float(np.logaddexp(0, -sign * m).sum()), -sign / (1 + np.exp(np.clip(sign * m, -500, 500)))
+        short = np.maximum(1 - sign * m, 0)
+        return float(short @ short), -2 * sign * short
+
+    def fit(self, df: DataFrame, x: str, y: str, fold: str) -> Linear:
+        """df: train rows with a number of a fold, y 0 or 1."""
+        about = {r["f"]: (r["n"], r["w"]) for r in df.groupBy(F.col(fold).cast("int").alias("f")).agg(F.count("*").alias("n"), F.max(F.size(x)).alias("w"), F.count_distinct(y).alias("k")).collect() if r["k"] == 2}  # few
+        ways = {(f, i): _Descent(about[f][1] + 1, steps, tol) for (f, i), (_, _, _, steps, tol) in self.settings.items() if f in about}
+        rows, settings, each = df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(fold).cast("int").alias("f")), self.settings, self._each
+        while open_ := {k: d.ask() for k, d in ways.items() if not d.done}:
+
+            def sums(frames, open_=open_):
+                total: dict = {}
+                for frame in frames:
+                    for f, part in frame.groupby("f"):
+                        own = [(i, w) for (g, i), w in open_.items() if g == f]
+                        if not own:
+                            continue
+                        v = np.stack(part["x"].to_list())
+                        v, sign = np.hstack([v, np.ones((len(v), 1))]), np.where(part["y"].to_numpy() > 0, 1.0, -1.0)
+                        at = np.stack([w * np.append(np.ones(len(w) - 1), settings[f, i][2]) for i, w in own], axis=1)
+                        margins = v @ at
+                        found = [each(settings[f, i][0], sign, margins[:, k]) for k, (i, _) in enumerate(own)]
+                        slopes = v.T @ np.stack([s for _, s in found], axis=1)
+                        for k, (i, _) in enumerate(own):
+                            total[f, i] = total.get((f, i), 0) + np.append(slopes[:, k], found[k][0])
+                for (f, i), s in total.items():
+                    yield pd.DataFrame({"f": f, "i": i, "j": np.arange(len(s)), "v": s})
+
+            added = rows.mapInPandas(sums, "f int, i int, j int, v double").groupBy("f", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # as many as coefficients
+            for (f, i), own in added.groupby(["f", "i"]):
+                s, n, w = own.sort_values("j")["v"].to_numpy(), about[f][0], open_[f, i]
+                loss, penalty, intercept, _, _ = self.settings[f, i]
+                held = np.append(np.ones(len(w) - 1), float(intercept and loss == "squared_hinge"))  # what is penalised
+                slope = s[:-1] / n * np.append(np.ones(len(w) - 1), float(intercept))
+                ways[f, i].tell(s[-1] / n + 0.5 * penalty * float((w * held) @ w), slope + penalty * w * held)
+        self.models = {k: d.w * np.append(np.ones(len(d.w) - 1), float(self.settings[k][2])) for k, d in ways.items()}
+        return self
 
-    def __init__(self, regParam: float = 1.0, maxIter: int = 1000, tol: float = 1e-4, fitIntercept: bool = True, memory: int = 10):  # noqa: N803
-        self.reg, self.steps, self.tol, self.intercept, self.memory = float(regParam), int(maxIter), float(tol), bool(fitIntercept), memory
+    def predicted(self, df: DataFrame, x: str, fold: str) -> DataFrame:
+        """df with prediction, an array of a class for each setting, null where a fold couldn't be fitted."""
+        held, count = df.sparkSession.sparkContext.broadcast(self.models), 1 + max((i for _, i in self.settings), default=-1)
 
-    def _loss(self, df: DataFrame, x: str, y: str, n: int, w: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss and its slope at coefficients w (the last is the intercept)."""
+        @F.pandas_udf("array<int>")
+        def classes(v: pd.Series, f: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(v), dtype=object)
+            for own in f.unique():
+                some = np.flatnonzero(f.to_numpy() == own)
+                if (own, 0) in held.value:
+                    w = np.stack([held.value[own, i] for i in range(count)], axis=1)
+                    m = np.stack(v.iloc[some].to_list())
+                    for at, row in zip(some, (m @ w[:-1] + w[-1] > 0).astype(np.int32), strict=True):
+                        out.iloc[at] = row
+            return out
+
+        return df.withColumn("prediction", classes(F.col(x), F.col(fold).cast("int")))
 
-        def run(frames):
-            loss, slope = 0.0, np.zeros(len(w))
-            for frame in frames:
-                if len(frame):
-                    v = np.stack(frame["x"].to_list())
-                    v = np.hstack([v, np.full((len(v), 1), float(self.intercept))])
-                    sign = np.where(frame["y"].to_numpy() > 0, 1.0, -1.0)
-                    short = np.maximum(1 - sign * (v @ w), 0)
-                    loss, slope = loss + float(short @ short), slope - 2 * v.T @ (short * sign)
-            yield pd.DataFrame({"i": np.arange(len(w) + 1), "v": np.append(slope, loss)})
-
-        rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as coefficients
-        total = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
-        return total[-1] / n + 0.5 * self.reg * float(w @ w), total[:-1] / n + self.reg * w
+
+class SquaredHinge:
+    """A linear machine whose loss is the square of the hinge, with half the squared length of all coefficients."""
+
+    def __init__(self, regParam: float = 1.0, maxIter: int = 1000, tol: float = 1e-4, fitIntercept: bool = True):  # noqa: N803
+        self.model = Linear({0: [("squared_hinge", float(regParam), bool(fitIntercept), int(maxIter), float(tol) * 1e-2)]})
 
     def fit(self, df: DataFrame, x: str, y: str) -> SquaredHinge:
-        n, width, classes = df.agg(F.count("*"), F.max(F.size(x)), F.count_distinct(y)).first()
-        if classes != 2:
+        self.model.fit(df.withColumn("_fold", F.lit(0)), x, y, "_fold")
+        if not self.model.models:
             raise ValueError("two classes are needed")
-        w, past = np.zeros(width + 1), []
-        loss, slope = self._loss(df, x, y, n, w)
-        for _ in range(min(self.steps, 200)):
-            if np.abs(slope).max() <= self.tol * 1e-2:
-                break
-            way, parts = -slope, []
-            for s, g in reversed(past):
-                a = float(s @ way) / float(s @ g)
-                parts.append(a)
-                way = way - a * g
-            if past:
-                way = way * float(past[-1][0] @ past[-1][1]) / float(past[-1][1] @ past[-1][1])
-            for (s, g), a in zip(past, reversed(parts), strict=True):
-                way = way + (a - float(g @ way) / float(s @ g)) * s
-            far = 1.0 if past else 1.0 / max(1.0, float(np.abs(slope).sum()))
-            for _ in range(30):
-                new = w + far * way
-                new_loss, new_slope = self._loss(df, x, y, n, new)
-                if new_loss <= loss + 1e-4 * far * float(slope @ way):
-                    break
-                far /= 2
-            else:
-                break
-            s, g = new - w, new_slope - slope
-            if float(s @ g) > 1e-14:
-                past = [*past, (s, g)][-self.memory :]
-            w, loss, slope = new, new_loss, new_slope
-        self.w = w
+        self.w = self.model.models[0, 0]
         return self
 
     def decide(self, v: np.ndarray) -> np.ndarray:
-        return v @ self.w[:-1] + self.w[-1] * self.intercept
+        return v @ self.w[:-1] + self.w[-1]
 
     def predicted(self, df: DataFrame, x: str) -> DataFrame:
         return _predicted(df, x, self.decide)
 
 
+def linear_setting(name: str, settings: dict) -> tuple[str, float, bool, int, float] | None:
+    """The setting of Linear that a configuration's parameters (translated) come to, if it is one that many can be fitted of at once."""
+    known = {"regParam", "maxIter", "tol", "fitIntercept", "loss"}
+    if set(settings) - known or name not in ("LogisticRegression", "LinearSVC"):
+        return None
+    loss = settings.get("loss", "squared_hinge") if name == "LinearSVC" else "logistic"
+    if loss not in ("logistic", "squared_hinge"):
+        return None
+    tol = float(settings.get("tol", 1e-4 if name == "LinearSVC" else 1e-6)) * (1e-2 if name == "LinearSVC" else 1)
+    return loss, float(settings.get("regParam", 0.0)), bool(settings.get("fitIntercept", True)), int(settings.get("maxIter", 1000 if name == "LinearSVC" else 100)), tol
+
+
 def kernel_features(df: DataFrame, x: str, gamma: float | str, fit_on: DataFrame, n: int = KERNEL_FEATURES, seed: int = 0) -> DataFrame:
     """df with x replaced by n random features whose products are close to the Gaussian kernel; gamma "scale" is one over width and variance."""
     width = fit_on.select(F.size(x)).first()[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import reduce as reduce_left
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -173,41 +174,80 @@ def fitted(train: DataFrame, test: DataFrame, vector: str, label: str, name: str
     return _predicted(one, two, name, settings).select(*test.columns, "prediction")
 
 
+def _linear_results(configurations: list[dict], folds: list, scalers: Iterable[str], ready: dict, result: Callable) -> set:
+    """Results of the linear configurations, of all folds of a scaler fitted and judged at once; which (fold, scaler, configuration) these are."""
+    done = set()
+    for scaler in scalers:
+        settings: dict[int, list] = {}
+        for at, c in enumerate(configurations):
+            try:
+                own = [models.linear_setting(c["algorithm"], models.translated(c["algorithm"], c.get("params", {}), ready[f, scaler][1]["train"][0])) for f in folds]
+            except Exception:
+                continue  # told where configurations go one by one
+            if own and all(s is not None for s in own):
+                settings[at] = own
+        if not settings:
+            continue
+        every = reduce_left(DataFrame.unionByName, (ready[f, scaler][0].withColumn("_fold", F.lit(i)) for i, f in enumerate(folds)))
+        order = sorted(settings)
+        model = models.Linear({i: [settings[at][i] for at in order] for i in range(len(folds))}).fit(every.where("part = 'train'"), "_x", "_y", "_fold")
+        judged = model.predicted(every.where("part <> 'train'"), "_x", "_fold").where("prediction is not null")
+        judged = judged.select("_fold", "part", F.col("_y").cast("int").alias("_t"), F.posexplode("prediction").alias("_at", "prediction"))
+        found: dict = {}
+        for r in metrics(judged, "_t", "prediction", ["_fold", "_at", "part"]).collect():  # few
+            found.setdefault((r["_fold"], r["_at"]), {})[r["part"]] = r
+        for (i, k), parts in found.items():
+            result(folds[i], scaler, order[k], parts)
+            done.add((folds[i], scaler, order[k]))
+    return done
+
+
 def trained_by_fold(df: DataFrame, key: str, vector: str, label: str, configurations: list[dict], keep: Callable[[DataFrame], DataFrame], scalers: Iterable[str] = ("none",), at_once: int = 4, **tags) -> tuple[DataFrame, DataFrame]:
     """Fold results of each configuration {"algorithm", "params"} with each scaler, and the configurations that failed (fold, cfg_idx, scaler, error).
 
     df is a long table of assignments with fold, part (train, val, test), features and label.  A scaler is fitted once a fold, on its train rows, and
-    its scaled rows are written (keep); configurations share them, at_once of them at a time.  One that fails is listed and doesn't end the others.
+    its scaled rows are written (keep).  Logistic models and machines of squared hinge loss are fitted all at once, of all folds; the other configurations share a fold's rows,
+    at_once of them at a time.  One that fails is listed and doesn't end the others.
     params have the names of training grids, and lost_params lists those of a configuration that change nothing or are replaced; tags are constant columns.
     """
     spark, done, failed = df.sparkSession, [], []
     folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]  # few
     width = df.select(F.size(vector)).first()
+    ready = {}
     for fold in folds:
         own = df.where(F.col("fold") == fold).select(F.col(key).alias("_key"), "part", F.col(vector).alias(vector), label)
         for scaler in scalers:
             rows = keep(_ready(own, own.where("part = 'train'"), vector, label, scaler).select("_key", "part", "_x", "_y"))
             counts = {r["part"]: (r["n"], int(r["k"])) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("_y").alias("k")).collect()}
-            train, asked = rows.where("part = 'train'"), rows.where("part <> 'train'")
-
-            def one(at: int, fold=fold, scaler=scaler, train=train, asked=asked, counts=counts):
-                c = configurations[at]
-                try:
-                    settings = models.translated(c["algorithm"], c.get("params", {}), counts["train"][0])
-                    found = _predicted(train, asked, c["algorithm"], settings).withColumn("_t", F.col("_y").cast("int"))
-                    found = {r["part"]: r for r in metrics(found, "_t", "prediction", ["part"]).collect()}
-                    row = {"fold": fold, "cfg_idx": at, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler, "n_features": width[0], "lost_params": ",".join(models.losses(c["algorithm"], c.get("params", {})))}
-                    for p in ("train", "val", "test"):
-                        n, k = counts.get(p, (0, 0))
-                        row |= {f"n_{p}": n, f"{p}_pos": k, f"{p}_neg": n - k}
-                    for p in ("val", "test"):
-                        row |= {f"{m}_{p}": float(found[p][m]) if p in found else None for m in METRICS}
-                    done.append(row)
-                except Exception as error:
-                    failed.append((fold, at, scaler, c.get("algorithm"), f"{type(error).__name__}: {error}"[:500]))
-
-            with ThreadPool(max(1, min(at_once, len(configurations)))) as pool:
-                pool.map(one, range(len(configurations)))
+            ready[fold, scaler] = rows, counts
+
+    def result(fold, scaler, at: int, found: dict) -> None:
+        c, counts = configurations[at], ready[fold, scaler][1]
+        row = {"fold": fold, "cfg_idx": at, "algorithm": c["algorithm"], "config": json.dumps(c.get("params", {}), sort_keys=True), "scaler": scaler, "n_features": width[0], "lost_params": ",".join(models.losses(c["algorithm"], c.get("params", {})))}
+        for p in ("train", "val", "test"):
+            n, k = counts.get(p, (0, 0))
+            row |= {f"n_{p}": n, f"{p}_pos": k, f"{p}_neg": n - k}
+        for p in ("val", "test"):
+            row |= {f"{m}_{p}": float(found[p][m]) if p in found else None for m in METRICS}
+        done.append(row)
+
+    together = _linear_results(configurations, folds, scalers, ready, result)
+    for (fold, scaler), (rows, counts) in ready.items():
+        train, asked = rows.where("part = 'train'"), rows.where("part <> 'train'")
+
+        def one(at: int, fold=fold, scaler=scaler, train=train, asked=asked, counts=counts):
+            c = configurations[at]
+            if (fold, scaler, at) in together:
+                return
+            try:
+                settings = models.translated(c["algorithm"], c.get("params", {}), counts["train"][0])
+                found = _predicted(train, asked, c["algorithm"], settings).withColumn("_t", F.col("_y").cast("int"))
+                result(fold, scaler, at, {r["part"]: r for r in metrics(found, "_t", "prediction", ["part"]).collect()})
+            except Exception as error:
+                failed.append((fold, at, scaler, c.get("algorithm"), f"{type(error).__name__}: {error}"[:500]))
+
+        with ThreadPool(max(1, min(at_once, len(configurations)))) as pool:
+            pool.map(one, range(len(configurations)))
     if not done:
         raise RuntimeError(f"no configuration gave results: {failed[:3]}")
     done.sort(key=lambda r: (r["fold"], r["scaler"], r["cfg_idx"]))

@@ -107,3 +107,31 @@ def test_estimated_shrinkage(spark, clouds):
     means = [x[y == k].mean(0) for k in (0, 1)]
     score = [np.log((y == k).mean()) - 0.5 * np.einsum("ij,jk,ik->i", x - means[k], np.linalg.inv(common), x - means[k]) for k in (0, 1)]
     assert np.abs(m.decide(x) - (score[1] - score[0])).max() < 1e-8
+
+
+def test_linear_models_of_all_folds_at_once(spark, clouds):
+    """Each is at its least, and jobs don't grow with configurations."""
+    x, y, df = clouds
+    folds = df.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).where("id % 3 <> fold")
+    settings = [("logistic", 0.02, True, 200, 1e-8), ("squared_hinge", 0.5, True, 200, 1e-8), ("logistic", 1.0, False, 200, 1e-8)]
+    m = models.Linear({0: settings, 1: settings}).fit(folds, "v", "y", "fold")
+    assert len(m.models) == 6
+    for (f, i), w in m.models.items():
+        own = np.arange(200) % 3 != f
+        v, s = np.hstack([x[own], np.ones((own.sum(), 1))]), np.where(y[own] > 0, 1.0, -1.0)
+        loss, penalty, intercept, _, _ = settings[i]
+        z = s * (v @ w)
+        by_margin = -s / (1 + np.exp(z)) if loss == "logistic" else -2 * s * np.maximum(1 - z, 0)
+        slope = v.T @ by_margin / own.sum() + penalty * w * [1, 1, 1, float(loss == "squared_hinge")]
+        assert np.abs(slope[: 4 if intercept else 3]).max() < 1e-6 and (intercept or w[-1] == 0)
+    rows = df.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.when(F.col("id") % 3 == F.col("fold"), "test").otherwise("train"))
+
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"linear{n}", "")
+        grid = [{"algorithm": "LogisticRegression", "params": {"C": 0.1 * (k + 1), "max_iter": 15}} for k in range(n)]
+        done, failed = training.trained_by_fold(rows, "id", "v", "y", grid, checkpointed)
+        assert failed.count() == 0 and done.count() == 2 * n
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"linear{n}"))
+
+    assert jobs(8) <= 1.5 * jobs(2)
