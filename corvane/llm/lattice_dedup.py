@@ -7,7 +7,7 @@ to one of its 240 neighbours in the lattice.  Two vectors meet in a cell that is
 of exactly 0.95, a pair meets in a table with probability 0.32, and in some table with 0.995; at 0.97 it is 0.9999.
 Two random vectors share a cell with probability 1e-7, so candidates stay few among very many rows.
 *Verification.*  Vectors that meet are compared by cosine in double precision.  A pair that meets in several cells counts in the first only,
-which both vectors' cells tell.  Equal vectors are one vector with a weight, and cells of very many vectors are compared in tiles of bounded size
+which both vectors' cells tell.  Equal vectors (by 128-bit digests of their numbers) are one vector with a weight, and cells of very many vectors are compared in tiles of bounded size
 by several tasks; a tile gives each vector its number of links and one link to its group in the tile, so pairs are never written out.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay their own component; vectors of
@@ -23,8 +23,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from corvane.llm.filters import KeyFilter
 from corvane.llm.graph import components
 from corvane.llm.words import mix
 from corvane.llm.workspace import Workspace
@@ -34,7 +36,7 @@ BLOCKS, SCALE, TABLES, PROBES = 3, 0.5, 14, 4
 TABLE_BITS = 4
 #: Vectors of one side of a tile; larger runs of a tile are compared by matrix products; pairs whose cells are compared at once.
 TILE, SMALL, PAIRS = 1024, 48, 32768
-FOUND = "row long, n long, root long"
+FOUND, ENTRIES = "row long, n long, root long", "row long, key long, home boolean"
 
 
 def _even(x: np.ndarray) -> np.ndarray:
@@ -102,6 +104,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
+def _digested(batches):
+    """Rows with 128-bit digests of their vectors; zeros have no sign."""
+    for batch in batches:
+        v = batch.column("v")
+        if isinstance(v, pa.ChunkedArray):
+            v = v.combine_chunks()
+        digests = [None if x is None else xxhash.xxh3_128_digest(np.asarray(x.values, float) + 0.0) for x in (x if x.is_valid else None for x in v)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
+
+
+def _entries(wanted):
+    """row, key and home of the cells whose key may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.asarray(batch.column("cells").flatten())
+            place = np.flatnonzero(wanted(keys))
+            rows = np.asarray(batch.column("row"))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[place // (TABLES * (1 + PROBES))]), pa.array(keys[place]), pa.array(place % (1 + PROBES) == 0)], ["row", "key", "home"])
+
+    return run
+
+
 def _hashed(batches):
     """Rows with their cells; rows come with any lengths of vectors."""
     for batch in batches:
@@ -227,12 +252,17 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
     space = Workspace(rows.sparkSession, "lattice")
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = space.keep(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(finite, F.lit(False)), v).alias("v")), "rows")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(finite, F.lit(False)), v).alias("v"))
+    rows = space.keep(rows.mapInArrow(_digested, "vec_id long, v array<double>, digest binary"), "rows")
     # A vector for all rows that have it; equal ones link with each other.
-    distinct = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id")).withColumn("row", F.monotonically_increasing_id())
-    hashed = space.keep(space.keep(distinct, "distinct").mapInArrow(_hashed, "v array<double>, weight long, least_id long, row long, cells array<long>"), "vectors")
-    entries = hashed.select("row", F.posexplode("cells").alias("pos", "key")).select("row", "key", (F.col("pos") % (1 + PROBES) == 0).alias("home"))
-    met = entries.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("any_home")).where("size > 1 and any_home").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides"))
+    distinct = rows.where("digest is not null").groupBy("digest").agg(F.first("v").alias("v"), F.count("*").alias("weight"), F.min("vec_id").alias("least_id")).withColumn("row", F.monotonically_increasing_id())
+    hashed = space.keep(space.keep(distinct, "distinct").mapInArrow(_hashed, "digest binary, v array<double>, weight long, least_id long, row long, cells array<long>"), "vectors")
+    # Most cells that are probed are home to none, and most homes are one vector's: bit tables leave those out before entries are dealt out.
+    homes = KeyFilter(hashed.select(F.explode(F.expr(f"filter(cells, (x, i) -> i % {1 + PROBES} = 0)")).alias("key")), "key", hashed=True)
+    entries = hashed.select("row", "cells").mapInArrow(_entries(homes.test()), ENTRIES)
+    met = entries.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("any_home")).where("size > 1 and any_home")
+    met = space.keep(met.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("sides")), "met")
+    entries = hashed.select("row", "cells").mapInArrow(_entries(KeyFilter(met, "key", hashed=True).test()), ENTRIES)
     own = F.pmod(F.xxhash64("row", "key"), F.col("sides")).cast("int")
     entries = entries.join(met, "key").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
@@ -243,7 +273,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.95) -> DataFrame:
     named = names.withColumnRenamed("node", "row").join(hashed.select("row", "least_id"), "row")
     named = named.select("row", "component").join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("row", "component_id")
     linked = found.groupBy("row").agg(F.sum("n").alias("n")).join(named, "row")
-    known = hashed.select("row", "v", "weight", "least_id").join(linked, "row", "left")
-    known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = hashed.select("row", "digest", "weight", "least_id").join(linked, "row", "left")
+    known = known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "least_id").alias("component_id"))
+    out = rows.select("vec_id", "digest").join(known, "digest", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
