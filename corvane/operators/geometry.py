@@ -19,8 +19,8 @@ from corvane.functions import stats, vectors
 
 #: Bytes of the vectors of a group; vectors of a group at least, and of a strip of values at once.
 BLOCK_BYTES, LEAST, STRIP = 16 << 20, 64, 512
-#: Bins of a pass over values, and values that may be sorted at last.
-BINS, FEW = 4096, 100_000
+#: Bins of a pass over a range of values, bins of the first pass for each doubling of values, and values that may be sorted at last.
+BINS, OCTAVE, FEW = 4096, 8192, 100_000
 
 
 def taking_part(df: DataFrame, vector: str) -> DataFrame:
@@ -98,16 +98,28 @@ def pairs(df: DataFrame, key: str, vector: str, metric: str = "cosine", label: s
 def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] = ()) -> dict[tuple, list[float | None]]:
     """For each group of by (few) the exact, linearly interpolated quantiles of column, nulls left out.
 
-    Passes of counts narrow each wanted rank down to a range of FEW values at most, or of one; only those are sorted, at last.
+    The first pass counts values in bins of a fixed logarithmic scale, so it needs to know nothing of them; passes of counts then narrow each wanted rank
+    down to a range of FEW values at most, or of one, which is mostly so at once; only those are sorted, at last.
     """
     by, x = list(by), F.col(column).cast("double")
     df = df.select(*(F.col(b).alias(f"_by{i}") for i, b in enumerate(by)), x.alias("_x")).where("_x is not null")
     names = [f"_by{i}" for i in range(len(by))]
-    ends = {tuple(r[n] for n in names): (r["lo"], r["hi"], r["n"]) for r in df.groupBy(*names).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n")).collect() if r["n"]}
-    at = {g: [p * (n - 1) for p in shares] for g, (_, _, n) in ends.items()}
-    ranks = {g: sorted({r for h in at[g] for r in (math.floor(h), math.ceil(h))}) for g in ends}
-    known: dict[tuple, dict[int, float]] = {g: {} for g in ends}
-    open_ = [(g, lo, hi, 0, n) for g, (lo, hi, n) in ends.items()]  # group, least and greatest value, values before, values inside
+    size = F.floor(F.least(F.log2(F.abs("_x")), F.lit(1024.0)) * OCTAVE).cast("long") + 1100 * OCTAVE  # above zero for every number
+    scale = F.when(F.col("_x") == 0, F.lit(0)).when(F.col("_x") < 0, -size).otherwise(size).cast("long")
+    bins: dict[tuple, list] = {}
+    for r in df.groupBy(*names, scale.alias("_bin")).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n")).collect():
+        bins.setdefault(tuple(r[n] for n in names), []).append((r["_bin"], r["lo"], r["hi"], r["n"]))
+    total = {g: sum(b[3] for b in own) for g, own in bins.items()}
+    at = {g: [p * (n - 1) for p in shares] for g, n in total.items()}
+    ranks = {g: sorted({r for h in at[g] for r in (math.floor(h), math.ceil(h))}) for g in total}
+    known: dict[tuple, dict[int, float]] = {g: {} for g in total}
+    open_ = []  # group, least and greatest value, values before, values inside
+    for g, own in bins.items():
+        before = 0
+        for _, lo, hi, n in sorted(own):
+            if any(before <= rank < before + n for rank in ranks[g]):
+                open_.append((g, lo, hi, before, n))
+            before += n
 
     def inside(g: tuple, lo: float, hi: float) -> Column:
         own = F.col("_x").between(lo, hi)
@@ -143,7 +155,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] = (
         if lo == hi:
             known[g] |= {r: lo for r in ranks[g] if first <= r < first + n}
     weighed = lambda g, h: known[g][math.floor(h)] + (known[g][math.ceil(h)] - known[g][math.floor(h)]) * (h - math.floor(h))
-    return {g: [weighed(g, h) for h in at[g]] for g in ends}
+    return {g: [weighed(g, h) for h in at[g]] for g in total}
 
 
 def percentile_ladder(values: DataFrame, column: str, percents: list[float]) -> DataFrame:

@@ -207,3 +207,18 @@ def test_pairwise_bootstrap_takes_every_resample(spark, monkeypatch):
     plans.pairwise_bootstrap(spark, "")
     seen[0].apply_defaults()
     assert seen[0].arguments["n_boot"] == 2000
+
+
+def test_quantiles_of_all_kinds_of_numbers(spark, monkeypatch):
+    """Exact beside numpy's, by few values at last and by many; a plain column takes two passes."""
+    rng = np.random.default_rng(2)
+    kinds = {"normal": rng.normal(size=700), "tiny": rng.normal(size=300) * 1e-300, "wide": np.exp(rng.normal(size=400) * 40) * rng.choice([-1, 1], 400), "one": np.full(50, 0.25), "zero": np.r_[np.zeros(40), -np.zeros(3), 1.0, -1.0], "near": 1 + rng.normal(size=500) * 1e-9}
+    df = spark.createDataFrame([(k, float(v)) for k, own in kinds.items() for v in own] + [("normal", None), (None, 3.0)], "k string, x double")
+    shares = [0, 0.003, 0.25, 0.5, 0.77, 0.999, 1]
+    for few in (100_000, 5):
+        monkeypatch.setattr(geometry, "FEW", few)
+        got = geometry.quantiles(df, "x", shares, ["k"])
+        assert set(got) == {(k,) for k in kinds} | {(None,)} and got[None,] == [3.0] * 7
+        for k, own in kinds.items():
+            assert got[k,] == pytest.approx(list(np.quantile(own, shares)), rel=1e-12, abs=0)
+    assert geometry.quantiles(df.limit(0), "x", shares) == {}
