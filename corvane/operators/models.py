@@ -315,15 +315,15 @@ class Linear:
 
         @F.pandas_udf("array<int>")
         def classes(v: pd.Series, f: pd.Series) -> pd.Series:
-            out = pd.Series([None] * len(v), dtype=object)
+            out: list = [None] * len(v)
             for own in f.unique():
                 some = np.flatnonzero(f.to_numpy() == own)
                 if (own, 0) in held.value:
                     w = np.stack([held.value[own, i] for i in range(count)], axis=1)
                     m = np.stack(v.iloc[some].to_list())
                     for at, row in zip(some, (m @ w[:-1] + w[-1] > 0).astype(np.int32), strict=True):
-                        out.iloc[at] = row
-            return out
+                        out[at] = row.tolist()
+            return pd.Series(out, dtype=object)
 
         return df.withColumn("prediction", classes(F.col(x), F.col(fold).cast("int")))
 
