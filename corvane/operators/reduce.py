@@ -12,10 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce as reduce_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.functions import stats
+from corvane.operators import geometry, neighbourhood
 
 
 def one_pass(close: DataFrame, distance: bool = False) -> DataFrame:
@@ -25,8 +29,8 @@ def one_pass(close: DataFrame, distance: bool = False) -> DataFrame:
     return out.select("removed_id", F.col("b.k").alias("representative_id"), F.col("b.k").alias("cluster_id"))
 
 
-#: Pairs of a range of keys.
-RANGE = 1 << 19
+#: Pairs of a range of keys; rows that are decided by one task at once; rows that the number of close pairs is judged by; and close pairs a row that may stand in a table.
+RANGE, FIRST, JUDGED, DEGREE = 1 << 19, 8192, 4096, 32
 
 
 def _decided(frame: pd.DataFrame) -> pd.DataFrame:
@@ -74,25 +78,98 @@ def greedy(close: DataFrame, keep: Callable[[DataFrame], DataFrame], distance: b
     return one_pass(kept, distance)
 
 
+def _first_kept(key: str, vector: str, limit: float, metric: str):
+    """Of batches of rows by rising key, those that the greedy rule keeps."""
+    within = (lambda v: v >= limit) if metric == "cosine" else (lambda v: v <= limit)
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        if not len(table):
+            return
+        order = pc.sort_indices(table.column(key))
+        table = table.take(order)
+        items = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in (key, vector)], ["key", "v"])
+        side = geometry._side(items, metric, [])
+        alive = np.ones(len(table), bool)
+        for at in range(0, len(table), geometry.STRIP):
+            here = slice(at, at + geometry.STRIP)
+            close = within(geometry.values(side, side, metric, here, here))
+            for i in range(len(close)):  # a strip row by row, then what it keeps against all later rows
+                if alive[at + i]:
+                    alive[at + i + 1 : at + len(close)] &= ~close[i, i + 1 :]
+            lead = at + np.flatnonzero(alive[here])
+            for to in range(at + geometry.STRIP, len(table), geometry.WIDE):
+                there = slice(to, to + geometry.WIDE)
+                alive[there] &= ~within(geometry.values(side, side, metric, lead, there)).any(axis=0)
+        yield from table.filter(pa.array(alive)).to_batches()
+
+    return run
+
+
+def few_close(df: DataFrame, key: str, vector: str, limit: float, metric: str = "cosine") -> bool:
+    """Whether rows have DEGREE close pairs each at most, judged by those of some."""
+    n, some = df.count(), df.orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(JUDGED)
+    close = geometry.pair_thresholds(some, key, vector, [limit], metric, metric == "cosine").first()["n_pairs"]
+    return close * (n / min(n, JUDGED)) ** 2 <= DEGREE * n if n else True
+
+
+def greedy_of(df: DataFrame, key: str, vector: str, limit: float, keep: Callable[[DataFrame], DataFrame], metric: str = "cosine") -> DataFrame:
+    """greedy() of all rows by their vectors, without a table of close pairs where there are many.
+
+    While the rows that are left may have more than DEGREE close pairs each, the first FIRST of them by key are decided by one task, and what is close to a kept one goes;
+    rows are left that are far from all of those.  Where few pairs are close they stand in a table, and greedy() decides.  Work is of rows times kept rows, or of all pairs once.
+    """
+    rows = geometry.taking_part(df, vector).select(key, vector)
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    rest, leads = keep(rows), None
+    while n := rest.count():
+        if n > FIRST and few_close(rest, key, vector, limit, metric):
+            break
+        first = rest.orderBy(key).limit(FIRST)
+        kept = keep(first.coalesce(1).mapInArrow(_first_kept(key, vector, limit, metric), kind))
+        leads = kept if leads is None else leads.unionByName(kept)
+        if n <= FIRST:
+            rest = rest.limit(0)
+            break
+        last = first.agg(F.max(key)).first()[0]
+        later = rest.where(F.col(key) > F.lit(last))
+        gone = geometry.closest_earlier(later, key, vector, limit, metric, leads=kept).select(F.col("removed_id").alias(key))
+        rest = keep(later.join(gone, key, "left_anti"))
+    else:
+        rest = rest.limit(0)
+    if leads is None:
+        return greedy(neighbourhood.close_pairs(rest, key, vector, limit, metric), keep, metric != "cosine")
+    if rest.limit(1).count():
+        own = greedy(neighbourhood.close_pairs(rest, key, vector, limit, metric), keep, metric != "cosine")
+        leads = keep(leads.unionByName(rest.join(own.select(F.col("removed_id").alias(key)), key, "left_anti")))
+    gone = rows.join(leads.select(key), key, "left_anti")
+    return _map(geometry.closest_earlier(gone, key, vector, limit, metric, leads=leads))
+
+
+def one_pass_of(df: DataFrame, key: str, vector: str, limit: float, metric: str = "cosine") -> DataFrame:
+    """one_pass() of all rows by their vectors, without a table of close pairs."""
+    return _map(geometry.closest_earlier(df, key, vector, limit, metric))
+
+
+def _map(found: DataFrame) -> DataFrame:
+    return found.select("removed_id", "representative_id", F.col("representative_id").alias("cluster_id"))
+
+
 def reduction_ladder(df: DataFrame, key: str, vector: str, label: str, ladder: list[tuple[float, float]], keep: Callable[[DataFrame], DataFrame], metric: str = "cosine", rule: str = "greedy", labels: list[int] = (0, 1)) -> tuple[DataFrame, DataFrame]:
-    """Reductions at each (percentile, threshold) of a ladder, from one table of the pairs that the widest threshold calls close.
+    """Reductions at each (percentile, threshold) of a ladder.
 
     Returns the maps (percentile, removed_id, representative_id, cluster_id) and the summary, a row a percentile.  Thresholds of
     distances may not grow with the percentile, those of similarities not fall.
     """
-    from corvane.operators import neighbourhood
-
     distance, ladder = metric != "cosine", sorted(ladder)
     limits = [t for _, t in ladder]
     if len({p for p, _ in ladder}) < len(ladder):
         raise ValueError("percentiles repeat")
     if distance and min(limits) < 0 or limits != sorted(limits, reverse=distance):
         raise ValueError("distance thresholds may not be negative nor grow with the percentile" if distance else "similarity thresholds may not fall with the percentile")
-    close = keep(neighbourhood.close_pairs(df, key, vector, max(limits) if distance else min(limits), metric))
     maps, summaries = [], []
     for percent, limit in ladder:
-        near = close.where(F.col("value") <= limit if distance else F.col("value") >= limit)
-        removed = greedy(near, keep, distance) if rule == "greedy" else one_pass(near, distance)
+        removed = greedy_of(df, key, vector, limit, keep, metric) if rule == "greedy" else one_pass_of(df, key, vector, limit, metric)
         removed = keep(removed.select(F.lit(percent).alias("percentile"), "*"))
         maps.append(removed)
         summaries.append(retention(df, removed, key, label, labels).select(F.lit(percent).alias("percentile"), F.lit(float(limit)).alias("threshold"), "*"))
@@ -114,7 +191,12 @@ def retention(df: DataFrame, removed: DataFrame, key: str, label: str, labels: l
 
 def retention_ladder(close: DataFrame, df: DataFrame, key: str, limits: list[float], at_least: bool = True) -> DataFrame:
     """One-pass retention at each threshold from one table of close pairs: a row goes from its closest earlier row on."""
-    best = close.groupBy(F.col("key_b").alias(key)).agg((F.max if at_least else F.min)("value").alias("near"))
+    return ladder_of(close.groupBy(F.col("key_b").alias("removed_id")).agg((F.max if at_least else F.min)("value").alias("value")), df, key, limits, at_least)
+
+
+def ladder_of(closest: DataFrame, df: DataFrame, key: str, limits: list[float], at_least: bool = True) -> DataFrame:
+    """retention_ladder() from each row's closest earlier one (removed_id, value)."""
+    best = closest.select(F.col("removed_id").alias(key), F.col("value").alias("near"))
     gone = [F.count_if(F.round("near", 9) >= t) if at_least else F.count_if(F.round("near", 9) <= t) for t in limits]
     out = df.select(key).join(best, key, "left").agg(F.count("*").alias("n_original"), F.array(*gone).alias("n"), F.array(*(F.lit(float(t)) for t in limits)).alias("t"))
     out = out.select("n_original", F.explode(F.arrays_zip("t", "n")).alias("z")).select(F.col("z.t").alias("threshold"), "n_original", (F.col("n_original") - F.col("z.n")).alias("n_reduced"))
@@ -132,14 +214,19 @@ def label_retention(before: DataFrame, after: DataFrame, label: str) -> DataFram
 def matched_reduction(df: DataFrame, key: str, vector: str, target: int, low: float, high: float, keep: Callable[[DataFrame], DataFrame], metric: str = "cosine", within: int = 15, steps: int = 16) -> tuple[float, DataFrame, DataFrame]:
     """The greedy reduction between two thresholds that leaves nearest to target rows: its threshold, its map, and the history of tries.
 
-    Pairs are made once, for the threshold that calls most of them close; a try takes those that its own threshold leaves.
+    Pairs stand in a table only from a threshold on that calls few of them close; that table serves the narrower tries.
     """
-    from corvane.operators import neighbourhood
-
     distance, n = metric != "cosine", df.count()
-    close = keep(neighbourhood.close_pairs(df, key, vector, max(low, high) if distance else min(low, high), metric))
+    tables: list[tuple[float, DataFrame]] = []
 
     def at(limit: float) -> DataFrame:
+        wider = [(t, close) for t, close in tables if (t >= limit if distance else t <= limit)]
+        if not wider and few_close(df, key, vector, limit, metric):
+            wider = [(limit, keep(neighbourhood.close_pairs(df, key, vector, limit, metric)))]
+            tables.extend(wider)
+        if not wider:
+            return greedy_of(df, key, vector, limit, keep, metric)
+        close = wider[-1][1]
         return greedy(close.where(F.col("value") <= limit if distance else F.col("value") >= limit), keep, distance)
 
     # What is left grows with a limit on similarities and shrinks with one on distances.

@@ -117,7 +117,11 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int =
     place = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
     counts = df.where(value.between(low, high)).groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
     every = (df.select(*by).distinct() if by else df.sparkSession.range(1).select()).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = every.join(counts, [*by, "bin"], "left").fillna(0, ["n"])
+    return smoothed(every.join(counts, [*by, "bin"], "left").fillna(0, ["n"]), width, by)
+
+
+def smoothed(full: DataFrame, width: int = 5, by: list[str] = ()) -> DataFrame:
+    """histogram() of counts (bin, n) of every bin."""
     near = Window.partitionBy(*(by or [F.lit(1)])).orderBy("bin").rowsBetween(-(width // 2), width // 2)  # bins, not data
     out = full.withColumn("smooth", F.sum("n").over(near) / float(width))
     return out.withColumn("density", F.coalesce(stats.ratio(F.col("smooth"), F.max("smooth").over(Window.partitionBy(*(by or [F.lit(1)])))), F.lit(0.0)))
