@@ -102,3 +102,17 @@ def test_thresholds_in_all_digits(spark):
     said = {"p30_0": "p30", "1e-9": "p1_0000000000000001e-07", "0.9": "p90", "0.07": "p7", "12.3456789": "p12_3456789", "99.95": "p99_95", "0.00025": "p0_025", "p 70": "p70", "x": None, "100000000": "p100000000", "0.000005": "p0_0005"}
     df = spark.createDataFrame([(k,) for k in said], "s string")
     assert {r.s: r.t for r in df.select("s", naming.normal_threshold(F.col("s")).alias("t")).collect()} == said
+
+
+def test_waves_are_known_before_rows_are_read(spark):
+    """Properties of letters (a null has none, other letters count 0) and their Fourier sizes equal numpy's; no row works out a cosine."""
+    import numpy as np
+    from corvane.functions import vectors
+
+    df = spark.createDataFrame([("KDé😀RHKKKKK",), ("",), (None,)], "s string")
+    out = df.select(vectors.property_of(F.col("s"), 9, vectors.CHARGE).alias("v")).select("v", vectors.fourier(F.col("v"), 9).alias("f"))
+    expected = [[1.0, -1.0, 0.0, 0.0, 1.0, 0.1, 1.0, 1.0, 1.0], [0.0] * 9, [0.0] * 9]
+    for r, v in zip(out.collect(), expected, strict=True):
+        assert r.v == v and np.allclose(r.f, np.abs(np.fft.rfft(v)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "cos(" not in plan and "sin(" not in plan
