@@ -59,10 +59,13 @@ def read_found(spark: SparkSession, folder: str, schema: str, pattern: str = "*.
 
 def read_folds(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The tables fold_<n>/{train,val,test}.csv below a folder as one, with fold, part, and what the path says of them."""
-    df = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "{train,val,test}.csv").csv(folder)
-    df = df.withColumn("source_path", F.col("_metadata.file_path")).where(F.col("source_path").rlike(r"/fold_[0-9]+/(?:train|val|test)\.csv$"))
-    told = path_metadata(F.col("source_path"))
-    return df.withColumns({k: v for k, v in told.items() if k not in df.columns}).withColumn("part", F.regexp_extract("source_path", r"/(train|val|test)\.csv$", 1))
+    found = lambda reader: reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "{train,val,test}.csv")
+    df = found(spark.read.schema(schema).option("header", "true")).csv(folder).withColumn("source_path", F.col("_metadata.file_path"))
+    # A path is read once a file, not once a row: the files' names come from a listing, which the driver holds for either.
+    files = found(spark.read.format("binaryFile")).load(folder).select(F.col("_metadata.file_path").alias("source_path")).where(F.col("source_path").rlike(r"/fold_[0-9]+/(?:train|val|test)\.csv$"))
+    told = {k: v for k, v in path_metadata(F.col("source_path")).items() if k not in df.columns}
+    files = files.withColumns({**told, "part": F.regexp_extract("source_path", r"/(train|val|test)\.csv$", 1)})
+    return df.join(F.broadcast(files), "source_path").select(*df.columns, *told, "part")
 
 
 def read_seed_summaries(spark: SparkSession, folder: str, pattern: str = "split_summary.csv") -> DataFrame:

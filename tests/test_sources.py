@@ -92,3 +92,15 @@ def test_files_by_name(spark, tmp_path):
     sinks.write_named(rows, f"file://{tmp_path}/t", "file")
     assert sorted(str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("*.csv")) == [f"a b/{k}/x=1.csv" for k in range(3)]
     assert sorted(r.i for r in spark.read.option("header", True).schema("i int").csv(f"{tmp_path}/t/a b/1/x=1.csv").collect()) == list(range(1, 50, 3))
+
+
+def test_paths_of_folds_are_read_once_a_file(spark, tmp_path):
+    for part, ids in (("train", "1\n2\n3"), ("test", "4")):
+        file = tmp_path / "ab" / "random_kfold" / "seed_7" / "fold_1" / f"{part}.csv"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"id\n{ids}\n")
+    df = tables.read_folds(spark, str(tmp_path), "id string")
+    assert {(r.id, r.part, r.fold, r.seed, r.scenario) for r in df.collect()} == {("1", "train", 1, 7, "ab"), ("2", "train", 1, 7, "ab"), ("3", "train", 1, 7, "ab"), ("4", "test", 1, 7, "ab")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan.split("Join", 1)[1].split("] csv", 1)[0]
+    assert "binaryFile" in plan and "regexp_" not in rows
