@@ -124,3 +124,30 @@ def test_more_than_a_strip(spark):
     near = np.argsort(-other, axis=1, kind="stable")
     votes = geometry.knn_vote(df.where("id % 5 = 0").withColumn("y", F.lit(0)), df.where("id % 5 <> 0").withColumn("y", (F.col("id") % 2).cast("int")), "id", "v", "y", 7, block=2000).collect()
     assert {r.key: round(r.score * 7) for r in votes} == {j: int((near[j, :7] % 2).sum()) for j in range(0, 1300, 5)}
+
+
+@pytest.mark.parametrize("kind", ["scattered", "huddled", "copies"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_votes_where_single_precision_cannot_tell(spark, kind, metric):
+    """Neighbours closer to each other than single precision tells, and equal ones, against numpy; several settings of one search, with by."""
+    rng = np.random.default_rng(8)
+    x = {"scattered": rng.normal(size=(1500, 6)), "huddled": 1 + 1e-4 * rng.normal(size=(1500, 6)), "copies": np.repeat(rng.normal(size=(15, 6)), 100, axis=0)}[kind]
+    i, k = np.arange(1500), 5
+    y, test, by = (i // 7) % 2, i % 3 == 0, i % 2
+    df = spark.createDataFrame([(int(n), [float(a) for a in v], int(c), int(b)) for n, v, c, b in zip(i, x, y, by, strict=True)], "id long, v array<double>, y int, b int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    square = (x * x).sum(1)
+    value = np.einsum("ik,jk->ij", unit, unit) if metric == "cosine" else -np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+    value = np.where((by[:, None] == by[None, :]) & ~test[None, :], np.round(value, 12), -np.inf)
+    got = geometry.knn_votes(df.where("id % 3 = 0"), df.where("id % 3 <> 0"), "id", "v", "y", [(k, "uniform"), (1, "uniform")], metric, ["b"], block=2000).collect()
+    assert {(r.b, r.key) for r in got} == {(int(by[n]), int(n)) for n in i[test]}
+    far = 0
+    for r in got:
+        order = np.argsort(-value[r.key], kind="stable")
+        if metric == "euclidean" and value[r.key][order[k - 1]] - value[r.key][order[k]] < 1e-8:
+            continue  # the difference of squares can't tell these, in whatever order it is summed up
+        if metric == "cosine" and 0 < value[r.key][order[k - 1]] - value[r.key][order[k]] < 2e-12:
+            continue  # on either side of the twelfth digit
+        far += 1
+        assert round(r.votes[0].score * k) == y[order[:k]].sum()
+    assert far > 200 or (kind, metric) == ("copies", "euclidean")

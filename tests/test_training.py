@@ -46,6 +46,26 @@ def test_neighbours(spark, clouds):
         assert [got[i] for i in range(160, 240)] == ((w * y[near]).sum(1) * 2 > w.sum(1)).astype(int).tolist()
 
 
+def test_one_search_serves_all_folds_and_configurations(spark, clouds, monkeypatch):
+    """Neighbours of the same metric and scaler are searched once, whatever the number of configurations, with the results that each has alone."""
+    _, _, df = clouds
+    rows = df.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.when(F.col("id") % 2 == F.col("fold"), "test").when(F.col("id") % 5 == 0, "val").otherwise("train"))
+    configurations = training.configurations({"KNeighborsClassifier": {"n_neighbors": [1, 4, 7], "metric": ["cosine"], "weights": ["uniform", "distance"]}})
+    searches, tiles = [], geometry.over_tiles
+    monkeypatch.setattr(geometry, "over_tiles", lambda *args, **more: searches.append(1) or tiles(*args, **more))
+    done, failed = training.trained_by_fold(rows, "id", "v", "y", [*configurations, {"algorithm": "KNeighborsClassifier", "params": {"metric": "nonesuch"}}], checkpointed, ["none", "standard"])
+    assert len(searches) == 2 and {r.cfg_idx for r in failed.collect()} == {6}
+    got = {(r.fold, r.scaler, r.cfg_idx): (r.accuracy_val, r.accuracy_test) for r in done.collect()}
+    assert len(got) == 2 * 2 * 6
+    for (fold, scaler, at), accuracies in got.items():
+        if at not in (1, 4):
+            continue
+        own, params = rows.where(F.col("fold") == fold), configurations[at]["params"]
+        alone = training.fitted(own.where("part = 'train'"), own.where("part <> 'train'"), "v", "y", "KNeighborsClassifier", scaler, "id", k=params["n_neighbors"], metric="cosine", weights=params["weights"])
+        share = {r.part: r.a for r in alone.groupBy("part").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")).collect()}
+        assert accuracies == pytest.approx((share["val"], share["test"]), abs=1e-12)
+
+
 def test_kernel_models_tell_a_ring_from_its_core(spark):
     rng = np.random.default_rng(0)
     angle, r = rng.uniform(0, 2 * np.pi, 300), np.where(np.arange(300) % 2, 3.0, 0.5) + rng.normal(scale=0.2, size=300)
